@@ -178,3 +178,8 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     low, high = (int(offsets[0]), int(offsets[-1])) if len(offsets) else (0, 0)
     return data[low:high], offsets - low
+
+
+def without(docs: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rows whose key is not in a stored table of keys: sent to all tasks up to 16 MB, shuffled beyond."""
+    return docs.join(F.broadcast(rejected) if fits_broadcast(rejected, 16) else rejected, key, "left_anti").select(docs.columns)

@@ -7,24 +7,19 @@ one is kept by every filter, as no decision can name it.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, without
 
 #: No stage after the learned one has a SQL form, so the whole has none; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    return docs.join(rejected.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
-
-
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     from .toxicity import score_documents
 
     scored = score_documents(docs, table(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1"))
+    return without(docs, stored(scored.where("predicted = 1 and doc_id is not null").select("doc_id").distinct(), "toxic"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     from .jaccard import link_components
 
     found = link_components(docs)
-    return _without(docs, found.where("component_id < doc_id"))
+    return without(docs, stored(found.where("component_id < doc_id").select("doc_id").distinct(), "copies"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
