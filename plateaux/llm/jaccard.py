@@ -133,7 +133,7 @@ class Schemes:
             for level in range(LEVELS):
                 h = s if level == 0 else np.sort(mix(s ^ _EXTRA[level]))
                 keys, enough = self._segments(h, one, two, most)
-                out.append(mix(keys + np.uint64((k * (LEVELS + 1) + level) * 2 + 1) * _EXTRA[LEVELS]))
+                out.append(mix(keys + np.array([(k * (LEVELS + 1) + level) * 2 + 1], np.uint64) * _EXTRA[LEVELS]))
                 if enough:
                     break
             else:

@@ -31,5 +31,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_token_files, op8_benchmark_decontamination, op10_ngram_jaccard_join)}
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import deduped_documents
+
+    return deduped_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op5_token_files, op8_benchmark_decontamination, op9_line_dedup, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
