@@ -28,6 +28,7 @@ BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 SIZE, HIDDEN = 8, 8
 ROUNDS = 6
+STEPS = 150  # at least, so that small samples are learnt too
 FIXED = 3
 
 
@@ -226,7 +227,8 @@ def train(bodies: list[str], labels: list[int], rounds: int = ROUNDS, seed: int
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     fitted = r.random(len(y)) < 0.8
     step = 0
-    for _ in range(rounds):
+    while rounds > 0 or step < STEPS:
+        rounds -= 1
         windows, text, logit = _logits(net, w)
         own = fitted[text]
         best = _highest(text, logit, len(y))
@@ -235,8 +237,9 @@ def train(bodies: list[str], labels: list[int], rounds: int = ROUNDS, seed: int
         hard = clean[np.argsort(-logit[clean])[:2 * len(y)]]
         chosen = best[(best >= 0) & fitted]
         chosen = r.permutation(np.concatenate([chosen, r.choice(hard, min(len(hard), len(y) // 2), False), r.choice(clean, min(len(clean), len(y)), False)]))
-        for k in range(0, len(chosen), 192):
-            own = chosen[k:k + 192]
+        size = min(192, max(24, len(chosen) // 12))
+        for k in range(0, len(chosen), size):
+            own = chosen[k:k + size]
             part, local = w.part(windows[own])
             step += 1
             _adam(net, net.gradient(part, net.vectors(part), local, y[text[own]]), first, second, step)
