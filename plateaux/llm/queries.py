@@ -25,6 +25,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .syncmers import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontaminate import contamination
 
@@ -43,5 +49,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_toxicity, op5_token_files, op8_benchmark_decontamination, op9_line_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op4_toxicity, op5_token_files, op7_syncmer_fingerprints, op8_benchmark_decontamination, op9_line_dedup, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
