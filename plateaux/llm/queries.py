@@ -19,6 +19,12 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_content import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score_documents
 
@@ -31,6 +37,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .syncmers import fingerprints
 
@@ -55,5 +67,5 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op4_toxicity, op5_token_files, op7_syncmer_fingerprints, op8_benchmark_decontamination, op9_line_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_html_main_text, op4_toxicity, op5_token_files, op6_url_filter, op7_syncmer_fingerprints, op8_benchmark_decontamination, op9_line_dedup, op10_ngram_jaccard_join)}
 ORACLE_SQL: dict[str, str] = {}
