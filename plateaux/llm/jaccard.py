@@ -32,7 +32,7 @@ from .common import SPACED, WordHasher, _odd, dropped, mix, semi, small_batches,
 
 WORDS = 4
 SIMILARITY = 85  # per cent
-BLOCK = 16
+BLOCK = 32
 LEVELS = 3
 SEEN = 50_000
 
@@ -80,8 +80,8 @@ def difference(size: int, similarity: int = SIMILARITY) -> int:
     return (100 - similarity) * 2 * size // (100 + similarity)
 
 
-def allocate(size: int, most: int, population: float, common: float = 0.01) -> tuple[int, int]:
-    """(segments with allocation 1, segments with allocation 2) of least cost for sets of about this size.
+def allocate(size: float, most: int, population: float, common: float = 0.01) -> tuple[int, int]:
+    """(segments with allocation 1, segments with allocation 2) of least cost for sets of at least this size.
 
     The cost is the number of signatures plus a fifth of the chance meetings expected in a band of ``population`` sets
     when this share of all elements is common to many sets: larger segments meet less, deletions write more.
@@ -93,7 +93,8 @@ def allocate(size: int, most: int, population: float, common: float = 0.01) -> t
             two = round(need * share / 2)
             one = max(0, need - 2 * two)
             t = size / max(1, one + two)
-            slack = math.ceil((one + 2 * two) * math.exp(-t) * 2 + 1) if one + two > 1 else 0
+            empty = (one + 2 * two) * math.exp(-t)
+            slack = math.ceil(empty + 3 * math.sqrt(empty) + 1) if one + two > 1 else 0
             need = most + 1 + slack
         two = round(need * share / 2)
         one = max(0, need - 2 * two)
@@ -122,7 +123,7 @@ class Schemes:
         if k not in self.known:
             high = self.lows[k + 1] - 1
             most = difference(high, self.similarity)
-            self.known[k] = (most, *allocate((self.lows[k] + high) // 2, most, self.population))
+            self.known[k] = (most, *allocate(self.similarity * self.lows[k] / 100, most, self.population))
         return self.known[k]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
