@@ -1,0 +1 @@
+"""Analytics over large tables of per-cell feature profiles, as Spark DataFrame jobs."""

@@ -1,0 +1 @@
+"""No streaming operator is registered: the profile pipelines are batch jobs (see README)."""
