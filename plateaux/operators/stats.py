@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import DoubleType
 
 from ..functions.stats import missing
 
@@ -27,7 +28,7 @@ def exact_tail(u: float, n: int, m: int) -> float:
     return float(min(1.0, 2 * ways[: int(math.floor(low)) + 1].sum() / ways.sum()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_value(u: pd.Series, n: pd.Series, m: pd.Series, ties: pd.Series) -> pd.Series:
     out = []
     for a, x, y, t in zip(u, n, m, ties, strict=True):
