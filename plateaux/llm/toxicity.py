@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from .common import ALNUM, WordHasher, mix, small_batches, texts, utf8
 
 WINDOW, STRIDE = 24, 12
-PER_CLASS = (2000, 700)  # clean, toxic
+PER_CLASS = (1500, 500)  # clean, toxic
 BUCKETS = 1 << 18
 GRAMS = (3, 4, 5)
 SIZE, HIDDEN = 8, 8
-ROUNDS = 6
+ROUNDS = 5
 STEPS = 150  # at least, so that small samples are learnt too
 FIXED = 3
 
@@ -158,7 +158,7 @@ class Network:
         d_both = weight[..., None] * d_context[:, None] + d_deep @ p["a"].T
         outer = np.stack([d_both[..., :h_n].transpose(1, 0, 2), d_both[..., h_n:].transpose(1, 0, 2)[::-1]], 1)
         g["u"], g["c"] = np.zeros_like(p["u"]), np.zeros_like(p["c"])
-        d_projected = np.zeros((2, len(vectors) + 1, 3 * h_n), np.float32)
+        every = np.empty((WINDOW, 2, len(windows), 3 * h_n), np.float32)
         d_h = np.zeros_like(saved[0][0])
         for t in range(WINDOW - 1, -1, -1):
             h, z, r, inner, n, m = saved[t]
@@ -169,11 +169,16 @@ class Network:
             d_inner = d_n * r
             d_x = np.concatenate([d_z, d_r, d_n], 2)
             d_g = np.concatenate([d_z, d_r, d_inner], 2)
-            for k in range(2):
-                np.add.at(d_projected[k], steps[k, :, t], d_x[k])
+            every[t] = d_x
             g["u"] += np.matmul(h.transpose(0, 2, 1), d_g)
             g["c"] += d_inner.sum(1, keepdims=True)
             d_h = (d_h + outer[t]) * (1 - m) + d_new * z + np.matmul(d_g, p["u"].transpose(0, 2, 1))
+        d_projected = np.zeros((2, len(vectors) + 1, 3 * h_n), np.float32)
+        for k in range(2):  # sums over the places of each word
+            place = steps[k].T.ravel()
+            order = np.argsort(place, kind="stable")
+            own, first = np.unique(place[order], return_index=True)
+            d_projected[k][own] = np.add.reduceat(every[:, k].reshape(-1, 3 * h_n)[order], first)
         d_projected = d_projected[:, :-1]
         g["x"] = np.matmul(vectors.T[None], d_projected)
         g["b"] = d_projected.sum(1, keepdims=True)
