@@ -237,6 +237,14 @@ def _closed(edges: DataFrame) -> DataFrame:
     return stored(components(edges), "components")
 
 
+def _open(rows: DataFrame, groups: DataFrame, done: int) -> DataFrame:
+    """Rows of buckets that hold several groups and members beyond the first ``done``, with their groups."""
+    bucket = W.partitionBy("sig")
+    named = rows.join(groups, rows["rep"] == groups["id"], "left").select(*rows.columns, F.coalesce("component", "rep").alias("component"))
+    several = named.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)})
+    return stored(several.where((F.col("low") < F.col("high")) & (F.col("size") > done + 1)).drop("low", "high"), "open")
+
+
 def link_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -262,21 +270,19 @@ def link_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     first = active.withColumn("hub", hub).select(F.col("hub.rep").alias("a"), F.col("hub.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
     edges = stored(_verified(sized(first), sets, similarity), "links")
     groups = _closed(edges)
-    done = 0
-    while True:
-        # buckets that still hold several groups; done: how many members of each have met all others
-        named = active.join(groups, active["rep"] == groups["id"], "left").select("sig", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        ranked = named.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket), "nth": F.row_number().over(bucket.orderBy("rep")), "size": F.count("*").over(bucket)})
-        open_ = stored(ranked.where(F.col("low") < F.col("high")).where(F.col("size") > done + 1).drop("low", "high", "size"), "open")
-        if open_.limit(1).count() == 0:
-            break
+    # buckets that still hold several groups, and rows of them numbered once; such buckets only get fewer
+    place = {"nth": F.row_number().over(bucket.orderBy("rep")), "size": F.count("*").over(bucket)}
+    open_, done = _open(active.withColumns(place), groups, 1), 1
+    while open_.limit(1).count():
+        # the next members of each against all after them that are by now in another group
         hubs = open_.where((F.col("nth") > done) & (F.col("nth") <= done + BLOCK)).select("sig", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("nth").alias("before"))
         pairs = open_.join(hubs, "sig").where("nth > before and component <> ca").select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb"))
         new = stored(_verified(sized(pairs), sets, similarity), "links")
         if new.limit(1).count():
             edges = edges.union(new)
             groups = _closed(edges)
-        dropped(open_)
         done += BLOCK
+        before, open_ = open_, _open(open_.drop("component"), groups, done)
+        dropped(before)
     found = members.join(groups, members["rep"] == groups["id"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
