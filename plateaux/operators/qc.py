@@ -39,7 +39,7 @@ def drop_missing(df: DataFrame, names: list[str], most: int = 100) -> tuple[Data
 def clip(df: DataFrame, limit: float = 100.0) -> DataFrame:
     """Values into [-limit, limit]; null and NaN stay."""
     bound = F.lit(float(limit))
-    return df.withColumn("features", F.transform("features", lambda x: F.when(F.isnan(x), x).otherwise(F.greatest(-bound, F.least(bound, x)))))
+    return df.withColumn("features", F.transform("features", lambda x: F.when(x.isNull() | F.isnan(x), x).otherwise(F.greatest(-bound, F.least(bound, x)))))
 
 
 def clip_counts(df: DataFrame, names: list[str], limit: float) -> DataFrame:
