@@ -34,6 +34,7 @@ BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6",
     "head", "header", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 AWAY = {
     "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert", "disclaimer", "sidebar", "side",
@@ -141,7 +142,7 @@ def blocks_of(page: str) -> tuple[list[tuple[Block, str]], list[str], int]:
 
 def kind(block: Block, n: int) -> str:
     """The kind of a block's words: its tag, whether mostly links, and about how many words it has."""
-    tag = block.tag if block.tag in ("p", "li", "td", "div", "article", "section", "main", "body") else "heading" if block.tag[:1] == "h" else "other"
+    tag = block.tag if block.tag in ("p", "li", "td", "div", "article", "section", "main", "body") else "heading" if block.tag in HEADINGS else "other"
     return f"{tag} {'link' if 2 * block.link > n else 'text'} {'short' if n < 6 else 'middle' if n < 20 else 'long'}"
 
 
@@ -154,7 +155,8 @@ def counts_of(page: str) -> Counter:
     inside = False
     for block, text in blocks:
         n = len(text.split())
-        out["word " + kind(block, n), block.inside] += n
+        if not block.away:
+            out["word " + kind(block, n), block.inside] += n
         for tag in block.before:
             inside = True if tag in ("article", "main") else False if tag in ("/article", "/main") else inside
             out["tag " + tag, inside or tag in ("/article", "/main")] += 1
@@ -172,7 +174,7 @@ class Weights:
         return -0.05 if block.away else max(0.05, self.inside.get("word " + kind(block, n), 0.5))
 
     def tag(self, name: str) -> float:
-        return -0.05 - 1.5 * (1 - self.inside.get("tag " + name, 0.5))
+        return -0.02 - 0.6 * (1 - self.inside.get("tag " + name, 0.5))
 
 
 def main_text(page: str | None, weights: Weights) -> str:

@@ -8,10 +8,13 @@ one segment must match, and its signature meets in one bucket. A cost model pick
 get 1 or 2, with slack for empty segments; a set whose own allocations still fall short also goes to a second and third
 universe and at last to a bucket of the band, so no pair is lost.
 
-Buckets are not expanded into pairs. Each bucket's smallest member is held against the others; members that are by then
-in one linked group need no further comparison, and buckets that still hold several groups are worked off in blocks of
-``BLOCK`` members held against the rest, until none is open. Every candidate pair is verified on the whole sets. Linked
-groups come from min-label propagation with shortcuts over stored edge tables.
+Buckets are not expanded into pairs. Every member is compared with its bucket's smallest member, the hub, on the whole
+sets; members similar to the hub are one group. What may be left are pairs of which at least one is not similar to their
+hub h. Write D(x) for the symmetric difference of x and h: x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y) share|
+elements, so such a similar pair must share many elements of D. Those pairs are found with an index of prefixes of D
+under each hub (elements foreign to the hub first, as they are rare; a match at places i and j bounds what can still be
+shared), and verified on the whole sets. So near copies that differ from each other too much never become pairs, however
+many there are. Linked groups come from min-label propagation with shortcuts over stored edge tables.
 
 Nulls: a null text or one without words has an empty set, links with nothing and is its own component. Fewer words than a
 shingle make one element. Rows that share a doc_id are one node; a null doc_id gets its set size and a null component. An
@@ -24,7 +27,7 @@ import math
 from bisect import bisect_right
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -32,7 +35,6 @@ from .common import SPACED, WordHasher, _odd, dropped, mix, semi, small_batches,
 
 WORDS = 4
 SIMILARITY = 85  # per cent
-BLOCK = 32
 LEVELS = 3
 SEEN = 50_000
 
@@ -205,13 +207,54 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return texts(docs, "doc_id").mapInArrow(run, "id long, elements array<long>")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a, b) of which the whole sets are similar."""
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) with both sets and the size of what they share."""
     one = sets.select(F.col("id").alias("a"), F.col("elements").alias("left"))
     two = sets.select(F.col("id").alias("b"), F.col("elements").alias("right"))
-    both = F.size(F.array_intersect("left", "right"))
-    union = F.size("left") + F.size("right") - both
-    return pairs.join(one, "a").join(two, "b").where(100 * both >= similarity * union).select("a", "b")
+    return pairs.join(one, "a").join(two, "b").withColumns({"na": F.size("left"), "nb": F.size("right"), "both": F.size(F.array_intersect("left", "right"))})
+
+
+def _similar(similarity: int) -> Column:
+    return 100 * F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))
+
+
+def _most(n: Column, m: Column, similarity: int) -> Column:
+    """In how many elements similar sets of these sizes differ at most."""
+    return F.floor((100 - similarity) * (n + m) / (100 + similarity))
+
+
+def against_hubs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Pairs (a: member, b: hub) with their difference d, whether similar, and the prefixes of their difference.
+
+    ``near`` is the prefix that meets members unlike the hub, ``far`` the one in which an unlike member meets like ones.
+    """
+    n, m, d, like = F.col("na"), F.col("nb"), F.col("d"), F.col("similar")
+    rows = _with_sets(pairs, sets).withColumns({"d": F.col("na") + F.col("nb") - 2 * F.col("both"), "similar": _similar(similarity)})
+    delta = F.concat(F.array_sort(F.array_except("left", "right")), F.array_sort(F.array_except("right", "left")))
+    limit = _most(n, F.floor(n * 100 / similarity), similarity)  # against any partner
+    least = _most(F.ceil(n * similarity / 100), m, similarity) + 1  # the least difference of an unlike partner from the hub
+    shared = lambda other: F.greatest(F.lit(1), F.ceil((d + F.greatest(other, d - limit) - limit) / 2))
+    near, far = d - shared(least) + 1, F.when(like, 0).otherwise(d - shared(F.lit(1)) + 1)
+    cut = lambda k: F.slice("delta", F.lit(1), F.greatest(F.lit(0), k).cast("int"))
+    return rows.withColumn("delta", delta).select("a", "b", "na", "d", "similar", cut(near).alias("near"), cut(far).alias("far"))
+
+
+def around_hubs(compared: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of members of one hub, at least one of them unlike the hub, whose prefixes and places allow similarity."""
+    open_ = compared.groupBy("b").agg(F.count("*").alias("c"), F.max((~F.col("similar")).cast("int")).alias("unlike")).where("c > 1 and unlike = 1").select("b")
+    rows = compared.join(stored(open_, "hubs"), "b", "left_semi")
+    spread = lambda array, role: rows.where(F.size(array) > 0).select("b", "a", "na", "d", "similar", F.lit(role).alias("role"), F.posexplode(array).alias("at", "e"))
+    near, far = spread("near", 0), spread("far", 1)
+    # unlike ones meet unlike ones by their near prefixes (0), and like ones by far against near (1)
+    probe = near.where(~F.col("similar")).unionByName(far)
+    index = near.where(~F.col("similar")).unionByName(near.where("similar").withColumn("role", F.lit(1)))
+    other = index.select(*[F.col(c).alias(f"_{c}") for c in ("b", "role", "e", "a", "na", "d", "at")])
+    fewest = F.col("d") + F.col("_d") - 2 * (1 + F.least(F.col("d") - 1 - F.col("at"), F.col("_d") - 1 - F.col("_at")))
+    fits = (100 * F.least("na", "_na") >= similarity * F.greatest("na", "_na")) & (fewest <= _most(F.col("na"), F.col("_na"), similarity))
+    both = (F.col("a") < F.col("_a")) | (F.col("role") == 1) & (F.col("a") != F.col("_a"))
+    same = (F.col("b") == F.col("_b")) & (F.col("role") == F.col("_role")) & (F.col("e") == F.col("_e"))
+    found = probe.join(other, same & fits & both)
+    return found.select(F.least("a", "_a").alias("a"), F.greatest("a", "_a").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -237,14 +280,6 @@ def _closed(edges: DataFrame) -> DataFrame:
     return stored(components(edges), "components")
 
 
-def _open(rows: DataFrame, groups: DataFrame, done: int) -> DataFrame:
-    """Rows of buckets that hold several groups and members beyond the first ``done``, with their groups."""
-    bucket = W.partitionBy("sig")
-    named = rows.join(groups, rows["rep"] == groups["id"], "left").select(*rows.columns, F.coalesce("component", "rep").alias("component"))
-    several = named.withColumns({"low": F.min("component").over(bucket), "high": F.max("component").over(bucket)})
-    return stored(several.where((F.col("low") < F.col("high")) & (F.col("size") > done + 1)).drop("low", "high"), "open")
-
-
 def link_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     spark = docs.sparkSession
@@ -259,30 +294,18 @@ def link_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     meets = rows.where("doc_id is not null").select("doc_id", F.explode("signatures").alias("sig")).select("sig", "doc_id")
     shared = stored(meets.withColumns({"low": F.min("doc_id").over(bucket), "high": F.max("doc_id").over(bucket)}).where("low < high").select("sig", "doc_id"), "shared")
     dropped(rows)
-    own = members.where("doc_id is not null").select("doc_id", "rep", "n").distinct()
-    active = stored(shared.join(own, "doc_id").select("sig", "rep", "n").distinct(), "active")
+    own = members.where("doc_id is not null").select("doc_id", "rep").distinct()
+    active = stored(shared.join(own, "doc_id").select("sig", "rep").distinct(), "active")
     dropped(shared)
     wanted = stored(active.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     sets = stored(_sets(semi(docs, wanted, "doc_id"), words), "elements")
-
-    sized = lambda p: p.where(f"a <> b and 100 * least(na, nb) >= {similarity} * greatest(na, nb)").select("a", "b").distinct()
-    hub = F.min(F.struct("rep", "n")).over(bucket)
-    first = active.withColumn("hub", hub).select(F.col("hub.rep").alias("a"), F.col("hub.n").alias("na"), F.col("rep").alias("b"), F.col("n").alias("nb"))
-    edges = stored(_verified(sized(first), sets, similarity), "links")
-    groups = _closed(edges)
-    # buckets that still hold several groups, and rows of them numbered once; such buckets only get fewer
-    place = {"nth": F.row_number().over(bucket.orderBy("rep")), "size": F.count("*").over(bucket)}
-    open_, done = _open(active.withColumns(place), groups, 1), 1
-    while open_.limit(1).count():
-        # the next members of each against all after them that are by now in another group
-        hubs = open_.where((F.col("nth") > done) & (F.col("nth") <= done + BLOCK)).select("sig", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("nth").alias("before"))
-        pairs = open_.join(hubs, "sig").where("nth > before and component <> ca").select("a", "na", F.col("rep").alias("b"), F.col("n").alias("nb"))
-        new = stored(_verified(sized(pairs), sets, similarity), "links")
-        if new.limit(1).count():
-            edges = edges.union(new)
-            groups = _closed(edges)
-        done += BLOCK
-        before, open_ = open_, _open(open_.drop("component"), groups, done)
-        dropped(before)
+    hubs = active.withColumn("hub", F.min("rep").over(bucket)).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    compared = stored(against_hubs(stored(hubs, "pairs"), sets, similarity), "compared")
+    dropped(active)
+    links = compared.where("similar").select("a", "b")
+    more = stored(around_hubs(compared, similarity), "candidates")
+    if more.limit(1).count():
+        links = links.union(stored(_with_sets(more, sets).where(_similar(similarity)).select("a", "b"), "links"))
+    groups = _closed(links)
     found = members.join(groups, members["rep"] == groups["id"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))

@@ -312,7 +312,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: tuple[int, in
             else:
                 _, text, logit = _logits(net, Words(*utf8(b.column(1)), hasher))
                 best = _highest(text, logit, n)
-                top = np.append(logit, net.p["d"][0])[best]  # -1: the bias
+                top = np.append(logit, min(net.p["d"][0], -0.1))[best]  # -1: the bias, never a reason to reject
                 score, count = 1 / (1 + np.exp(-np.clip(top.astype(np.float64), -50, 50))), np.bincount(text, minlength=n)
             yield pa.record_batch([b.column(0), pa.array(score.astype(np.float64)), pa.array(count.astype(np.int64))], names=["doc_id", "score", "n_windows"])
 
