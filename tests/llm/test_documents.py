@@ -291,3 +291,59 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
         assert kept.columns == docs.columns
     assert 42 not in {r["doc_id"] for r in kept.collect()}
     assert corpus_pipeline.run(spark, root).select(F.countDistinct("doc_id")).first()[0] == kept.count()
+
+
+def test_linked_groups_of_many_near_copies(spark):
+    """Large groups of copies of copies, most of them just too different from each other."""
+    from plateaux.llm.jaccard import link_components
+
+    r = random.Random(3)
+    texts = []
+    for n in (30, 60, 150):
+        own = [[f"w{r.randrange(10**6)}" for _ in range(n)]]
+        for _ in range(70):
+            w = list(own[0] if r.random() < 0.6 else r.choice(own))
+            for _ in range(r.choice([1, 1, 2, 3, 4])):
+                w[r.randrange(len(w))] = f"v{r.randrange(30) if r.random() < 0.3 else r.randrange(10**6)}"
+            if r.random() < 0.2:
+                del w[r.randrange(len(w)):][:2]
+            own.append(w)
+        texts += [" ".join(w) for w in own]
+    r.shuffle(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple(w[k:k + 4]) for k in range(len(w) - 3)} or {tuple(w)} for w in (t.split() for t in texts)]
+    group = list(range(len(sets)))
+
+    def top(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                group[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in link_components(docs).collect()}
+    assert got == {i: top(i) for i in range(len(sets))} and len({top(i) for i in range(len(sets))}) < len(sets)
+
+
+@pytest.mark.parametrize("name", ["op8_benchmark_decontamination", "op10_ngram_jaccard_join"])
+def test_registered_sql(spark, name):
+    import os
+
+    import duckdb
+
+    from plateaux.llm.queries import ORACLE_SQL, QUERIES
+
+    root = "/root/testdata/sf0.001"
+    if not os.path.isdir(root):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{root}/{t}.parquet')")
+    df = QUERIES[name](spark, root)
+    found = con.execute(ORACLE_SQL[name])
+    assert sorted(df.columns) == sorted(d[0] for d in found.description)
+    want = sorted(tuple(r) for r in found.fetchall())
+    assert sorted(tuple(r) for r in df.select([d[0] for d in found.description]).collect()) == want
