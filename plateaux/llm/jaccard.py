@@ -8,7 +8,8 @@ one segment must match, and its signature meets in one bucket. A cost model pick
 get 1 or 2, with slack for empty segments; a set whose own allocations still fall short also goes to a second and third
 universe and at last to a bucket of the band, so no pair is lost.
 
-Buckets are not expanded into pairs. Every member is compared with its bucket's smallest member, the hub, on the whole
+Buckets are not expanded into pairs. Every member is compared with its bucket's hub, the member that
+meets most others, on the whole
 sets; members similar to the hub are one group. What may be left are pairs of which at least one is not similar to their
 hub h. Write D(x) for the symmetric difference of x and h: x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y) share|
 elements, so such a similar pair must share many elements of D. Those pairs are found with an index of prefixes of D
@@ -239,18 +240,20 @@ def against_hubs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFram
     return rows.withColumn("delta", delta).select("a", "b", "na", "d", "similar", cut(near).alias("near"), cut(far).alias("far"))
 
 
-def around_hubs(compared: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of members of one hub, at least one of them unlike the hub, whose prefixes and places allow similarity."""
+def around_hubs(compared: DataFrame, groups: DataFrame, similarity: int) -> DataFrame:
+    """Pairs of members of one hub, at least one of them unlike the hub and not yet in one group, whose prefixes and places
+    allow similarity."""
     open_ = compared.groupBy("b").agg(F.count("*").alias("c"), F.max((~F.col("similar")).cast("int")).alias("unlike")).where("c > 1 and unlike = 1").select("b")
-    rows = compared.join(stored(open_, "hubs"), "b", "left_semi")
-    spread = lambda array, role: rows.where(F.size(array) > 0).select("b", "a", "na", "d", "similar", F.lit(role).alias("role"), F.posexplode(array).alias("at", "e"))
+    rows = compared.join(stored(open_, "hubs"), "b", "left_semi").join(groups, F.col("a") == F.col("id"), "left").withColumn("group", F.coalesce("component", "a"))
+    spread = lambda array, role: rows.where(F.size(array) > 0).select("b", "a", "na", "d", "similar", "group", F.lit(role).alias("role"), F.posexplode(array).alias("at", "e"))
     near, far = spread("near", 0), spread("far", 1)
     # unlike ones meet unlike ones by their near prefixes (0), and like ones by far against near (1)
     probe = near.where(~F.col("similar")).unionByName(far)
     index = near.where(~F.col("similar")).unionByName(near.where("similar").withColumn("role", F.lit(1)))
-    other = index.select(*[F.col(c).alias(f"_{c}") for c in ("b", "role", "e", "a", "na", "d", "at")])
+    other = index.select(*[F.col(c).alias(f"_{c}") for c in ("b", "role", "e", "a", "na", "d", "at", "group")])
     fewest = F.col("d") + F.col("_d") - 2 * (1 + F.least(F.col("d") - 1 - F.col("at"), F.col("_d") - 1 - F.col("_at")))
     fits = (100 * F.least("na", "_na") >= similarity * F.greatest("na", "_na")) & (fewest <= _most(F.col("na"), F.col("_na"), similarity))
+    fits = fits & (F.col("group") != F.col("_group"))
     both = (F.col("a") < F.col("_a")) | (F.col("role") == 1) & (F.col("a") != F.col("_a"))
     same = (F.col("b") == F.col("_b")) & (F.col("role") == F.col("_role")) & (F.col("e") == F.col("_e"))
     found = probe.join(other, same & fits & both)
@@ -299,13 +302,16 @@ def link_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     dropped(shared)
     wanted = stored(active.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
     sets = stored(_sets(semi(docs, wanted, "doc_id"), words), "elements")
-    hubs = active.withColumn("hub", F.min("rep").over(bucket)).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    # a bucket's hub is its member that meets most others in all its buckets, as the middle of a group of near copies does
+    meetings = active.withColumn("c", F.count("*").over(bucket)).groupBy("rep").agg(F.sum("c").alias("meetings"))
+    first = F.max(F.struct("meetings", (-F.col("rep")).alias("other"))).over(bucket)
+    hubs = active.join(stored(meetings, "meetings"), "rep").withColumn("hub", -first["other"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
     compared = stored(against_hubs(stored(hubs, "pairs"), sets, similarity), "compared")
     dropped(active)
     links = compared.where("similar").select("a", "b")
-    more = stored(around_hubs(compared, similarity), "candidates")
-    if more.limit(1).count():
-        links = links.union(stored(_with_sets(more, sets).where(_similar(similarity)).select("a", "b"), "links"))
     groups = _closed(links)
+    more = stored(around_hubs(compared, groups, similarity), "candidates")
+    if more.limit(1).count():
+        groups = _closed(links.union(stored(_with_sets(more, sets).where(_similar(similarity)).select("a", "b"), "links")))
     found = members.join(groups, members["rep"] == groups["id"], "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
