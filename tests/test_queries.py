@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from conftest import SMALL
 
-from plateaux.plans import classification_queries, preprocess_queries, registry, retrieval_queries  # noqa: F401
+from plateaux.plans import classification_queries, pipeline_queries, preprocess_queries, registry, retrieval_queries  # noqa: F401
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
