@@ -8,14 +8,14 @@ one segment must match, and its signature meets in one bucket. A cost model pick
 get 1 or 2, with slack for empty segments; a set whose own allocations still fall short also goes to a second and third
 universe and at last to a bucket of the band, so no pair is lost.
 
-Buckets are not expanded into pairs. Every member is compared with its bucket's hub, the member that
-meets most others, on the whole
-sets; members similar to the hub are one group. What may be left are pairs of which at least one is not similar to their
-hub h. Write D(x) for the symmetric difference of x and h: x and y differ in |D(x)| + |D(y)| - 2 |D(x) and D(y) share|
-elements, so such a similar pair must share many elements of D. Those pairs are found with an index of prefixes of D
-under each hub (elements foreign to the hub first, as they are rare; a match at places i and j bounds what can still be
-shared), and verified on the whole sets. So near copies that differ from each other too much never become pairs, however
-many there are. Linked groups come from min-label propagation with shortcuts over stored edge tables.
+Buckets are not expanded into pairs. Every member is compared with its bucket's hub, the member that meets most others,
+on the whole sets; members similar to the hub are one group. What may be left are pairs of which at least one is not
+similar to their hub h. Write D(x) for the symmetric difference of x and h: x and y differ in |D(x)| + |D(y)| - 2 |D(x)
+and D(y) share| elements, so such a similar pair must share many elements of D. Those pairs are found with an index of
+prefixes of D under each hub (elements foreign to the hub first, as they are rare; a match at places i and j bounds what
+can still be shared), unless both are in one linked group already, and verified on the whole sets. So near copies that
+differ from each other too much never become pairs, however many there are. Linked groups come from min-label propagation
+with shortcuts over stored edge tables.
 
 Nulls: a null text or one without words has an empty set, links with nothing and is its own component. Fewer words than a
 shingle make one element. Rows that share a doc_id are one node; a null doc_id gets its set size and a null component. An
