@@ -1,17 +1,23 @@
-"""Line dedup by winnowing: deletes later repeats of runs of lines.
+"""Line dedup by winnowing: deletes later repeats of passages, whether they are cut at lines or within them.
 
-A *line* ends at a line feed, after a word that ends a sentence, or before a capitalised word that follows one without a
-capital (so a passage pasted into running text starts a line of its own); it is compared by its words, A-Z as a-z. From
-every line the shortest run of lines with ``min_words`` words forward, and from every line backward, is a window. The
-smallest line hash of each window is a fingerprint, so whatever run of lines repeats with at least that many words, its
-copies share a fingerprint. Fingerprints that occur once are dropped; around the others the matches are extended both
-ways: the windows on either side that chose the fingerprint are compared whole, by a hash over all their words, and the
-ends of a repeated run are reached by the windows that end there. A line goes if it lies in a window of which an equal
-one starts earlier, by (doc_id, place); first occurrences stay. Only window hashes and places are shuffled, never pairs.
+``dedup_passages`` and ``deduped_documents`` (op9 and the pipeline) compare words, A-Z as a-z: a word goes if it lies in a run of
+``min_words`` words of which an equal run starts earlier, by (doc_id, place); so a repeat of that many words or more goes
+from its first word to its last, whatever stands around it. First occurrences stay. Runs are found by winnowing: the
+smallest hash of ``GRAM`` words within a run is its fingerprint, equal runs have equal ones, and only runs whose
+fingerprint occurs at two places or more are compared, each by a hash over all its words. Which fingerprints those are is
+sent to the tasks as bits (16 MB at most; too few bits only let more runs through to the comparison). A later document
+with the same text as an earlier one goes whole and takes no part in this.
+
+``dedup_lines`` deletes whole lines only. A *line* ends at a line feed, after a word that ends a sentence, or before a
+capitalised word that follows one without a capital; from every line the shortest run of lines with ``min_words`` words
+forward, and from every line backward, is a window. A line goes if it lies in a window of which an equal one starts earlier.
+
+Only hashes and places are shuffled, never pairs.
 
 Nulls: a null text is empty and stays null; rows with a null doc_id take no part and stay as they are. Rows equal in
-doc_id and text count as one document. Empty texts, and texts under ``min_words`` words, stay. An empty table gives none.
-All columns are kept; ``n_chars``, where there is one, is counted anew. Work columns have names no input column has.
+doc_id and text count as one document; those equal in doc_id only are ordered by a hash of their text. Empty texts, and
+texts under ``min_words`` words, stay. An empty table gives none. All columns are kept; ``n_chars``, where there is one, is
+counted anew. Work columns have names no input column has.
 """
 
 from __future__ import annotations
@@ -20,9 +26,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, WordHasher, _odd, fits_broadcast, mix, small_batches, stored, utf8
+from .common import SPACED, WordHasher, _odd, dropped, fits_broadcast, mix, small_batches, stored, utf8
 
 MIN_WORDS = 30
+GRAM = 10
+MOST_BITS = 27  # of the numbers of the filter's bits
 _C = _odd(57, 3)
 
 
@@ -152,23 +160,197 @@ def _kept(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
 
 
-def _marked(docs: DataFrame, min_words: int) -> DataFrame:
-    """The documents with the column ``__spans`` of what goes, or null."""
-    found = repeats(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), F.col("spans").alias("__spans"))
+def _runs(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of every run of n words, by doubling."""
+    out, have, power, size = None, 0, words, 1
+    while True:
+        if n & size:
+            k = max(0, len(words) - have - size + 1)
+            out = power if out is None else out[:k] * np.uint64(pow(int(_C[0]), size, 1 << 64)) + power[have:have + k]
+            have += size
+        if have == n:
+            return mix(out)
+        power = power[:max(0, len(power) - size)] * np.uint64(pow(int(_C[0]), size, 1 << 64)) + power[size:]
+        size *= 2
+
+
+def _slide(x: np.ndarray, n: int, least) -> np.ndarray:
+    """The least (or greatest) of every n values in a row."""
+    size = 1
+    while 2 * size <= n:
+        x = least(x[:max(0, len(x) - size)], x[size:])
+        size *= 2
+    return least(x[:max(0, len(x) - n + size)], x[n - size:]) if n > size else x
+
+
+class Runs:
+    """The runs of ``min_words`` words of a batch of documents, without a loop over documents."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, hasher: WordHasher, min_words: int):
+        starts, ends = hasher.spans(data, offsets)
+        self.data, self.offsets, self.starts, self.n = data, offsets, starts, min_words
+        self.words = hasher.hashes(data, starts, ends)
+        self.cut = np.searchsorted(starts, offsets)
+        stop = np.repeat(self.cut[1:], np.diff(self.cut))
+        gram = min(GRAM, min_words)
+        self.grams = _runs(self.words, gram)
+        self.low = _slide(self.grams, min_words - gram + 1, np.minimum)  # of every run
+        self.whole = np.arange(len(self.low)) + min_words <= stop[:len(self.low)]  # within one document
+
+    def points(self) -> np.ndarray:
+        """How many code points start before each byte."""
+        return np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
+
+    def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The documents that have a run, the start of their first word and their end (code points)."""
+        doc = np.flatnonzero(np.diff(self.cut) >= self.n)
+        points = self.points()
+        base = points[self.offsets[doc]]
+        return doc, points[self.starts[self.cut[doc]]] - base, points[self.offsets[doc + 1]] - base
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """The fingerprints of all runs, once for each place that has one, and those places."""
+        span = len(self.grams) - len(self.low)
+        own = np.where(self.whole, self.low, np.uint64(0))
+        pad = np.zeros(span, np.uint64)
+        at = np.flatnonzero((_slide(np.concatenate([pad, own, pad]), span + 1, np.maximum) == self.grams) & (self.grams > 0)) if len(own) else np.zeros(0, np.int64)
+        return mix(self.grams[at] ^ _C[1]), at
+
+    def chosen(self, bits: np.ndarray, shift: int) -> tuple[np.ndarray, ...]:
+        """Of the runs whose fingerprint is in the filter: key, document, start and end (code points), and whether the
+        document has the run before."""
+        own = np.flatnonzero(self.whole)
+        place = (mix(self.low[own] ^ _C[1]) >> np.uint64(shift)).astype(np.int64)
+        own = own[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
+        key = mix(_runs(self.words, self.n)[own] ^ _C[2])
+        doc = np.searchsorted(self.cut, own, "right") - 1
+        points = self.points()
+        after = np.minimum(np.append(self.starts, len(self.data))[own + self.n], self.offsets[doc + 1])
+        base = points[self.offsets[doc]]
+        order = np.lexsort((own, key, doc))
+        again = np.zeros(len(own), bool)
+        again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+        return key, doc, points[self.starts[own]] - base, points[after] - base, again
+
+
+def _tagged(docs: DataFrame) -> DataFrame:
+    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tag"), F.col("text").cast("string").alias("text"))
+
+
+def first_and_copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """doc_id, tag and text of rows that are the first with their text, and of those that are not."""
+    own = _tagged(docs)
+    copied = stored(own.groupBy("tag").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").drop("last"), "copied")
+    rows = own.join(F.broadcast(copied) if fits_broadcast(copied, 16) else copied, "tag", "left")
+    first = F.col("head").isNull() | (F.col("doc_id") == F.col("head"))
+    return rows.where(first).select("doc_id", "tag", "text"), rows.where(~first).select("doc_id", "tag", "text")
+
+
+def shared_bits(tagged: DataFrame, min_words: int) -> tuple[np.ndarray, int]:
+    """A bit for each fingerprint of two places or more, by its upper bits; and how far to shift for them."""
+    def run(batches):
+        import pyarrow as pa
+
+        hasher = WordHasher(SPACED)
+        for b in batches:
+            anchor, n = np.unique(Runs(*utf8(b.column(0)), hasher, min_words).anchors()[0], return_counts=True)
+            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+
+    counted = tagged.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    shared = stored(counted.where("n > 1").select("anchor"), "anchors")
+    size = min(MOST_BITS, max(15, (16 * shared.count()).bit_length()))
+    place = F.shiftrightunsigned("anchor", 64 - size)
+    rows = shared.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+    bits = np.zeros((1 << size - 15, 4096), np.uint8)
+    for r in rows.collect():  # 16 MB at most
+        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    dropped(shared)
+    return bits.reshape(-1), 64 - size
+
+
+def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, tag (a hash of the text) and the spans (start, end; code points) of runs that repeat earlier ones."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    heads, copies = first_and_copies(docs)
+    bits, shift = shared_bits(heads, min_words)
+    known = spark.sparkContext.broadcast(bits)
+
+    def run(batches):
+        import pyarrow as pa
+
+        hasher = WordHasher(SPACED)
+        for b in batches:
+            key, doc, start, end, again = Runs(*utf8(b.column(2)), hasher, min_words).chosen(known.value, shift)
+            row = pa.array(doc)
+            yield pa.record_batch([pa.array(key.view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(again)], names=["key", "doc_id", "tag", "start", "end", "again"])
+
+    def whole(batches):
+        import pyarrow as pa
+
+        hasher = WordHasher(SPACED)
+        for b in batches:
+            doc, start, end = Runs(*utf8(b.column(2)), hasher, min_words).documents()
+            row = pa.array(doc)
+            yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "tag", "start", "end"])
+
+    places = stored(heads.mapInArrow(run, "key long, doc_id long, tag long, start int, end int, again boolean"), "runs")
+    first = stored(places.where("not again").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
+    names = ["doc_id", "tag", "start", "end"]
+    later = places.where("not again").join(first, "key").where("doc_id > first").select(names).union(places.where("again").select(names))
+    later = later.union(copies.mapInArrow(whole, "doc_id long, tag long, start int, end int"))
+    twins = stored(_tagged(docs).select("doc_id", "tag").groupBy("doc_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a < b").select("doc_id"), "twins")
+    if twins.limit(1).count():  # other texts under the same id
+        own = stored(places.where("not again").join(twins, "doc_id", "left_semi"), "twin_runs")
+        least = own.groupBy("key", "doc_id").agg(F.min("tag").alias("least"))
+        later = later.union(own.join(least, ["key", "doc_id"]).where("tag > least").select(names))
+
+    def merge(batches):
+        import pyarrow as pa
+
+        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        for b in batches:
+            out = []
+            for spans in b.column(2):
+                flat = spans.values
+                s, e = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                order = np.argsort(s, kind="stable")
+                s, e = s[order], np.maximum.accumulate(e[order])
+                new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
+                out.append([{"start": x, "end": y} for x, y in zip(s[new].tolist(), e[np.append(new[1:] - 1, len(e) - 1)].tolist(), strict=True)])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.list_(span))], names=["doc_id", "tag", "spans"])
+
+    found = later.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return found.mapInArrow(merge, "doc_id long, tag long, spans array<struct<start:long,end:long>>")
+
+
+def _marked(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents with the column ``__spans`` of what goes, or null; found has doc_id, a hash of the text, and spans."""
+    found = found.toDF("__doc", "__key", "__spans")
     keyed = docs.withColumn("__own", F.xxhash64("text"))
     return keyed.join(found, (keyed["doc_id"] == found["__doc"]) & (keyed["__own"] == found["__key"]), "left").drop("__own", "__doc", "__key")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with the columns they had, later repeats deleted from their texts."""
+def _without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("__spans")))
-    out = _marked(docs, min_words).withColumn("text", text).drop("__spans")
+    out = _marked(docs, found).withColumn("text", text).drop("__spans")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
     return out.select(docs.columns)
 
 
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents with the columns they had, later repeats of whole lines deleted from their texts."""
+    return _without_spans(docs, repeats(docs, min_words))
+
+
+def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The documents with the columns they had, later repeats of passages deleted from their texts word by word."""
+    return _without_spans(docs, repeated_runs(docs, min_words))
+
+
 def deduped_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, what is left of its text, and how many code points stay and go."""
-    kept = _marked(docs.select("doc_id", "text"), min_words).select("doc_id", "text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("__spans"))).alias("kept"))
+    own = docs.select("doc_id", "text")
+    kept = _marked(own, repeated_runs(own, min_words)).select("doc_id", "text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("__spans"))).alias("kept"))
     return kept.select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_kept"), (F.length("text") - F.length("kept")).cast("long").alias("n_removed"))

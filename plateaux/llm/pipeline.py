@@ -23,10 +23,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of runs of lines go; every document stays, if need be with an empty text."""
-    from .line_dedup import dedup_lines
+    """Later repeats of passages go; every document stays, if need be with an empty text."""
+    from .line_dedup import dedup_passages
 
-    return dedup_lines(docs)
+    return dedup_passages(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
