@@ -27,17 +27,18 @@ class Encoder:
 
     The tokenizers library reads the file and rules on its ids. Texts of Latin-1 characters are merged by tiktoken with
     the ranks taken from that same file, which needs a quarter of the time; loading compares both on a probe, and
-    without agreement, or for any other text, the tokenizers library itself encodes.
+    without agreement, or for any other text and any that holds the content of an added token (<|endoftext|>, which has
+    an id of its own), the tokenizers library itself encodes.
     """
 
-    PROBE = "Twelve words, isn't it?\n\nÄußerst ça l'été niño 2024-01-31 key_ID='a+b/c='  end <|endoftext|> "
+    PROBE = "Twelve words, isn't it?\n\nÄußerst ça l'été niño 2024-01-31 key_ID='a+b/c='  end "
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         self.code = "H" if self.width == 2 else "I"
@@ -50,7 +51,7 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         letter = {**{chr(b): b for b in shown}, **{chr(256 + k): b for k, b in enumerate(hidden)}}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        special = set(self.added)
         try:
             ranks = {bytes(map(letter.__getitem__, t)): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
             merge = tiktoken.Encoding("file", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -59,7 +60,7 @@ class Encoder:
             return None
 
     def encode(self, text: str) -> bytes:
-        if self.merge:
+        if self.merge and not any(t in text for t in self.added):
             try:
                 text.encode("latin-1")
                 return array(self.code, self.merge(text)).tobytes()
