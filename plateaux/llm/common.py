@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -19,9 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a local one only where none is set."""
+    """The folder that the driver and all executors share. A local one serves only where all tasks run in the driver's
+    process (master local); on a cluster without the setting this is an error, as tasks would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = getattr(spark.sparkContext, "_plateaux_dir", None)
         if not found:
             local = tempfile.mkdtemp(prefix="plateaux-")
@@ -60,6 +64,18 @@ def texts(docs: DataFrame, *keys: str) -> DataFrame:
     return docs.select(*keys, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of the table has, in any case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem = "_" + stem
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
 def shuffle_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,23 +1,25 @@
-"""Line dedup by winnowing: deletes later repeats of passages, whether they are cut at lines or within them.
-
-``dedup_passages`` and ``deduped_documents`` (op9 and the pipeline) compare words, A-Z as a-z: a word goes if it lies in a run of
-``min_words`` words of which an equal run starts earlier, by (doc_id, place); so a repeat of that many words or more goes
-from its first word to its last, whatever stands around it. First occurrences stay. Runs are found by winnowing: the
-smallest hash of ``GRAM`` words within a run is its fingerprint, equal runs have equal ones, and only runs whose
-fingerprint occurs at two places or more are compared, each by a hash over all its words. Which fingerprints those are is
-sent to the tasks as bits (16 MB at most; too few bits only let more runs through to the comparison). A later document
-with the same text as an earlier one goes whole and takes no part in this.
-
-``dedup_lines`` deletes whole lines only. A *line* ends at a line feed, after a word that ends a sentence, or before a
-capitalised word that follows one without a capital; from every line the shortest run of lines with ``min_words`` words
-forward, and from every line backward, is a window. A line goes if it lies in a window of which an equal one starts earlier.
-
-Only hashes and places are shuffled, never pairs.
-
-Nulls: a null text is empty and stays null; rows with a null doc_id take no part and stay as they are. Rows equal in
-doc_id and text count as one document; those equal in doc_id only are ordered by a hash of their text. Empty texts, and
-texts under ``min_words`` words, stay. An empty table gives none. All columns are kept; ``n_chars``, where there is one, is
-counted anew. Work columns have names no input column has.
+"""Line dedup by winnowing: later repeats of passages are deleted word by word, wherever they are cut or pasted.
+
+A *line* is ``LINE`` words, one from every word of a text on, as texts here come with line feeds anywhere or nowhere; A-Z
+count as a-z. Every run of ``min_words`` words has one fingerprint, the least line hash in it, so equal runs share a
+fingerprint at the same place in the run. The steps:
+
+1. Fingerprints are counted. Those of two places or more are sent to the tasks as bits (16 MB at most; with too few bits
+   only more places go on to the next step), and their places are written with the words on both sides.
+2. Places are joined with the first place of their fingerprint, by (doc_id, place), and the match is extended word by word
+   both ways. As the fingerprints of a longer match lie close enough, its first and last words are reached.
+3. Runs at a place that the extension did not cover differ from those at the first place. They may still repeat one at
+   another, so they are compared with each other by a hash of all their words. A run equal to an earlier one that differs
+   from the first place's has the same gap there, so nothing is lost, and no two later places are ever paired.
+4. A word goes if it lies in a match of ``min_words`` words or more; the first occurrence stays.
+
+A later document with the same text as an earlier one goes whole and takes no part in this.
+
+Nulls: a null text stays null; rows with a null doc_id take no part and stay as they are. Rows equal in doc_id and text
+count as one document; those equal in doc_id only are ordered by a hash of their text. Empty texts, and texts under
+``min_words`` words, stay. Very long texts take part whole: a few arrays of their length in one task. An empty table gives
+none. All columns are kept, whatever their names; ``n_chars``, where there is one, is counted anew. Lines are compared by
+64-bit hashes, the words beside them by 32-bit ones, so once in four thousand million mismatches one word too many goes.
 """
 
 from __future__ import annotations
@@ -26,142 +28,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, WordHasher, _odd, dropped, fits_broadcast, mix, small_batches, stored, utf8
+from .common import SPACED, WordHasher, _odd, dropped, fits_broadcast, free_names, mix, small_batches, stored, utf8
 
 MIN_WORDS = 30
-GRAM = 10
+LINE = 10
 MOST_BITS = 27  # of the numbers of the filter's bits
-_C = _odd(57, 3)
-
-
-class Lines:
-    """The lines of a batch of documents and the windows over them, without a loop over documents."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, hasher: WordHasher, min_words: int):
-        starts, ends = hasher.spans(data, offsets)
-        words = hasher.hashes(data, starts, ends)
-        n = len(words)
-        first_word = np.searchsorted(starts, offsets)
-        self.n = 0
-        if not n:
-            self.start = self.end = self.doc = np.zeros(0, np.int64)
-            self.low = self.high = np.zeros(0, np.int64)
-            self.hash = self.key = np.zeros(0, np.uint64)
-            self.anchors = np.zeros(0, np.int64)
-            self.anchor = np.zeros(0, np.uint64)
-            return
-        feeds = np.concatenate([[0], np.cumsum(data == 10)])
-        head, second = data[starts], data[np.minimum(starts + 1, len(data) - 1)]
-        capital = (head >= 65) & (head <= 90) | (head == 0xC3) & (second >= 0x80) & (second <= 0x9E) & (second != 0x97)
-        cut = np.ones(n, bool)
-        cut[1:] = (feeds[starts[1:]] > feeds[ends[:-1]]) | np.isin(data[ends[:-1] - 1], np.frombuffer(b".!?", np.uint8)) | capital[1:] & ~capital[:-1]
-        cut[first_word[first_word < n]] = True
-        begin = np.flatnonzero(cut)
-        self.n = len(begin)
-        stop = np.concatenate([begin[1:], [n]])
-        place = np.arange(n) - np.repeat(begin, stop - begin)
-        self.hash = np.add.reduceat(mix(words + (place.astype(np.uint64) + np.uint64(1)) * _C[0]), begin)
-        self.doc = np.searchsorted(first_word, begin, "right") - 1
-        # code points before a byte, counted from the start of its document; a line reaches to the next one's start
-        points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-        base = points[offsets[self.doc]]
-        self.start = points[starts[begin]] - base
-        final = np.concatenate([self.doc[1:] != self.doc[:-1], [True]])
-        after = np.where(final, offsets[self.doc + 1], starts[np.concatenate([begin[1:], [0]])])
-        self.end = points[after] - base
-        # windows: the shortest run of min_words words from each line on, and up to each line
-        total = np.concatenate([[0], np.cumsum(stop - begin)])
-        low_of = np.searchsorted(self.doc, self.doc, "left")
-        high_of = np.searchsorted(self.doc, self.doc, "right") - 1
-        line = np.arange(self.n)
-        forward = np.searchsorted(total, total[:-1] + min_words, "left") - 1
-        backward = np.searchsorted(total, total[1:] - min_words, "right") - 1
-        f, b = forward <= high_of, backward >= low_of
-        both = np.unique(np.concatenate([line[f] * self.n + forward[f], backward[b] * self.n + line[b]]))
-        self.low, self.high = both // self.n, both % self.n
-        size = self.high - self.low + 1
-        seen = mix(self.hash ^ _C[1])
-        self.key = np.zeros(len(both), np.uint64)
-        best, at = np.full(len(both), np.iinfo(np.uint64).max, np.uint64), self.low.copy()
-        for k in range(int(size.max(initial=0))):
-            own = np.flatnonzero(size > k)
-            i = self.low[own] + k
-            self.key[own] += mix(self.hash[i] + np.array([k + 1], np.uint64) * _C[2])
-            less = seen[i] < best[own]
-            best[own[less]], at[own[less]] = seen[i[less]], i[less]
-        self.anchor = best
-        self.anchors = np.unique(at)
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), F.col("text").cast("string").alias("text"))
-
-
-def fingerprints(docs: DataFrame, min_words: int) -> DataFrame:
-    """One row for each line that a window chose: its hash and its document."""
-    def run(batches):
-        import pyarrow as pa
-
-        hasher = WordHasher(SPACED)
-        for b in batches:
-            lines = Lines(*utf8(b.column(2)), hasher, min_words)
-            doc = b.column(0).to_numpy()[lines.doc[lines.anchors]]
-            yield pa.record_batch([pa.array(mix(lines.hash[lines.anchors] ^ _C[1]).view(np.int64)), pa.array(doc)], names=["anchor", "doc_id"])
-
-    return _keyed(docs).mapInArrow(run, "anchor long, doc_id long")
-
-
-def windows(docs: DataFrame, min_words: int, wanted=None) -> DataFrame:
-    """Every window: its fingerprint, the hash of its content, and its place in code points."""
-    def run(batches):
-        import pyarrow as pa
-
-        hasher = WordHasher(SPACED)
-        for b in batches:
-            lines = Lines(*utf8(b.column(2)), hasher, min_words)
-            anchor = lines.anchor.view(np.int64)
-            if wanted is not None:
-                known = wanted.value
-                at = np.minimum(np.searchsorted(known, anchor), max(0, len(known) - 1))
-                own = np.flatnonzero(known[at] == anchor) if len(known) else np.zeros(0, np.int64)
-            else:
-                own = np.arange(len(anchor))
-            doc = lines.doc[lines.low[own]]
-            yield pa.record_batch([pa.array(anchor[own]), pa.array(lines.key[own].view(np.int64)), b.column(0).take(pa.array(doc)), b.column(1).take(pa.array(doc)), pa.array(lines.start[lines.low[own]]), pa.array(lines.end[lines.high[own]])], names=["anchor", "key", "doc_id", "text_key", "start", "end"])
-
-    return _keyed(docs).mapInArrow(run, "anchor long, key long, doc_id long, text_key long, start long, end long")
-
-
-def repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id, text_key and the spans (start, end; code points) of windows that repeat earlier ones."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    counted = fingerprints(docs, min_words).groupBy("anchor").agg(F.count("*").alias("c"))
-    shared = stored(counted.where("c > 1").select("anchor"), "anchors")
-    if fits_broadcast(shared, 8):  # at most 16 MB; beyond that the windows meet the fingerprints in a join
-        known = np.sort(np.array([r[0] for r in shared.collect()], np.int64))
-        places = windows(docs, min_words, spark.sparkContext.broadcast(known))
-    else:
-        places = windows(docs, min_words).join(shared, "anchor", "left_semi")
-    places = stored(places.drop("anchor"), "windows")
-    first = stored(places.groupBy("key").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("c")).where("c > 1").drop("c"), "firsts")
-    later = places.join(first, "key").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("start") != F.col("first.start")))
-    return later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("spans"))
-
-
-def _kept(text: Column, spans: Column) -> Column:
-    """The text without the spans, which are sorted and may overlap."""
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        between = F.when(s["start"] > acc["at"], F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")))).otherwise(acc["out"])
-        return F.struct(between.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))))
+_C = _odd(57, 4)
 
 
 def _runs(words: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every run of n words, by doubling."""
+    """A hash of every n words in a row, by doubling."""
     out, have, power, size = None, 0, words, 1
     while True:
         if n & size:
@@ -183,54 +59,48 @@ def _slide(x: np.ndarray, n: int, least) -> np.ndarray:
     return least(x[:max(0, len(x) - n + size)], x[n - size:]) if n > size else x
 
 
-class Runs:
-    """The runs of ``min_words`` words of a batch of documents, without a loop over documents."""
+class Lines:
+    """The lines of a batch of documents and the places of their fingerprints, without a loop over documents."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, hasher: WordHasher, min_words: int):
         starts, ends = hasher.spans(data, offsets)
-        self.data, self.offsets, self.starts, self.n = data, offsets, starts, min_words
+        self.n, self.line = min_words, min(LINE, min_words)
+        self.side = min_words - self.line  # words on either side of a line that a run can hold
         self.words = hasher.hashes(data, starts, ends)
         self.cut = np.searchsorted(starts, offsets)
-        stop = np.repeat(self.cut[1:], np.diff(self.cut))
-        gram = min(GRAM, min_words)
-        self.grams = _runs(self.words, gram)
-        self.low = _slide(self.grams, min_words - gram + 1, np.minimum)  # of every run
-        self.whole = np.arange(len(self.low)) + min_words <= stop[:len(self.low)]  # within one document
-
-    def points(self) -> np.ndarray:
-        """How many code points start before each byte."""
-        return np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80)])
-
-    def documents(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The documents that have a run, the start of their first word and their end (code points)."""
-        doc = np.flatnonzero(np.diff(self.cut) >= self.n)
-        points = self.points()
-        base = points[self.offsets[doc]]
-        return doc, points[self.starts[self.cut[doc]]] - base, points[self.offsets[doc + 1]] - base
-
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """The fingerprints of all runs, once for each place that has one, and those places."""
-        span = len(self.grams) - len(self.low)
-        own = np.where(self.whole, self.low, np.uint64(0))
-        pad = np.zeros(span, np.uint64)
-        at = np.flatnonzero((_slide(np.concatenate([pad, own, pad]), span + 1, np.maximum) == self.grams) & (self.grams > 0)) if len(own) else np.zeros(0, np.int64)
-        return mix(self.grams[at] ^ _C[1]), at
-
-    def chosen(self, bits: np.ndarray, shift: int) -> tuple[np.ndarray, ...]:
-        """Of the runs whose fingerprint is in the filter: key, document, start and end (code points), and whether the
-        document has the run before."""
-        own = np.flatnonzero(self.whole)
-        place = (mix(self.low[own] ^ _C[1]) >> np.uint64(shift)).astype(np.int64)
-        own = own[(bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0]
-        key = mix(_runs(self.words, self.n)[own] ^ _C[2])
-        doc = np.searchsorted(self.cut, own, "right") - 1
-        points = self.points()
-        after = np.minimum(np.append(self.starts, len(self.data))[own + self.n], self.offsets[doc + 1])
-        base = points[self.offsets[doc]]
-        order = np.lexsort((own, key, doc))
-        again = np.zeros(len(own), bool)
-        again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
-        return key, doc, points[self.starts[own]] - base, points[after] - base, again
+        self.stop = np.repeat(self.cut[1:], np.diff(self.cut))
+        self.hash = _runs(self.words, self.line)
+        low = _slide(self.hash, self.side + 1, np.minimum)  # of every run
+        whole = np.arange(len(low)) + min_words <= self.stop[:len(low)]  # within one document
+        own, pad = np.where(whole, low, np.uint64(0)), np.zeros(self.side, np.uint64)
+        self.at = np.flatnonzero((_slide(np.concatenate([pad, own, pad]), self.side + 1, np.maximum) == self.hash) & (self.hash > 0)) if len(own) else np.zeros(0, np.int64)
+
+    def fingerprints(self) -> np.ndarray:
+        return mix(self.hash[self.at] ^ _C[1])
+
+    def sides(self, at: np.ndarray) -> np.ndarray:
+        """The words before (nearest last) and after the lines at these places, 32 bits each, 0 beyond the document."""
+        doc = np.searchsorted(self.cut, at, "right") - 1
+        step = np.concatenate([np.arange(-self.side, 0), self.line + np.arange(self.side)])
+        place = at[:, None] + step
+        inside = (place >= self.cut[doc][:, None]) & (place < self.cut[doc + 1][:, None])
+        half = (self.words >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+        return np.where(inside, half[np.clip(place, 0, max(0, len(half) - 1))], np.uint32(0))
+
+    def reach(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """By how many words the runs that have this place as their first least line can start before it: at least, at most."""
+        doc = np.searchsorted(self.cut, at, "right") - 1
+        own = self.hash[at]
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), self.side)
+        for k in range(self.side, 0, -1):
+            before, after = at - k, at + k
+            lesser = (before >= self.cut[doc]) & (self.hash[np.maximum(before, 0)] <= own)
+            high = np.where(lesser, k - 1, high)
+            lesser = (after + self.line <= self.cut[doc + 1]) & (self.hash[np.minimum(after, len(self.hash) - 1)] < own)
+            low = np.where(lesser, self.side + 1 - k, low)
+        low = np.maximum(low, self.side - (self.cut[doc + 1] - at - self.line))
+        high = np.minimum(high, at - self.cut[doc])
+        return low, high
 
 
 def _tagged(docs: DataFrame) -> DataFrame:
@@ -253,104 +123,178 @@ def shared_bits(tagged: DataFrame, min_words: int) -> tuple[np.ndarray, int]:
 
         hasher = WordHasher(SPACED)
         for b in batches:
-            anchor, n = np.unique(Runs(*utf8(b.column(0)), hasher, min_words).anchors()[0], return_counts=True)
-            yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(n)], names=["anchor", "n"])
+            own, n = np.unique(Lines(*utf8(b.column(0)), hasher, min_words).fingerprints(), return_counts=True)
+            yield pa.record_batch([pa.array(own.view(np.int64)), pa.array(n)], names=["print", "n"])
 
-    counted = tagged.select("text").mapInArrow(run, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    shared = stored(counted.where("n > 1").select("anchor"), "anchors")
+    counted = tagged.select("text").mapInArrow(run, "print long, n long").groupBy("print").agg(F.sum("n").alias("n"))
+    shared = stored(counted.where("n > 1").select("print"), "fingerprints")
     size = min(MOST_BITS, max(15, (16 * shared.count()).bit_length()))
-    place = F.shiftrightunsigned("anchor", 64 - size)
+    place = F.shiftrightunsigned("print", 64 - size)
     rows = shared.groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
     bits = np.zeros((1 << size - 15, 4096), np.uint8)
-    for r in rows.collect():  # 16 MB at most
+    for r in rows.collect():  # a fixed size: 4096 rows of 4 kB at most
         bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
     dropped(shared)
     return bits.reshape(-1), 64 - size
 
 
-def repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, tag (a hash of the text) and the spans (start, end; code points) of runs that repeat earlier ones."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    heads, copies = first_and_copies(docs)
+def places(heads: DataFrame, min_words: int) -> DataFrame:
+    """Places of shared fingerprints, with the words on both sides and the reach of their runs."""
     bits, shift = shared_bits(heads, min_words)
-    known = spark.sparkContext.broadcast(bits)
+    known = heads.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches):
         import pyarrow as pa
 
         hasher = WordHasher(SPACED)
         for b in batches:
-            key, doc, start, end, again = Runs(*utf8(b.column(2)), hasher, min_words).chosen(known.value, shift)
-            row = pa.array(doc)
-            yield pa.record_batch([pa.array(key.view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(again)], names=["key", "doc_id", "tag", "start", "end", "again"])
+            lines = Lines(*utf8(b.column(2)), hasher, min_words)
+            key = lines.fingerprints()
+            bit = (key >> np.uint64(shift)).astype(np.int64)
+            own = np.flatnonzero((known.value[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1)
+            for k in range(0, max(1, len(own)), 8192):
+                part = own[k:k + 8192]
+                at = lines.at[part]
+                doc = np.searchsorted(lines.cut, at, "right") - 1
+                row = pa.array(doc)
+                low, high = lines.reach(at)
+                sides = lines.sides(at)
+                sides = pa.FixedSizeBinaryArray.from_buffers(pa.binary(max(1, 8 * lines.side)), len(at), [None, pa.py_buffer(np.ascontiguousarray(sides))]) if lines.side else pa.array([b""] * len(at))
+                columns = [pa.array(key[part].view(np.int64)), b.column(0).take(row), b.column(1).take(row), pa.array((at - lines.cut[doc]).astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), sides.cast(pa.binary())]
+                yield pa.record_batch(columns, names=["print", "doc_id", "tag", "place", "low", "high", "sides"])
+
+    return stored(heads.mapInArrow(run, "print long, doc_id long, tag long, place int, low int, high int, sides binary"), "places")
+
+
+def extended(joined: DataFrame, min_words: int) -> DataFrame:
+    """For each place joined with its first one: the match (start, end; words), and the keys of runs that it leaves open."""
+    line = min(LINE, min_words)
+    side = min_words - line
+
+    def run(batches):
+        import pyarrow as pa
+
+        ahead, behind = (np.array([pow(int(c), k + 1, 1 << 64) for k in range(side)], np.uint64) for c in _C[2:4])
+        names = ["doc_id", "tag", "start", "end", "key"]
+        for b in batches:
+            n = b.num_rows
+            both = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(n, 2 * side) for k in ("sides", "first_sides")]
+            equal = (both[0] == both[1]) & (both[0] > 0)
+            left = np.cumprod(equal[:, :side][:, ::-1], 1).sum(1).astype(np.int64)
+            right = np.cumprod(equal[:, side:], 1).sum(1).astype(np.int64)
+            place, low, high = (b.column(k).to_numpy().astype(np.int64) for k in ("place", "low", "high"))
+            full = np.flatnonzero(left + line + right >= min_words)
+            own = [pa.array(full)]
+            columns = [b.column("doc_id").take(own[0]), b.column("tag").take(own[0]), pa.array((place - left)[full].astype(np.int32)), pa.array((place + line + right)[full].astype(np.int32)), pa.nulls(len(full), pa.int64())]
+            yield pa.record_batch(columns, names=names)
+            # runs that start j words before the line, with the line as their first least one, and go beyond the match
+            words = both[0].astype(np.uint64)
+            before = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(mix(words[:, :side][:, ::-1] * _C[2]) * ahead, axis=1)], 1)
+            after = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(mix(words[:, side:] * _C[3]) * behind, axis=1)], 1)
+            print_ = b.column("print").to_numpy().view(np.uint64)
+            for j in range(side + 1):
+                at = np.flatnonzero((low <= j) & (j <= high) & ((left < j) | (right < side - j)))
+                if not len(at):
+                    continue
+                key = mix(print_[at] + before[at, j] + after[at, side - j] + np.array([j + 1], np.uint64) * _C[0])
+                row, start = pa.array(at), (place[at] - j).astype(np.int32)
+                yield pa.record_batch([b.column("doc_id").take(row), b.column("tag").take(row), pa.array(start), pa.array(start + np.int32(min_words)), pa.array(key.view(np.int64))], names=names)
+
+    return joined.mapInArrow(run, "doc_id long, tag long, start int, end int, key long")
+
+
+def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, tag (a hash of the text) and the spans (start, end; words) that repeat earlier ones, sorted and apart."""
+    small_batches(docs.sparkSession)
+    heads, copies = first_and_copies(docs)
+    found = places(heads, min_words)
+    where = F.struct("doc_id", "tag", "place")
+    first = found.groupBy("print").agg(F.min(F.struct("doc_id", "tag", "place", "sides")).alias("first"), F.max(where).alias("last"))
+    first = first.where(F.col("last") != F.struct("first.doc_id", "first.tag", "first.place")).select("print", F.struct("first.doc_id", "first.tag", "first.place").alias("first"), F.col("first.sides").alias("first_sides"))
+    later = found.join(first, "print").where(where != F.col("first")).drop("first")
+    matches = stored(extended(later, min_words), "matches")
+    open_ = matches.where("key is not null")
+    source = F.struct("doc_id", "tag", "start")
+    heads_of = open_.groupBy("key").agg(F.min(source).alias("first"), F.max(source).alias("last")).where("first < last").drop("last")
+    again = open_.join(heads_of, "key").where(source != F.col("first"))
 
     def whole(batches):
         import pyarrow as pa
 
         hasher = WordHasher(SPACED)
         for b in batches:
-            doc, start, end = Runs(*utf8(b.column(2)), hasher, min_words).documents()
-            row = pa.array(doc)
-            yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], names=["doc_id", "tag", "start", "end"])
+            data, offsets = utf8(b.column(2))
+            n = np.diff(np.searchsorted(hasher.spans(data, offsets)[0], offsets))
+            row = pa.array(np.flatnonzero(n >= min_words))
+            yield pa.record_batch([b.column(0).take(row), b.column(1).take(row), pa.array(np.zeros(len(row), np.int32)), pa.array(n[n >= min_words].astype(np.int32))], names=["doc_id", "tag", "start", "end"])
 
-    places = stored(heads.mapInArrow(run, "key long, doc_id long, tag long, start int, end int, again boolean"), "runs")
-    first = stored(places.where("not again").groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last"), "firsts")
     names = ["doc_id", "tag", "start", "end"]
-    later = places.where("not again").join(first, "key").where("doc_id > first").select(names).union(places.where("again").select(names))
-    later = later.union(copies.mapInArrow(whole, "doc_id long, tag long, start int, end int"))
-    twins = stored(_tagged(docs).select("doc_id", "tag").groupBy("doc_id").agg(F.min("tag").alias("a"), F.max("tag").alias("b")).where("a < b").select("doc_id"), "twins")
-    if twins.limit(1).count():  # other texts under the same id
-        own = stored(places.where("not again").join(twins, "doc_id", "left_semi"), "twin_runs")
-        least = own.groupBy("key", "doc_id").agg(F.min("tag").alias("least"))
-        later = later.union(own.join(least, ["key", "doc_id"]).where("tag > least").select(names))
+    spans = matches.where("key is null").select(names).union(again.select(names)).union(copies.mapInArrow(whole, "doc_id long, tag long, start int, end int"))
 
     def merge(batches):
         import pyarrow as pa
 
-        span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+        span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
         for b in batches:
-            out = []
-            for spans in b.column(2):
-                flat = spans.values
-                s, e = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            starts, ends, edge = [], [], [0]
+            for own in b.column(2):
+                s, e = (own.values.field(k).to_numpy() for k in (0, 1))
                 order = np.argsort(s, kind="stable")
                 s, e = s[order], np.maximum.accumulate(e[order])
                 new = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
-                out.append([{"start": x, "end": y} for x, y in zip(s[new].tolist(), e[np.append(new[1:] - 1, len(e) - 1)].tolist(), strict=True)])
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.list_(span))], names=["doc_id", "tag", "spans"])
+                starts.append(s[new])
+                ends.append(e[np.append(new[1:] - 1, len(e) - 1)])
+                edge.append(edge[-1] + len(new))
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate([*x, np.zeros(0, np.int32)]).astype(np.int32)) for x in (starts, ends)], fields=list(span))
+            yield pa.record_batch([b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), flat)], names=["doc_id", "tag", "spans"])
 
-    found = later.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    return found.mapInArrow(merge, "doc_id long, tag long, spans array<struct<start:long,end:long>>")
+    gathered = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))  # a document's own, each once
+    return gathered.mapInArrow(merge, "doc_id long, tag long, spans array<struct<start:int,end:int>>")
 
 
-def _marked(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with the column ``__spans`` of what goes, or null; found has doc_id, a hash of the text, and spans."""
-    found = found.toDF("__doc", "__key", "__spans")
-    keyed = docs.withColumn("__own", F.xxhash64("text"))
-    return keyed.join(found, (keyed["doc_id"] == found["__doc"]) & (keyed["__own"] == found["__key"]), "left").drop("__own", "__doc", "__key")
+def _without(text: str, spans: list, hasher: WordHasher) -> str:
+    """The text without these words and what stands between each of them and the next word."""
+    raw = text.encode()
+    starts = np.append(hasher.spans(np.frombuffer(raw, np.uint8))[0], len(raw))
+    out, at = [], 0
+    for s in spans:
+        out.append(raw[at:int(starts[s["start"]])])
+        at = int(starts[s["end"]])
+    return b"".join([*out, raw[at:]]).decode()
 
 
-def _without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("__spans")))
-    out = _marked(docs, found).withColumn("text", text).drop("__spans")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return out.select(docs.columns)
+def kept_text(text: Column, spans: Column) -> Column:
+    from pyspark.sql.functions import pandas_udf
 
+    @pandas_udf("string")
+    def kept(texts, spans):
+        import pandas as pd
+
+        hasher = WordHasher(SPACED)
+        return pd.Series([t if s is None else _without(t, s, hasher) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """The documents with the columns they had, later repeats of whole lines deleted from their texts."""
-    return _without_spans(docs, repeats(docs, min_words))
+    return F.when(spans.isNull(), text).otherwise(kept(text, spans))
+
+
+def _marked(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with a further column, of that name, of the spans that go, or null."""
+    own, doc, tag, spans = free_names(docs, "own", "doc", "tag", "spans")
+    found = found.toDF(doc, tag, spans)
+    rows = docs.withColumn(own, F.xxhash64("text")).join(found, (F.col("doc_id") == F.col(doc)) & (F.col(own) == F.col(tag)), "left")
+    return rows.drop(own, doc, tag), spans
 
 
 def dedup_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with the columns they had, later repeats of passages deleted from their texts word by word."""
-    return _without_spans(docs, repeated_runs(docs, min_words))
+    rows, spans = _marked(docs, repeated_runs(docs, min_words))
+    out = rows.withColumn("text", kept_text(F.col("text"), F.col(spans))).drop(spans)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars")))
+    return out.select(docs.columns)
 
 
 def deduped_documents(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, what is left of its text, and how many code points stay and go."""
-    own = docs.select("doc_id", "text")
-    kept = _marked(own, repeated_runs(own, min_words)).select("doc_id", "text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("__spans"))).alias("kept"))
+    rows, spans = _marked(docs.select("doc_id", "text"), repeated_runs(docs, min_words))
+    kept = rows.select("doc_id", "text", kept_text(F.col("text"), F.col(spans)).alias("kept"))
     return kept.select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_kept"), (F.length("text") - F.length("kept")).cast("long").alias("n_removed"))
