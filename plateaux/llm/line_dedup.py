@@ -211,12 +211,13 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     where = F.struct("doc_id", "tag", "place")
     first = found.groupBy("print").agg(F.min(F.struct("doc_id", "tag", "place", "sides")).alias("first"), F.max(where).alias("last"))
     first = first.where(F.col("last") != F.struct("first.doc_id", "first.tag", "first.place")).select("print", F.struct("first.doc_id", "first.tag", "first.place").alias("first"), F.col("first.sides").alias("first_sides"))
-    later = found.join(first, "print").where(where != F.col("first")).drop("first")
+    # stored, so that a join in which one fingerprint has many places can be split
+    later = found.join(stored(first, "firsts"), "print").where(where != F.col("first")).drop("first")
     matches = stored(extended(later, min_words), "matches")
     open_ = matches.where("key is not null")
     source = F.struct("doc_id", "tag", "start")
     heads_of = open_.groupBy("key").agg(F.min(source).alias("first"), F.max(source).alias("last")).where("first < last").drop("last")
-    again = open_.join(heads_of, "key").where(source != F.col("first"))
+    again = open_.join(stored(heads_of, "run_firsts"), "key").where(source != F.col("first"))
 
     def whole(batches):
         import pyarrow as pa
