@@ -32,12 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import SPACED, WordHasher, _odd, dropped, mix, semi, small_batches, stored, texts, utf8
+from .common import SPACED, WordHasher, _odd, dropped, fits_broadcast, mix, semi, small_batches, stored, texts, utf8
 
 WORDS = 4
 SIMILARITY = 85  # per cent
 LEVELS = 3
 SEEN = 50_000
+COMMON, BITS = 32, 24
 
 
 # ---------------------------------------------------------------- sets
@@ -129,15 +130,23 @@ class Schemes:
             self.known[k] = (most, *allocate(self.similarity * self.lows[k] / 100, most, self.population))
         return self.known[k]
 
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Bucket keys of a set of sorted hashes; equal segments of sets in one scheme have equal keys."""
+    def signatures(self, s: np.ndarray, common: np.ndarray | None = None) -> np.ndarray:
+        """Bucket keys of a set of sorted hashes; equal segments of sets in one scheme have equal keys.
+
+        Segments of ``common`` elements alone are left out where the others suffice: whether a segment is left out depends
+        on its elements only, so two sets agree on it.
+        """
         out = []
+        plain = np.zeros(len(s), bool)
         for k in self.bands(len(s)):
             most, one, two = self.scheme(k)
-            for level in range(LEVELS):
-                h = s if level == 0 else np.sort(mix(s ^ _EXTRA[level]))
-                keys, enough = self._segments(h, one, two, most)
-                out.append(mix(keys + np.array([(k * (LEVELS + 1) + level) * 2 + 1], np.uint64) * _EXTRA[LEVELS]))
+            for level in range(LEVELS + 1):
+                if level <= 1:
+                    h, held = s, plain if common is None or level else common
+                else:
+                    h, held = np.sort(mix(s ^ _EXTRA[level - 1])), plain
+                keys, enough = self._segments(h, held, one, two, most)
+                out.append(mix(keys + np.array([(k * (LEVELS + 1) + max(0, level - 1)) * 2 + 1], np.uint64) * _EXTRA[LEVELS]))
                 if enough:
                     break
             else:
@@ -145,29 +154,98 @@ class Schemes:
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
     @staticmethod
-    def _segments(h: np.ndarray, one: int, two: int, most: int) -> tuple[np.ndarray, bool]:
+    def _segments(h: np.ndarray, common: np.ndarray, one: int, two: int, most: int) -> tuple[np.ndarray, bool]:
         m = one + two
         segment = ((h >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)  # in order, as h is
         edge = np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
         value = mix(h ^ _EXTRA[LEVELS + 2])
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)])
+        seen = np.concatenate([[0], np.cumsum(~common)])
+        rare = seen[edge[1:]] - seen[edge[:-1]]
         count = np.diff(edge)
         sums = total[edge[1:]] - total[edge[:-1]]
         names = np.arange(m, dtype=np.uint64) * _EXTRA[LEVELS + 3]
-        full = count > 0
+        full = rare > 0
         keys = mix(sums[full] + names[full])
         if two:  # the first segments have allocation 2
-            own = np.flatnonzero((segment < two) & (count[segment.astype(np.int64)] > 1))
-            at = segment[own].astype(np.int64)
+            at = segment.astype(np.int64)
+            own = np.flatnonzero((at < two) & (count[at] > 1) & (rare[at] > ~common))
+            at = at[own]
             keys = np.concatenate([keys, mix(sums[at] - value[own] + names[at])])
-        worth = int(np.minimum(count[:two], 2).sum() + full[two:].sum())
+        worth = int(np.minimum(rare[:two], 2).sum() + full[two:].sum())
         return keys, worth > most
 
 
+# ---------------------------------------------------------------- common elements
+
+class Tally:
+    """Elements that many sets of a task have, with how many: counted in windows of ``SPAN`` elements by hashed counters."""
+
+    SPAN, LEAST = 1 << 21, 4
+
+    def __init__(self):
+        self.counter, self.added = np.zeros(1 << 22, np.uint16), 0
+        self.found: list[np.ndarray] = []
+
+    def add(self, elements: np.ndarray) -> None:
+        at = (elements >> np.uint64(42)).astype(np.int64)
+        np.add.at(self.counter, at, 1)
+        self.found.append(elements[self.counter[at] >= self.LEAST])
+        self.added += len(elements)
+
+    def taken(self) -> tuple[np.ndarray, np.ndarray]:
+        """The elements of a full window and their counts."""
+        own, n = np.unique(np.concatenate([*self.found, np.zeros(0, np.uint64)]), return_counts=True)
+        self.counter[:], self.added, self.found = 0, 0, []
+        return own, n
+
+
+def common_bits(docs: DataFrame, words: int) -> np.ndarray:
+    """Bits, by the upper ``BITS`` of an element's hash, of the elements that ``COMMON`` sets or more have.
+
+    All documents are counted. What falls short in the window of a task is not; that, and bits that elements share, change
+    only which segments are left out, never which pairs are found.
+    """
+    def run(batches):
+        import pyarrow as pa
+
+        hasher, tally, seen = WordHasher(SPACED), Tally(), {}
+        row = lambda own, n: pa.record_batch([pa.array(own.view(np.int64)), pa.array(n.astype(np.int64))], names=["e", "n"])
+        for b in batches:
+            fresh = []
+            for s in shingle_sets(*utf8(b.column(1)), hasher, words):
+                key = (len(s), int(s.sum(dtype=np.uint64)))
+                if len(s) and key not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen[key] = True
+                    fresh.append(s)
+            if fresh:
+                tally.add(np.concatenate(fresh))
+            if tally.added >= tally.SPAN:
+                yield row(*tally.taken())
+        yield row(*tally.taken())
+
+    counted = texts(docs, "doc_id").mapInArrow(run, "e long, n long").groupBy("e").agg(F.sum("n").alias("n"))
+    place = F.shiftrightunsigned("e", 64 - BITS)
+    rows = counted.where(F.col("n") >= COMMON).groupBy(F.shiftright(place, 15).alias("part")).agg(F.bitmap_construct_agg(place.bitwiseAND(F.lit(32767).cast("long"))).alias("bits"))
+    bits = np.zeros((1 << BITS - 15, 4096), np.uint8)
+    for r in rows.collect():  # a fixed size: 512 rows of 4 kB at most
+        bits[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return bits.reshape(-1)
+
+
+def is_common(bits: np.ndarray, s: np.ndarray) -> np.ndarray:
+    place = (s >> np.uint64(64 - BITS)).astype(np.int64)
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 > 0
+
+
 # ---------------------------------------------------------------- Spark steps
 
-def _set_rows(docs: DataFrame, schemes: Schemes, words: int) -> DataFrame:
+def _set_rows(docs: DataFrame, schemes: Schemes, words: int, bits: np.ndarray) -> DataFrame:
     """doc_id, n, k1, k2 (which together tell sets apart) and signatures, those of recent copies left out."""
+    known = docs.sparkSession.sparkContext.broadcast(bits)
+
     def run(batches):
         import pyarrow as pa
 
@@ -183,7 +261,7 @@ def _set_rows(docs: DataFrame, schemes: Schemes, words: int) -> DataFrame:
                     if len(seen) >= SEEN:
                         seen.clear()
                     seen[a, c] = True
-                    keys.append(schemes.signatures(s))
+                    keys.append(schemes.signatures(s, is_common(known.value, s)))
                     ends.append(ends[-1] + len(keys[-1]))
                 else:
                     ends.append(ends[-1])
@@ -208,6 +286,25 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return texts(docs, "doc_id").mapInArrow(run, "id long, elements array<long>")
 
 
+def hub_pairs(active: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a: member, b: hub of one of its buckets), with the size of the hub's smallest member.
+
+    A hub need not lie in its bucket: it only has to be one for all members. Members look for the set that meets most
+    others in any of their buckets, as the middle of a group of near copies does, and a bucket takes the best that its
+    members found, so one hub serves most buckets of a group.
+    """
+    meetings = stored(active.groupBy("rep").agg(F.sum("c").alias("meetings")), "meetings")
+    light = fits_broadcast(meetings, 24)
+    known = meetings.select("rep", F.struct("meetings", "rep").alias("best"))
+    several = active.join(F.broadcast(known) if light else known, "rep").groupBy("bucket").agg(F.max("best").alias("best"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+    found = stored(active.join(stored(several.where("low < high").select("bucket", "best"), "several"), "bucket").select("bucket", "rep", "best"), "found")
+    pivot = stored(found.groupBy("rep").agg(F.max("best").alias("pivot")), "pivots")
+    hubs = found.select("bucket", "rep").join(F.broadcast(pivot) if light else pivot, "rep").groupBy("bucket").agg(F.max("pivot")["rep"].alias("hub"))
+    pairs = found.join(stored(hubs, "bucket_hubs"), "bucket").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = stored(pairs.join(sizes, F.col("a") == F.col("rep")).select("a", "b", "n"), "pairs")
+    return pairs.join(stored(pairs.groupBy("b").agg(F.min("n").alias("least")), "smallest"), "b").select("a", "b", "least")
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) with both sets and the size of what they share."""
     one = sets.select(F.col("id").alias("a"), F.col("elements").alias("left"))
@@ -219,45 +316,64 @@ def _similar(similarity: int) -> Column:
     return 100 * F.col("both") >= similarity * (F.col("na") + F.col("nb") - F.col("both"))
 
 
-def _most(n: Column, m: Column, similarity: int) -> Column:
-    """In how many elements similar sets of these sizes differ at most."""
-    return F.floor((100 - similarity) * (n + m) / (100 + similarity))
+def _over(x: Column, by: int) -> Column:
+    """x / by, rounded up."""
+    return F.ceil(x / by).cast("int")
 
 
 def against_hubs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Pairs (a: member, b: hub) with their difference d, whether similar, and the prefixes of their difference.
-
-    ``near`` is the prefix that meets members unlike the hub, ``far`` the one in which an unlike member meets like ones.
-    """
-    n, m, d, like = F.col("na"), F.col("nb"), F.col("d"), F.col("similar")
-    rows = _with_sets(pairs, sets).withColumns({"d": F.col("na") + F.col("nb") - 2 * F.col("both"), "similar": _similar(similarity)})
-    delta = F.concat(F.array_sort(F.array_except("left", "right")), F.array_sort(F.array_except("right", "left")))
-    limit = _most(n, F.floor(n * 100 / similarity), similarity)  # against any partner
-    least = _most(F.ceil(n * similarity / 100), m, similarity) + 1  # the least difference of an unlike partner from the hub
-    shared = lambda other: F.greatest(F.lit(1), F.ceil((d + F.greatest(other, d - limit) - limit) / 2))
-    near, far = d - shared(least) + 1, F.when(like, 0).otherwise(d - shared(F.lit(1)) + 1)
-    cut = lambda k: F.slice("delta", F.lit(1), F.greatest(F.lit(0), k).cast("int"))
-    return rows.withColumn("delta", delta).select("a", "b", "na", "d", "similar", cut(near).alias("near"), cut(far).alias("far"))
+    """Pairs (a: member, b: hub) with the sizes na, nb, how many of the hub's elements the member misses and how many it has
+    besides, whether similar, and the starts of these two differences (``extra``, ``missing``) that can meet a similar
+    member's. ``least`` of a pair is the size of the hub's smallest member."""
+    rows = _with_sets(pairs, sets).withColumn("similar", _similar(similarity))
+    scale = 100 + similarity
+    # x and y can share what they share with the hub, at most nb less the larger miss, and extra elements
+    lacks = similarity * (F.col("na") + F.greatest("least", _over(similarity * F.col("na"), 100))) - scale * F.col("both")
+    own = rows.withColumns({"missed": F.col("nb") - F.col("both"), "more": F.col("na") - F.col("both"), "need": _over(lacks, scale)})
+    behind = _over(similarity * (F.col("na") + F.col("nb")) - scale * F.col("both"), scale)  # how far a member falls short of the hub
+    start = lambda array, n, least: F.slice(F.array_sort(array), F.lit(1), F.greatest(F.lit(0), n - F.greatest(F.lit(1), least) + 1).cast("int"))
+    missing = F.when(F.col("need") <= 0, start(F.array_except("right", "left"), F.col("missed"), behind)).otherwise(F.array().cast("array<long>"))
+    return own.select("a", "b", "na", "nb", "missed", "more", "similar", start(F.array_except("left", "right"), F.col("more"), F.col("need")).alias("extra"), missing.alias("missing"))
 
 
 def around_hubs(compared: DataFrame, groups: DataFrame, similarity: int) -> DataFrame:
-    """Pairs of members of one hub, at least one of them unlike the hub and not yet in one group, whose prefixes and places
-    allow similarity."""
-    open_ = compared.groupBy("b").agg(F.count("*").alias("c"), F.max((~F.col("similar")).cast("int")).alias("unlike")).where("c > 1 and unlike = 1").select("b")
-    rows = compared.join(stored(open_, "hubs"), "b", "left_semi").join(groups, F.col("a") == F.col("id"), "left").withColumn("group", F.coalesce("component", "a"))
-    spread = lambda array, role: rows.where(F.size(array) > 0).select("b", "a", "na", "d", "similar", "group", F.lit(role).alias("role"), F.posexplode(array).alias("at", "e"))
-    near, far = spread("near", 0), spread("far", 1)
-    # unlike ones meet unlike ones by their near prefixes (0), and like ones by far against near (1)
-    probe = near.where(~F.col("similar")).unionByName(far)
-    index = near.where(~F.col("similar")).unionByName(near.where("similar").withColumn("role", F.lit(1)))
-    other = index.select(*[F.col(c).alias(f"_{c}") for c in ("b", "role", "e", "a", "na", "d", "at", "group")])
-    fewest = F.col("d") + F.col("_d") - 2 * (1 + F.least(F.col("d") - 1 - F.col("at"), F.col("_d") - 1 - F.col("_at")))
-    fits = (100 * F.least("na", "_na") >= similarity * F.greatest("na", "_na")) & (fewest <= _most(F.col("na"), F.col("_na"), similarity))
-    fits = fits & (F.col("group") != F.col("_group"))
-    both = (F.col("a") < F.col("_a")) | (F.col("role") == 1) & (F.col("a") != F.col("_a"))
-    same = (F.col("b") == F.col("_b")) & (F.col("role") == F.col("_role")) & (F.col("e") == F.col("_e"))
-    found = probe.join(other, same & fits & both)
-    return found.select(F.least("a", "_a").alias("a"), F.greatest("a", "_a").alias("b")).distinct()
+    """Pairs of members of one hub that are not yet in one group and may be similar.
+
+    Members may meet under several hubs. Two that have the same nearest hub are looked at under that one only, where what
+    sets them apart is smallest; a hub is its own nearest.
+    """
+    scale = 100 + similarity
+    nearest = compared.groupBy("a").agg(F.min(F.struct(F.col("missed") + F.col("more"), "b"))["b"].alias("nearest"))
+    itself = compared.select(F.col("b").alias("a")).distinct().withColumn("nearest", F.col("a"))
+    nearest = nearest.join(itself, "a", "left_anti").union(itself)
+    rows = compared.join(groups, F.col("a") == F.col("id"), "left").withColumn("group", F.coalesce("component", "a")).drop("id", "component")
+    rows = stored(rows.join(stored(nearest, "nearest"), "a"), "grouped")
+    open_ = rows.groupBy("b").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("b")
+    open_ = stored(open_, "hubs")
+    narrow = ["b", "a", "na", "nb", "missed", "more", "group", "nearest"]
+
+    def meet(array: str, rows: DataFrame, may: Column) -> DataFrame:
+        spread = rows.select(*narrow, F.posexplode(array).alias("at", "e"))
+        # only elements that members of several groups have, and not only members of another hub
+        several = [f(c).alias(f"{n}_{c}") for c in ("group", "nearest") for n, f in (("low", F.min), ("high", F.max))]
+        mixed = spread.groupBy("b", "e").agg(*several).where("low_group < high_group and (low_nearest < high_nearest or low_nearest = b)").select("b", "e")
+        spread = stored(spread.join(stored(mixed, "mixed"), ["b", "e"], "left_semi"), "spread")
+        other = spread.select("b", "e", *[F.col(c).alias(f"_{c}") for c in ("a", "na", "missed", "more", "at", "group", "nearest")])
+        fits = (100 * F.least("na", "_na") >= similarity * F.greatest("na", "_na")) & (F.col("a") < F.col("_a")) & (F.col("group") != F.col("_group")) & ((F.col("nearest") != F.col("_nearest")) | (F.col("nearest") == F.col("b")))
+        return spread.join(other, ["b", "e"]).where(fits & may).select("a", F.col("_a").alias("b")).distinct()
+
+    wanted = similarity * (F.col("na") + F.col("_na"))
+    rest = lambda c: 1 + F.least(F.col(c) - 1 - F.col("at"), F.col(f"_{c}") - 1 - F.col("_at"))
+    known = F.col("nb") - F.greatest("missed", "_missed")
+    rows = rows.join(open_, "b", "left_semi")
+    # members that share an extra element: at most the rest of the shorter one from its place on
+    extra = meet("extra", rows, scale * (known + rest("more")) >= wanted)
+    # members that share none must miss the same elements; possible only where both are smaller than the hub is wide
+    bare = rows.where(F.size("missing") > 0)
+    far = bare.where(~F.col("similar")).groupBy("b").agg(F.min(similarity * F.col("na") + scale * F.col("missed")).alias("far"))
+    bare = bare.join(stored(far, "bare_hubs"), "b").where(similarity * F.col("na") + F.col("far") <= scale * F.col("nb"))
+    missing = meet("missing", bare, (scale * known >= wanted) & (scale * (F.col("nb") - F.col("missed") - F.col("_missed") + rest("missed")) >= wanted))
+    return extra.union(missing).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,25 +404,24 @@ def link_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     spark = docs.sparkSession
     small_batches(spark)
     schemes = Schemes(docs.count() / 20, similarity)
-    rows = stored(_set_rows(docs, schemes, words), "sets")
+    rows = stored(_set_rows(docs, schemes, words, common_bits(docs, words)), "sets")
     same = ["n", "k1", "k2"]
     copies = stored(rows.where("n > 0 and doc_id is not null").groupBy(same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "copies")
     members = stored(rows.drop("signatures").join(copies, same, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
 
+    # buckets of two documents or more; those with the same members are one from here on
     bucket = W.partitionBy("sig")
     meets = rows.where("doc_id is not null").select("doc_id", F.explode("signatures").alias("sig")).select("sig", "doc_id")
-    shared = stored(meets.withColumns({"low": F.min("doc_id").over(bucket), "high": F.max("doc_id").over(bucket)}).where("low < high").select("sig", "doc_id"), "shared")
+    met = meets.withColumns({"low": F.min("doc_id").over(bucket), "high": F.max("doc_id").over(bucket), "c": F.count("*").over(bucket), "mark": F.bit_xor(F.xxhash64("doc_id")).over(bucket)})
+    shared = stored(met.where("low < high").select(F.xxhash64("low", "high", "c", "mark").alias("bucket"), "doc_id", "c"), "shared")
     dropped(rows)
-    own = members.where("doc_id is not null").select("doc_id", "rep").distinct()
-    active = stored(shared.join(own, "doc_id").select("sig", "rep").distinct(), "active")
+    own = members.where("doc_id is not null").groupBy("doc_id", "rep").agg(F.min("n").alias("n"))
+    active = stored(shared.join(own, "doc_id").groupBy("bucket", "rep").agg(F.max("c").alias("c")), "active")
     dropped(shared)
-    wanted = stored(active.select(F.col("rep").alias("doc_id")).distinct(), "wanted")
+    pairs = hub_pairs(active, own.groupBy("rep").agg(F.min("n").alias("n")))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     sets = stored(_sets(semi(docs, wanted, "doc_id"), words), "elements")
-    # a bucket's hub is its member that meets most others in all its buckets, as the middle of a group of near copies does
-    meetings = active.withColumn("c", F.count("*").over(bucket)).groupBy("rep").agg(F.sum("c").alias("meetings"))
-    first = F.max(F.struct("meetings", (-F.col("rep")).alias("other"))).over(bucket)
-    hubs = active.join(stored(meetings, "meetings"), "rep").withColumn("hub", -first["other"]).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    compared = stored(against_hubs(stored(hubs, "pairs"), sets, similarity), "compared")
+    compared = stored(against_hubs(pairs, sets, similarity), "compared")
     dropped(active)
     links = compared.where("similar").select("a", "b")
     groups = _closed(links)
