@@ -7,8 +7,8 @@ an index of single lengths, of pair sums and of triple sums, and uses the combin
 often as the counts allow. What then remains is placed best fit, longest first. The plan is a table of (length, ranks
 from, ranks to, first sequence, offset); tasks look their pieces up in it, so pieces never meet in one place.
 
-Nulls: a null text is empty (its end id alone). Documents of equal length or text are told apart by their ranks. An empty
-table gives no rows. Other columns are not read, whatever their names. A null doc_id is kept as it is.
+Nulls: a null text is empty (its end id alone). Documents of equal length or text, repeated rows too, are told apart by
+their ranks. A very long text is encoded whole in its task and gives as many pieces as it needs. An empty table gives no rows. Other columns are not read, whatever their names. A null doc_id is kept as it is.
 """
 
 from __future__ import annotations
@@ -68,7 +68,7 @@ def complements(counts: np.ndarray, capacity: int) -> tuple[Plan, np.ndarray]:
         if gap < 2 or sums[gap] <= 0:
             return None
         a = np.arange(min(gap - 1, capacity), (gap + 1) // 2 - 1, -1)
-        for x in a[have[a] & have[gap - a]][:8].tolist():
+        for x in a[have[a] & have[gap - a]].tolist():
             if enough([*with_, x, gap - x]):
                 return [*with_, x, gap - x]
         return None
@@ -86,7 +86,7 @@ def complements(counts: np.ndarray, capacity: int) -> tuple[Plan, np.ndarray]:
                 continue
             thirds = np.arange(min(gap - 2, capacity), 0, -1)
             found = None
-            for x in thirds[have[thirds] & (sums[gap - thirds] > 0)][:64].tolist():
+            for x in thirds[have[thirds] & (sums[gap - thirds] > 0)].tolist():
                 if found := pair(gap - x, [longest, x]):
                     use(found)
                     break

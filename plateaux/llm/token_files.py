@@ -6,7 +6,8 @@ each document lies. Sequences of one shard lie at equal distances, so the ids of
 mapped file (``TokenShard.sequence``). ``read_token_files`` reads the files back on the executors.
 
 Nulls: a null text counts as empty, so it has its end id alone; a null ``doc_id`` sorts first. Repeated ids keep one
-place each (ties by text). An empty table gives no files and no rows. Other columns are not read, whatever their names.
+place each (ties by a hash of the text, then the text). A very long text runs over as many sequences as it needs; a task
+holds one text at a time. An empty table gives no files and no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,12 +18,14 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import scratch, shuffle_count, small_batches, stored, texts
 from .tokens import encoder, vocabulary_path
 
 LENGTH = 2048
 ROWS = 256  # sequences in a record batch
+SHARD = 128 << 20  # bytes of text
 
 
 def file_system(path: str):
@@ -104,25 +107,12 @@ class TokenShard:
             start = end
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int = 0) -> DataFrame:
-    """doc_id and its ids with the end id, compressed bytes."""
-    def run(batches):
-        import pyarrow as pa
-
-        enc = encoder(vocabulary)
-        end = np.array([end_id], enc.dtype).tobytes()
-        for b in batches:
-            ids = [enc.encode(t) + end for t in b.column(1).to_pylist()]
-            yield pa.record_batch([b.column(0), pa.array([len(x) // enc.width for x in ids], pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in ids], pa.binary())], names=["doc_id", "n_tokens", "ids"])
-
-    return texts(docs, "doc_id").mapInArrow(run, "doc_id long, n_tokens long, ids binary")
-
-
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, length: int = LENGTH, end_id: int = 0) -> DataFrame:
     """Write shards under ``folder`` (on a store all executors share); return one row a shard, shards in doc_id order.
 
-    Each shard is one range of doc_id. A task that runs again writes a file of a new name, and only the names in the
-    committed manifest count, so lost or repeated tasks leave no half-written shard in use.
+    Texts are dealt by ranges of doc_id first (and of a hash of the text, so that a hot doc_id is split too), about
+    ``SHARD`` bytes each, and encoded once, by the task that writes the shard. A task that runs again writes a file of a
+    new name, and only the names in the committed manifest count, so lost or repeated tasks leave no half-written shard in use.
     """
     spark, path = docs.sparkSession, vocabulary or vocabulary_path()
     small_batches(spark)
@@ -135,16 +125,18 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
         enc = encoder(path)
         shard = TaskContext.get().partitionId()
         name = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex[:8]}"
+        end = np.array([end_id], enc.dtype).tobytes()
         writer, ids, starts, counts = None, [], [], []
         total = 0
         for b in batches:
-            for doc, n, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 writer = writer or ShardWriter(f"{name}.arrow", enc.dtype, length)
-                writer.add(np.frombuffer(pa.decompress(packed.as_buffer(), n * enc.width, "zstd"), enc.dtype))
+                own = np.frombuffer(enc.encode(text) + end, enc.dtype)
+                writer.add(own)
                 ids.append(doc)
                 starts.append(total)
-                counts.append(n)
-                total += n
+                counts.append(len(own))
+                total += len(own)
         if writer:
             writer.close()
             store, where = file_system(f"{name}.index.arrow")
@@ -155,17 +147,20 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
 
     where = spark._jvm.org.apache.hadoop.fs.Path(folder)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
-    shards = encoded(docs, path, end_id).repartitionByRange(shuffle_count(spark), "doc_id").sortWithinPartitions("doc_id", "ids")
+    own = texts(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = max(shuffle_count(spark), -(-size // SHARD))
+    shards = own.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").select("doc_id", "text")
     return stored(shards.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """Read every document back from its shard: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    The manifest has one row for each shard, which is one task of the writer, so the sum over it stays small.
+    The manifest has one row for each shard of ``SHARD`` bytes, so one task can sum over all of it in order.
     """
-    before = manifest.select(F.col("shard").alias("other"), F.col("n_tokens").alias("n"))
-    placed = manifest.join(before, F.col("other") < F.col("shard"), "left").groupBy("shard", "path").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("base"))
+    before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    placed = manifest.select("shard", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
 
     def run(batches):
         import pyarrow as pa

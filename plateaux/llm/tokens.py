@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import os
-from array import array
+import re
 
 import numpy as np
 
 #: The vocabulary file is a parameter of every operator; this is its default.
 VOCABULARY = "byte_bpe_50k.json"
-#: Fixed value: the pattern of the pre-tokens of byte-level vocabularies of this family.
-PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Pieces that a worker remembers, and the longest of them.
+KNOWN, LONGEST = 1 << 19, 64
+#: Where a text may be cut: before one space between two characters that are not white space. The pre-tokens of byte-level
+#: vocabularies start there, whatever the characters are.
+_CUT = re.compile(r"(?<=\S)(?= \S)")
+_ODD = re.compile(r"(?:\s|^) | (?:\s|$)")
 _ENCODERS: dict = {}
 
 
@@ -25,13 +29,13 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 class Encoder:
     """ids of texts as bytes of little-endian unsigned integers, two or four bytes each by the vocabulary's size.
 
-    The tokenizers library reads the file and rules on its ids. Texts of Latin-1 characters are merged by tiktoken with
-    the ranks taken from that same file, which needs a quarter of the time; loading compares both on a probe, and
-    without agreement, or for any other text and any that holds the content of an added token (<|endoftext|>, which has
-    an id of its own), the tokenizers library itself encodes.
+    All ids are the tokenizers library's at its defaults, added tokens (<|endoftext|>) included. As pre-tokens are merged
+    each on its own, a text is cut between words, each distinct piece is encoded by the library once, and its ids are
+    remembered. A text with the content of an added token, or one of a file that is not plainly byte-level (loading looks
+    at the file's parts and compares on a probe), is encoded whole.
     """
 
-    PROBE = "Twelve words, isn't it?\n\nÄußerst ça l'été niño 2024-01-31 key_ID='a+b/c='  end "
+    PROBE = "Twelve words, isn't it?\n\nÄußerst  ça l'été \t niño 2024-01-31 key_ID='a+b/c='  日本 語 \x85 x end "
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,32 +45,52 @@ class Encoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
-        self.code = "H" if self.width == 2 else "I"
-        self.merge = self._merger()
-
-    def _merger(self):
-        """encode_ordinary over the file's vocabulary, or None if the file is of another kind."""
-        import tiktoken
-
-        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        hidden = [b for b in range(256) if b not in set(shown)]
-        letter = {**{chr(b): b for b in shown}, **{chr(256 + k): b for k, b in enumerate(hidden)}}
-        special = set(self.added)
-        try:
-            ranks = {bytes(map(letter.__getitem__, t)): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
-            merge = tiktoken.Encoding("file", pat_str=PRE_TOKEN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            return merge if merge(self.PROBE) == self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids else None
-        except (KeyError, ValueError):
-            return None
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
+        self.in_pieces = self._byte_level() and self._pieces(self.PROBE) == self._whole(self.PROBE)
+
+    def _byte_level(self) -> bool:
+        before = self.tokenizer.pre_tokenizer
+        return self.tokenizer.normalizer is None and type(before).__name__ == "ByteLevel" and not before.add_prefix_space and not self.tokenizer.model.dropout
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _learn(self, missing: set[str]) -> None:
+        """Words (each stands for itself with a space before it) that are not known from here on are."""
+        old, new = self.known_before, []
+        for p in missing:
+            if p in old:
+                self.known[p] = old[p]
+            else:
+                new.append(p)
+        for p, found in zip(new, self.batch([" " + p for p in new], add_special_tokens=False), strict=True):
+            self.known[p] = self._packed(found.ids)
+
+    def _pieces(self, text: str) -> bytes:
+        if _ODD.search(text):
+            first, *rest = _CUT.split(text)
+            rest = [p[1:] for p in rest]
+        else:
+            first, *rest = text.split(" ")
+        if missing := set(rest).difference(self.known):
+            self._learn(missing)
+        out = b"".join([self._whole(first), *map(self.known.__getitem__, rest)])
+        for p in missing:
+            if len(p) > LONGEST:
+                del self.known[p]
+        if len(self.known) > KNOWN:  # the words of late stay at hand
+            self.known_before, self.known = self.known, {}
+        return out
 
     def encode(self, text: str) -> bytes:
-        if self.merge and not any(t in text for t in self.added):
-            try:
-                text.encode("latin-1")
-                return array(self.code, self.merge(text)).tobytes()
-            except UnicodeEncodeError:
-                pass
-        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        if not self.in_pieces or any(t in text for t in self.added):
+            return self._whole(text)
+        return self._pieces(text)
 
 
 def encoder(path: str) -> Encoder:
