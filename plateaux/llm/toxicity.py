@@ -1,35 +1,43 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, written and trained in numpy.
 
 A word enters as characters and as a whole: the mean of learned vectors of its hashed character 3- to 5-grams (with marks
-at its ends), a learned vector of the hashed word, and how strongly its grams and the word itself stand out in labelled
-toxic texts. Windows of ``WINDOW`` words, each half overlapping the next, run through a gated recurrent unit in both
-directions; attention weighs the states, and a text's score is that of its highest window, over all its windows.
+at its ends) and a learned vector of the hashed word. Windows of ``WINDOW`` words, each half overlapping the next, run
+through a gated recurrent unit in both directions; attention weighs the states, and a text's score is that of its highest
+window, over all its windows. All that tells toxic from clean is learned by the network from texts and their labels.
 
-Training uses a bounded sample: at most ``PER_CLASS`` labelled documents of the classes, the first by a hash of doc_id,
-never those held out (crc32 of doc_id mod 5 is 0). Only texts enter the model. Each round picks every sampled text's
-highest window and learns its label on it.
+Training uses a bounded sample, in one task, which returns the parameters: at most ``PER_CLASS`` labelled documents of the
+classes, the first by a hash of doc_id, never those held out (crc32 of doc_id mod 5 is 0), one text for each doc_id. At
+first windows drawn at random learn the label of their text; then every text learns by its highest windows. Grams and
+words that fewer than two, or one in ``FEWEST``, of the sampled texts have get no vector, so that no text is learned by heart. A fifth of the
+sample is kept out of the fit and sets the bias.
 
 Nulls: a null text is empty; an empty text has no window and gets the score of the bias alone. A null doc_id counts as
-not held out and is never trained on. Rows with repeated doc_id are scored each on its own. With labels of one class or
-none the score is 0.5 less a margin for all (predicted 0). An empty table gives no rows. Other columns are not read.
+not held out and is never trained on. Rows with repeated doc_id are scored each on its own; where a doc_id has several
+labels the toxic one counts, and of several texts the first by a hash. A very long text is scored in all its windows; in
+training it gives at most ``DRAWN`` windows a round. With labels of one class or none the score is 0.5 less a margin for all
+(predicted 0). An empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import io
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WordHasher, mix, small_batches, texts, utf8
+from .common import ALNUM, WordHasher, mix, small_batches, stored, texts, utf8
 
 WINDOW, STRIDE = 24, 12
-PER_CLASS = (1500, 500)  # clean, toxic
-BUCKETS = 1 << 18
+PER_CLASS = (1500, 1000)  # clean, toxic
+BUCKETS = 1 << 17
 GRAMS = (3, 4, 5)
-SIZE, HIDDEN = 8, 8
-ROUNDS = 5
-STEPS = 150  # at least, so that small samples are learnt too
-FIXED = 3
+SIZE, HIDDEN = 10, 8
+FEWEST = 230  # one text in so many, and two at least, must have a gram or word that gets a vector
+DRAWN = 6
+EARLY, LATE = 12, 2  # rounds with windows drawn at random, and with the highest ones
+STEPS = 200  # of each kind at least, so that small samples are learnt too
+BATCH = 192
 
 
 class Words:
@@ -96,24 +104,20 @@ class Network:
     def __init__(self, seed: int = 3):
         r = np.random.default_rng(seed)
         draw = lambda *shape: (r.standard_normal(shape) / np.sqrt(shape[-2] if len(shape) > 1 else 1)).astype(np.float32)
-        inputs = SIZE + FIXED
+        inputs = SIZE
         self.p = {
-            "gram": (0.02 * r.standard_normal((BUCKETS, SIZE))).astype(np.float32), "word": np.zeros((BUCKETS, SIZE), np.float32),
+            "gram": (0.02 * r.standard_normal((BUCKETS, SIZE))).astype(np.float32), "word": (0.02 * r.standard_normal((BUCKETS, SIZE))).astype(np.float32),
             "x": draw(2, inputs, 3 * HIDDEN), "b": np.zeros((2, 1, 3 * HIDDEN), np.float32), "u": draw(2, HIDDEN, 3 * HIDDEN), "c": np.zeros((2, 1, HIDDEN), np.float32),
             "a": draw(2 * HIDDEN, HIDDEN), "v": draw(HIDDEN, 1), "o": draw(2 * HIDDEN, 1), "d": np.full((1,), -1, np.float32),
         }
-        self.strength = np.zeros((2, BUCKETS), np.float32)  # of grams and of words in toxic texts
 
     def vectors(self, w: Words) -> np.ndarray:
         """Input vectors of the distinct words."""
         if not w.n:
-            return np.zeros((0, SIZE + FIXED), np.float32)
+            return np.zeros((0, SIZE), np.float32)
         count = np.maximum(np.diff(w.edge), 1)[:, None].astype(np.float32)
         at = np.minimum(w.edge[:-1], max(0, len(w.gram) - 1))
-        learned = np.add.reduceat(self.p["gram"][w.gram], at, axis=0) / count + self.p["word"][w.word]
-        s = self.strength[0][w.gram]
-        fixed = np.stack([np.maximum.reduceat(s, at), np.add.reduceat(s, at) / count[:, 0], self.strength[1][w.word]], 1)
-        return np.concatenate([learned, fixed], 1).astype(np.float32)
+        return (np.add.reduceat(self.p["gram"][w.gram], at, axis=0) / count + self.p["word"][w.word]).astype(np.float32)
 
     def forward(self, vectors: np.ndarray, windows: np.ndarray, keep: bool = False):
         p, h_n = self.p, HIDDEN
@@ -182,7 +186,7 @@ class Network:
         d_projected = d_projected[:, :-1]
         g["x"] = np.matmul(vectors.T[None], d_projected)
         g["b"] = d_projected.sum(1, keepdims=True)
-        d_vectors = np.matmul(d_projected, p["x"].transpose(0, 2, 1)).sum(0)[:, :SIZE]
+        d_vectors = np.matmul(d_projected, p["x"].transpose(0, 2, 1)).sum(0)
         used = np.flatnonzero(np.abs(d_vectors).sum(1))
         g["word"] = (w.word[used], d_vectors[used])
         count = np.maximum(np.diff(w.edge), 1)[:, None]
@@ -191,11 +195,10 @@ class Network:
         return g
 
 
-def _logits(net: Network, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    windows, text = w.windows()
+def _all_logits(net: Network, w: Words, windows: np.ndarray) -> np.ndarray:
     vectors = net.vectors(w)
     parts = [net.forward(vectors, windows[k:k + 2048]) for k in range(0, len(windows), 2048)]
-    return windows, text, np.concatenate(parts) if parts else np.zeros(0, np.float32)
+    return np.concatenate(parts) if parts else np.zeros(0, np.float32)
 
 
 def _highest(text: np.ndarray, logit: np.ndarray, n: int) -> np.ndarray:
@@ -206,50 +209,71 @@ def _highest(text: np.ndarray, logit: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def train(bodies: list[str], labels: list[int], rounds: int = ROUNDS, seed: int = 3) -> Network:
+def _rare(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of grams and of words that too few of the n texts have."""
+    texts_with = np.zeros((2, BUCKETS), np.int64)
+    size = np.diff(w.edge)
+    for i, j in zip(w.cut[:-1].tolist(), w.cut[1:].tolist(), strict=True):
+        own = np.unique(w.index[i:j])
+        gram = w.gram[np.repeat(w.edge[own], size[own]) + np.arange(size[own].sum()) - np.repeat(np.cumsum(size[own]) - size[own], size[own])]
+        texts_with[0][np.unique(gram)] += 1
+        texts_with[1][np.unique(w.word[own])] += 1
+    fewest = max(2, n // FEWEST)
+    return np.flatnonzero(texts_with[0] < fewest), np.flatnonzero(texts_with[1] < fewest)
+
+
+def train(bodies: list[str], labels: list[int], early: int = EARLY, late: int = LATE, seed: int = 3) -> Network:
     import pyarrow as pa
 
     net, y = Network(seed), np.array(labels, np.float32)
     w = Words(*utf8(pa.array(bodies, pa.string())), WordHasher(ALNUM))
-    text_of = np.repeat(np.arange(len(y)), np.diff(w.cut))
-    # how far each gram and word stands out: log odds less their standard error, by texts that have it
-    spread = np.diff(w.edge)
-    having = np.zeros((2, 2, BUCKETS))  # of grams and words: clean and toxic texts with the bucket
-    for low in range(0, len(y), 100):  # in groups of texts, for memory
-        i, j = w.cut[low], w.cut[min(low + 100, len(y))]
-        pair = np.unique(text_of[i:j] * w.n + w.index[i:j])
-        text, word = pair // max(1, w.n), pair % max(1, w.n)
-        n = spread[word]
-        gram = w.gram[np.repeat(w.edge[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        for k, bucket in enumerate((np.unique(np.repeat(text, n) * BUCKETS + gram), np.unique(text * BUCKETS + w.word[word]))):
-            np.add.at(having[k], (y[bucket // BUCKETS].astype(np.int64), bucket % BUCKETS), 1)
-    for k in range(2):
-        b, a = having[k] + 0.5
-        odds = np.log(a / (y.sum() + 1)) - np.log(b / ((1 - y).sum() + 1))
-        net.strength[k] = np.clip(odds - np.sqrt(1 / a + 1 / b), -2, 6) / 3
+    windows, text = w.windows()
+    rare = dict(zip(("gram", "word"), _rare(w, len(y)), strict=True))
+    for name, own in rare.items():
+        net.p[name][own] = 0
     r = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in net.p.items()}
     second = {k: np.zeros_like(v) for k, v in net.p.items()}
     fitted = r.random(len(y)) < 0.8
+    share = np.array([0.5 / max(1, (fitted & (y == k)).sum()) for k in (0, 1)])  # of a text in what is drawn
+    edge = np.searchsorted(text, np.arange(len(y) + 1))
     step = 0
-    while rounds > 0 or step < STEPS:
-        rounds -= 1
-        windows, text, logit = _logits(net, w)
-        own = fitted[text]
-        best = _highest(text, logit, len(y))
-        # toxic texts teach by their highest window; others by their highest, runners-up and one at random
-        clean = np.flatnonzero(own & (y[text] == 0))
-        hard = clean[np.argsort(-logit[clean])[:2 * len(y)]]
-        chosen = best[(best >= 0) & fitted]
-        chosen = r.permutation(np.concatenate([chosen, r.choice(hard, min(len(hard), len(y) // 2), False), r.choice(clean, min(len(clean), len(y)), False)]))
-        size = min(192, max(24, len(chosen) // 12))
-        for k in range(0, len(chosen), size):
-            own = chosen[k:k + size]
+
+    def learn(chosen: np.ndarray) -> None:
+        nonlocal step
+        for k in range(0, len(chosen), BATCH):
+            own = chosen[k:k + BATCH]
             part, local = w.part(windows[own])
             step += 1
-            _adam(net, net.gradient(part, net.vectors(part), local, y[text[own]]), first, second, step)
+            gradient = net.gradient(part, net.vectors(part), local, y[text[own]])
+            _adam(net, gradient, first, second, step)
+            for name, away in rare.items():
+                net.p[name][gradient[name][0][np.isin(gradient[name][0], away)]] = 0
+
+    having = np.flatnonzero(fitted & (np.diff(edge) > 0))
+    if len(having):
+        chance = share[y[having].astype(np.int64)]
+        chance = chance / chance.sum()
+        for phase, least in ((0, early), (1, late)):
+            rounds, start = 0, step
+            while rounds < least or step - start < STEPS:
+                rounds += 1
+                if phase == 0:
+                    drawn = r.choice(having, DRAWN // 2 * len(having), p=chance)
+                    learn(edge[drawn] + (r.random(len(drawn)) * (edge[drawn + 1] - edge[drawn])).astype(np.int64))
+                    continue
+                # toxic texts teach by their highest window, clean ones by their highest, runners-up and some at random
+                logit = _all_logits(net, w, windows)
+                best = _highest(text, logit, len(y))
+                clean = np.flatnonzero((fitted & (y == 0))[text])
+                hard = clean[np.argsort(-logit[clean])[:2 * len(having)]]
+                toxic = best[having[y[having] == 1]]
+                weak = best[having[y[having] == 0]]
+                again = r.choice(toxic, len(weak), True) if len(toxic) else toxic
+                pick = lambda own, n: r.choice(own, min(len(own), n), False)
+                learn(r.permutation(np.concatenate([toxic, again, weak, pick(hard, len(having) // 2), pick(clean, len(having))])))
     # texts kept out of the fit set the bias: halfway between the classes where errors are fewest
-    _, text, logit = _logits(net, w)
+    logit = _all_logits(net, w, windows)
     best = _highest(text, logit, len(y))
     kept = np.flatnonzero(~fitted & (best >= 0))
     if len(np.unique(y[kept])) == 2:
@@ -257,41 +281,55 @@ def train(bodies: list[str], labels: list[int], rounds: int = ROUNDS, seed: int
         value, label = logit[best[kept]][order], y[kept][order]
         wrong = np.concatenate([[0], np.cumsum(label)]) / label.sum() + (len(label) - label.sum() - np.concatenate([[0], np.cumsum(1 - label)])) / (1 - label).sum()
         k = int(np.flatnonzero(wrong == wrong.min()).mean())
-        edge = (value[max(0, k - 1)] + value[min(len(value) - 1, k)]) / 2
-        net.p["d"] -= np.float32(edge)
+        net.p["d"] -= np.float32((value[max(0, k - 1)] + value[min(len(value) - 1, k)]) / 2)
     return net
 
 
 def _adam(net: Network, gradient: dict, first: dict, second: dict, step: int) -> None:
     for name, d in gradient.items():
-        at, speed = slice(None), 0.01
+        at, speed = slice(None), 0.005
         if isinstance(d, tuple):
             at, inverse = np.unique(d[0], return_inverse=True)
             full = np.zeros((len(at), SIZE), np.float32)
             np.add.at(full, inverse, d[1])
-            d, speed = full, 0.001
+            d, speed = full, 0.01
         first[name][at] = 0.9 * first[name][at] + 0.1 * d
         second[name][at] = 0.99 * second[name][at] + 0.01 * d**2
         rate = speed / (1 - 0.9**step) * np.sqrt(1 - 0.99**step)
         net.p[name][at] -= (rate * first[name][at] / (np.sqrt(second[name][at]) + 1e-6)).astype(np.float32)
 
 
-def sampled(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int]) -> list:
-    """At most ``per_class`` labelled texts of the classes (clean, toxic) outside the held-out fold: rows (text, toxic)."""
-    usable = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).dropDuplicates(["doc_id"])
+def sampled(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int]) -> DataFrame:
+    """At most ``per_class`` labelled texts of the classes (clean, toxic) outside the held-out fold: doc_id, text, toxic."""
+    usable = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    usable = usable.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     rank = F.xxhash64("doc_id")
     picked = [usable.where(F.col("toxic") == k).orderBy(rank, "doc_id").limit(per_class[k]) for k in (0, 1)]
-    own = docs.where("doc_id is not null").select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    own = texts(docs.where("doc_id is not null"), F.col("doc_id").cast("long").alias("doc_id"))
     # at most sum(per_class) ids are sent
-    return own.join(F.broadcast(picked[0].union(picked[1])), "doc_id").select("doc_id", "text", "toxic").collect()
+    found = own.join(F.broadcast(picked[0].union(picked[1])), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text"))["text"].alias("text")).select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> Network | None:
-    rows = sorted(sampled(docs, labels, per_class))
-    if len({r["toxic"] for r in rows}) < 2:
+    """The network, trained by one task on the sample; the driver gets its parameters (a fixed size)."""
+    def run(batches):
+        import pyarrow as pa
+
+        rows = sorted((r["doc_id"], r["text"], r["toxic"]) for b in batches for r in b.to_pylist())
+        if len({r[2] for r in rows}) == 2:
+            net = train([r[1] for r in rows], [r[2] for r in rows])
+            out = io.BytesIO()
+            np.savez_compressed(out, **net.p)
+            yield pa.record_batch([pa.array([out.getvalue()], pa.binary())], names=["parameters"])
+
+    sample = stored(sampled(docs, labels, per_class), "labelled")
+    found = stored(sample.repartition(1).mapInArrow(run, "parameters binary"), "network").collect()
+    if not found:
         return None
-    return train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    net = Network()
+    net.p = dict(np.load(io.BytesIO(found[0][0])))
+    return net
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS) -> DataFrame:
@@ -310,7 +348,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_class: tuple[int, in
             if net is None:
                 score, count = np.full(n, 0.49), np.zeros(n, np.int64)
             else:
-                _, text, logit = _logits(net, Words(*utf8(b.column(1)), hasher))
+                w = Words(*utf8(b.column(1)), hasher)
+                windows, text = w.windows()
+                logit = _all_logits(net, w, windows)
                 best = _highest(text, logit, n)
                 top = np.append(logit, min(net.p["d"][0], -0.1))[best]  # -1: the bias, never a reason to reject
                 score, count = 1 / (1 + np.exp(-np.clip(top.astype(np.float64), -50, 50))), np.bincount(text, minlength=n)
