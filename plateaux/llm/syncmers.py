@@ -2,18 +2,20 @@
 
 A window of ``K`` code points is chosen when the smallest hash of its inner substrings of ``S`` code points stands at its
 first or last place: the choice depends on the window alone, so equal passages choose equal anchors whatever surrounds
-them. A fingerprint holds the ``SKETCH`` anchors of smallest hash with the place of their first occurrence. The likeness
-of two fingerprints is the share of the ``SKETCH`` smallest anchors of both together that both hold in the same order of
-places (the longest increasing run of matched places), 0 to 1.
+them. A fingerprint holds every anchor with its place, in the order of the text: base64 of 12 bytes each, the anchor's
+64-bit and the place's 32-bit number, little-endian. The likeness of two fingerprints is the share of the anchors of both
+together that both hold in the same order of places (the longest increasing run of matched places), 0 to 1; the n-th
+occurrence of an anchor matches the n-th of the other text.
 
 A text shorter than K has one anchor, the hash of the whole; an empty one has none. Two empty texts are alike (1), an
 empty and another are not (0). Null texts count as empty. Rows with a null doc_id come after all others in descending
-order; equal ids are ordered by text. A single document follows itself. An empty table gives no rows. Other columns are
-not read. Very long texts need memory for a few arrays of their own length.
+order; equal ids, repeated rows too, are ordered by text. A single document follows itself. An empty table gives no rows.
+Other columns are not read. A very long text is fingerprinted whole, with a few arrays of its own length.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from bisect import bisect_left
 
@@ -23,53 +25,70 @@ from pyspark.sql import functions as F
 
 from .common import _odd, mix, shuffle_count, small_batches, texts
 
-K, S = 16, 8  # S-mers and K-mers are hashed by doubling, so both are powers of two
-SKETCH = 64
-_M = _odd(23, 6)
+K, S = 32, 8  # K-mers and S-mers are hashed by doubling, so both are powers of two
+BUCKET = 16 << 20  # bytes of text in a range of ids
+_M = _odd(23, 7)
 
 Print = tuple[np.ndarray, np.ndarray]
 
 
 def anchors(text: str) -> Print:
-    """The chosen anchors: their hashes, ascending, and first places."""
+    """All chosen anchors in the order of the text: their hashes and places."""
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     if len(c) < K:
-        return (mix(np.array([(mix(c + np.uint64(1)) * _M[5] ** np.arange(1, len(c) + 1, dtype=np.uint64)).sum(dtype=np.uint64)], np.uint64)), np.zeros(1, np.int64)) if len(c) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        whole = (mix(c + np.uint64(1)) * _M[5] ** np.arange(1, len(c) + 1, dtype=np.uint64)).sum(dtype=np.uint64)
+        return mix(np.array([whole] if len(c) else [], np.uint64)), np.zeros(min(1, len(c)), np.int64)
     h = (c + np.uint64(1)) * _M[0]
-    for k, m in ((1, _M[1]), (2, _M[2]), (4, _M[3])):
-        h = h[:-k] * m + h[k:]
-    inner = mix(h)
-    low = inner
-    for k in (1, 2, 4):
-        low = np.minimum(low[:-k], low[k:])
-    low = np.minimum(low[:-1], inner[8:])  # over the K - S + 1 inner substrings
-    chosen = np.flatnonzero((low == inner[:len(low)]) | (low == inner[8:]))
-    keys = mix(h[chosen] * _M[4] + h[chosen + 8])
-    if len(keys) > 8 * SKETCH:  # repeats may hide distinct ones, so look further only where needed
-        part = np.sort(np.partition(keys, 8 * SKETCH)[:8 * SKETCH])
-        edge = part[-1] if np.count_nonzero(np.diff(part)) >= SKETCH else None
-        if edge is not None:
-            keep = keys <= edge
-            keys, chosen = keys[keep], chosen[keep]
-    own, first = np.unique(keys, return_index=True)
-    return own[:SKETCH], chosen[first[:SKETCH]]
+    size, grown = 1, {}
+    while size < K:
+        h = h[:-size] * _M[1] ** np.uint64(size) + h[size:]
+        size *= 2
+        grown[size] = h
+    inner = mix(grown[S])
+    n = K - S + 1  # inner substrings of a window
+    low, size = inner, 1
+    while 2 * size <= n:
+        low = np.minimum(low[:-size], low[size:])
+        size *= 2
+    low = np.minimum(low[:len(c) - K + 1], low[n - size:])
+    chosen = np.flatnonzero((low == inner[:len(low)]) | (low == inner[K - S:]))
+    return mix(grown[K][chosen] * _M[4]), chosen
 
 
 def spelled(f: Print) -> str:
-    return ",".join([f"{p:x}.{h:016x}" for h, p in zip(f[0].tolist(), f[1].tolist(), strict=True)])
+    out = np.empty(len(f[0]), [("anchor", "<u8"), ("place", "<u4")])
+    out["anchor"], out["place"] = f
+    return base64.b64encode(out.tobytes()).decode()
+
+
+def numbered(f: Print) -> Print:
+    """Ascending keys that tell the occurrences of an anchor apart, and their places."""
+    order = np.argsort(f[0], kind="stable")
+    key, place = f[0][order], f[1][order]
+    new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+    nth = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+    if nth.any():
+        key = key + nth.astype(np.uint64) * _M[6]
+        order = np.argsort(key, kind="stable")
+        key, place = key[order], place[order]
+    return key, place
 
 
 def likeness(a: Print, b: Print) -> float:
+    """Of two numbered fingerprints."""
     if not len(a[0]) or not len(b[0]):
         return float(len(a[0]) == len(b[0]))
-    both = np.union1d(a[0], b[0])[:SKETCH]
     shared, i, j = np.intersect1d(a[0], b[0], True, True)
-    own = shared <= both[-1]
-    tails: list[int] = []
-    for place in b[1][j[own]][np.argsort(a[1][i[own]], kind="stable")].tolist():
-        at = bisect_left(tails, place)
-        tails[at:at + 1] = [place]
-    return len(tails) / len(both)
+    places = b[1][j][np.argsort(a[1][i], kind="stable")]
+    if len(places) and (np.diff(places) > 0).all():
+        run = len(places)
+    else:
+        tails: list[int] = []
+        for place in places.tolist():
+            at = bisect_left(tails, place)
+            tails[at:at + 1] = [place]
+        run = len(tails)
+    return run / (len(a[0]) + len(b[0]) - len(shared))
 
 
 def in_descending_order(docs: DataFrame) -> DataFrame:
@@ -81,7 +100,8 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     own = texts(docs, "doc_id").withColumn("key", key)
-    n = 4 * shuffle_count(spark)
+    size = own.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    n = min(20_000, max(4 * shuffle_count(spark), size // BUCKET))  # ends are read by the driver
     sample = own.select("key").agg(F.percentile_approx("key", [(i + 1) / n for i in range(n)], 20 * n).alias("ends"), F.max("key").alias("last")).first()
     ends = sorted({*(sample["ends"] or []), *([sample["last"]] if sample["last"] is not None else [])})
     shared = spark.sparkContext.broadcast(np.array(ends, np.int64))  # a fixed number for each task
@@ -101,7 +121,7 @@ def in_descending_order(docs: DataFrame) -> DataFrame:
                 yield pa.record_batch([pa.array(up), pa.array(np.ones(len(edge), np.int64)), rows.column("key"), rows.column("doc_id"), rows.column("text")], names=["bucket", "follows", "key", "doc_id", "text"])
 
     dealt = own.select("key", "doc_id", "text").mapInArrow(deal, "bucket long, follows long, key long, doc_id long, text string")
-    return dealt.repartition(shuffle_count(spark), "bucket").sortWithinPartitions("bucket", "follows", F.desc("key"), "text")
+    return dealt.repartition(max(shuffle_count(spark), n // 4), "bucket").sortWithinPartitions("bucket", "follows", F.desc("key"), "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -121,7 +141,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     k = len(own) // 3
                     edited = own[:len(own) - k] + text[:k]
                     g, e = anchors(text), anchors(edited)
-                    row = (held[1], len(own), hashlib.sha256(edited.encode()).hexdigest(), spelled(f), spelled(e), likeness(f, e), likeness(f, g))
+                    one, two = numbered(f), numbered(g)
+                    row = (held[1], len(own), hashlib.sha256(edited.encode()).hexdigest(), spelled(f), spelled(e), likeness(one, numbered(e)), likeness(one, two))
                     for name, v in zip(names, row, strict=True):
                         out[name].append(v)
                 else:
