@@ -1,7 +1,7 @@
 """Benchmark decontamination by suffix arrays over the words of training shards.
 
 Every task gathers its documents into shards of about ``SHARD`` words, sorts all suffixes of a shard by prefix doubling
-(to ``DEPTH`` words, enough for any window) and binary-searches every benchmark suffix in it. The suffixes that share a
+(to ``window`` words or more) and binary-searches every benchmark suffix in it. The suffixes that share a
 window lie together, so one search gives all places of that window; runs of windows along a diagonal give the longest
 verbatim matches. Words are compared by 64-bit hashes (a false hit needs ten hashes to collide at once).
 
@@ -9,12 +9,15 @@ The benchmark goes to the tasks in blocks of at most ``BLOCK`` bytes of text, th
 benchmark takes several passes, whose hit words and items are then merged by document.
 
 Nulls: a null text (of a document or an item) has no words; a null item_id counts as the empty string. Items that repeat
-an item_id count once. Documents of equal doc_id keep a row each (in several passes: one for each id and text). An empty
-benchmark gives no hits, an empty table no rows. Other columns are not read, whatever their names.
+an item_id count once. Documents of equal doc_id, repeated rows too, keep a row each, however many passes there are. A very
+long text makes a shard of its own. An empty benchmark gives no hits, an empty table no rows. Other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +27,8 @@ from .common import ALNUM, WordHasher, small_batches, stored, texts, utf8, witho
 WINDOW = 10
 SHARD = 400_000
 BLOCK = 32 << 20
-SCHEMA = "doc_id long, text_key long, n_words long, spans array<struct<first:long,last:long>>, items array<string>, longest_match long, longest_start long"
+_ITEMS: dict = {}
+SCHEMA = "doc_id long, row long, n_words long, spans array<struct<first:long,last:long>>, items array<string>, longest_match long, longest_start long"
 
 
 class Items:
@@ -141,18 +145,27 @@ def _judge(keys, hashed: list[np.ndarray], items: Items):
             longest[d] = max(longest.get(d, (0, 0)), (n, int(starts[d]) - a))
     for d, key in enumerate(keys):
         n, back = longest.get(d, (0, 0))
-        yield {"doc_id": key[0], "text_key": key[1], "n_words": int(sizes[d]), "spans": spans.get(d, []), "items": sorted(found.get(d, ())), "longest_match": n, "longest_start": -back if n else None}
+        yield {"doc_id": key[0], "row": key[1], "n_words": int(sizes[d]), "spans": spans.get(d, []), "items": sorted(found.get(d, ())), "longest_match": n, "longest_start": -back if n else None}
+
+
+def _items(name: str, block, window: int) -> Items:
+    """A block's windows, hashed once for each worker process."""
+    if name not in _ITEMS:
+        _ITEMS.clear()
+        _ITEMS[name] = Items(*block, window)
+    return _ITEMS[name]
 
 
 def _pass(docs: DataFrame, block, window: int) -> DataFrame:
+    name = uuid.uuid4().hex
     shared = docs.sparkSession.sparkContext.broadcast(block)  # at most BLOCK bytes of text
 
     def run(batches):
         import pyarrow as pa
 
         kind = pa.struct([("first", pa.int64()), ("last", pa.int64())])
-        schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(kind)), ("items", pa.list_(pa.string())), ("longest_match", pa.int64()), ("longest_start", pa.int64())])
-        items, hasher = Items(*shared.value, window), WordHasher(ALNUM)
+        schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(kind)), ("items", pa.list_(pa.string())), ("longest_match", pa.int64()), ("longest_start", pa.int64())])
+        items, hasher = _items(name, shared.value, window), WordHasher(ALNUM)
         keys, hashed, total = [], [], 0
         for b in batches:
             data, offsets = utf8(b.column(2))
@@ -175,9 +188,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans, items, longest_match, longest_start."""
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = texts(docs, "doc_id").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    keyed = texts(docs, "doc_id").select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n_blocks = 1 + (items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // (BLOCK // 2)
+    if n_blocks > 1:
+        keyed = stored(keyed, "numbered")  # the passes must see the same numbers
     passes = []
     for k in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == k)
@@ -188,7 +203,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
         for other in passes[1:]:
             found = found.unionByName(other)
         best = F.max(F.struct("longest_match", "longest_start"))
-        found = found.groupBy("doc_id", "text_key", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), best.alias("b")).select("*", "b.*").drop("b")
+        found = found.groupBy("doc_id", "row", "n_words").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"), best.alias("b")).select("*", "b.*").drop("b")
     ids = F.array_sort(F.array_distinct("items"))
     one = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     several = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))))).cast("long")
