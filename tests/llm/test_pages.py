@@ -46,3 +46,69 @@ def test_url_rules_and_trees(spark, pages):
         assert got[i]["verdict"] == verdict or rule is None and got[i]["verdict"] in ("allow", "block")
     assert judge(pages.where("page_id < 0")).count() == 0
     assert {r["verdict"] for r in judge(pages.where("url is null")).collect()} == {"allow"}
+
+
+BODY = "<h1>The title here</h1><p>" + "first paragraph of the story with many words in it " * 3 + "</p><p>" + "second paragraph goes on for quite a while as well " * 3 + "</p>"
+LAYOUTS = {
+    "plain": "<div id='content'>{}</div>",
+    "wrapper": "<div id=content class='with-sidebar'>{}</div>",
+    "denied": "<div class='post no-comments'>{}</div>",
+    "container": "<div class='container search-page'><div class='entry'>{}</div></div>",
+    "two wrappers": "<section class='layout has-menu sidebar'><div>{}</div></section>",
+    "table": "<table><tr><td>{}</td></tr></table>",
+}
+EXTRAS = [
+    ("<div class='entry-header'><h2>Kept heading of the story</h2></div>", "Kept heading of the story"),
+    ("<section id='related-work'><p>" + "this section on earlier work belongs to the text itself " * 3 + "</p></section>", "earlier work belongs"),
+    ("<figure><img src='x'><figcaption>A caption under the picture</figcaption></figure>", "A caption under the picture"),
+    ("<p>Formula <math><mi>x</mi><mo>=</mo><mn>2</mn></math> stands here in the text of the story.</p>", "Formula x=2 stands"),
+    ("<p>Press the <button>start</button> button and read the <label>label</label> in the text.</p>", "Press the start button and read the label in"),
+]
+AROUND = "<nav><ul>" + "".join(f"<li><a href='/{k}'>menu item {k}</a></li>" for k in range(12)) + "</ul></nav>{}<aside><p>a sidebar with some words</p></aside><div class='comments'><p>I liked this a great deal, thanks to all.</p></div><footer>Copyright of somebody and others</footer>"
+
+
+@pytest.mark.parametrize("layout", sorted(LAYOUTS))
+def test_layouts(layout):
+    from plateaux.llm.html_content import Counter, Weights, counts_of, main_text
+
+    counts = Counter()
+    for k in range(40):  # labelled pages of a single plain kind
+        counts.update(counts_of("<html><body>" + AROUND.format("<article>" + BODY + "</article>") + "</body></html>"))
+    weights = Weights(counts)
+    text = main_text("<html><body>" + AROUND.format(LAYOUTS[layout].format(BODY)) + "</body></html>", weights)
+    assert text.split("\n")[0] == "The title here" and text.count("second paragraph") == 3 and len(text.split("\n")) == 3
+    for extra, said in EXTRAS:
+        text = main_text("<html><body>" + AROUND.format(LAYOUTS[layout].format(BODY + extra + BODY)) + "</body></html>", weights)
+        assert said in text and text.count("The title here") == 2 and "menu item" not in text and "I liked" not in text and "sidebar with" not in text and "Copyright" not in text
+
+
+def test_best_region_against_all_regions():
+    import random
+
+    from plateaux.llm.html_content import best_region
+
+    r = random.Random(5)
+    for _ in range(300):
+        scores = [(-r.random() * 2, r.uniform(-3, 3)) for _ in range(r.randrange(9))]
+        total = lambda i, j: sum(own for _, own in scores[i:j + 1]) + sum(b for b, _ in scores[i + 1:j + 1])
+        every = {(i, j): total(i, j) for i in range(len(scores)) for j in range(i, len(scores))}
+        found = best_region(scores)
+        best = max([0.0, *every.values()])
+        assert (found == (0, -1) and best <= 0) or abs(every[found] - best) < 1e-9
+
+
+def test_hostile_and_very_long_pages_take_time_in_proportion():
+    import time
+
+    from plateaux.llm.html_content import Weights, main_text
+
+    start = time.time()
+    for page in ('<a "' * 250_000, "<a b='" * 160_000, "<div class=\"" * 80_000, "<" * 10**6, "<div>" * 200_000, "</p>" * 250_000, "<!--" * 250_000, "<script>" * 120_000, "<p>word " * 120_000, "&amp;" * 200_000, "<b id=x>" * 120_000 + "</i>" * 1000, "<a b=\"'" * 140_000 + ">"):
+        main_text(page, Weights({}))
+    assert time.time() - start < 60
+
+
+def test_trees_tell_verdicts_of_hosts_they_did_not_see(pages):
+    from plateaux.llm.url_filter import held_out_accuracy
+
+    assert held_out_accuracy(pages) > 0.8
