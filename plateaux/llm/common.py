@@ -55,8 +55,9 @@ def dropped(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Documents can be long: keep the Arrow batches that go to Python small."""
+    """Documents can be long: keep the Arrow batches that go to Python small, in rows and in bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def texts(docs: DataFrame, *keys: str) -> DataFrame:

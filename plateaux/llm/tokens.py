@@ -9,8 +9,8 @@ import numpy as np
 
 #: The vocabulary file is a parameter of every operator; this is its default.
 VOCABULARY = "byte_bpe_50k.json"
-#: Pieces that a worker remembers, and the longest of them.
-KNOWN, LONGEST = 1 << 19, 64
+#: Words that a worker remembers (of late and from before), and the longest of them.
+KNOWN, LONGEST = 1 << 18, 64
 #: Where a text may be cut: before one space between two characters that are not white space. The pre-tokens of byte-level
 #: vocabularies start there, whatever the characters are.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
