@@ -16,7 +16,7 @@ def load_metrics(summaries: DataFrame, wanted: DataFrame, channels: DataFrame) -
 
     Pairs without rows are skipped; nothing at all is an error.
     """
-    found = summaries.join(F.broadcast(wanted), "batch").join(F.broadcast(channels), ["representation", "channel"], "left_semi").where(~F.col("pair_id").startswith("ctrl__"))
+    found = summaries.join(wanted, "batch").join(channels, ["representation", "channel"], "left_semi").where(~F.col("pair_id").startswith("ctrl__"))
     if found.limit(1).count() == 0:
         raise ValueError("no metrics for any of the wanted representations and batches")
     return found
@@ -72,7 +72,7 @@ def category_means(scores: DataFrame, label: str, keys: list[str], value: str) -
 def organelle_matrix(results: DataFrame, counts: DataFrame, least: int, excluded: tuple[str, ...] = ()) -> DataFrame:
     """(organelle, column, mean normalised mAP, smallest corrected p) of organelles with enough genes, short names."""
     short = F.substring_index("organelle", "_GO_", 1)
-    out = results.join(F.broadcast(counts), "organelle", "left").where(F.col("n_genes") >= least)
+    out = results.join(counts, "organelle", "left").where(F.col("n_genes") >= least)
     for part in excluded:
         out = out.where(~F.contains("organelle", F.lit(part)))
     return out.groupBy(short.alias("organelle"), "column").agg(F.avg("mAP_norm").alias("mean_norm"), F.min("corrected_p_value").alias("min_p"))

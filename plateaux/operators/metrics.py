@@ -44,7 +44,7 @@ def null_threshold(metrics: DataFrame, keys: list[str], value: str = "auroc", q:
 
 def with_threshold(df: DataFrame, thresholds: DataFrame, keys: list[str], default: float | None = None) -> DataFrame:
     """Left join of the thresholds, which are few: one for each channel."""
-    out = df.join(F.broadcast(thresholds), keys, "left")
+    out = df.join(thresholds, keys, "left")
     return out.withColumn("null_threshold", F.coalesce("null_threshold", F.lit(default))) if default is not None else out
 
 
@@ -79,7 +79,7 @@ def _mean_precision(df: DataFrame, keys: list[str], score: Column | str, target:
 
 
 def ranking_metrics(df: DataFrame, sample: str, label: str, score: str, target: str, k: int = 5) -> DataFrame:
-    """macro_ap over labels with targets, lrap over samples (1 for samples with none or all), hamming_top_k."""
+    """macro_ap over labels with targets (the area under the steps of the precision-recall curve, so also macro AUPRC), lrap over samples (1 for samples with none or all), hamming_top_k."""
     macro = _mean_precision(df, [label], score, target).where("n_pos > 0").agg(F.avg("ap").alias("macro_ap"), F.count("*").alias("n_labels"))
     per = _mean_precision(df, [sample], score, target)
     lrap = per.agg(F.avg(F.when(F.col("n_pos") == 0, 1.0).otherwise(F.col("ap"))).alias("lrap"), F.count("*").alias("n_samples"))

@@ -21,7 +21,7 @@ def plate_stats(df: DataFrame, names: list[str], exact: bool = True) -> DataFram
     """Metadata_Plate, feature, median, mad, min, max, count, abs_coef_var; missing values left out."""
     values = long_form(df, names, PLATE).withColumn("value", present(F.col("value"))).where("value is not null")
     first = values.groupBy(PLATE, "feature").agg(_median("value", exact).alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count"))
-    away = values.join(F.broadcast(first.select(PLATE, "feature", "median")), [PLATE, "feature"]).groupBy(PLATE, "feature").agg(_median(F.abs(F.col("value") - F.col("median")), exact).alias("mad"))
+    away = values.join(first.select(PLATE, "feature", "median"), [PLATE, "feature"]).groupBy(PLATE, "feature").agg(_median(F.abs(F.col("value") - F.col("median")), exact).alias("mad"))
     out = first.join(away, [PLATE, "feature"])
     return out.withColumn("abs_coef_var", F.coalesce(F.abs(F.try_divide("mad", "median")), F.lit(0.0))).select(PLATE, "feature", "median", "mad", "min", "max", "count", "abs_coef_var")
 
@@ -30,7 +30,7 @@ def variant_features(stats: DataFrame, least: float = 1e-3) -> DataFrame:
     """Features that vary on every plate: a MAD other than 0 and enough relative spread."""
     passes = ((F.col("mad") != 0) & (F.col("abs_coef_var") > least)).cast("int")
     plates = stats.agg(F.countDistinct(PLATE).alias("n_plates"))
-    return stats.groupBy("feature").agg(F.sum(passes).alias("n_pass")).join(F.broadcast(plates), F.col("n_pass") == F.col("n_plates")).select("feature")
+    return stats.groupBy("feature").agg(F.sum(passes).alias("n_pass")).join(plates, F.col("n_pass") == F.col("n_plates")).select("feature")
 
 
 def select_variant_features(df: DataFrame, names: list[str], stats: DataFrame, least: float = 1e-3) -> tuple[DataFrame, list[str]]:
@@ -43,7 +43,7 @@ def robust_z(df: DataFrame, names: list[str], stats: DataFrame) -> DataFrame:
     packed = stats.where(F.col("feature").isin(*names)).groupBy(PLATE).agg(F.map_from_entries(F.collect_list(F.struct(order[F.col("feature")].alias("i"), F.struct("median", "mad").alias("s")))).alias("__m"))
     packed = packed.select(PLATE, F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.col("__m")[i]).alias("__s"))
     scaled = F.zip_with("features", "__s", lambda x, s: F.when(s["mad"] != 0, (x - s["median"]) / s["mad"]).otherwise(x))
-    return df.join(F.broadcast(packed), PLATE).withColumn("features", scaled).drop("__s")
+    return df.join(packed, PLATE).withColumn("features", scaled).drop("__s")
 
 
 def feature_spread(df: DataFrame, names: list[str]) -> DataFrame:

@@ -33,7 +33,7 @@ def value_concentration(df: DataFrame, names: list[str]) -> DataFrame:
     """feature, freq_ratio (second most common value to most common; 0 if there is one value), unique_ratio."""
     values = long_form(df, names).withColumn("value", present(F.col("value"))).where("value is not null")
     counts = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    # only the two largest counts matter: max and min of a top two, without a sort of all values
+    # only the two largest counts matter; the ranking sorts the distinct values of each feature
     top = counts.withColumn("k", F.row_number().over(W.partitionBy("feature").orderBy(F.desc("n"), "value")))
     return top.groupBy("feature").agg(F.coalesce(F.max(F.when(F.col("k") == 2, F.col("n"))) / F.max(F.when(F.col("k") == 1, F.col("n"))), F.lit(0.0)).alias("freq_ratio"), (F.count("*") / F.sum("n")).alias("unique_ratio"))
 
@@ -56,7 +56,9 @@ def correlations(df: DataFrame, names: list[str]) -> DataFrame:
     if not pairs:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
     x = [present(F.col("features")[i]) for i in range(n)]
-    row = df.agg(*[F.corr(x[i], x[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    # over rows that have both; null where either is constant, on which corr() itself would raise an error
+    spread = lambda i, j: F.stddev_pop(F.when(x[j].isNotNull(), x[i]))
+    row = df.agg(*[F.try_divide(F.covar_pop(x[i], x[j]), spread(i, j) * spread(j, i)).alias(f"c{i}_{j}") for i, j in pairs])
     entries = F.array(*[F.struct(F.lit(names[a]).alias("a"), F.lit(names[b]).alias("b"), F.col(f"c{i}_{j}").alias("r")) for i, j in pairs for a, b in ((i, j), (j, i))])
     return row.select(F.explode(entries).alias("e")).select("e.*")
 

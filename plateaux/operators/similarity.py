@@ -84,7 +84,7 @@ def normalized(ap: DataFrame) -> DataFrame:
     """ap_norm = (ap - e) / (1 - e); 0 where chance is 1, null without positives."""
     e = ap.where("n_pos > 0").select("n_total", "n_pos").distinct().withColumn("__e", chance_level(F.col("n_total"), F.col("n_pos")))
     score = F.when(F.col("__e") >= 1, 0.0).otherwise((F.col("ap") - F.col("__e")) / (1 - F.col("__e")))
-    return ap.join(F.broadcast(e), ["n_total", "n_pos"], "left").withColumn("ap_norm", F.when(F.col("ap").isNotNull(), score)).drop("__e")  # a row for each pair of counts
+    return ap.join(e, ["n_total", "n_pos"], "left").withColumn("ap_norm", F.when(F.col("ap").isNotNull(), score)).drop("__e")  # a row for each pair of counts
 
 
 def null_aps(n_pos: int, n_total: int, size: int, seed: int) -> np.ndarray:
@@ -172,4 +172,4 @@ def null_thresholds(null: DataFrame, keys: list[str], q: float = 0.95, value: st
 
 
 def hits(results: DataFrame, thresholds: DataFrame, keys: list[str], value: str = "mAP_norm") -> DataFrame:
-    return results.join(F.broadcast(thresholds), keys, "left").withColumn("is_hit", F.coalesce(F.col(value) > F.col("null_threshold_p95"), F.lit(False)))
+    return results.join(thresholds, keys, "left").withColumn("is_hit", F.coalesce(F.col(value) > F.col("null_threshold_p95"), F.lit(False)))

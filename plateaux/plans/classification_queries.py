@@ -44,9 +44,10 @@ def scope_pairs(spark, sf_dir):
     return pairs.filter_scope(pairs.all_pairs(annotated(spark, sf_dir)[0], least_control=5), "cpc,Brand#10,Brand#7_PROMO").select(_PAIR)
 
 
-@query(f"""WITH {fx.ANNOTATED} SELECT "Metadata_gene_allele", count(*) AS n_cells FROM annotated WHERE "Metadata_Control" IN ('Exp', 'cPC') AND "Metadata_node_type" = 'allele' GROUP BY 1 HAVING count(*) >= 400""")
+@query(f"""WITH {fx.ANNOTATED} SELECT "Metadata_gene_allele", count(*) AS n_cells FROM annotated WHERE "Metadata_Control" IN ('Exp', 'cPC') AND "Metadata_node_type" = 'allele' GROUP BY 1 HAVING count(*) >= (SELECT count(*) // 150 FROM annotated)""")
 def scope_alleles(spark, sf_dir):
-    return pairs.scope_alleles(annotated(spark, sf_dir)[0], least=400)
+    df = annotated(spark, sf_dir)[0]
+    return pairs.scope_alleles(df, least=df.count() // 150)
 
 
 @query(f"""WITH {fx.ANNOTATED} SELECT s AS gene, max(CAST("Metadata_node_type" = 'disease_wt' AS INT)) AS has_wt, max(CAST("Metadata_node_type" = 'allele' AS INT)) AS has_variant FROM annotated GROUP BY 1 HAVING has_wt + has_variant = 1""")
@@ -79,12 +80,11 @@ def lopo_folds(spark, sf_dir):
     return f.select("pair_id", "fold_id", F.col("test_plates")[0].alias("test_plate"), F.array_join("test_wells", ",").alias("test_wells"), F.array_join("train_plates", ",").alias("train_plates"))
 
 
-@query(f"""WITH {_LABELLED}, w AS (SELECT pair_id, "Label", "Metadata_well_position" AS w, row_number() OVER (PARTITION BY pair_id, "Label" ORDER BY "Metadata_well_position") AS k FROM (SELECT DISTINCT pair_id, "Label", "Metadata_well_position" FROM lab WHERE "Metadata_well_position" LIKE 'A%')),
+@query(f"""WITH {_LABELLED}, w AS (SELECT pair_id, "Label", "Metadata_well_position" AS w, row_number() OVER (PARTITION BY pair_id, "Label" ORDER BY "Metadata_well_position") AS k FROM (SELECT DISTINCT pair_id, "Label", "Metadata_well_position" FROM lab)),
   b AS (SELECT r.pair_id, r.k, r.w AS rw, v.w AS vw FROM w r JOIN w v ON r.pair_id = v.pair_id AND r.k = v.k AND r."Label" = 1 AND v."Label" = 0)
   SELECT x.pair_id, CAST(row_number() OVER (PARTITION BY x.pair_id ORDER BY x.k, y.k) - 1 AS INTEGER) AS fold_id, array_to_string(list_sort(list_distinct([x.rw, x.vw, y.rw, y.vw])), ',') AS test_wells FROM b x JOIN b y ON x.pair_id = y.pair_id AND x.k < y.k""")
 def wellpair_folds(spark, sf_dir):
-    own = _labelled(spark, sf_dir).where(F.col(WELL).startswith("A"))
-    return folds.well_pair_folds(own).select("pair_id", "fold_id", F.array_join("test_wells", ",").alias("test_wells"))
+    return folds.well_pair_folds(_labelled(spark, sf_dir)).select("pair_id", "fold_id", F.array_join("test_wells", ",").alias("test_wells"))
 
 
 @query(f"""WITH {_LABELLED}, {_LOPO}, s AS (SELECT f.pair_id, f.fold_id, l."Label", CASE WHEN l."Metadata_Plate" = f.p THEN 'test' ELSE 'train' END AS role FROM lopo f JOIN lab l ON l.pair_id = f.pair_id AND l."Metadata_plate_map_name" = f.m),
@@ -94,7 +94,7 @@ def task_list(spark, sf_dir):
     cells = _labelled(spark, sf_dir)
     sizes = folds.task_sizes(folds.split_by_fold(cells, folds.plate_folds(cells)), 300, 10)
     channels = spark.createDataFrame([("GFP",), ("DNA",)], "channel string")
-    return sizes.crossJoin(F.broadcast(channels)).withColumn("imbalance_ratio", F.round("imbalance_ratio", 6))  # channels are a few names
+    return sizes.crossJoin(channels).withColumn("imbalance_ratio", F.round("imbalance_ratio", 6))  # channels are a few names
 
 
 # ---------------------------------------------------------------- metrics over the prediction fixture

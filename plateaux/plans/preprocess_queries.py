@@ -10,7 +10,7 @@ from ..sources import fixtures as fx
 from .registry import query
 
 USED = [n for n in fx.FEATURES if n != "Nuclei_AreaShape_Ratio"]
-Z_FEATURES = USED[:5]
+LEAST = 350  # a well passes with one cell in so many of the table
 STATS = """stats AS (
   SELECT "Metadata_Plate", feature, median(value) AS median, mad(value) AS mad, min(value) AS min, max(value) AS max, count(value) AS count FROM fine GROUP BY 1, 2),
   acv AS (SELECT *, coalesce(abs(mad / nullif(median, 0)), 0) AS abs_coef_var FROM stats)"""
@@ -26,10 +26,10 @@ def plate_stats(spark, sf_dir):
     return normalize.plate_stats(df, names).select(PLATE, "feature", *map(r6, ("median", "mad", "min", "max")), F.col("count").alias("n"), r6("abs_coef_var"))
 
 
-Z_LIST = ", ".join(f"'{n}'" for n in Z_FEATURES)
+Z_LIST = ", ".join(f"'{n}'" for n in USED)
 
 
-@query(f"""WITH {fx.LONG}, wells AS (SELECT "Metadata_Plate", "Metadata_well_position" FROM cells GROUP BY 1, 2 HAVING count(*) >= 170),
+@query(f"""WITH {fx.LONG}, wells AS (SELECT "Metadata_Plate", "Metadata_well_position" FROM cells GROUP BY 1, 2 HAVING count(*) >= (SELECT count(*) // {LEAST} FROM cells)),
   kept AS (SELECT f.* FROM fine f SEMI JOIN wells USING ("Metadata_Plate", "Metadata_well_position") WHERE feature IN ({Z_LIST})),
   s AS (SELECT "Metadata_Plate", feature, median(value) AS med, mad(value) AS mad FROM kept GROUP BY 1, 2),
   z AS (SELECT "Metadata_gene_allele", k.feature, greatest(-100, least(100, CASE WHEN s.mad <> 0 THEN (value - s.med) / s.mad ELSE value END)) AS z FROM kept k JOIN s ON k."Metadata_Plate" = s."Metadata_Plate" AND k.feature = s.feature)
@@ -37,8 +37,8 @@ Z_LIST = ", ".join(f"'{n}'" for n in Z_FEATURES)
 def robust_z_allele_median(spark, sf_dir):
     """Well gate, plate statistics, robust scaling, clipping, median profile of each allele."""
     df, names = fx.cells(spark, sf_dir)
-    df, names = contract.take_features(df, names, Z_FEATURES)
-    df = qc.drop_low_count_wells(df, 170)
+    df, names = contract.take_features(df, names, USED)
+    df = qc.drop_low_count_wells(df, df.count() // LEAST)
     z = qc.clip(normalize.robust_z(df, names, normalize.plate_stats(df, names)))
     return contract.long_form(z, names, ALLELE).groupBy(ALLELE, "feature").agg(F.round(F.median("value"), 6).alias("z_median"), F.count("*").alias("n"))
 
@@ -50,10 +50,10 @@ def manifest_semi_join(spark, sf_dir):
     return qc.filter_to_manifest(df, fx.manifest(df)).select(PLATE, WELL, IMAGE, OBJECT, ALLELE)
 
 
-@query(f"""WITH {fx.CELLS} SELECT "Metadata_Plate", "Metadata_well_position", "Metadata_ImageNumber", "Metadata_ObjectNumber" FROM cells QUALIFY count(*) OVER (PARTITION BY "Metadata_Plate", "Metadata_well_position") >= 170""")
+@query(f"""WITH {fx.CELLS} SELECT "Metadata_Plate", "Metadata_well_position", "Metadata_ImageNumber", "Metadata_ObjectNumber" FROM cells QUALIFY count(*) OVER (PARTITION BY "Metadata_Plate", "Metadata_well_position") >= (SELECT count(*) // {LEAST} FROM cells)""")
 def drop_low_wells(spark, sf_dir):
     df, _ = fx.cells(spark, sf_dir)
-    return qc.drop_low_count_wells(df, 170).select(PLATE, WELL, IMAGE, OBJECT)
+    return qc.drop_low_count_wells(df, df.count() // LEAST).select(PLATE, WELL, IMAGE, OBJECT)
 
 
 MISSING = f"""WITH {fx.LONG}, miss AS (SELECT feature, count(*) FILTER (value IS NULL OR isinf(value) OR isnan(value)) AS n_missing FROM long GROUP BY 1),
@@ -95,7 +95,7 @@ def variance_threshold(spark, sf_dir):
     return select.variance_threshold(df, names, 0.05, 0.0001).select("feature", r6("freq_ratio"), r6("unique_ratio"), "kept")
 
 
-_PAIRS = " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, corr("{a}", "{b}") AS r FROM cells""" for a in USED[:6] for b in USED[:6] if a != b)
+_PAIRS = " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, nullif(corr("{a}", "{b}"), 'nan'::DOUBLE) AS r FROM cells""" for a in USED for b in USED if a != b)
 
 
 @query(f"""WITH {fx.CELLS}, c AS ({_PAIRS}), t AS (SELECT a, sum(abs(coalesce(r, 0))) AS total FROM c GROUP BY 1)
@@ -103,7 +103,7 @@ _PAIRS = " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, corr("{a}", "{b}"
   FROM c JOIN t ON c.a = t.a JOIN t o ON c.b = o.a GROUP BY 1""")
 def correlated_drop(spark, sf_dir):
     df, names = fx.cells(spark, sf_dir)
-    df, names = contract.take_features(df, names, USED[:6])
+    df, names = contract.take_features(df, names, USED)
     return select.correlated(select.correlations(df, names)).select("feature", r6("total_abs_corr"), "dropped")
 
 

@@ -153,7 +153,7 @@ _CONS = f"""{fx.EMB}, {_LBL}, u AS (SELECT symbol, plate, i, median(features[i])
 
 def _consensus(spark, sf_dir):
     profiles = similarity.median_profiles(fx.emb_cells(spark, sf_dir), ["symbol", "plate"]).withColumn("pid", F.concat_ws("@", "symbol", "plate"))
-    return profiles.join(F.broadcast(multilabel.gene_labels(fx.label_scores(spark, sf_dir)).withColumnRenamed("gene", "symbol")), "symbol")
+    return profiles.join(multilabel.gene_labels(fx.label_scores(spark, sf_dir)).withColumnRenamed("gene", "symbol"), "symbol")
 
 
 def _mlap(spark, sf_dir):
@@ -207,7 +207,7 @@ _RANK = f"""{fx.EMB}, u AS (SELECT symbol, i, avg(features[i]) AS m FROM emb, ra
 def multilabel_rank_metrics(spark, sf_dir):
     e = fx.emb_cells(spark, sf_dir)
     centre = e.select("symbol", F.posexplode("features").alias("i", "x")).groupBy("symbol", "i").agg(F.avg("x").alias("m")).groupBy(F.col("symbol").alias("label")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("f"))
-    scores = e.crossJoin(F.broadcast(centre)).select("vec_id", "label", F.round(dot(F.col("features"), F.col("f")) / (norm(F.col("features")) * norm(F.col("f"))), 9).alias("score"), (F.col("symbol") == F.col("label")).cast("int").alias("target"))  # one centre for each label
+    scores = e.crossJoin(centre).select("vec_id", "label", F.round(dot(F.col("features"), F.col("f")) / (norm(F.col("features")) * norm(F.col("f"))), 9).alias("score"), (F.col("symbol") == F.col("label")).cast("int").alias("target"))  # one centre for each label
     return metrics.ranking_metrics(scores, "vec_id", "label", "score", "target").withColumns({c: F.round(c, 6) for c in ("macro_ap", "lrap", "hamming_top_k")})
 
 
