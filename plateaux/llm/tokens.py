@@ -12,10 +12,11 @@ import numpy as np
 VOCABULARY = "byte_bpe_50k.json"
 #: Words that a worker remembers (of late and from before), and the longest of them.
 KNOWN, LONGEST = 1 << 18, 64
+#: New words that are encoded in one call.
+TOGETHER = 256
 #: Where a text may be cut: before one space between two characters that are not white space. The pre-tokens of byte-level
 #: vocabularies start there, whatever the characters are.
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-_ODD = re.compile(r"(?:\s|^) | (?:\s|$)")
 _ENCODERS: dict = {}
 
 
@@ -50,6 +51,9 @@ class Encoder:
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         self.known: dict[str, bytes] = {}
         self.known_before: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values(), default=-1) + 1, bool)  # ids whose token begins with a space
+        self.spaced[[i for token, i in vocabulary.items() if token.startswith("Ġ")]] = True
         self.in_pieces = self._byte_level() and self._pieces(self.PROBE) == self._whole(self.PROBE)
 
     def _byte_level(self) -> bool:
@@ -70,20 +74,37 @@ class Encoder:
                 self.known[p] = old[p]
             else:
                 new.append(p)
-        for p, found in zip(new, self.batch([" " + p for p in new], add_special_tokens=False), strict=True):
+        # words without a space inside: their ids begin where a token with a space does, so many are encoded in one go
+        plain = [p for p in new if " " not in p and not p[-1].isspace()]
+        for i in range(0, len(plain), TOGETHER):
+            words = plain[i:i + TOGETHER]
+            ids = np.array(self.batch([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
+            edges = [*(np.flatnonzero(self.spaced[ids]) * self.width).tolist(), len(ids) * self.width]
+            if len(edges) != len(words) + 1:
+                self._learn_each(words)
+                continue
+            data = ids.tobytes()
+            self.known.update((p, data[a:b]) for p, a, b in zip(words, edges, edges[1:], strict=False))
+        if len(plain) < len(new):
+            self._learn_each([p for p in new if " " in p or p[-1].isspace()])
+
+    def _learn_each(self, words: list[str]) -> None:
+        for p, found in zip(words, self.batch([" " + p for p in words], add_special_tokens=False), strict=True):
             self.known[p] = self._packed(found.ids)
 
     def _pieces(self, text: str) -> bytes:
-        if _ODD.search(text):
+        first, *rest = text.split(" ")
+        missing = set(rest).difference(self.known)
+        # remembered words have no white space at their ends; where one of the others has, the regular expression cuts
+        if rest and (not first or first[-1].isspace()) or any(not p or p[0].isspace() or p[-1].isspace() for p in missing):
             first, *rest = _CUT.split(text)
             rest = [p[1:] for p in rest]
-        else:
-            first, *rest = text.split(" ")
-        if missing := set(rest).difference(self.known):
+            missing = set(rest).difference(self.known)
+        if missing:
             self._learn(missing)
         out = b"".join([self._whole(first), *map(self.known.__getitem__, rest)])
         for p in missing:
-            if len(p) > LONGEST:
+            if len(p) > LONGEST or p[-1].isspace():
                 del self.known[p]
         if len(self.known) > KNOWN:  # the words of late stay at hand
             self.known_before, self.known = self.known, {}
