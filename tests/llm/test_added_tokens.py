@@ -27,3 +27,26 @@ def test_added_tokens_in_texts(spark):
     files = {x["doc_id"]: x for x in token_output(spark, docs).collect()}
     assert {d: (x["n_tokens"], x["ids_crc32"]) for d, x in files.items()} == want
     assert [files[i]["start"] for i in range(len(ids))] == np.cumsum([0, *map(len, ids[:-1])]).tolist()
+
+
+def test_random_odd_texts_have_the_library_s_ids():
+    """Words learned together or one by one, forgotten and learned again, beside an untouched tokenizer."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from plateaux.llm.tokens import Encoder, vocabulary_path
+
+    untouched = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    enc, rng = Encoder(vocabulary_path()), random.Random(5)
+    letters = "ab  \n\t.,'sSt19éß日\x85\xa0　\x1c\x1dĠÄ-_/🙂"
+    for k in range(3000):
+        text = "".join(rng.choices(letters, k=rng.randint(0, 60)))
+        if k % 10 == 0:
+            text += " " + " ".join(f"w{rng.randint(0, 400)}" for _ in range(600))
+        want = untouched.encode(text, add_special_tokens=False).ids
+        assert enc.encode(text) == np.array(want, enc.dtype).tobytes(), text
+        if k % 200 == 0:
+            enc.known.clear()
+            enc.known_before.clear()
