@@ -25,7 +25,7 @@ def preprocess_batch(spark, sf_dir):
 
 @query()
 def activity_run(spark, sf_dir):
-    return pipelines.activity(fx.emb_cells(spark, sf_dir), fx.CHANNELS, "vec_id", 500, control_null_size=200, least_cells=1)
+    return pipelines.activity(fx.emb_cells(spark, sf_dir), fx.CHANNELS, "vec_id", least_cells=1)
 
 
 @query()
