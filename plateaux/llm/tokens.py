@@ -32,8 +32,8 @@ class Encoder:
     """ids of texts as bytes of little-endian unsigned integers, two or four bytes each by the vocabulary's size.
 
     All ids are the tokenizers library's at its defaults, added tokens (<|endoftext|>) included. As pre-tokens are merged
-    each on its own, a text is cut between words, each distinct piece is encoded by the library once, and its ids are
-    remembered. A text with the content of an added token, or one of a file that is not plainly byte-level (loading looks
+    each on its own, a text is cut between words; words not met of late are encoded by the library, many in one call, and their
+    ids are remembered. In one call, words part where a token begins with a space. A text with the content of an added token, or one of a file that is not plainly byte-level (loading looks
     at the file's parts and compares on a probe), is encoded whole.
     """
 
