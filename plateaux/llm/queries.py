@@ -68,8 +68,37 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduped_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_html_main_text, op4_toxicity, op5_token_files, op6_url_filter, op7_syncmer_fingerprints, op8_benchmark_decontamination, op9_line_dedup, op10_ngram_jaccard_join)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest
+
+    return manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_best_fit_packing, op2_secret_scan, op3_html_main_text, op4_toxicity, op5_token_files, op6_url_filter, op7_syncmer_fingerprints, op8_benchmark_decontamination, op9_line_dedup, op10_ngram_jaccard_join, op11_importance_resampling, op12_merkle_manifest, op13_language_id)}
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: CRC-32 of lower-case hex text ``x`` as an expression, with the table ``crc_table(t)`` of the polynomial's bytes.
+_CRC_TABLE = """crc_table AS (SELECT list(list_reduce([CAST(n AS UBIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END) ORDER BY n) AS t FROM range(256) r(n))"""
+
+
+def _crc_sql(text: str) -> str:
+    bytes_ = f"list_transform(range(0, CAST(length(hex(encode({text}))) AS BIGINT), 2), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(i + 1 AS INTEGER), 2) AS UBIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UBIGINT), {bytes_}), lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS INTEGER) + 1])), CAST(4294967295 AS UBIGINT))"
+
+
+_ENC = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+_LEAF = lambda n: "sha256(" + " || ".join(_ENC(c) for c in ("doc_id", "source", "lang", n, "text")) + ")"
 #: SQL for the operators that SQL can express; the others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op8_benchmark_decontamination": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -87,4 +116,28 @@ ORACLE_SQL: dict[str, str] = {
   e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.c + y.c - i)), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
   r(doc_id, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.doc_id)
   SELECT d.doc_id, coalesce(any_value(c), 0) AS n_shingles, min(root) AS component_id FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1""",
+    "op11_importance_resampling": rf"""WITH {_CRC_TABLE}, d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  b AS (SELECT regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  dw AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY 1, 2), bw AS (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY 1),
+  v AS MATERIALIZED (SELECT w, CAST({_crc_sql('w')} % 10000 AS INTEGER) AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM bw), crc_table),
+  s AS (SELECT bucket, sum(n) AS s FROM dw JOIN v USING (w) GROUP BY 1), t AS (SELECT bucket, sum(n) AS t FROM bw JOIN v USING (w) GROUP BY 1), z AS (SELECT coalesce((SELECT sum(s) FROM s), 0) AS zs, coalesce((SELECT sum(t) FROM t), 0) AS zt),
+  g AS (SELECT bucket, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (zs + 10000) / ((CAST(coalesce(s, 0) AS DOUBLE) + 1) * (zt + 10000)))) AS BIGINT) AS gain FROM (SELECT DISTINCT bucket FROM v) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket), z),
+  x AS (SELECT doc_id, CAST(sum(n * gain) AS BIGINT) AS weight FROM dw JOIN v USING (w) JOIN g USING (bucket) GROUP BY 1),
+  y AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS UBIGINT) AS h FROM d LEFT JOIN x USING (doc_id)),
+  f AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM y),
+  r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM f WHERE n_features >= 20)
+  SELECT f.doc_id, n_features, weight, score, CASE WHEN k <= 10 * (SELECT count(*) FROM r) // 100 THEN k END AS rank FROM f LEFT JOIN r ON f.doc_id = r.doc_id""",
+    "op12_merkle_manifest": rf"""WITH RECURSIVE {_CRC_TABLE}, a AS MATERIALIZED (SELECT doc_id, lang, {_LEAF('n_chars')} AS leaf, CASE WHEN {_crc_sql('CAST(doc_id AS VARCHAR)')} % 7 = 0 THEN {_LEAF('n_chars + 1')} ELSE {_LEAF('n_chars')} END AS bent FROM documents, crc_table),
+  p AS MATERIALIZED (SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM a),
+  lv AS (SELECT tree, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM p
+    UNION ALL SELECT tree, level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM lv WHERE n > 1 GROUP BY tree, level, pos // 2),
+  top AS (SELECT 0 AS level, tree AS pos, h, count(*) OVER () AS n FROM lv WHERE n = 1
+    UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY level, pos // 2),
+  nodes AS MATERIALIZED (SELECT tree, level, pos, h, n FROM lv UNION ALL SELECT -1, level, pos, h, n FROM top),
+  climb AS (SELECT doc_id, tree AS own, tree, 0 AS level, pos, leaf, '' AS proof, bent AS f FROM p
+    UNION ALL SELECT doc_id, own, CASE WHEN m.n > 1 THEN c.tree ELSE -1 END, CASE WHEN m.n > 1 THEN c.level + 1 ELSE 0 END, CASE WHEN m.n > 1 THEN c.pos // 2 ELSE c.own END, leaf,
+      CASE WHEN m.n > 1 THEN proof || coalesce(s.h, '') ELSE proof END, CASE WHEN m.n = 1 THEN f WHEN c.pos % 2 = 1 THEN sha256(coalesce(s.h, '') || f) ELSE sha256(f || coalesce(s.h, '')) END
+    FROM climb c JOIN nodes m ON m.tree = c.tree AND m.level = c.level AND m.pos = c.pos LEFT JOIN nodes s ON s.tree = c.tree AND s.level = c.level AND s.pos = xor(c.pos, 1) AND m.n > 1 WHERE m.n > 1 OR c.tree >= 0)
+  SELECT c.doc_id, leaf, u.h AS subroot, r.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = r.h AS verified
+  FROM climb c JOIN nodes r ON r.tree = -1 AND r.n = 1 AND c.tree = -1 AND c.level = r.level JOIN nodes u ON u.tree = c.own AND u.n = 1""",
 }

@@ -342,7 +342,7 @@ def test_linked_groups_of_many_near_copies(spark):
     assert got == {i: top(i) for i in range(len(sets))} and len({top(i) for i in range(len(sets))}) < len(sets)
 
 
-@pytest.mark.parametrize("name", ["op8_benchmark_decontamination", "op10_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op8_benchmark_decontamination", "op10_ngram_jaccard_join", "op11_importance_resampling", "op12_merkle_manifest"])
 def test_registered_sql(spark, name):
     import os
 
