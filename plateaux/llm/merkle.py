@@ -2,7 +2,7 @@
 
 Trees are built a block of levels at a time: a block holds the nodes under one ancestor, at most ``arity ** stride`` of
 them, so a group is bounded and a table of n rows needs log(n) / stride rounds. What is stored is one row for each node of a block's
-lowest level: its id, its ancestor's id (the link to the parent block's row) and, level by level, the digests of the run's other
+lowest level: its id, its ancestor's id (the link to the parent block's row) and, level by level, the digests (binary) of the run's other
 nodes to its left and right. A recursive query climbs these links from every leaf at once, appends the siblings to the proof and
 folds the (tampered) leaf on the way; each step joins with a table that is smaller by the size of a block.
 """
@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered
-from .common import free_names, scratch, stored
+from .common import dropped, free_names, scratch, stored
 
-ARITY, STRIDE, DIVISOR = 2, 8, 7
+ARITY, STRIDE, DIVISOR = 2, 10, 7
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 _ROUND = 56  # an id is a node's round, shifted, and the rank of its first leaf
 _TOP = 64  # rounds of the tree over the languages' roots start here
@@ -68,7 +68,7 @@ def _steps(blocks: DataFrame, arity: int, stride: int, round_: int, up: Column)
         def side(level: Column, j: Column) -> Column:
             at = F.floor(i / F.pow(F.lit(float(arity)), j)).cast("int")
             run = F.floor(at / arity).cast("int") * arity
-            return F.struct(_join(F.slice(level, run + 1, at - run)).alias("before"), _join(F.slice(level, at + 2, run + arity - at - 1)).alias("after"))
+            return F.struct(F.unhex(_join(F.slice(level, run + 1, at - run))).alias("before"), F.unhex(_join(F.slice(level, at + 2, run + arity - at - 1))).alias("after"))
 
         return F.transform(F.slice("levels", F.lit(1), F.col("h")), side)
 
@@ -87,6 +87,9 @@ def _climb_tree(nodes: DataFrame, arity: int, stride: int, first_round: int, nam
         onward = F.lit((round_ + 1) << _ROUND) + F.col("first") + F.col("block") * scale
         up = F.when(~F.col("done"), onward)
         steps.append(stored(_steps(blocks, arity, stride, round_, up), f"{name}-steps"))
+        # digests alone stay of a block, whose members are in the steps
+        whole, blocks = blocks, stored(blocks.select("tree", "first", "size", "block", "digest", "done"), f"{name}-digests")
+        dropped(whole)
         roots.append(blocks.where("done").select("tree", "digest"))
         rest = blocks.where("not done")
         more = not rest.isEmpty()
@@ -100,27 +103,28 @@ def _climb_tree(nodes: DataFrame, arity: int, stride: int, first_round: int, nam
 
 #: The ascent. The anchor climbs the block of the leaves, which they carry themselves; every step climbs one block more.
 _CLIMB = """WITH RECURSIVE climb(doc_id, tree, leaf, node, proof, folded) MAX RECURSION LEVEL 200 AS (
-  SELECT doc_id, tree, leaf, up, unhex(array_join(transform(sides, s -> s.before || s.after), '')),
-         aggregate(sides, coalesce(tampered, leaf), (h, s) -> sha2(s.before || h || s.after, 256))
+  SELECT doc_id, tree, unhex(leaf), up, {proof_leaf}, unhex({fold_leaf})
   FROM {leaves}
   UNION ALL
-  SELECT c.doc_id, c.tree, c.leaf, n.up, c.proof || unhex(array_join(transform(n.sides, s -> s.before || s.after), '')),
-         aggregate(n.sides, c.folded, (h, s) -> sha2(s.before || h || s.after, 256))
+  SELECT c.doc_id, c.tree, c.leaf, n.up, c.proof || {proof}, unhex({fold})
   FROM climb c JOIN {nodes} n ON c.node = n.id)
-SELECT doc_id, tree, leaf, proof, folded FROM climb WHERE node IS NULL"""
+SELECT doc_id, tree, lower(hex(leaf)) AS leaf, sha2(lower(hex(proof)), 256) AS proof_sha256, lower(hex(folded)) AS folded FROM climb WHERE node IS NULL"""
+_PROOF = "aggregate({sides}, unhex(''), (p, s) -> p || s.before || s.after)"
+_FOLD = "aggregate({sides}, {start}, (h, s) -> sha2(lower(hex(s.before)) || h || lower(hex(s.after)), 256))"
 
 
 def _ascend(spark: SparkSession, leaves: DataFrame, nodes: DataFrame) -> DataFrame:
     """Proof and folded digest of every leaf. The engine's limit on the rows of a recursion is lifted while this runs."""
     stem = scratch(spark, "x").rsplit("-", 1)[-1]
     names = {"leaves": f"leaves_{stem}", "nodes": f"nodes_{stem}"}
+    parts = {"proof_leaf": _PROOF.format(sides="sides"), "proof": _PROOF.format(sides="n.sides"), "fold_leaf": _FOLD.format(sides="sides", start="coalesce(tampered, leaf)"), "fold": _FOLD.format(sides="n.sides", start="lower(hex(c.folded))")}
     leaves.createOrReplaceTempView(names["leaves"])
     nodes.createOrReplaceTempView(names["nodes"])
     key = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(key)
     try:
         spark.conf.set(key, "-1")
-        return stored(spark.sql(_CLIMB.format(**names)), "proofs")
+        return stored(spark.sql(_CLIMB.format(**names, **parts)), "proofs")
     finally:
         spark.conf.set(key, before)
         for view in names.values():
@@ -137,8 +141,9 @@ def manifest(docs: DataFrame, arity: int = ARITY, stride: int = STRIDE, divisor:
     """
     spark = docs.sparkSession
     row, = free_names(docs, "row")
-    flat = stored(leaf_digests(docs, divisor), "leaves").withColumn(row, F.monotonically_increasing_id())  # tells equal rows apart
-    ranked = numbered(flat, [F.asc_nulls_first("lang"), F.asc_nulls_first("doc_id"), "leaf", row], "rank").drop(row)
+    flat = stored(leaf_digests(docs, divisor), "leaves")
+    ranked = numbered(flat.withColumn(row, F.monotonically_increasing_id()), [F.asc_nulls_first("lang"), F.asc_nulls_first("doc_id"), "leaf", row], "rank").drop(row)  # the row's number tells equal ones apart
+    dropped(flat)
     langs = ranked.groupBy("lang").agg(F.min("rank").alias("first"), F.count("*").alias("size"))
     # a tree is known by the rank of its first leaf; languages are joined null-safe, then forgotten
     trees = stored(langs, "trees")
@@ -146,6 +151,7 @@ def manifest(docs: DataFrame, arity: int = ARITY, stride: int = STRIDE, divisor:
         F.col("first").alias("tree"), "first", "size", (F.col("rank") - F.col("first")).alias("pos"), F.col("leaf").alias("hash"),
         F.to_json(F.struct("doc_id", "tampered")).alias("payload"))
     steps, subroots = _climb_tree(placed, arity, stride, 0, "lang")
+    dropped(ranked)
     order = numbered(subroots, ["tree"], "pos")
     n_trees = order.count()
     top = stored(order.select(F.lit(0).cast("long").alias("tree"), F.lit(0).cast("long").alias("first"), F.lit(n_trees).cast("long").alias("size"), "pos", F.col("digest").alias("hash"), F.col("tree").cast("string").alias("payload")), "subroots")
@@ -159,8 +165,9 @@ def manifest(docs: DataFrame, arity: int = ARITY, stride: int = STRIDE, divisor:
         own = s.select("id", "up", "sides")
         nodes = own if nodes is None else nodes.unionByName(own)
     proofs = _ascend(spark, leaves, stored(nodes, "nodes"))
+    dropped(steps[0])
     root = [r["digest"] for r in roots.collect()]  # one digest
     out = proofs.join(entrance.select("tree", "subroot"), "tree")
     folded = F.col("folded")
     root_ = F.lit(root[0] if root else None)
-    return out.select("doc_id", "leaf", "subroot", root_.alias("root"), F.sha2(F.lower(F.hex("proof")), 256).alias("proof_sha256"), folded.alias("folded_root"), (folded == root_).alias("verified"))
+    return out.select("doc_id", "leaf", "subroot", root_.alias("root"), "proof_sha256", folded.alias("folded_root"), (folded == root_).alias("verified"))
