@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .contract import ALLELE, CONTROL, NODE, PLATE, SYMBOL, cell_id, template_number
+from .order import numbered
 
 Names = list[str]
 
@@ -42,7 +43,7 @@ def split_manifest(df: DataFrame, batch: str) -> DataFrame:
 
 def label_index(train: DataFrame, other: DataFrame, label: str, unseen: str = "drop") -> DataFrame:
     """``other`` with the index of its label among the sorted labels of ``train``; unseen ones dropped or set to 0."""
-    index = train.select(label).distinct().withColumn("label_index", (F.dense_rank().over(W.orderBy(label)) - 1).cast("long"))  # a row for each label
+    index = numbered(train.select(label).where(F.col(label).isNotNull()).distinct(), [label], "label_index")
     joined = other.join(index, label, "inner" if unseen == "drop" else "left")
     return joined.withColumn("label_index", F.coalesce("label_index", F.lit(0)))
 

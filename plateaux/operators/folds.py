@@ -39,6 +39,32 @@ def split_by_fold(cells: DataFrame, folds: DataFrame, layout: str = "plates") ->
     return joined.withColumn("role", role).where("role is not null")
 
 
+def fold_lists(cells: DataFrame, folds: DataFrame, layout: str = "plates") -> DataFrame:
+    """One row a cell and pair, as given, with the numbers of the folds that it is tested in (``tests``) and learned from
+    (``trains``): what split_by_fold() says, without a copy of the cell for each fold."""
+    if layout == "wells":
+        each = folds.select("pair_id", "fold_id", F.explode("test_wells").alias(WELL))
+        every = folds.groupBy("pair_id").agg(F.sort_array(F.collect_list("fold_id")).alias("__all"))
+        tests = each.groupBy("pair_id", WELL).agg(F.sort_array(F.collect_list("fold_id")).alias("tests"))
+        joined = cells.join(every, "pair_id").join(tests, ["pair_id", WELL], "left").withColumn("tests", F.coalesce("tests", F.array().cast("array<int>")))
+        return joined.withColumn("trains", F.array_except("__all", "tests")).drop("__all")
+    roles = [folds.select("pair_id", "fold_id", F.explode(f"{name}_plates").alias(PLATE), F.lit(name).alias("role")) for name in ("test", "train")]
+    own = lambda role: F.sort_array(F.collect_list(F.when(F.col("role") == role, F.col("fold_id"))))
+    lists = roles[0].unionByName(roles[1]).groupBy("pair_id", PLATE).agg(own("test").alias("tests"), own("train").alias("trains"))
+    return cells.join(lists, ["pair_id", PLATE])
+
+
+def list_sizes(cells: DataFrame, least_train: int = 50, least_test: int = 10) -> DataFrame:
+    """task_sizes() of rows with lists of folds: counted by the lists, which are few, before folds become rows."""
+    counted = cells.groupBy("pair_id", "Label", "tests", "trains").agg(F.count("*").alias("n"))
+    sides = [counted.select("pair_id", "Label", "n", F.explode(c).alias("fold_id"), F.lit(c).alias("side")) for c in ("tests", "trains")]
+    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+    train, test = F.col("side") == "trains", F.col("side") == "tests"
+    sizes = sides[0].unionByName(sides[1]).groupBy("pair_id", "fold_id").agg(n(train).alias("n_train"), n(test).alias("n_test"), n(train & (F.col("Label") == 1)).alias("n_train_ref"), n(train & (F.col("Label") == 0)).alias("n_train_var"))
+    ratio = F.try_divide(F.greatest("n_train_ref", "n_train_var"), F.least("n_train_ref", "n_train_var"))
+    return sizes.where((F.col("n_train") >= least_train) & (F.col("n_test") >= least_test)).withColumn("imbalance_ratio", ratio)
+
+
 def task_sizes(split: DataFrame, least_train: int = 50, least_test: int = 10) -> DataFrame:
     """Folds with enough rows on both sides, their class counts in training, and the imbalance ratio."""
     n = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")

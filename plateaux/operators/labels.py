@@ -7,60 +7,49 @@ from pyspark.sql import functions as F
 
 from .contract import first_per_key
 
-# Sentinels, code maps, cut-offs and tiers of the predictors.
+# What counts as no value, code maps, and tiers (lowest score of each, from the top).
 SENTINELS = ("", ".")
 FIVE_COARSE = {"P": "Pathogenic", "LP": "Pathogenic", "B": "Benign", "LB": "Benign", "A": "Ambiguous"}
 FIVE_STRICT = {"P": "Pathogenic", "LP": "Likely pathogenic", "B": "Benign", "LB": "Likely benign", "A": "Ambiguous"}
 TWO = {"D": "Pathogenic", "T": "Benign"}
+COARSE_TIERS = ((0.5, "Pathogenic"), (float("-inf"), "Benign"))
 REVEL_TIERS = ((0.773, "Pathogenic"), (0.644, "Likely pathogenic"), (0.290, "Ambiguous"), (0.183, "Likely benign"), (0.0, "Benign"))
 MUTPRED_TIERS = ((0.75, "Pathogenic"), (0.50, "Likely pathogenic"), (0.25, "Likely benign"), (0.0, "Benign"))
-CUTOFF = 0.5
 
-
-def cleaned(c: str) -> Column:
-    return F.when(~F.col(c).isin(*SENTINELS), F.col(c))
-
-
-def as_score(c: str) -> Column:
-    return cleaned(c).try_cast("double")
-
-
-def coarse_bin(score: Column, cutoff: float = CUTOFF) -> Column:
-    return F.when(score >= cutoff, "Pathogenic").when(score < cutoff, "Benign")
+#: predictor: rules (label column, source column, how): codes as a map, scores as tiers, None for labels as they are.
+RULES = {
+    "clinvar": [("clinvar_label", "clinvar_clnsig_clean", None), ("clinvar_label_strict", "clinvar_clnsig_clean_pp_strict", None)],
+    "alphamissense": [("alphamissense_label", "AlphaMissense_pred", FIVE_COARSE), ("alphamissense_label_strict", "AlphaMissense_pred", FIVE_STRICT)],
+    "esm1b": [("esm1b_label", "ESM1b_pred", TWO)],
+    "revel": [("revel_label", "REVEL_score", COARSE_TIERS), ("revel_label_strict", "REVEL_score", REVEL_TIERS)],
+    "mutpred": [("mutpred_label", "MutPred_score", COARSE_TIERS), ("mutpred_label_strict", "MutPred_score", MUTPRED_TIERS)],
+}
 
 
-def strict_bin(score: Column, tiers) -> Column:
-    """The first tier, from the top, that the score reaches; null below the last."""
-    out = F.lit(None).cast("string")
-    for edge, label in reversed(tiers):
+def ruled(source: str, how) -> Column:
+    """A label by its rule; null where the value is a sentinel, no number where one is due, or reaches no tier."""
+    if how is None:
+        return F.col(source)
+    value = F.when(~F.col(source).isin(*SENTINELS), F.col(source))
+    if isinstance(how, dict):
+        return F.create_map(*[F.lit(x) for pair in how.items() for x in pair])[value]
+    score, out = value.try_cast("double"), F.lit(None).cast("string")
+    for edge, label in reversed(how):
         out = F.when(score >= edge, label).otherwise(out)
     return out
 
 
-def coded(c: str, codes: dict[str, str]) -> Column:
-    return F.create_map(*[F.lit(x) for p in codes.items() for x in p])[cleaned(c)]
-
-
-#: name: (source columns, label columns from them, (comparison, label column, group a, group b) rows)
-PREDICTORS = {
-    "clinvar": (["clinvar_clnsig_clean", "clinvar_clnsig_clean_pp_strict"], lambda: {"clinvar_label": F.col("clinvar_clnsig_clean"), "clinvar_label_strict": F.col("clinvar_clnsig_clean_pp_strict")}),
-    "alphamissense": (["AlphaMissense_pred"], lambda: {"alphamissense_label": coded("AlphaMissense_pred", FIVE_COARSE), "alphamissense_label_strict": coded("AlphaMissense_pred", FIVE_STRICT)}),
-    "esm1b": (["ESM1b_pred"], lambda: {"esm1b_label": coded("ESM1b_pred", TWO)}),
-    "revel": (["REVEL_score"], lambda: {"revel_label": coarse_bin(as_score("REVEL_score")), "revel_label_strict": strict_bin(as_score("REVEL_score"), REVEL_TIERS)}),
-    "mutpred": (["MutPred_score"], lambda: {"mutpred_label": coarse_bin(as_score("MutPred_score")), "mutpred_label_strict": strict_bin(as_score("MutPred_score"), MUTPRED_TIERS)}),
-}
-
-
 def predictor_labels(variants: DataFrame, predictor: str) -> DataFrame:
     """gene_variant and the predictor's labels, one row for each variant."""
-    if predictor not in PREDICTORS:
-        raise ValueError(f"unknown predictor {predictor!r}; known are {sorted(PREDICTORS)}")
-    source, labels = PREDICTORS[predictor]
-    return first_per_key(variants.select("gene_variant", *source), ["gene_variant"]).select("gene_variant", *[c.alias(n) for n, c in labels().items()])
+    if predictor not in RULES:
+        raise ValueError(f"unknown predictor {predictor!r}; known are {sorted(RULES)}")
+    rules = RULES[predictor]
+    sources = list(dict.fromkeys(source for _, source, _ in rules))
+    return first_per_key(variants.select("gene_variant", *sources), ["gene_variant"]).select("gene_variant", *[ruled(source, how).alias(name) for name, source, how in rules])
 
 
 def comparisons(spark: SparkSession, predictor: str) -> DataFrame:
     """(comparison, label_column, group_a, group_b): pathogenic against benign by each label column."""
-    columns = list(PREDICTORS[predictor][1]())
+    columns = [name for name, _, _ in RULES[predictor]]
     rows = [("Pathogenic_vs_Benign" + ("_strict" if c.endswith("_strict") else ""), c, "Pathogenic", "Benign") for c in columns]
     return spark.createDataFrame(rows, "comparison string, label_column string, group_a string, group_b string")

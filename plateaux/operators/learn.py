@@ -1,118 +1,93 @@
-"""Many small classifiers: one gradient-boosted tree model for each task, fitted on the executors."""
+"""Many small classifiers in one fit: a logistic model for each task, by Spark's own learner.
+
+The features of a row are multiplied with the indicator of its task, so the coefficients of all tasks are one long vector that
+falls into a block for each, and the loss is a sum over tasks. One distributed fit then trains them all, whatever their number, and a
+task with a third of the rows is spread like any other. Folds are lists of task numbers in the cells' rows; cells are
+copied only on their way into the learner.
+"""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .contract import OBJECT, PLATE, WELL
+from ..functions.blocks import column
+from .contract import OBJECT, PLATE, WELL, union_all
+from .order import numbered
 
-#: Rounds, step, depth, bins: the defaults of the boosted trees.
-ROUNDS, RATE, DEPTH, BINS = 150, 0.05, 3, 32
 MAX_IMBALANCE = 100
+ROUNDS, PENALTY = 100, 1e-4
+TOP, COEFFICIENTS = 50, 1 << 18
 PREDICTION_SCHEMA = f"Classifier_ID string, {PLATE} string, {WELL} string, {OBJECT} long, Label byte, Prediction float, Feature_Type string, Control boolean"
 
 
-class BoostedTrees:
-    """Histogram gradient boosting with logistic loss; positives weigh n_neg / n_pos."""
-
-    def __init__(self, rounds: int = ROUNDS, rate: float = RATE, depth: int = DEPTH, bins: int = BINS, ridge: float = 1.0):
-        self.rounds, self.rate, self.depth, self.bins, self.ridge = rounds, rate, depth, bins, ridge
-
-    def _codes(self, x: np.ndarray) -> np.ndarray:
-        return np.stack([np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)], 1)
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostedTrees:
-        q = np.linspace(0, 1, self.bins + 1)[1:-1]
-        self.edges = [np.unique(np.quantile(x[:, j], q)) for j in range(x.shape[1])]
-        codes = self._codes(x)
-        weight = np.where(y == 1, (y == 0).sum() / max(1, (y == 1).sum()), 1.0)
-        score = np.zeros(len(y))
-        self.gain, self.trees = np.zeros(x.shape[1]), []
-        for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-score))
-            g, h = weight * (p - y), weight * p * (1 - p)
-            tree, node = {}, np.zeros(len(y), np.int64)
-            self._grow(tree, 0, np.arange(len(y)), codes, g, h, node, 0)
-            self.trees.append(tree)
-            score += self._leaf(tree, codes)
-        return self
-
-    def _grow(self, tree, k, rows, codes, g, h, node, depth):
-        total_g, total_h = g[rows].sum(), h[rows].sum()
-        best = (1e-6, None, None)
-        if depth < self.depth and len(rows) > 1:
-            for j, e in enumerate(self.edges):
-                n = len(e) + 1
-                lg, lh = np.cumsum(np.bincount(codes[rows, j], g[rows], n))[:-1], np.cumsum(np.bincount(codes[rows, j], h[rows], n))[:-1]
-                if not len(lg):
-                    continue
-                rg, rh = total_g - lg, total_h - lh
-                gain = lg**2 / (lh + self.ridge) + rg**2 / (rh + self.ridge) - total_g**2 / (total_h + self.ridge)
-                at = int(gain.argmax())
-                if gain[at] > best[0]:
-                    best = (float(gain[at]), j, at)
-        if best[1] is None:
-            tree[k] = -self.rate * total_g / (total_h + self.ridge)
-            return
-        self.gain[best[1]] += best[0]
-        tree[k] = best[1:]
-        low = codes[rows, best[1]] <= best[2]
-        self._grow(tree, 2 * k + 1, rows[low], codes, g, h, node, depth + 1)
-        self._grow(tree, 2 * k + 2, rows[~low], codes, g, h, node, depth + 1)
-
-    def _leaf(self, tree, codes):
-        out, todo = np.zeros(len(codes)), [(0, np.arange(len(codes)))]
-        while todo:
-            k, rows = todo.pop()
-            if isinstance(tree[k], tuple):
-                low = codes[rows, tree[k][0]] <= tree[k][1]
-                todo += [(2 * k + 1, rows[low]), (2 * k + 2, rows[~low])]
-            else:
-                out[rows] = tree[k]
-        return out
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        codes = self._codes(x)
-        return 1 / (1 + np.exp(-sum(self._leaf(t, codes) for t in self.trees)))
-
-
-def usable(y: np.ndarray) -> bool:
-    """Both classes, and not too far from balance."""
-    n, m = int((y == 1).sum()), int((y == 0).sum())
-    return min(n, m) > 0 and max(n, m) <= MAX_IMBALANCE * min(n, m)
-
-
-def fit_tasks(tasks: DataFrame, names: list[str], rounds: int = ROUNDS) -> DataFrame:
-    """Predictions for the test rows of each task, and the fifty largest importances on its first row.
-
-    ``tasks``: task_id, role, Label, the cell's keys, channel, is_control, features. A task is one pair, channel and fold,
-    bounded by the cells of two alleles on a few plates; tasks with one class or beyond the imbalance give no rows.
+def usable(sizes: DataFrame) -> DataFrame:
+    """Tasks whose training rows have both classes, not too far from balance."""
+    return sizes.where((F.col("n_train_ref") > 0) & (F.col("n_train_var") > 0) & (F.col("imbalance_ratio") <= MAX_IMBALANCE))
+
+
+def _scales(cells: DataFrame, width: int) -> tuple[list[float], list[float]]:
+    """Mean and spread of each feature over all cells, by which all tasks' features are scaled; missing values become the mean."""
+    from .moments import moments
+
+    found = sorted(moments(cells, width).collect(), key=lambda r: r["i"])  # a row for each feature
+    spread = [float(np.sqrt((r["m2"] or 0) / max(1, r["n"]))) for r in found]
+    return [float(r["mean"] or 0) for r in found], [s if s > 0 else 1.0 for s in spread]
+
+
+def fit_tasks(cells: DataFrame, tasks: DataFrame, names: list[str], rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[DataFrame, DataFrame]:
+    """Predictions (task_id, the columns of the cell, prediction of label 1) for the test cells of every task, and importances
+    (task_id, feature, importance), the fifty largest of each task.
+
+    ``cells``: Label (1, 0), features, ``trains`` and ``tests`` (arrays of task ids), and whatever else identifies a cell.
+    ``tasks``: task_id, n_train_ref, n_train_var of the tasks to be fitted. Both classes of a task weigh as much, and all tasks,
+    so a task's penalty does not depend on the others.
+    Importance is the share of a feature in the sum of absolute coefficients of scaled features. A fit has at most
+    COEFFICIENTS of them, as the driver holds that vector; more tasks are several fits, with the same results.
     """
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        train, test = g[g["role"] == "train"], g[g["role"] == "test"].reset_index(drop=True)
-        y = train["Label"].to_numpy()
-        out = pd.DataFrame({"Classifier_ID": test["task_id"], PLATE: test[PLATE], WELL: test[WELL], OBJECT: test[OBJECT], "Label": test["Label"], "Prediction": 0.0, "Feature_Type": test["channel"], "Control": test["is_control"], "importances": None})
-        if not usable(y) or not len(test):
-            return out.iloc[:0]
-        model = BoostedTrees(rounds).fit(np.stack(train["features"]), y)
-        out["Prediction"] = model.predict(np.stack(test["features"]))
-        total = model.gain.sum() or 1.0
-        top = sorted(zip(-model.gain / total, names, strict=True))[:50]
-        out.at[0, "importances"] = [{"feature": n, "importance": float(-v)} for v, n in top]
-        return out
-
-    return tasks.groupBy("task_id").applyInPandas(run, PREDICTION_SCHEMA + ", importances array<struct<feature:string,importance:double>>")
-
-
-def one_large_model(train: DataFrame, label: str = "Label"):
-    """For a single big task: Spark's own boosted trees, with class weights."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import array_to_vector
-
-    counts = {r[label]: r["count"] for r in train.groupBy(label).count().collect()}  # two classes
-    weight = F.when(F.col(label) == 1, counts.get(0, 1) / max(1, counts.get(1, 1))).otherwise(1.0)
-    ready = train.withColumns({"__x": array_to_vector("features"), "__w": weight, "__y": F.col(label).cast("double")})
-    return GBTClassifier(featuresCol="__x", labelCol="__y", weightCol="__w", maxIter=ROUNDS, stepSize=RATE, maxDepth=6, seed=42).fit(ready)
+    spark = cells.sparkSession
+    rest = [c for c in cells.columns if c not in ("features", "trains", "tests")]
+    known = numbered(tasks.select("task_id", (0.5 / F.col("n_train_ref")).alias("__one"), (0.5 / F.col("n_train_var")).alias("__zero")), ["task_id"], "__task")
+    n_tasks, width = known.count(), len(names)
+    if not n_tasks:
+        types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
+        none = spark.createDataFrame([], f"task_id string, {', '.join(f'`{c}` {types[c]}' for c in rest)}, prediction double")
+        return none, spark.createDataFrame([], "task_id string, feature string, importance double")
+    means, spreads = _scales(cells, width)
+    table = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(means, spreads, strict=True)])
+    scaled = F.zip_with("features", table, lambda x, t: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise((x - t["m"]) / t["s"]))
+    ready = cells.withColumn("__x", F.concat(scaled, F.array(F.lit(1.0))))
+    size = max(1, COEFFICIENTS // (width + 1))
+    fits = [_fit(ready, rest, known.where((F.col("__task") >= low) & (F.col("__task") < low + size)), low, min(size, n_tasks - low), names, rounds, penalty) for low in range(0, n_tasks, size)]
+    return union_all([f[0] for f in fits]), union_all([f[1] for f in fits])
+
+
+def _fit(ready: DataFrame, rest: list[str], known: DataFrame, low: int, n: int, names: list[str], rounds: int, penalty: float) -> tuple[DataFrame, DataFrame]:
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import Interaction, OneHotEncoder, VectorAssembler, VectorSizeHint
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    spark, width = ready.sparkSession, len(names)
+
+    def rows(role: str) -> DataFrame:
+        each = ready.withColumn("task_id", F.explode(role)).join(known, "task_id")
+        return each.select("task_id", *rest, array_to_vector("__x").alias("__v"), (F.col("__task") - low).cast("double").alias("__k"), F.when(F.col("Label") == 1, F.col("__one")).otherwise(F.col("__zero")).alias("__w"), F.col("Label").cast("double").alias("__y"))
+
+    encoder = OneHotEncoder(inputCol="__k", outputCol="__own", dropLast=False).fit(spark.range(n).select(F.col("id").cast("double").alias("__k")))
+    learner = LogisticRegression(featuresCol="__both", labelCol="__y", weightCol="__w", fitIntercept=False, standardization=False, maxIter=rounds, tol=1e-9, regParam=penalty / n, probabilityCol="__p", predictionCol="__c", rawPredictionCol="__r")
+    stages = [encoder, VectorSizeHint(inputCol="__v", size=width + 1), VectorAssembler(inputCols=["__v"], outputCol="__all"), Interaction(inputCols=["__own", "__all"], outputCol="__both"), learner]
+    model = Pipeline(stages=stages).fit(rows("trains"))
+    scored = model.transform(rows("tests")).select("task_id", *rest, vector_to_array("__p")[1].alias("prediction"))
+    weights = spark.sparkContext.broadcast(np.abs(model.stages[-1].coefficients.toArray()).reshape(n, width + 1)[:, :width])
+
+    def top(batches):
+        for batch in batches:
+            for name, k in zip(column(batch, "task_id").to_pylist(), column(batch, "__task").to_pylist(), strict=True):
+                own = weights.value[k - low]
+                order = np.lexsort((names, -own))[:TOP]
+                yield pa.record_batch({"task_id": pa.array([name] * len(order)), "feature": pa.array([names[j] for j in order]), "importance": pa.array(own[order] / (own.sum() or 1.0))})
+
+    return scored, known.select("task_id", "__task").mapInArrow(top, "task_id string, feature string, importance double")

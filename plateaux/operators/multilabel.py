@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import norm
-from .similarity import _ranked, cosine
+from ..sources.scratch import stored
+from .ranking import Side, precision
 
 
 def gene_labels(scores: DataFrame, least: float = 1.0) -> DataFrame:
@@ -24,23 +24,41 @@ def label_counts(labels: DataFrame) -> DataFrame:
 
 
 def multilabel_ap(pool: DataFrame, row: str, key: str, run: list[str] = (), differ: list[str] = ()) -> DataFrame:
-    """One AP for each row and label: positives have another key and the label, negatives another key and no common label.
+    """One AP for each row and label: positives have another key and the label, and differ in ``differ``; negatives have
+    another key and no common label. Labels that a row has are ranked also where no other row has them (ap null)."""
+    base = stored(pool.select(F.col(row).alias("id"), *[c for c in dict.fromkeys([key, *run, *differ]) if c != row], "labels", F.col("features").cast("array<double>").alias("features")), "pool")
+    found = precision(base, base, Side([], [key, *differ], True), Side([], [key], False), run)
+    return found.join(base.select("id", *run, *([key] if key not in run else [])), ["id", *run]).withColumnRenamed("id", row)
 
-    Positives join on the label. Negatives are the rest, so rows are held against the consensus rows of their run, one for
-    each gene, which are few; the label sets decide.
+
+LEVELS = {"gene": [], "plate": ["plate"], "fov": ["plate", "unit"]}
+
+
+def consensus(df: DataFrame, labels: DataFrame, levels: list[str], unit: str = "site") -> DataFrame:
+    """Median profiles of genes that have labels, at each of the levels: gene; gene and plate; gene, plate and unit (fov).
+
+    One pass of grouping sets over the cells; the level is a column, and plate and unit are null above their level. ``df`` has
+    symbol, plate, the unit and features. Columns: level, id, symbol, plate, labels, features.
     """
-    base = pool.select(row, key, "labels", "features", *run, *differ).withColumn("__norm", norm(F.col("features")))
-    other = base.select(F.col(row).alias("partner"), *[F.col(c).alias(f"__{c}") for c in (key, "labels", *run, *differ)], F.col("features").alias("__f"), F.col("__norm").alias("__n2"))
-    apart = (F.col(key) != F.col(f"__{key}"))
-    for c in run:
-        apart = apart & (F.col(c) == F.col(f"__{c}"))
-    scored = base.join(other, apart).withColumn("similarity", cosine("features", "__f", "__norm", "__n2"))
-    each = scored.withColumn("label", F.explode("labels"))
-    positive = F.array_contains("__labels", F.col("label"))
-    for c in differ:
-        positive = positive & (F.col(c) != F.col(f"__{c}"))
-    pairs = each.withColumn("positive", positive.cast("int")).where(positive | ~F.arrays_overlap("labels", "__labels")).select(row, key, *run, "label", "partner", "similarity", "positive")
-    return _ranked(pairs, [row, key, *run, "label"])
+    if unknown := set(levels) - set(LEVELS):
+        raise ValueError(f"unknown levels {sorted(unknown)}; known are {sorted(LEVELS)}")
+    own = df.join(labels.select(F.col("gene").alias("symbol")), "symbol", "left_semi")
+    keys = ["symbol", "plate", "unit", "i"]
+    long = own.select("symbol", "plate", F.col(unit).alias("unit"), F.posexplode("features").alias("i", "x"))
+    sets = [[F.col("symbol"), *[F.col(c) for c in LEVELS[name]], F.col("i")] for name in levels]
+    marks = (F.grouping("plate") * 2 + F.grouping("unit")).alias("mark")
+    medians = long.groupingSets(sets, *[F.col(c) for c in keys]).agg(marks, F.median("x").alias("m"))
+    name = F.when(F.col("mark") == 3, "gene").when(F.col("mark") == 1, "plate").otherwise("fov").alias("level")
+    packed = medians.groupBy(name, "symbol", "plate", "unit").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("features"))
+    id_ = F.concat_ws("|", "level", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("symbol", "plate", "unit")])
+    return packed.withColumn("id", id_).join(labels.select(F.col("gene").alias("symbol"), "labels"), "symbol").select("level", "id", "symbol", "plate", "labels", "features")
+
+
+def level_ap(pool: DataFrame, run: list[str] = ()) -> DataFrame:
+    """AP of every profile of consensus() and label, within its level and ``run``; where profiles have plates, positives are on
+    other plates than the query."""
+    apart = pool.withColumn("__plate", F.when(F.col("level") == "gene", F.col("symbol")).otherwise(F.col("plate")))
+    return multilabel_ap(apart, "id", "symbol", ["level", *run], ["__plate"])
 
 
 def summarize(results: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,29 +1,25 @@
 """Per-plate statistics and robust scaling.
 
-Statistics are born long, (plate, feature), and small; they go back to the cells as one array for each plate. Exact
-medians keep a map of a group's distinct values; ``exact=False`` bounds that with Spark's percentile sketch.
+Statistics are long, (plate, feature), and small; they go back to the cells as one array for each plate. Medians are exact
+and found by counting (see quantiles), so no task holds a group's values.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import present
-from .contract import PLATE, long_form, take_features
+from .contract import PLATE, take_features
+from .moments import feature_moments
+from .quantiles import medians_and_mads
 
 
-def _median(x: str | Column, exact: bool) -> Column:
-    return F.median(x) if exact else F.percentile_approx(x, 0.5, 10_000)
-
-
-def plate_stats(df: DataFrame, names: list[str], exact: bool = True) -> DataFrame:
-    """Metadata_Plate, feature, median, mad, min, max, count, abs_coef_var; missing values left out."""
-    values = long_form(df, names, PLATE).withColumn("value", present(F.col("value"))).where("value is not null")
-    first = values.groupBy(PLATE, "feature").agg(_median("value", exact).alias("median"), F.min("value").alias("min"), F.max("value").alias("max"), F.count("value").alias("count"))
-    away = values.join(first.select(PLATE, "feature", "median"), [PLATE, "feature"]).groupBy(PLATE, "feature").agg(_median(F.abs(F.col("value") - F.col("median")), exact).alias("mad"))
-    out = first.join(away, [PLATE, "feature"])
-    return out.withColumn("abs_coef_var", F.coalesce(F.abs(F.try_divide("mad", "median")), F.lit(0.0))).select(PLATE, "feature", "median", "mad", "min", "max", "count", "abs_coef_var")
+def plate_stats(df: DataFrame, names: list[str]) -> DataFrame:
+    """Metadata_Plate, feature, median, mad, min, max, count, abs_coef_var; missing values and rows without a plate left out."""
+    found = medians_and_mads(df, len(names), PLATE).where("n > 0")
+    labels = F.array(*map(F.lit, names))
+    spread = F.coalesce(F.abs(F.try_divide("mad", "median")), F.lit(0.0))
+    return found.select(F.col("group").alias(PLATE), labels[F.col("i")].alias("feature"), "median", "mad", "min", "max", F.col("n").alias("count"), spread.alias("abs_coef_var"))
 
 
 def variant_features(stats: DataFrame, least: float = 1e-3) -> DataFrame:
@@ -47,11 +43,8 @@ def robust_z(df: DataFrame, names: list[str], stats: DataFrame) -> DataFrame:
 
 
 def feature_spread(df: DataFrame, names: list[str]) -> DataFrame:
-    """feature, std over all rows."""
-    values = df.select("features")
-    row = values.agg(*[F.stddev_samp(F.col("features")[i]).alias(f"c{i}") for i in range(len(names))])
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.col(f"c{i}").alias("std")) for i, n in enumerate(names)])
-    return row.select(F.explode(pairs).alias("p")).select("p.*")
+    """feature, std over the rows that have a value; null with fewer than two."""
+    return feature_moments(df, names).select("feature", F.when(F.col("n") > 1, F.sqrt(F.col("m2") / (F.col("n") - 1))).alias("std"))
 
 
 def drop_dead_features(df: DataFrame, names: list[str], least: float = 1e-6) -> tuple[DataFrame, list[str]]:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.stats import missing, present
 from .contract import KEYS, PLATE, WELL, long_form, take_features, template_number
+from .moments import feature_moments
 
 
 def filter_to_manifest(df: DataFrame, manifest: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -22,11 +23,8 @@ def drop_low_count_wells(df: DataFrame, least: int = 20) -> DataFrame:
 
 
 def missing_counts(df: DataFrame, names: list[str]) -> DataFrame:
-    """feature, n_missing: one pass over all features, without a row for each value."""
-    ones = F.transform("features", lambda x: F.when(missing(x), 1).otherwise(0).cast("long"))
-    counts = df.select(ones.alias("m")).agg(*[F.sum(F.col("m")[i]).alias(f"c{i}") for i in range(len(names))])
-    pairs = F.array(*[F.struct(F.lit(n).alias("feature"), F.coalesce(F.col(f"c{i}"), F.lit(0)).cast("long").alias("n_missing")) for i, n in enumerate(names)])
-    return counts.select(F.explode(pairs).alias("p")).select("p.*")
+    """feature, n_missing: one pass over all features, without a row or a column for each."""
+    return feature_moments(df, names).select("feature", "n_missing")
 
 
 def drop_missing(df: DataFrame, names: list[str], most: int = 100) -> tuple[DataFrame, list[str]]:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
+from ..functions.blocks import column, finite, matrix
 from ..functions.stats import present
-from .contract import long_form, take_features
+from .contract import long_form, take_features, union_all
+from .moments import moments
 
 #: Patterns of names that are never used.
 BLOCKED_PATTERNS = ("_Neighbors_",)
@@ -30,12 +33,17 @@ def apply_blocklist(df: DataFrame, names: list[str], patterns: tuple[str, ...] =
 
 
 def value_concentration(df: DataFrame, names: list[str]) -> DataFrame:
-    """feature, freq_ratio (second most common value to most common; 0 if there is one value), unique_ratio."""
+    """feature, freq_ratio (second most common value to most common; 0 if there is one value), unique_ratio.
+
+    Counts are taken by feature and value, then by feature and count: what meets in one row for a feature are the different
+    counts that its values have, at most about the square root of twice the cells.
+    """
     values = long_form(df, names).withColumn("value", present(F.col("value"))).where("value is not null")
-    counts = values.groupBy("feature", "value").agg(F.count("*").alias("n"))
-    # only the two largest counts matter; the ranking sorts the distinct values of each feature
-    top = counts.withColumn("k", F.row_number().over(W.partitionBy("feature").orderBy(F.desc("n"), "value")))
-    return top.groupBy("feature").agg(F.coalesce(F.max(F.when(F.col("k") == 2, F.col("n"))) / F.max(F.when(F.col("k") == 1, F.col("n"))), F.lit(0.0)).alias("freq_ratio"), (F.count("*") / F.sum("n")).alias("unique_ratio"))
+    counts = values.groupBy("feature", "value").agg(F.count("*").alias("n")).groupBy("feature", "n").agg(F.count("*").alias("m"))
+    top = counts.groupBy("feature").agg(F.sort_array(F.collect_list(F.struct("n", "m")), False).alias("c"), F.sum("m").alias("values"), F.sum(F.col("n") * F.col("m")).alias("rows"))
+    first, second = F.col("c")[0], F.get("c", F.lit(1))
+    common = F.when(first["m"] > 1, first["n"]).otherwise(F.coalesce(second["n"], F.lit(0)))
+    return top.select("feature", (common / first["n"]).alias("freq_ratio"), (F.col("values") / F.col("rows")).alias("unique_ratio"))
 
 
 def variance_threshold(df: DataFrame, names: list[str], freq_cut: float = 0.05, unique_cut: float = 0.01) -> DataFrame:
@@ -49,18 +57,84 @@ def prefilter(df: DataFrame, names: list[str], freq_cut: float = 0.05, unique_cu
     return take_features(df, names, [r["feature"] for r in variance_threshold(df, names, freq_cut, unique_cut).where("kept").collect()])  # names
 
 
+PANEL = 96 << 20  # bytes of the products that a task sums
+
+
+def _products(df: DataFrame, means: np.ndarray, gaps: np.ndarray, rows: range) -> DataFrame:
+    """(i, v) for the features in ``rows``: sums over all cells of the centred feature i times every feature, then what the
+    cells with missing values take away from them, in the order of _pearson. A task sums its cells into one panel."""
+    width, lost = len(means), len(gaps)
+
+    def run(batches):
+        total = None
+        for batch in batches:
+            x, here = finite(matrix(column(batch, "features"), width))
+            x = np.where(here, x - means, 0.0)
+            part = x[:, rows.start:rows.stop]
+            away = (~here[:, gaps]).astype(float)
+            own = (~here[:, rows.start:rows.stop]).astype(float) if lost else np.zeros((len(x), len(rows)))
+            sums = [part.T @ x, part.T @ away, (part**2).T @ away, own.T @ away] + ([own.T @ x, own.T @ x**2] if lost else [])
+            total = sums if total is None else [a + b for a, b in zip(total, sums, strict=True)]
+        if total is not None:
+            both = np.concatenate(total, 1)
+            for low in range(0, len(rows), 256):
+                piece = np.ascontiguousarray(both[low:low + 256])
+                ends = np.arange(len(piece) + 1, dtype=np.int32) * piece.shape[1]
+                yield pa.record_batch({"i": pa.array(np.arange(rows.start + low, rows.start + low + len(piece), dtype=np.int32)), "v": pa.ListArray.from_arrays(ends, piece.ravel())})
+
+    # fewer, larger sums leave the tasks; each is one array a feature
+    tasks = 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.select("features").coalesce(tasks).mapInArrow(run, "i int, v array<double>")
+
+
+def _pearson(i: int, v: np.ndarray, n: int, m2: np.ndarray, missing: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Correlations of feature i with every feature, over the cells that have both; NaN where either is constant there."""
+    p, g = len(m2), len(gaps)
+    cut = np.cumsum([p, g, g, g, p, p])
+    both = v[:p]
+    spread = lambda part: np.bincount(gaps, part, p) if g else np.zeros(p)
+    mine, mine2, gone = (spread(v[a:b]) for a, b in zip(cut[:3], cut[1:4], strict=True))
+    other, other2 = (v[cut[3]:cut[4]], v[cut[4]:cut[5]]) if g else (np.zeros(p), np.zeros(p))
+    count = n - missing[i] - missing + gone
+    with np.errstate(invalid="ignore", divide="ignore"):
+        cov = both - mine * other / count
+        a, b = m2[i] - mine2 - mine**2 / count, m2 - other2 - other**2 / count
+        r = np.clip(cov / np.sqrt(a * b), -1, 1)
+    return np.where((a > 1e-13 * m2[i]) & (b > 1e-13 * m2) & (count > 0), r, np.nan)
+
+
 def correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, r) for all ordered pairs of features: Pearson over complete pairs, from one pass of sums (p * p columns)."""
-    n = len(names)
-    pairs = [(i, j) for i in range(n) for j in range(i + 1, n)]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    x = [present(F.col("features")[i]) for i in range(n)]
-    # over rows that have both; null where either is constant, on which corr() itself would raise an error
-    spread = lambda i, j: F.stddev_pop(F.when(x[j].isNotNull(), x[i]))
-    row = df.agg(*[F.try_divide(F.covar_pop(x[i], x[j]), spread(i, j) * spread(j, i)).alias(f"c{i}_{j}") for i, j in pairs])
-    entries = F.array(*[F.struct(F.lit(names[a]).alias("a"), F.lit(names[b]).alias("b"), F.col(f"c{i}_{j}").alias("r")) for i, j in pairs for a, b in ((i, j), (j, i))])
-    return row.select(F.explode(entries).alias("e")).select("e.*")
+    """(a, b, r) for all ordered pairs of features: Pearson over the cells that have both, null where either is constant.
+
+    Two passes: means, then products of the centred features as matrix products of batches. Tasks hold sums, not pairs as
+    columns or rows, in panels of at most PANEL bytes; sums of one feature meet by addition. Pairs become rows at the end.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    spark, p = df.sparkSession, len(names)
+    empty = spark.createDataFrame([], "a string, b string, r double")
+    found = sorted(moments(df, p).collect(), key=lambda r: r["i"])  # a row for each feature
+    if p < 2 or not found:
+        return empty
+    get = lambda c: np.array([r[c] if r[c] is not None else 0.0 for r in found], float)
+    means, missing, n = get("mean"), get("n_missing"), int(found[0]["n"] + found[0]["n_missing"])
+    m2 = np.where(get("min") == get("max"), 0.0, get("m2"))
+    gaps = np.flatnonzero(missing > 0)
+    size = max(1, PANEL // (8 * (3 * p + 3 * len(gaps) if len(gaps) else p)))
+    parts = [_products(df, means, gaps, range(low, min(p, low + size))) for low in range(0, p, size)]
+    sums = union_all(parts).groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("v")))).alias("v"))
+
+    def pairs(batches):
+        labels = pa.array(names)
+        for batch in batches:
+            lists = column(batch, "v")
+            for i, v in zip(column(batch, "i").to_pylist(), lists, strict=True):
+                r = _pearson(i, v.values.to_numpy(), n, m2, missing, gaps)
+                other = np.delete(np.arange(p), i)
+                yield pa.record_batch({"a": pa.array([names[i]] * (p - 1)), "b": labels.take(pa.array(other)), "r": pa.array(r[other], mask=np.isnan(r[other]))})
+
+    return sums.mapInArrow(pairs, "a string, b string, r double")
 
 
 def correlated(corr: DataFrame, limit: float = 0.9) -> DataFrame:

@@ -1,17 +1,24 @@
 """Retrieval by cosine similarity: average precision of profiles, its chance level, permutation p-values, control nulls.
 
-Pairs come only from equality joins on the keys that both sides must share; inequalities are residuals. Several runs
-(channels, leave-one-out pools) are one job: their name is one more key column, ``run``.
+Rows meet in blocks under the keys that both sides must share (see ranking). Several runs (channels, leave-one-out pools)
+are one job: their name is one more key column, ``run``.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
-from ..functions.stats import dot, norm
+from ..functions.blocks import HELD, column
+from ..sources.scratch import stored
+from .order import numbered
+from .ranking import Side, precision
 from .stats import benjamini_hochberg
 
 
@@ -25,30 +32,62 @@ def median_profiles(df: DataFrame, keys: list[str], first: list[str] = ()) -> Da
 
 
 def sample_per_group(df: DataFrame, keys: list[str], n: int, cell: str, seed: int = 42) -> DataFrame:
-    """At most n rows of each group, by a hash of the seed and the cell id (n <= 0: all); sampling is the feature."""
+    """At most n rows of each group, the first by a hash of the seed and the cell id (n <= 0: all); sampling is the feature.
+
+    Every task keeps its own first n of a group before rows are shuffled, so a group of any size meets as n rows a task.
+    """
     if n <= 0:
         return df
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.col(cell).cast("string")))
     return df.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(order, cell))).where(F.col("__n") <= n).drop("__n")
 
 
-def reference_index(df: DataFrame, is_reference: Column, order: list[str]) -> DataFrame:
-    """reference_index: 0, 1, ... over reference rows, -1 for the others."""
-    ref = df.where(is_reference)
-    numbered = ref.withColumn("reference_index", (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))  # references are one row a group
-    return numbered.unionByName(df.where(~F.coalesce(is_reference, F.lit(False))).withColumn("reference_index", F.lit(-1).cast("long")))
+def resolve_alleles(df: DataFrame, scope: str = "all", least: int = 50) -> DataFrame:
+    """(gene_allele): variants of kind Exp or cPC with enough cells that the comma-separated scope takes in: all, exp, cpc, or
+    names of alleles; unknown names are passed over."""
+    words = {w.strip() for w in scope.split(",") if w.strip()}
+    kinds = [k for word, k in (("exp", "Exp"), ("cpc", "cPC")) if word in words or "all" in words]
+    names = sorted(words - {"all", "exp", "cpc"})
+    own = df.where((F.col("node_type") == "allele") & F.col("control").isin("Exp", "cPC"))
+    wanted = F.max(F.col("control").isin(*kinds).cast("int")) == 1 if kinds else F.lit(False)
+    counted = own.groupBy("gene_allele").agg(F.count("*").alias("__n"), wanted.alias("__k"))
+    keep = F.col("__k") | F.col("gene_allele").isin(*names) if names else F.col("__k")
+    return counted.where((F.col("__n") >= least) & keep).select("gene_allele")
+
 
+UNITS = ("site", "well")
 
-def _ranked(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Average precision from pairs (keys, partner, similarity, positive): ranks by similarity, then partner id."""
-    w = W.partitionBy(*keys).orderBy(F.desc_nulls_last("similarity"), "partner")
-    ranked = pairs.withColumns({"k": F.row_number().over(w), "tp": F.sum("positive").over(w.rowsBetween(W.unboundedPreceding, 0))})
-    return ranked.groupBy(*keys).agg(F.sum("positive").cast("long").alias("n_pos"), F.count("*").alias("n_total"), F.try_divide(F.sum(F.col("positive") * F.col("tp") / F.col("k")), F.sum("positive")).alias("ap"))
 
+def unit_profiles(df: DataFrame, alleles: DataFrame, unit: str = "site", aggregate: bool = True, per_unit: int = 20, refs_per_plate: int = 0, cell: str = "cell_id", seed: int = 42, run: list[str] = ()) -> DataFrame:
+    """The pool of a retrieval run: rows of the variants and of the wild types of their genes, genes without either left out.
 
-def cosine(left: str, right: str, left_norm: str, right_norm: str) -> Column:
-    """Null for a vector of norm 0."""
-    return F.try_divide(dot(F.col(left), F.col(right)), F.col(left_norm) * F.col(right_norm))
+    ``aggregate``: the median profile of every allele (of every gene, for wild types) on a plate and ``unit``, a site or a well;
+    else at most ``per_unit`` cells of each. ``refs_per_plate`` caps the wild-type rows of a plate (0: no cap), the same for
+    all alleles. Columns: id, symbol, gene_allele, plate, node_type, features and ``run``; the id of a profile is made of its keys.
+    """
+    if unit not in UNITS:
+        raise ValueError(f"unknown unit {unit}; known are {UNITS}")
+    run = list(run)
+    own = df.select(*run, cell, "symbol", "gene_allele", "plate", unit, "node_type", "features")
+    variants = own.where("node_type = 'allele'").join(alleles, [*[c for c in run if c in alleles.columns], "gene_allele"], "left_semi")
+    wild = own.where("node_type = 'disease_wt'")
+    genes = variants.select(*run, "symbol").distinct().join(wild.select(*run, "symbol").distinct(), [*run, "symbol"], "left_semi")
+    sides = []
+    for rows, name in ((variants, "gene_allele"), (wild, "symbol")):
+        rows, keys = rows.join(genes, [*run, "symbol"], "left_semi"), [*run, name, "plate", unit]
+        if aggregate:
+            rest = [c for c in ("symbol", "gene_allele", "node_type") if c != name]
+            side = median_profiles(rows, keys, rest).withColumn("id", F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("node_type", name, "plate", unit)]))
+        else:
+            side = sample_per_group(rows, keys, per_unit, cell, seed).withColumn("id", F.col(cell).cast("string"))
+        sides.append(side.select(*run, "id", "symbol", "gene_allele", "plate", "node_type", "features"))
+    return sides[0].unionByName(sample_per_group(sides[1], [*run, "plate"], refs_per_plate, "id", seed))
+
+
+def reference_index(df: DataFrame, is_reference: Column, order: list[str]) -> DataFrame:
+    """reference_index: 0, 1, ... over reference rows, -1 for the others."""
+    ref = numbered(df.where(is_reference), order, "reference_index")
+    return ref.unionByName(df.where(~F.coalesce(is_reference, F.lit(False))).withColumn("reference_index", F.lit(-1).cast("long")))
 
 
 def average_precision(pool: DataFrame, row: str, pos_same: list[str], pos_differ: list[str], neg_same: list[str], neg_differ: list[str], run: list[str] = (), keep: list[str] = (), queries: Column | None = None) -> DataFrame:
@@ -57,20 +96,10 @@ def average_precision(pool: DataFrame, row: str, pos_same: list[str], pos_differ
     Partners share the ``same`` keys and differ in each of the ``differ`` keys; ``queries`` picks rows to be ranked for.
     """
     used = list(dict.fromkeys([*pos_same, *pos_differ, *neg_same, *neg_differ, *run]))
-    base = pool.select(row, *used, *[k for k in keep if k not in used], "features").withColumn("__norm", norm(F.col("features")))
-    asked = base.where(queries) if queries is not None else base
-    other = base.select(F.col(row).alias("partner"), *[F.col(c).alias(f"__{c}") for c in used], F.col("features").alias("__f"), F.col("__norm").alias("__n2"))
-
-    def side(same: list[str], differ: list[str], positive: int) -> DataFrame:
-        on = F.col(row) != F.col("partner")
-        for c in [*same, *run]:
-            on = on & (F.col(c) == F.col(f"__{c}"))
-        for c in differ:
-            on = on & (F.col(c) != F.col(f"__{c}"))
-        return asked.join(other, on).select(row, *run, "partner", cosine("features", "__f", "__norm", "__n2").alias("similarity"), F.lit(positive).alias("positive"))
-
-    pairs = side(pos_same, pos_differ, 1).unionByName(side(neg_same, neg_differ, 0))
-    return _ranked(pairs, [row, *run]).join(asked.select(row, *run, *[k for k in keep if k not in run]), [row, *run])
+    base = stored(pool.select(F.col(row).alias("id"), *[c for c in used if c != row], *[k for k in keep if k not in used and k != row], F.col("features").cast("array<double>").alias("features"), *([queries.alias("__asked")] if queries is not None else [])), "pool")
+    asked = base.where("__asked") if queries is not None else base
+    found = precision(asked, base, Side(pos_same, pos_differ), Side(neg_same, neg_differ), run).drop("label")
+    return found.join(asked.select("id", *run, *[k for k in keep if k not in run]), ["id", *run]).withColumnRenamed("id", row)
 
 
 def chance_level(n_total: Column, n_pos: Column) -> Column:
@@ -88,38 +117,65 @@ def normalized(ap: DataFrame) -> DataFrame:
 
 
 def null_aps(n_pos: int, n_total: int, size: int, seed: int) -> np.ndarray:
-    """Average precisions of ``size`` random orders; the stream depends on the seed and the two counts alone."""
-    r = np.random.default_rng([seed, n_pos, n_total])
+    """Average precisions of ``size`` random orders, from a counter-based stream that the seed and the two counts name.
+
+    Only the places of the positives are drawn, without replacement.
+    """
+    r = np.random.Generator(np.random.Philox(key=[seed & _MASK, (n_pos << 32 ^ n_total) & _MASK]))
     out = np.empty(size)
-    for k in range(0, size, 512):
-        n = min(512, size - k)
-        hits = np.sort(r.random((n, n_total)).argpartition(n_pos - 1, 1)[:, :n_pos], 1) + 1 if n_pos < n_total else np.broadcast_to(np.arange(1, n_total + 1), (n, n_total))
-        out[k:k + n] = (np.arange(1, n_pos + 1) / hits).mean(1)
+    step = max(1, NULL_BLOCK // max(1, n_total if 4 * n_pos >= n_total else n_pos))
+    for k in range(0, size, step):
+        n = min(step, size - k)
+        if n_pos == n_total:
+            hits = np.broadcast_to(np.arange(n_total), (n, n_total))
+        elif 4 * n_pos >= n_total:
+            hits = np.sort(r.random((n, n_total)).argpartition(n_pos - 1, 1)[:, :n_pos], 1)
+        else:  # few places: draw again where two agree
+            hits = np.sort(r.integers(0, n_total, (n, n_pos)), 1)
+            while len(again := np.flatnonzero((hits[:, 1:] == hits[:, :-1]).any(1))):
+                hits[again] = _redrawn(hits[again], n_total, r)
+        out[k:k + n] = (np.arange(1, n_pos + 1) / (hits + 1)).mean(1)
     return out
 
 
+def _redrawn(hits: np.ndarray, n_total: int, r: np.random.Generator) -> np.ndarray:
+    """Rows with repeats: each later copy of a place is drawn anew, the places that stand keep theirs."""
+    same = np.zeros(hits.shape, bool)
+    same[:, 1:] = hits[:, 1:] == hits[:, :-1]
+    hits = np.where(same, r.integers(0, n_total, hits.shape), hits)
+    return np.sort(hits, 1)
+
+
+_MASK, NULL_BLOCK = (1 << 64) - 1, 1 << 22
+
+
+def _p_values(groups: DataFrame, null_size: int, seed: int) -> DataFrame:
+    """p_value beside each group's mAP: a task draws the null of a configuration once, adds the arrays of a group's
+    configurations and counts in one step; nulls are never rows. ``configs`` and ``mAP`` are used up by the count."""
+    def run(batches):
+        drawn = lru_cache(max(1, HELD // (8 * null_size)))(lambda p, n: null_aps(p, n, null_size, seed))
+        for batch in batches:
+            p = []
+            for score, configs in zip(column(batch, "mAP").to_pylist(), column(batch, "configs").to_pylist(), strict=True):
+                total = sum(c["w"] for c in configs)
+                null = sum(drawn(c["n_pos"], c["n_total"]) * (c["w"] / total) for c in sorted(configs, key=lambda c: (c["n_pos"], c["n_total"])))
+                p.append((int((null >= score - 1e-12).sum()) + 1) / (null_size + 1))  # sums of equal parts may differ in their last bits
+            rest = {c: column(batch, c) for c in batch.schema.names if c != "configs"}
+            yield pa.record_batch(rest | {"p_value": pa.array(p, pa.float64())})
+
+    schema = StructType([f for f in groups.schema.fields if f.name != "configs"]).add("p_value", "double")
+    return groups.mapInArrow(run, schema)
+
+
 def mean_average_precision(ap: DataFrame, group: list[str], null_size: int = 10_000, threshold: float = 0.05, seed: int = 42, scope: list[str] = ()) -> DataFrame:
     """mAP, its normalised form, permutation p, corrected p within the scope, and flags, of each group.
 
-    The null of a group is the mean of null arrays over its queries' (n_pos, n_total); one array is drawn for each
-    distinct configuration, and groups meet only their configurations, weighted by how many queries have them.
+    The null of a group is the mean of null arrays over its queries' (n_pos, n_total), weighted by how many queries have them.
     """
     used = normalized(ap).where("ap is not null")
-    means = used.groupBy(*group).agg(F.avg("ap").alias("mAP"), F.avg("ap_norm").alias("mAP_norm"), F.count("*").alias("n_queries"))
-    weights = used.groupBy(*group, "n_pos", "n_total").agg(F.count("*").alias("w"))
-    configs = weights.select("n_pos", "n_total").distinct()
-
-    def draw(batches):
-        for b in batches:
-            b["null"] = [null_aps(p, n, null_size, seed) for p, n in zip(b["n_pos"], b["n_total"], strict=True)]
-            yield b
-
-    nulls = configs.mapInPandas(draw, "n_pos long, n_total long, null array<double>")
-    # sums of arrays, one value for each position, partial on the map side
-    spread = weights.join(nulls, ["n_pos", "n_total"]).select(*group, "w", F.posexplode("null").alias("i", "x"))
-    summed = spread.groupBy(*group, "i").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("null_map"))
-    p = summed.join(means.select(*group, "mAP"), group).groupBy(*group).agg(((F.sum((F.col("null_map") >= F.col("mAP")).cast("long")) + 1) / (F.count("*") + 1)).alias("p_value"))
-    out = benjamini_hochberg(means.join(p, group), "p_value", list(scope), group)
+    parts = used.groupBy(*group, "n_pos", "n_total").agg(F.count("*").alias("w"), F.sum("ap").alias("__a"), F.sum("ap_norm").alias("__b"))
+    means = parts.groupBy(*group).agg((F.sum("__a") / F.sum("w")).alias("mAP"), (F.sum("__b") / F.sum("w")).alias("mAP_norm"), F.sum("w").alias("n_queries"), F.collect_list(F.struct("n_pos", "n_total", "w")).alias("configs"))
+    out = benjamini_hochberg(_p_values(means, null_size, seed), "p_value", list(scope), group)
     return out.withColumns({"below_p": F.col("p_value") < threshold, "below_corrected_p": F.col("corrected_p_value") < threshold})
 
 

@@ -5,41 +5,70 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import DoubleType
 
 from ..functions.stats import missing
+from .moments import moments
 
-EXACT = 8  # smallest arm up to which the exact distribution is used, without ties
+EXACT, EXACT_CELLS = 8, 20_000  # smallest arm, and product of the arms, up to which the exact distribution is used without ties
 
 
-def exact_tail(u: float, n: int, m: int) -> float:
-    """Two-sided p of U from its exact distribution (counts by adding one observation after the other)."""
-    ways = np.zeros(n * m + 1)
+def exact_tails(n: int, m: int) -> np.ndarray:
+    """Two-sided p of U = 0, 1, ... nm / 2 from the exact distribution: coefficients of the Gaussian binomial, one factor
+    (1 - q^(m + k)) / (1 - q^k) after the other."""
+    size = n * m + 1
+    ways = np.zeros(size)
     ways[0] = 1
-    for k in range(1, n + 1):  # coefficients of the Gaussian binomial
-        ways[m + k:] -= ways[:n * m + 1 - m - k].copy() if m + k <= n * m else 0
-        for i in range(k, n * m + 1):
-            ways[i] += ways[i - k]
-    low = min(u, n * m - u)
-    return float(min(1.0, 2 * ways[: int(math.floor(low)) + 1].sum() / ways.sum()))
-
-
-@F.pandas_udf(DoubleType())
-def _p_value(u: pd.Series, n: pd.Series, m: pd.Series, ties: pd.Series) -> pd.Series:
-    out = []
-    for a, x, y, t in zip(u, n, m, ties, strict=True):
-        if min(x, y) <= EXACT and t == 0 and x * y <= 20_000:
-            out.append(exact_tail(a, int(x), int(y)))
-            continue
-        s = x + y
-        var = x * y / 12 * (s + 1 - t / (s * (s - 1)))
-        z = (abs(a - x * y / 2) - 0.5) / math.sqrt(var) if var > 0 else 0.0
-        out.append(1.0 if var <= 0 else min(1.0, math.erfc(max(z, 0.0) / math.sqrt(2))))
-    return pd.Series(out)
+    for k in range(1, n + 1):
+        if m + k < size:
+            ways[m + k:] -= ways[:size - m - k].copy()
+        for start in range(k):  # division by 1 - q^k: running sums along every k-th
+            ways[start::k] = np.cumsum(ways[start::k])
+    return np.minimum(1.0, 2 * np.cumsum(ways[:n * m // 2 + 1]) / ways.sum())
+
+
+def erfc(x: np.ndarray) -> np.ndarray:
+    """The complementary error function of numbers from 0 on: its series up to 1.8, its continued fraction beyond."""
+    x = np.asarray(x, float)
+    low = np.minimum(x, 1.8)
+    term = total = low * 1.0
+    for k in range(1, 60):
+        term = term * 2 * low**2 / (2 * k + 1)
+        total = total + term
+    near = 1 - 2 / math.sqrt(math.pi) * np.exp(-low**2) * total
+    high = np.maximum(x, 1.8)
+    fraction = np.zeros_like(high)
+    for k in range(200, 0, -1):
+        fraction = k / 2 / (high + fraction)
+    return np.where(x < 1.8, near, np.exp(-high**2) / math.sqrt(math.pi) / (high + fraction))
+
+
+def _p_values(sums: DataFrame) -> DataFrame:
+    """Two-sided p beside U: small arms without ties look it up in the table of their sizes, made once for each pair of sizes;
+    the others go by the normal distribution with the tie term and a continuity correction."""
+    small = (F.least("n_a", "n_b") <= EXACT) & (F.col("ties") == 0) & (F.col("n_a") * F.col("n_b") <= EXACT_CELLS)
+    sizes = sums.where(small).select("n_a", "n_b").distinct()
+
+    def tables(batches):
+        for b in batches:
+            pairs = zip(b["n_a"].astype(int), b["n_b"].astype(int), strict=True)
+            yield b.assign(__tail=[exact_tails(*sorted(p)) for p in pairs])
+
+    def normal(batches):
+        for b in batches:
+            n, m, ties, u = (b[c].to_numpy(float) for c in ("n_a", "n_b", "ties", "u"))
+            s = n + m
+            var = n * m / 12 * (s + 1 - ties / (s * (s - 1)))
+            z = np.maximum(np.abs(u - n * m / 2) - 0.5, 0) / np.sqrt(np.where(var > 0, var, 1.0))
+            yield b.assign(__far=np.where(var > 0, np.minimum(1.0, erfc(z / math.sqrt(2))), 1.0))
+
+    exact = sizes.mapInPandas(tables, "n_a long, n_b long, __tail array<double>")
+    far = sums.where(~small).select("n_a", "n_b", "ties", "u").distinct().mapInPandas(normal, "n_a long, n_b long, ties long, u double, __far double")
+    at = F.floor(F.least("u", F.col("n_a") * F.col("n_b") - F.col("u"))).cast("int")
+    found = sums.join(exact, ["n_a", "n_b"], "left").join(far, ["n_a", "n_b", "ties", "u"], "left")
+    return found.withColumn("p_value", F.when(small, F.get("__tail", at)).otherwise(F.col("__far"))).select(*sums.columns, "p_value")
 
 
 def rank_sums(df: DataFrame, keys: list[str], value: str, group: Column | str) -> DataFrame:
@@ -64,19 +93,41 @@ def rank_sums(df: DataFrame, keys: list[str], value: str, group: Column | str) -
 def rank_sum_tests(df: DataFrame, keys: list[str], value: str, group: Column | str, least: int = 2) -> DataFrame:
     """rank_sums with a two-sided p-value, for keys with enough in both arms."""
     sums = rank_sums(df, keys, value, group).where((F.col("n_a") >= least) & (F.col("n_b") >= least))
-    return sums.withColumn("p_value", _p_value(*[F.col(c).cast("double") for c in ("u", "n_a", "n_b", "ties")]))
+    return _p_values(sums)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, scope: list[str], tie: list[str], out: str = "corrected_p_value") -> DataFrame:
-    """Adjusted p-values within each scope: p n / rank, made monotone from the largest, at most 1.
+OCTAVE = 256  # ranges of p-values in each octave
 
-    One row of input is one test, so a scope is a small result table.
+
+def benjamini_hochberg(df: DataFrame, p: str, scope: list[str], tie: list[str] = (), out: str = "corrected_p_value") -> DataFrame:
+    """Adjusted p-values within each scope: p n / rank, made monotone from the largest, at most 1; null for a null p.
+
+    Equal p-values share the rank of their last, so counts by scope and p say all, and ``tie`` is of no effect. Running sums
+    and minima go over ranges of p (fixed ones, OCTAVE in each octave) and then within a range: no window holds a scope.
     """
-    w = W.partitionBy(*scope) if scope else W.partitionBy(F.lit(1))
-    ranked = df.withColumns({"__r": F.row_number().over(w.orderBy(p, *tie)), "__n": F.count(p).over(w)})
-    raw = F.col(p) * F.col("__n") / F.col("__r")
-    down = w.orderBy(F.desc("__r")).rowsBetween(W.unboundedPreceding, 0)
-    return ranked.withColumn(out, F.least(F.min(raw).over(down), F.lit(1.0))).drop("__r", "__n")
+    keys = list(scope)
+    names = [f"__s{i}" for i in range(len(keys))]
+    at = F.when(F.col("__p") <= 0, F.lit(-(1 << 20))).otherwise(F.floor(F.log2(F.when(F.col("__p") > 0, F.col("__p"))) * OCTAVE)).cast("int")
+    own = df.where(F.col(p).isNotNull()).groupBy(*[F.col(c).alias(n) for c, n in zip(keys, names, strict=True)], F.col(p).alias("__p")).agg(F.count("*").alias("__c")).withColumn("__at", at)
+    over, inside = W.partitionBy(*names) if names else W.partitionBy(F.lit(0)), W.partitionBy(*names, "__at")
+
+    def beside(left: DataFrame, right: DataFrame) -> DataFrame:
+        """``right``, a row for each scope and range, beside the rows of its range."""
+        other = right.select(*[F.col(n).alias(f"{n}_") for n in names], F.col("__at").alias("__at_"), *[c for c in right.columns if c not in (*names, "__at")])
+        on = [F.col("__at") == F.col("__at_"), *[F.col(n).eqNullSafe(F.col(f"{n}_")) for n in names]]
+        return left.join(other, on).drop("__at_", *[f"{n}_" for n in names])
+
+    # windows over ranges: a row for each that has values, a bounded number
+    ranges = own.groupBy(*names, "__at").agg(F.sum("__c").alias("__r"))
+    before = F.coalesce(F.sum("__r").over(over.orderBy("__at").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    placed = beside(own, ranges.withColumns({"__before": before, "__n": F.sum("__r").over(over)}).drop("__r"))
+    raw = placed.withColumn("__raw", F.col("__p") * F.col("__n") / (F.col("__before") + F.sum("__c").over(inside.orderBy("__p"))))
+    after = F.min("__low").over(over.orderBy(F.desc("__at")).rowsBetween(W.unboundedPreceding, -1))
+    lows = raw.groupBy(*names, "__at").agg(F.min("__raw").alias("__low")).withColumn("__after", after).drop("__low")
+    least = F.min("__raw").over(inside.orderBy(F.desc("__p")).rowsBetween(W.unboundedPreceding, 0))
+    adjusted = beside(raw.withColumn("__least", least), lows).select(*names, "__p", F.least("__least", "__after", F.lit(1.0)).alias(out))
+    on = [F.col(p) == F.col("__p"), *[F.col(c).eqNullSafe(F.col(n)) for c, n in zip(keys, names, strict=True)]]
+    return df.join(adjusted, on, "left").drop("__p", *names)
 
 
 def stars(p: Column) -> Column:
@@ -106,16 +157,19 @@ def histogram(df: DataFrame, value: str, keys: list[str], bins: int = 39, low: f
 
 
 def principal_components(df: DataFrame, k: int = 2) -> DataFrame:
-    """The packed features projected on the first components; each component's largest loading is positive."""
+    """The packed features projected on the first components; each component's largest loading is positive. No rows of no rows."""
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
+    keys = [c for c in df.columns if c != "features"]
+    first = df.select(F.size("features").alias("n")).first()
+    if first is None:
+        return df.select(*keys, *[F.lit(0.0).alias(f"{name}{i + 1}") for name in ("pc", "explained") for i in range(k)])
     # centred, so that the projection is of deviations
-    size = len(df.first()["features"])
-    mean = [df.agg(*[F.avg(F.col("features")[i]) for i in range(size)]).first()][0]  # one row
+    mean = np.array([r["mean"] for r in sorted(moments(df, first["n"]).collect(), key=lambda r: r["i"])])  # a row for each feature
     centred = df.withColumn("__x", array_to_vector(F.zip_with("features", F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x - m)))
     model = PCA(k=k, inputCol="__x", outputCol="__pc").fit(centred)
     loads = model.pc.toArray()
     sign = np.sign(loads[np.abs(loads).argmax(0), range(k)])
     pc = vector_to_array("__pc")
-    return model.transform(centred).select(*[c for c in df.columns if c != "features"], *[(pc[i] * float(sign[i])).alias(f"pc{i + 1}") for i in range(k)], *[F.lit(float(model.explainedVariance[i])).alias(f"explained{i + 1}") for i in range(k)])
+    return model.transform(centred).select(*keys, *[(pc[i] * float(sign[i])).alias(f"pc{i + 1}") for i in range(k)], *[F.lit(float(model.explainedVariance[i])).alias(f"explained{i + 1}") for i in range(k)])

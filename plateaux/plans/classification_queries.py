@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import benchmark, contract, folds, labels, metrics, pairs, stats
+from ..operators import benchmark, contract, folds, labels, metrics, pairs, select, stats
 from ..operators.contract import ALLELE, IMAGE, OBJECT, PLATE, PLATEMAP, WELL
 from ..sources import fixtures as fx
 from .preprocess_queries import annotated, r6
@@ -89,11 +89,11 @@ def wellpair_folds(spark, sf_dir):
 
 @query(f"""WITH {_LABELLED}, {_LOPO}, s AS (SELECT f.pair_id, f.fold_id, l."Label", CASE WHEN l."Metadata_Plate" = f.p THEN 'test' ELSE 'train' END AS role FROM lopo f JOIN lab l ON l.pair_id = f.pair_id AND l."Metadata_plate_map_name" = f.m),
   t AS (SELECT pair_id, CAST(fold_id AS INTEGER) AS fold_id, count(*) FILTER (role = 'train') AS n_train, count(*) FILTER (role = 'test') AS n_test, count(*) FILTER (role = 'train' AND "Label" = 1) AS r, count(*) FILTER (role = 'train' AND "Label" = 0) AS v FROM s GROUP BY 1, 2)
-  SELECT pair_id, fold_id, c.channel, n_train, n_test, r AS n_train_ref, v AS n_train_var, round(greatest(r, v) / least(r, v), 6) AS imbalance_ratio FROM t CROSS JOIN (VALUES ('GFP'), ('DNA')) c(channel) WHERE n_train >= 300 AND n_test >= 10""")
+  SELECT pair_id, fold_id, c.channel, n_train, n_test, r AS n_train_ref, v AS n_train_var, round(greatest(r, v) / least(r, v), 6) AS imbalance_ratio FROM t CROSS JOIN (VALUES ('GFP'), ('Morph'), ('ALL'), ('DNA'), ('AGP'), ('Mito')) c(channel) WHERE n_train >= 300 AND n_test >= 10""")
 def task_list(spark, sf_dir):
     cells = _labelled(spark, sf_dir)
-    sizes = folds.task_sizes(folds.split_by_fold(cells, folds.plate_folds(cells)), 300, 10)
-    channels = spark.createDataFrame([("GFP",), ("DNA",)], "channel string")
+    sizes = folds.list_sizes(folds.fold_lists(cells, folds.plate_folds(cells)), 300, 10)
+    channels = select.channel_map(spark, fx.FEATURES).select("channel").distinct()
     return sizes.crossJoin(channels).withColumn("imbalance_ratio", F.round("imbalance_ratio", 6))  # channels are a few names
 
 

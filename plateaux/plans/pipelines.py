@@ -8,8 +8,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import annotate, contract, folds, learn, metrics, normalize, pairs, qc, select, similarity
+from ..operators import annotate, contract, folds, learn, metrics, multilabel, normalize, pairs, qc, select, similarity
 from ..operators.contract import OBJECT, PLATE, PLATEMAP, WELL
+from ..sources.scratch import stored
 
 
 @dataclass
@@ -42,36 +43,65 @@ def preprocess(df: DataFrame, names: list[str], manifest: DataFrame | None, cont
 def classify(df: DataFrame, names: list[str], scope: str = "all", channels: dict[str, list[str]] | None = None, least: int = 50, least_control: int | None = None, rounds: int = learn.ROUNDS, unseen_only: bool = False) -> dict[str, DataFrame]:
     """Pairs, folds, one model for each pair, channel and fold, and the tables that follow from their predictions.
 
-    Tables: predictions, metrics (with sizes and imbalance), thresholds, summary.
+    Tables: predictions (under their fixed schema), metrics (with sizes and imbalance), importances, thresholds, summary. All
+    models of a channel are one fit. The labelled cells are written to the shared folder, one row a cell and pair.
     """
     if unseen_only:
         df = qc.templates(df)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # pairs, folds, sizes and tasks all read it
-    wanted = pairs.filter_scope(pairs.all_pairs(df, least, least_control), scope).persist(StorageLevel.MEMORY_AND_DISK)
+    wanted = stored(pairs.filter_scope(pairs.all_pairs(df, least, least_control), scope), "pairs")
     cells = pairs.labelled_cells(df.select(contract.ALLELE, PLATE, PLATEMAP, WELL, OBJECT, "features"), wanted)
-    plates = cells.where(~F.col("is_control"))
-    split = folds.split_by_fold(plates, folds.plate_folds(plates)).select("pair_id", "fold_id", "gene", "allele_ref", "allele_var", "is_control", "Label", PLATE, WELL, OBJECT, "features", "role")
-    wells = cells.where("is_control")
-    split = split.unionByName(folds.split_by_fold(wells, folds.plate_folds(wells)).select(split.columns))
-    sizes = folds.task_sizes(split)
-    channels = channels or {"ALL": names}
-    tasks = []
-    for channel, own in channels.items():
-        cut, _ = contract.take_features(split.join(sizes.select("pair_id", "fold_id"), ["pair_id", "fold_id"], "left_semi"), names, own)
-        tasks.append(cut.withColumns({"channel": F.lit(channel), "task_id": F.concat_ws("__", "pair_id", F.lit(channel), F.col("fold_id").cast("string"))}))
-    fitted = contract.union_all([learn.fit_tasks(t, own, rounds) for t, own in zip(tasks, channels.values(), strict=True)]).persist(StorageLevel.MEMORY_AND_DISK)
-    info = contract.union_all(tasks).select(F.col("task_id").alias("Classifier_ID"), "pair_id", "fold_id", "gene", "allele_ref", "allele_var", "channel", "is_control").distinct().join(sizes, ["pair_id", "fold_id"])
-    scored = metrics.classifier_metrics(fitted.select("Classifier_ID", F.col("Label").alias("label"), F.col("Prediction").cast("double").alias("prediction")), ["Classifier_ID"]).join(info, "Classifier_ID")
-    thresholds = metrics.null_threshold(scored.where("is_control"), ["channel"])
-    return {"predictions": fitted, "metrics": scored, "thresholds": thresholds, "summary": metrics.allele_summary(scored, thresholds)}
-
-
-def activity(df: DataFrame, channels: dict[str, tuple[int, int]], row: str, null_size: int = 10_000, threshold: float = 0.05, seed: int = 42, control_null: bool = True, control_null_size: int = 1_000, least_cells: int = 50, held_out: str | None = None) -> DataFrame:
-    """mAP of every variant against its reference, in every channel, with hits against the leave-one-out control null."""
-    pool = similarity.slices(similarity.without_orphans(df.where(~F.col("control").isin("NC", "PC", "TC"))), channels)
-    found = similarity.mean_average_precision(similarity.activity_ap(pool, row, ["channel"], held_out), ["channel", "gene_allele"], null_size, threshold, seed, ["channel"])
+    folds_ = stored(folds.plate_folds(cells), "folds")
+    cells = stored(folds.fold_lists(cells, folds_), "labelled")
+    sizes = stored(learn.usable(folds.list_sizes(cells)), "tasks")
+    info = cells.select("pair_id", "gene", "allele_ref", "allele_var", "is_control").distinct().join(sizes, "pair_id")
+    named = lambda fold, channel: F.concat_ws("__", "pair_id", F.lit(channel), fold.cast("string"))
+    scored, weights, tasks = [], [], []
+    for channel, own in (channels or {"ALL": names}).items():
+        cut, kept = contract.take_features(cells, names, own)
+        ids = {c: F.transform(c, lambda k: named(k, channel)) for c in ("tests", "trains")}
+        task = info.withColumns({"task_id": named(F.col("fold_id"), channel), "channel": F.lit(channel)})
+        found, top = learn.fit_tasks(cut.select("Label", PLATE, WELL, OBJECT, "is_control", "features", *[c.alias(n) for n, c in ids.items()]), task, kept, rounds)
+        scored.append(found.withColumn("channel", F.lit(channel)))
+        weights.append(top)
+        tasks.append(task)
+    predictions = stored(contract.union_all(scored), "predictions")
+    every = contract.union_all(tasks).withColumnRenamed("task_id", "classifier_id")
+    measured = metrics.classifier_metrics(predictions.select(F.col("task_id").alias("classifier_id"), F.col("Label").alias("label"), "prediction"), ["classifier_id"]).join(every, "classifier_id")
+    thresholds = metrics.null_threshold(measured.where("is_control"), ["channel"])
+    shaped = predictions.select(F.col("task_id").alias("Classifier_ID"), PLATE, WELL, F.col(OBJECT).cast("long").alias(OBJECT), F.col("Label").cast("byte").alias("Label"), F.col("prediction").cast("float").alias("Prediction"), F.col("channel").alias("Feature_Type"), F.col("is_control").alias("Control"))
+    return {"predictions": shaped, "metrics": measured, "importances": contract.union_all(weights), "thresholds": thresholds, "summary": metrics.allele_summary(measured, thresholds)}
+
+
+def activity(df: DataFrame, channels: dict[str, tuple[int, int]], cell: str, scope: str = "all", least: int = 50, unit: str = "site", aggregate: bool = True, per_unit: int = 20, refs_per_plate: int = 0, null_size: int = 10_000, threshold: float = 0.05, seed: int = 42, control_null: bool = True, control_null_size: int = 1_000, control_least: int | None = None, percentile: float = 0.95, held_out: str | None = None) -> DataFrame:
+    """mAP of every variant in scope against its reference, in every channel, with hits against the leave-one-out control null.
+
+    Both sides go through the same steps: profiles by ``unit`` (medians, or a sample of cells), a cap on references a plate, average
+    precision, normalised means, permutation p-values, correction by channel. All channels, and all leave-one-out turns, are one job.
+    """
+    options = {"unit": unit, "aggregate": aggregate, "per_unit": per_unit, "refs_per_plate": refs_per_plate, "cell": cell, "seed": seed}
+    pool = similarity.slices(similarity.unit_profiles(df, similarity.resolve_alleles(df, scope, least), **options), channels)
+    found = similarity.mean_average_precision(similarity.activity_ap(pool, "id", ["channel"], held_out), ["channel", "gene_allele"], null_size, threshold, seed, ["channel"])
     if not control_null:
         return found
-    own = similarity.slices(similarity.loo_pool(df.where(F.col("control").isin("NC", "PC")), similarity.loo_groups(df, least_cells)), channels)
-    null = similarity.mean_average_precision(similarity.activity_ap(own, row, ["channel", "loo_id"], held_out), ["channel", "loo_id"], control_null_size, threshold, seed, ["channel"])
-    return similarity.hits(found, similarity.null_thresholds(null, ["channel"]), ["channel"])
+    turns = similarity.loo_pool(df, similarity.loo_groups(df, least if control_least is None else control_least))
+    turns = similarity.unit_profiles(turns, turns.select("gene_allele").distinct(), **options, run=["loo_id"])
+    null = similarity.mean_average_precision(similarity.activity_ap(similarity.slices(turns, channels), "id", ["channel", "loo_id"], held_out), ["channel", "loo_id"], control_null_size, threshold, seed, ["channel"])
+    return similarity.hits(found, similarity.null_thresholds(null, ["channel"], percentile), ["channel"])
+
+
+def consistency(batches: list[tuple[DataFrame, list[str]]], scores: DataFrame, channels: dict[str, list[str]] | None = None, levels: tuple[str, ...] = ("gene",), unit: str = "site", label_threshold: float = 1.0, by: str = "label", null_size: int = 10_000, threshold: float = 0.05, seed: int = 42, held_out: str | None = None) -> DataFrame:
+    """Label consistency of wild types, pooled over batches: mAP by label (``by="label"``) or by gene (``"symbol"``), for every
+    level of consensus and channel, with permutation p-values corrected within each level and channel.
+
+    Batches are (cells, feature names); features that all have are used. Channels are lists of feature names.
+    """
+    common = contract.common_features(batches)
+    own = [d.where(F.col("node_type") == "disease_wt") for d, _ in batches]
+    own = [contract.take_features(d if held_out is None else d.where(F.col("plate").endswith(held_out)), names, common)[0].select("symbol", "plate", unit, "features") for d, (_, names) in zip(own, batches, strict=True)]
+    labels = multilabel.gene_labels(scores, label_threshold)
+    pool = multilabel.consensus(contract.union_all(own), labels, list(levels), unit)
+    channels = channels or {"ALL": common}
+    parts = F.array(*[F.struct(F.lit(c).alias("channel"), F.array(*[F.col("features")[common.index(n)] for n in names if n in common]).alias("features")) for c, names in channels.items()])
+    sliced = pool.withColumn("__s", F.explode(parts)).select(*[c for c in pool.columns if c != "features"], "__s.channel", "__s.features")
+    ap = multilabel.level_ap(sliced, ["channel"])
+    return similarity.mean_average_precision(ap, ["level", "channel", by], null_size, threshold, seed, ["level", "channel"])

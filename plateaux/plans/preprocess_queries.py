@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotate, contract, normalize, qc, select
 from ..operators.contract import ALLELE, CONTROL, IMAGE, NODE, OBJECT, PLATE, SITE, SYMBOL, WELL
+from ..operators.moments import feature_moments
 from ..sources import fixtures as fx
 from .registry import query
 
@@ -118,13 +119,18 @@ def annotate_controls(spark, sf_dir):
 
 
 _NAMES = "dict AS (SELECT unnest(range(8)) AS feature_id, unnest([" + ", ".join(f"'{n}'" for n in fx.FEATURES) + "]) AS name)"
-_CHANNELS = f"""WITH {_NAMES} SELECT channel, CAST(feature_id AS INTEGER) AS feature_id, name FROM dict, (VALUES ('GFP'), ('Morph'), ('ALL'), ('DNA'), ('AGP'), ('Mito')) c(channel)
+_CHANNELS = f"""WITH {fx.LONG}, {_NAMES}, v AS (SELECT feature AS name, count(*) AS n_values FROM fine GROUP BY 1) SELECT channel, CAST(feature_id AS INTEGER) AS feature_id, name, n_values FROM dict JOIN v USING (name), (VALUES ('GFP'), ('Morph'), ('ALL'), ('DNA'), ('AGP'), ('Mito')) c(channel)
   WHERE CASE channel WHEN 'ALL' THEN true WHEN 'GFP' THEN contains(lower(name), '_gfp') WHEN 'Morph' THEN NOT contains(lower(name), '_gfp') ELSE contains(lower(name), '_' || lower(channel)) AND NOT contains(lower(name), '_gfp') END"""
 
 
 @query(_CHANNELS)
 def channel_map(spark, sf_dir):
-    return select.channel_map(spark, fx.cells(spark, sf_dir)[1])
+    df, names = fx.cells(spark, sf_dir)
+    return select.channel_map(spark, names).join(_values(df, names), "name").select("channel", "feature_id", "name", "n_values")
+
+
+def _values(df, names):
+    return feature_moments(df, names).select(F.col("feature").alias("name"), F.col("n").alias("n_values"))
 
 
 @query(f"""WITH {fx.LONG} SELECT "Metadata_Plate", feature, round(avg(value), 6) AS mean, count(*) AS n FROM fine
@@ -142,9 +148,10 @@ def clip_counts(spark, sf_dir):
     return qc.clip_counts(df, names, 100)
 
 
-@query(f"""WITH {_NAMES} SELECT CAST(feature_id AS INTEGER) AS feature_id, name FROM dict WHERE contains(name, '_Neighbors_')""")
+@query(f"""WITH {fx.LONG}, {_NAMES} SELECT CAST(feature_id AS INTEGER) AS feature_id, name, count(*) AS n_values FROM dict JOIN fine ON feature = name WHERE contains(name, '_Neighbors_') GROUP BY 1, 2""")
 def blocklist(spark, sf_dir):
-    return select.blocked(select.feature_dictionary(spark, fx.cells(spark, sf_dir)[1]))
+    df, names = fx.cells(spark, sf_dir)
+    return select.blocked(select.feature_dictionary(spark, names)).join(_values(df, names), "name").select("feature_id", "name", "n_values")
 
 
 @query(f"""WITH {fx.LONG}, c AS (SELECT feature, value, count(*) AS n FROM fine WHERE NOT contains(feature, '_Neighbors_') GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS k FROM c),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import dot, norm
-from ..operators import audit, benchmark, contract, folds, learn, metrics, multilabel, pairs, similarity, stats
-from ..operators.contract import ALLELE, IMAGE, OBJECT, PLATE, PLATEMAP, WELL
+from ..operators import audit, benchmark, contract, metrics, multilabel, similarity, stats
+from ..operators.contract import ALLELE, IMAGE, OBJECT, PLATE, PLATEMAP
 from ..sources import fixtures as fx
 from .preprocess_queries import annotated, r6
 from .registry import query
@@ -14,13 +14,13 @@ from .registry import query
 _ROWS = "vec_id, plate, platemap, well, symbol, gene_allele, node_type, control"
 
 
-def _ranked_sql(pairs: str, keys: str) -> str:
+def ranked_sql(pairs: str, keys: str) -> str:
     """(keys, n_pos, n_total, ap) of a pair table (keys, partner, sim, positive)."""
     return f"""(SELECT {keys}, CAST(sum(positive) AS BIGINT) AS n_pos, count(*) AS n_total, sum(positive * tp / k) / nullif(sum(positive), 0) AS ap FROM (
       SELECT *, row_number() OVER w AS k, sum(positive) OVER (PARTITION BY {keys} ORDER BY sim DESC NULLS LAST, partner ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tp FROM {pairs} WINDOW w AS (PARTITION BY {keys} ORDER BY sim DESC NULLS LAST, partner)) GROUP BY {keys})"""
 
 
-def _norm_sql(ap: str) -> str:
+def norm_sql(ap: str) -> str:
     """ap_norm beside the columns of an AP table."""
     h = "list_sum([1.0 / i FOR i IN range(1, n_total + 1)])"
     e = f"CASE WHEN n_total = n_pos THEN 1.0 ELSE ({h} + (n_pos - 1) / (n_total - 1) * (n_total - {h})) / n_total END"
@@ -42,36 +42,36 @@ def _pool(spark, sf_dir):
     return similarity.without_orphans(fx.emb_cells(spark, sf_dir).where("control <> 'NC'"))
 
 
-@query(f"WITH {_POOL} SELECT vec_id, gene_allele, n_pos, n_total, round(ap, 6) AS ap, round(ap_norm, 6) AS ap_norm FROM {_norm_sql(_ranked_sql(_vs_ref_sql('pool'), 'vec_id, gene_allele'))}")
+@query(f"WITH {_POOL} SELECT vec_id, gene_allele, n_pos, n_total, round(ap, 6) AS ap, round(ap_norm, 6) AS ap_norm FROM {norm_sql(ranked_sql(_vs_ref_sql('pool'), 'vec_id, gene_allele'))}")
 def ap_vs_ref(spark, sf_dir):
     return similarity.normalized(similarity.activity_ap(_pool(spark, sf_dir), "vec_id")).select("vec_id", "gene_allele", "n_pos", "n_total", r6("ap"), r6("ap_norm"))
 
 
 @query(f"""WITH {_POOL}, s AS (SELECT * EXCLUDE (features), c.channel, c.lo, features[c.lo + 1 : c.lo + 16] AS features FROM pool CROSS JOIN (VALUES ('GFP', 0), ('DNA', 16), ('AGP', 32), ('Mito', 48)) c(channel, lo))
-  SELECT channel, gene_allele, round(avg(ap), 6) AS mAP, round(avg(ap_norm), 6) AS mAP_norm, count(*) AS n_queries FROM {_norm_sql(_ranked_sql(_vs_ref_sql('s', 'channel'), 'vec_id, gene_allele, channel'))} WHERE ap IS NOT NULL GROUP BY 1, 2""")
+  SELECT channel, gene_allele, round(avg(ap), 6) AS mAP, round(avg(ap_norm), 6) AS mAP_norm, count(*) AS n_queries FROM {norm_sql(ranked_sql(_vs_ref_sql('s', 'channel'), 'vec_id, gene_allele, channel'))} WHERE ap IS NOT NULL GROUP BY 1, 2""")
 def map_vs_ref(spark, sf_dir):
     return activity(spark, sf_dir).select("channel", "gene_allele", r6("mAP"), r6("mAP_norm"), "n_queries")
 
 
-def activity(spark, sf_dir, null_size: int = 500):
+def activity(spark, sf_dir):
     pool = similarity.slices(_pool(spark, sf_dir), fx.CHANNELS)
-    return similarity.mean_average_precision(similarity.activity_ap(pool, "vec_id", ["channel"]), ["channel", "gene_allele"], null_size, scope=["channel"])
+    return similarity.mean_average_precision(similarity.activity_ap(pool, "vec_id", ["channel"]), ["channel", "gene_allele"], scope=["channel"])
 
 
-@query(f"WITH {_POOL} SELECT vec_id, gene_allele, n_pos, n_total, round(ap, 6) AS ap FROM {_ranked_sql(_vs_ref_sql('pool'), 'vec_id, gene_allele')} WHERE vec_id % 4 = 3")
+@query(f"WITH {_POOL} SELECT vec_id, gene_allele, n_pos, n_total, round(ap, 6) AS ap FROM {ranked_sql(_vs_ref_sql('pool'), 'vec_id, gene_allele')} WHERE vec_id % 4 = 3")
 def ap_t4(spark, sf_dir):
     return similarity.activity_ap(_pool(spark, sf_dir), "vec_id", held_out="T4").select("vec_id", "gene_allele", "n_pos", "n_total", r6("ap"))
 
 
 def map_p_values(spark, sf_dir):
     """Permutation p-values of the activity, corrected by channel."""
-    return activity(spark, sf_dir, 2000)
+    return activity(spark, sf_dir)
 
 
 query()(map_p_values)
 
 _GROUPS = """grp AS (SELECT gene_allele, platemap, well, count(*) AS n_cells FROM emb WHERE control IN ('NC', 'PC') GROUP BY 1, 2, 3), loo AS (SELECT *, count(*) OVER (PARTITION BY gene_allele, platemap) AS n_wells FROM grp QUALIFY n_wells >= 3)"""
-_LOO = f"""{fx.EMB}, {_GROUPS}, lp AS (SELECT e.vec_id, e.plate, e.well, g.gene_allele || '__' || g.platemap || '__' || g.well AS loo_id, loo_id AS symbol, CASE WHEN e.well = g.well THEN loo_id ELSE e.gene_allele END AS gene_allele,
+LOO = f"""{fx.EMB}, {_GROUPS}, lp AS (SELECT e.vec_id, e.plate, e.well, e.site, g.gene_allele || '__' || g.platemap || '__' || g.well AS loo_id, loo_id AS symbol, CASE WHEN e.well = g.well THEN loo_id ELSE e.gene_allele END AS gene_allele,
   CASE WHEN e.well = g.well THEN 'allele' ELSE 'disease_wt' END AS node_type, e.features FROM emb e JOIN loo g ON e.gene_allele = g.gene_allele AND e.platemap = g.platemap AND e.control = 'NC')"""
 
 
@@ -85,36 +85,36 @@ def _loo(spark, sf_dir):
     return similarity.loo_pool(e.where("control = 'NC'"), similarity.loo_groups(e, 1))
 
 
-@query(f"WITH {_LOO} SELECT loo_id, node_type, count(*) AS n FROM lp GROUP BY 1, 2")
+@query(f"WITH {LOO} SELECT loo_id, node_type, count(*) AS n FROM lp GROUP BY 1, 2")
 def loo_pool_counts(spark, sf_dir):
     return _loo(spark, sf_dir).groupBy("loo_id", "node_type").agg(F.count("*").alias("n"))
 
 
-_NULL = f"{_norm_sql(_ranked_sql(_vs_ref_sql('lp', 'loo_id'), 'vec_id, gene_allele, loo_id'))}"
+_NULL = f"{norm_sql(ranked_sql(_vs_ref_sql('lp', 'loo_id'), 'vec_id, gene_allele, loo_id'))}"
 
 
-@query(f"WITH {_LOO} SELECT loo_id, round(avg(ap), 6) AS mAP, round(avg(ap_norm), 6) AS mAP_norm, count(*) AS n_queries FROM {_NULL} WHERE ap IS NOT NULL GROUP BY 1")
+@query(f"WITH {LOO} SELECT loo_id, round(avg(ap), 6) AS mAP, round(avg(ap_norm), 6) AS mAP_norm, count(*) AS n_queries FROM {_NULL} WHERE ap IS NOT NULL GROUP BY 1")
 def control_null_map(spark, sf_dir):
     return control_null(spark, sf_dir).select("loo_id", r6("mAP"), r6("mAP_norm"), "n_queries")
 
 
 def control_null(spark, sf_dir):
-    return similarity.mean_average_precision(similarity.activity_ap(_loo(spark, sf_dir), "vec_id", ["loo_id"]), ["loo_id"], 200)
+    return similarity.mean_average_precision(similarity.activity_ap(_loo(spark, sf_dir), "vec_id", ["loo_id"]), ["loo_id"], 1_000)
 
 
-@query(f"""WITH {_LOO}, pool AS (SELECT * FROM emb WHERE control <> 'NC'), nul AS (SELECT loo_id, avg(ap_norm) AS m FROM {_NULL} WHERE ap IS NOT NULL GROUP BY 1), t AS (SELECT quantile_cont(m, 0.95) AS q FROM nul),
-  act AS (SELECT gene_allele, avg(ap_norm) AS m FROM {_norm_sql(_ranked_sql(_vs_ref_sql('pool'), 'vec_id, gene_allele'))} WHERE ap IS NOT NULL GROUP BY 1)
+@query(f"""WITH {LOO}, pool AS (SELECT * FROM emb WHERE control <> 'NC'), nul AS (SELECT loo_id, avg(ap_norm) AS m FROM {_NULL} WHERE ap IS NOT NULL GROUP BY 1), t AS (SELECT quantile_cont(m, 0.95) AS q FROM nul),
+  act AS (SELECT gene_allele, avg(ap_norm) AS m FROM {norm_sql(ranked_sql(_vs_ref_sql('pool'), 'vec_id, gene_allele'))} WHERE ap IS NOT NULL GROUP BY 1)
   SELECT gene_allele, round(m, 6) AS mAP_norm, round(q, 6) AS null_threshold_p95, m > q AS is_hit FROM act CROSS JOIN t""")
 def pa_hits(spark, sf_dir):
-    found = similarity.mean_average_precision(similarity.activity_ap(_pool(spark, sf_dir), "vec_id"), ["gene_allele"], 200).withColumn("channel", F.lit("ALL"))
+    found = similarity.mean_average_precision(similarity.activity_ap(_pool(spark, sf_dir), "vec_id"), ["gene_allele"]).withColumn("channel", F.lit("ALL"))
     limit = similarity.null_thresholds(control_null(spark, sf_dir).withColumn("channel", F.lit("ALL")), ["channel"])
     return similarity.hits(found, limit, ["channel"]).select("gene_allele", r6("mAP_norm"), r6("null_threshold_p95"), "is_hit")
 
 
-@query(f"""WITH {_LOO}, pool AS (SELECT * FROM emb WHERE control <> 'NC') SELECT split_part(gene_allele, '_', 1) AS gene, gene_allele AS allele_var, 'ALL_vs_ref' AS channel, round(avg(ap_norm), 6) AS auroc_mean, 'B1' AS batch
-  FROM {_norm_sql(_ranked_sql(_vs_ref_sql('pool'), 'vec_id, gene_allele'))} WHERE ap IS NOT NULL GROUP BY 2""")
+@query(f"""WITH {LOO}, pool AS (SELECT * FROM emb WHERE control <> 'NC') SELECT split_part(gene_allele, '_', 1) AS gene, gene_allele AS allele_var, 'ALL_vs_ref' AS channel, round(avg(ap_norm), 6) AS auroc_mean, 'B1' AS batch
+  FROM {norm_sql(ranked_sql(_vs_ref_sql('pool'), 'vec_id, gene_allele'))} WHERE ap IS NOT NULL GROUP BY 2""")
 def pa_long(spark, sf_dir):
-    m = similarity.mean_average_precision(similarity.activity_ap(_pool(spark, sf_dir), "vec_id"), ["gene_allele"], 200)
+    m = similarity.mean_average_precision(similarity.activity_ap(_pool(spark, sf_dir), "vec_id"), ["gene_allele"])
     shaped = m.select(F.col("gene_allele").alias("Metadata_gene_allele"), F.lit("ALL").alias("channel"), F.col("mAP_norm").alias("mAP_vs_ref_norm"), F.lit("B1").alias("batch"), F.lit("emb").alias("representation"))
     return benchmark.activity_as_metrics(shaped).select("gene", "allele_var", "channel", r6("auroc_mean"), "batch")
 
@@ -131,21 +131,21 @@ def reference_index(spark, sf_dir):
 
 # ---------------------------------------------------------------- labels shared by genes
 
-_LBL = f"""{fx.LABEL_SCORES}, best AS (SELECT gene, organelle FROM label_scores WHERE gene IS NOT NULL GROUP BY 1, 2 HAVING max(coalesce(score, 0)) >= 1), gl AS (SELECT gene, list(organelle ORDER BY organelle) AS labels FROM best GROUP BY 1)"""
+LABELS = f"""{fx.LABEL_SCORES}, best AS (SELECT gene, organelle FROM label_scores WHERE gene IS NOT NULL GROUP BY 1, 2 HAVING max(coalesce(score, 0)) >= 1), gl AS (SELECT gene, list(organelle ORDER BY organelle) AS labels FROM best GROUP BY 1)"""
 
 
-@query(f"WITH {_LBL} SELECT gene, array_to_string(labels, ',') AS labels FROM gl")
+@query(f"WITH {LABELS} SELECT gene, array_to_string(labels, ',') AS labels FROM gl")
 def org_labels(spark, sf_dir):
     return multilabel.gene_labels(fx.label_scores(spark, sf_dir)).select("gene", F.array_join("labels", ",").alias("labels"))
 
 
-@query(f"WITH {_LBL} SELECT organelle, count(*) AS n_genes FROM best GROUP BY 1")
+@query(f"WITH {LABELS} SELECT organelle, count(*) AS n_genes FROM best GROUP BY 1")
 def org_counts(spark, sf_dir):
     wide = fx.label_scores(spark, sf_dir).groupBy("gene").pivot("organelle", [f"{o}_GO_Sub_Major" for o in fx.ORGANELLES]).agg(F.first("score"))
     return multilabel.label_counts(multilabel.gene_labels(multilabel.wide_to_long(wide)))
 
 
-_CONS = f"""{fx.EMB}, {_LBL}, u AS (SELECT symbol, plate, i, median(features[i]) AS m FROM emb, range(1, 65) t(i) GROUP BY 1, 2, 3), cons AS (SELECT symbol || '@' || plate AS pid, symbol, plate, list(m ORDER BY i) AS features FROM u GROUP BY 2, 3),
+_CONS = f"""{fx.EMB}, {LABELS}, u AS (SELECT symbol, plate, i, median(features[i]) AS m FROM emb, range(1, 65) t(i) GROUP BY 1, 2, 3), cons AS (SELECT symbol || '@' || plate AS pid, symbol, plate, list(m ORDER BY i) AS features FROM u GROUP BY 2, 3),
   c AS (SELECT cons.*, labels FROM cons JOIN gl ON symbol = gene),
   mp AS (SELECT a.pid, a.symbol, l.label, b.pid AS partner, list_cosine_similarity(a.features, b.features) AS sim, CASE WHEN list_contains(b.labels, l.label) AND a.plate <> b.plate THEN 1 ELSE 0 END AS positive
          FROM c a CROSS JOIN unnest(a.labels) AS l(label) JOIN c b ON a.symbol <> b.symbol AND (list_contains(b.labels, l.label) AND a.plate <> b.plate OR NOT list_has_any(a.labels, b.labels)))"""
@@ -160,37 +160,37 @@ def _mlap(spark, sf_dir):
     return similarity.normalized(multilabel.multilabel_ap(_consensus(spark, sf_dir), "pid", "symbol", differ=["plate"]))
 
 
-@query(f"WITH {_CONS} SELECT pid, symbol, label, n_pos, n_total, round(ap, 6) AS ap, round(ap_norm, 6) AS ap_norm FROM {_norm_sql(_ranked_sql('mp', 'pid, symbol, label'))}")
+@query(f"WITH {_CONS} SELECT pid, symbol, label, n_pos, n_total, round(ap, 6) AS ap, round(ap_norm, 6) AS ap_norm FROM {norm_sql(ranked_sql('mp', 'pid, symbol, label'))}")
 def multilabel_ap(spark, sf_dir):
     return _mlap(spark, sf_dir).select("pid", "symbol", "label", "n_pos", "n_total", r6("ap"), r6("ap_norm"))
 
 
-@query(f"WITH {_CONS} SELECT label, round(avg(ap), 6) AS mAP, round(avg(ap_norm), 6) AS mAP_norm, count(*) AS n_queries FROM {_norm_sql(_ranked_sql('mp', 'pid, symbol, label'))} WHERE ap IS NOT NULL GROUP BY 1")
+@query(f"WITH {_CONS} SELECT label, round(avg(ap), 6) AS mAP, round(avg(ap_norm), 6) AS mAP_norm, count(*) AS n_queries FROM {norm_sql(ranked_sql('mp', 'pid, symbol, label'))} WHERE ap IS NOT NULL GROUP BY 1")
 def map_per_label(spark, sf_dir):
-    return similarity.mean_average_precision(_mlap(spark, sf_dir).drop("ap_norm"), ["label"], 500).select("label", r6("mAP"), r6("mAP_norm"), "n_queries")
+    return similarity.mean_average_precision(_mlap(spark, sf_dir).drop("ap_norm"), ["label"]).select("label", r6("mAP"), r6("mAP_norm"), "n_queries")
 
 
-@query(f"WITH {_CONS} SELECT symbol, round(avg(ap), 6) AS mAP, round(avg(ap_norm), 6) AS mAP_norm, count(*) AS n_queries FROM {_norm_sql(_ranked_sql('mp', 'pid, symbol, label'))} WHERE ap IS NOT NULL GROUP BY 1")
+@query(f"WITH {_CONS} SELECT symbol, round(avg(ap), 6) AS mAP, round(avg(ap_norm), 6) AS mAP_norm, count(*) AS n_queries FROM {norm_sql(ranked_sql('mp', 'pid, symbol, label'))} WHERE ap IS NOT NULL GROUP BY 1")
 def map_per_gene(spark, sf_dir):
-    return similarity.mean_average_precision(_mlap(spark, sf_dir).drop("ap_norm"), ["symbol"], 500).select("symbol", r6("mAP"), r6("mAP_norm"), "n_queries")
+    return similarity.mean_average_precision(_mlap(spark, sf_dir).drop("ap_norm"), ["symbol"]).select("symbol", r6("mAP"), r6("mAP_norm"), "n_queries")
 
 
-@query(f"""WITH {_CONS}, g AS (SELECT label, avg(ap) AS m, avg(ap_norm) AS mn FROM {_norm_sql(_ranked_sql('mp', 'pid, symbol, label'))} WHERE ap IS NOT NULL GROUP BY 1)
+@query(f"""WITH {_CONS}, g AS (SELECT label, avg(ap) AS m, avg(ap_norm) AS mn FROM {norm_sql(ranked_sql('mp', 'pid, symbol, label'))} WHERE ap IS NOT NULL GROUP BY 1)
   SELECT 'emb' AS representation, count(DISTINCT label) AS n_labels, round(avg(m), 6) AS mean_map, round(median(m), 6) AS median_map, round(avg(mn), 6) AS mean_norm, round(median(mn), 6) AS median_norm FROM g""")
 def consistency_summary(spark, sf_dir):
-    found = similarity.mean_average_precision(_mlap(spark, sf_dir).drop("ap_norm"), ["label"], 500).withColumn("representation", F.lit("emb"))
+    found = similarity.mean_average_precision(_mlap(spark, sf_dir).drop("ap_norm"), ["label"]).withColumn("representation", F.lit("emb"))
     return multilabel.summarize(found, ["representation"]).select("representation", "n_labels", *map(r6, ("mean_map", "median_map", "mean_norm", "median_norm")))
 
 
-@query(f"""WITH {_CONS}, g AS (SELECT label AS organelle, avg(ap_norm) AS mn FROM {_norm_sql(_ranked_sql('mp', 'pid, symbol, label'))} WHERE ap IS NOT NULL GROUP BY 1), n AS (SELECT organelle, count(*) AS n_genes FROM best GROUP BY 1)
+@query(f"""WITH {_CONS}, g AS (SELECT label AS organelle, avg(ap_norm) AS mn FROM {norm_sql(ranked_sql('mp', 'pid, symbol, label'))} WHERE ap IS NOT NULL GROUP BY 1), n AS (SELECT organelle, count(*) AS n_genes FROM best GROUP BY 1)
   SELECT split_part(organelle, '_GO_', 1) AS organelle, 'emb ALL' AS "column", round(mn, 6) AS mean_norm FROM g JOIN n USING (organelle) WHERE n_genes >= 3 AND NOT contains(organelle, 'Golgi')""")
 def organelle_matrix(spark, sf_dir):
-    found = similarity.mean_average_precision(_mlap(spark, sf_dir).drop("ap_norm"), ["label"], 200).withColumnRenamed("label", "organelle").withColumn("column", F.lit("emb ALL"))
+    found = similarity.mean_average_precision(_mlap(spark, sf_dir).drop("ap_norm"), ["label"]).withColumnRenamed("label", "organelle").withColumn("column", F.lit("emb ALL"))
     counts = multilabel.label_counts(multilabel.gene_labels(fx.label_scores(spark, sf_dir)))
     return benchmark.organelle_matrix(found, counts, 3, ("Golgi",)).select("organelle", "column", r6("mean_norm"))
 
 
-@query(f"WITH {_LBL} SELECT organelle, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, organelle) AS INTEGER) AS rank FROM best GROUP BY 1 QUALIFY rank <= 3")
+@query(f"WITH {LABELS} SELECT organelle, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, organelle) AS INTEGER) AS rank FROM best GROUP BY 1 QUALIFY rank <= 3")
 def top_labels(spark, sf_dir):
     flat = multilabel.gene_labels(fx.label_scores(spark, sf_dir)).select(F.explode("labels").alias("organelle"))
     return benchmark.top_labels(flat, 3)
@@ -268,22 +268,14 @@ def release_check(spark, sf_dir):
     return audit.release_check(shards.where("batch <> 'src3'"), docs.select(F.col("source").alias("batch")).where("batch <> 'src5'"), "batch")
 
 
-@query()
-def file_inventory(spark, sf_dir):
-    return audit.file_inventory(spark, f"{sf_dir}/lineitem.parquet")
+_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-@query()
-def classify_tasks(spark, sf_dir):
-    """A boosted-tree model for each pair of one gene's alleles and each left-out plate; every cell of those pairs takes part."""
-    df, names = annotated(spark, sf_dir)
-    df, names = contract.take_features(df, names, names[:5])
-    wanted = pairs.filter_scope(pairs.experimental_pairs(df), "Brand#10,Brand#11")
-    cells = pairs.labelled_cells(df.select(ALLELE, PLATE, PLATEMAP, WELL, OBJECT, "features"), wanted)
-    split = folds.split_by_fold(cells, folds.plate_folds(cells))
-    sizes = folds.task_sizes(split)
-    tasks = split.join(sizes.select("pair_id", "fold_id"), ["pair_id", "fold_id"], "left_semi").withColumns({"task_id": F.concat_ws("__", "pair_id", F.col("fold_id").cast("string")), "channel": F.lit("ALL")})
-    return learn.fit_tasks(tasks.select("task_id", "role", "Label", PLATE, WELL, OBJECT, "channel", "is_control", "features"), names, 20)
+@query(" UNION ALL ".join(f"""SELECT '{t}' AS "table", (SELECT count(*) FROM {t}) AS n_rows, (SELECT count(*) FROM (DESCRIBE {t})) AS n_columns""" for t in _TABLES))
+def file_inventory(spark, sf_dir):
+    """Rows and columns of every table, from the inventories of their files."""
+    found = [audit.file_inventory(spark, f"{sf_dir}/{t}.parquet").groupBy("n_columns").agg(F.sum("n_rows").alias("n_rows")).select(F.lit(t).alias("table"), "n_rows", F.col("n_columns").cast("long").alias("n_columns")) for t in _TABLES]
+    return contract.union_all(found)
 
 
 @query()
