@@ -71,13 +71,14 @@ def _fit(ready: DataFrame, rest: list[str], known: DataFrame, low: int, n: int,
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
     spark, width = ready.sparkSession, len(names)
+    # the last feature is each task's constant; the learner drops a column that is constant, as it is with one task alone
 
     def rows(role: str) -> DataFrame:
         each = ready.withColumn("task_id", F.explode(role)).join(known, "task_id")
         return each.select("task_id", *rest, array_to_vector("__x").alias("__v"), (F.col("__task") - low).cast("double").alias("__k"), F.when(F.col("Label") == 1, F.col("__one")).otherwise(F.col("__zero")).alias("__w"), F.col("Label").cast("double").alias("__y"))
 
     encoder = OneHotEncoder(inputCol="__k", outputCol="__own", dropLast=False).fit(spark.range(n).select(F.col("id").cast("double").alias("__k")))
-    learner = LogisticRegression(featuresCol="__both", labelCol="__y", weightCol="__w", fitIntercept=False, standardization=False, maxIter=rounds, tol=1e-9, regParam=penalty / n, probabilityCol="__p", predictionCol="__c", rawPredictionCol="__r")
+    learner = LogisticRegression(featuresCol="__both", labelCol="__y", weightCol="__w", fitIntercept=n == 1, standardization=False, maxIter=rounds, tol=1e-9, regParam=penalty / n, probabilityCol="__p", predictionCol="__c", rawPredictionCol="__r")
     stages = [encoder, VectorSizeHint(inputCol="__v", size=width + 1), VectorAssembler(inputCols=["__v"], outputCol="__all"), Interaction(inputCols=["__own", "__all"], outputCol="__both"), learner]
     model = Pipeline(stages=stages).fit(rows("trains"))
     scored = model.transform(rows("tests")).select("task_id", *rest, vector_to_array("__p")[1].alias("prediction"))

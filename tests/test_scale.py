@@ -224,7 +224,7 @@ def test_one_fit_for_many_classifiers(spark, monkeypatch):
     df = spark.createDataFrame(rows, "pair string, k int, Label int, features array<double>, trains array<string>, tests array<string>").repartition(4)
     tasks = spark.createDataFrame([(t, 67, 133) for t in ("easy", "none", "other")], "task_id string, n_train_ref long, n_train_var long")
     runs = []
-    for most in (1 << 18, 4):  # all tasks in one fit, and one by one
+    for most in (1 << 18, 8):  # all tasks in one fit, and two or one
         monkeypatch.setattr(learn, "COEFFICIENTS", most)
         scored, top = learn.fit_tasks(df, tasks, ["a", "b", "c"])
         runs.append({(x["task_id"], x["k"]): (x["Label"], x["prediction"]) for x in scored.collect()})
