@@ -1,7 +1,7 @@
 """Exact medians of thousands of features by group, without a row for each value.
 
 A double is an integer of the same order (its bits, with negative ones turned round), so a median is found as in a search tree:
-every pass counts the values of each group and feature in 512 equal ranges of a bracket, and the range that holds the middle is the next
+every pass counts the values of each group and feature in up to 2,048 equal ranges of a bracket, and the range that holds the middle is the next
 bracket, narrowed to the values that it really holds. The first bracket is the mean and one standard deviation to both
 sides, which always holds the median. When few values are left, they are gathered and the middle is read off. State is one row of arrays a group, and what a task
 sends on is bounded by groups x features x ranges, however many rows there are.
@@ -20,8 +20,19 @@ from ..functions.blocks import HELD, Held, by_group, column, matrix
 from ..sources.scratch import dropped, stored
 from .moments import moments
 
-BITS = 9  # 2 ** BITS ranges a pass
-GATHER = 512  # values of a bracket that are gathered
+SUMS, VALUES = 32 << 20, 1 << 22  # bytes of counts that a task holds for a group, and values of a group that are gathered
+
+
+def ranges_of(width: int) -> int:
+    """Bits of the number of ranges a pass: 2,048 ranges for up to some hundred features, fewer for thousands, 256 at least."""
+    return min(11, max(8, (SUMS // (24 * max(1, width))).bit_length() - 1))
+
+
+def gathered_of(width: int) -> int:
+    """How many values of a feature's bracket are gathered at the end."""
+    return min(8192, max(256, VALUES // max(1, width)))
+
+
 _SIGN = np.int64(-(1 << 63))
 _LEAST, _MOST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: open: count on; few: so few values are left that they are gathered; done: ``value`` holds.
@@ -39,17 +50,17 @@ def unordered(k: np.ndarray) -> np.ndarray:
     return np.where(k < 0, ~(k ^ _SIGN), k).view(np.float64)
 
 
-def _shift(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+def _shift(lo: np.ndarray, hi: np.ndarray, bits: int) -> np.ndarray:
     """By how many bits an offset from lo is shifted so that hi falls into the last of the ranges at most."""
     span = (hi.view(np.uint64) - lo.view(np.uint64)).astype(np.float64)
     need = np.frexp(span + 1)[1]  # never too small; 1 too large at most
-    return np.maximum(need - BITS, 0).astype(np.uint64)
+    return np.maximum(need - bits, 0).astype(np.uint64)
 
 
-def _ranges(k: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """0 below the bracket, 1 to 2 ** BITS in it, the next above it."""
-    inside = ((k.view(np.uint64) - lo.view(np.uint64)) >> _shift(lo, hi)).astype(np.int64) + 1
-    return np.where(k < lo, 0, np.where(k > hi, (1 << BITS) + 1, inside))
+def _ranges(k: np.ndarray, lo: np.ndarray, hi: np.ndarray, bits: int) -> np.ndarray:
+    """0 below the bracket, 1 to 2 ** bits in it, the next above it."""
+    inside = ((k.view(np.uint64) - lo.view(np.uint64)) >> _shift(lo, hi, bits)).astype(np.int64) + 1
+    return np.where(k < lo, 0, np.where(k > hi, (1 << bits) + 1, inside))
 
 
 def _middle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -57,7 +68,7 @@ def _middle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(a == b, low, low / 2 + high / 2 if np.abs([low, high]).max(initial=0) > 1e300 else (low + high) / 2)
 
 
-def _narrowed(counts: np.ndarray, least: np.ndarray, most: np.ndarray, n: np.ndarray):
+def _narrowed(counts: np.ndarray, least: np.ndarray, most: np.ndarray, n: np.ndarray, gather: int):
     """The next bracket, how many values are below it, status and value, from the counts and the extremes of ranges
     (feature, range). The bracket is what the middle range really holds, so equal values end the search at once."""
     first, second = (n - 1) // 2, n // 2
@@ -68,7 +79,9 @@ def _narrowed(counts: np.ndarray, least: np.ndarray, most: np.ndarray, n: np.nda
     lo, hi = at(least, a), at(most, a)
     # the middle two on both sides of a cut are the last of one range and the first of the next
     one, two = np.where(b > a, hi, lo), np.where(b > a, at(least, b), lo)
-    status = np.where((b > a) | (lo == hi), DONE, np.where(at(upto, a) - before <= GATHER, FEW, OPEN))
+    # so many values, or so many different ones: doubles that differ in their last bits are few
+    few = (at(upto, a) - before <= gather) | (hi.view(np.uint64) - lo.view(np.uint64) < np.uint64(gather))
+    status = np.where((b > a) | (lo == hi), DONE, np.where(few, FEW, OPEN))
     return lo, hi, before, status, np.where(status == DONE, _middle(one, two), np.nan)
 
 
@@ -83,19 +96,20 @@ def _first(values: pa.Table, name: str) -> np.ndarray:
 class _Ranges:
     """Counts, smallest and largest values of (feature, range)."""
 
-    def __init__(self, width: int):
-        self.width, size = width, width * ((1 << BITS) + 2)
+    def __init__(self, width: int, bits: int):
+        self.each = (1 << bits) + 2
+        size = width * self.each
         self.n, self.least, self.most = np.zeros(size, np.int64), np.full(size, _MOST), np.full(size, _LEAST)
 
     def add(self, i: np.ndarray, at: np.ndarray, k: np.ndarray) -> None:
-        where = i * ((1 << BITS) + 2) + at
+        where = i * self.each + at
         self.n += np.bincount(where, minlength=len(self.n))
         np.minimum.at(self.least, where, k)
         np.maximum.at(self.most, where, k)
 
     def rows(self) -> tuple[np.ndarray, ...]:
         own = np.flatnonzero(self.n)
-        i, at = np.divmod(own, (1 << BITS) + 2)
+        i, at = np.divmod(own, self.each)
         return i, at, self.n[own], self.least[own], self.most[own]
 
 
@@ -117,12 +131,14 @@ def _counted(joined: DataFrame, width: int, kind: str, gather: bool, prepare: Ca
     """(group, i, at, n, least, most): how many values are in each range of the open brackets and their extremes, or (at) which
     values are in the small ones."""
 
+    bits = ranges_of(width)
+
     def out(name: object, sums) -> pa.RecordBatch:
         i, at, n, least, most = sums.rows()
         return pa.record_batch({"group": pa.array([name] * len(i), sums.kind), "i": pa.array(i, pa.int32()), "at": pa.array(at, pa.int64()), "n": pa.array(n, pa.int64()), "least": pa.array(least, pa.int64()), "most": pa.array(most, pa.int64())})
 
     def run(batches):
-        held = Held(_Values, HELD, out) if gather else Held(lambda: _Ranges(width), width * ((1 << BITS) + 2) * 24, out)
+        held = Held(_Values, HELD, out) if gather else Held(lambda: _Ranges(width, bits), width * ((1 << bits) + 2) * 24, out)
         for batch in batches:
             x = matrix(column(batch, "features"), width)
             lists = {c: column(batch, c) for c in ("lo", "hi", "status", "centre") if c in batch.schema.names}
@@ -136,7 +152,7 @@ def _counted(joined: DataFrame, width: int, kind: str, gather: bool, prepare: Ca
                 r, i = np.nonzero(use)
                 sums, k = held.of(name), k[r, i]
                 sums.kind = batch.schema.field("group").type
-                sums.add(i, k) if gather else sums.add(i, _ranges(k, lo[i], hi[i]), k)
+                sums.add(i, k) if gather else sums.add(i, _ranges(k, lo[i], hi[i], bits), k)
             yield from held.rest() if gather else held.full()
         yield from held.rest()
 
@@ -145,6 +161,8 @@ def _counted(joined: DataFrame, width: int, kind: str, gather: bool, prepare: Ca
 
 def _updated(state: DataFrame, counted: DataFrame, width: int, gather: bool) -> DataFrame:
     """The states with the counts taken in: a group's state and at most features x ranges counts meet in a task."""
+    bits, few = ranges_of(width), gathered_of(width)
+
     def update(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         s = {c: _first(left, c) for c in ("lo", "hi", "below", "n", "status", "value")}
         i, at, n, least, most = (right.column(c).to_numpy() for c in ("i", "at", "n", "least", "most"))
@@ -158,12 +176,12 @@ def _updated(state: DataFrame, counted: DataFrame, width: int, gather: bool) ->
                 s["value"][f] = _middle(pick[:1], pick[1:])[0]
             s["status"][s["status"] == FEW] = DONE
         else:
-            shape = (width, (1 << BITS) + 2)
+            shape = (width, (1 << bits) + 2)
             counts, low, high = np.zeros(shape, np.int64), np.full(shape, _MOST), np.full(shape, _LEAST)
             counts[i, at], low[i, at], high[i, at] = n, least, most
             o = s["status"] == OPEN
             if o.any():
-                got = _narrowed(counts[o], low[o], high[o], s["n"][o])
+                got = _narrowed(counts[o], low[o], high[o], s["n"][o], few)
                 for c, v in zip(("lo", "hi", "below", "status", "value"), got, strict=True):
                     s[c][o] = v
         s["status"] = s["status"].astype(np.int32)

@@ -17,11 +17,29 @@ def _preprocessed(spark, sf_dir):
     return pipelines.preprocess(df, names, fx.manifest(df), pipelines.Controls(**fx.CONTROLS))
 
 
-@query()
+_KEYS = '"Metadata_Plate", "Metadata_well_position", "Metadata_ImageNumber", "Metadata_ObjectNumber"'
+_BAD = "value IS NULL OR isinf(value) OR isnan(value)"
+_PREPROCESSED = f"""WITH {fx.ANNOTATED}, {fx.MANIFEST}, listed AS (SELECT * FROM annotated SEMI JOIN manifest USING ({_KEYS})),
+  wells AS MATERIALIZED (SELECT *, row_number() OVER () AS rid FROM (SELECT * FROM listed QUALIFY count(*) OVER (PARTITION BY "Metadata_Plate", "Metadata_well_position") >= 20)),
+  l0 AS (SELECT rid, "Metadata_Plate", "Metadata_node_type", "Metadata_Control", feature, value FROM wells UNPIVOT INCLUDE NULLS (value FOR feature IN ({", ".join(f'"{n}"' for n in fx.FEATURES)}))),
+  few AS (SELECT feature FROM l0 GROUP BY 1 HAVING count(*) FILTER ({_BAD}) <= 100), l1 AS (SELECT * FROM l0 SEMI JOIN few USING (feature)),
+  l2 AS MATERIALIZED (SELECT * FROM l1 WHERE rid NOT IN (SELECT rid FROM l1 WHERE {_BAD})),
+  st AS (SELECT "Metadata_Plate", feature, median(value) AS med, mad(value) AS mad FROM l2 GROUP BY 1, 2),
+  vary AS (SELECT feature FROM st GROUP BY 1 HAVING count(*) FILTER (mad <> 0 AND coalesce(abs(mad / nullif(med, 0)), 0) > 0.001) = (SELECT count(DISTINCT "Metadata_Plate") FROM st)),
+  z AS MATERIALIZED (SELECT rid, "Metadata_node_type", "Metadata_Control", feature, greatest(-100, least(100, CASE WHEN mad <> 0 THEN (value - med) / mad ELSE value END)) AS z FROM l2 SEMI JOIN vary USING (feature) JOIN st USING ("Metadata_Plate", feature)),
+  c AS (SELECT feature, z, count(*) AS n FROM z WHERE NOT contains(feature, '_Neighbors_') GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, z) AS k FROM c),
+  spread AS (SELECT feature FROM k GROUP BY 1 HAVING coalesce(max(n) FILTER (k = 2) / max(n) FILTER (k = 1), 0) >= 0.05 AND count(*) / sum(n) >= 0.01), y AS MATERIALIZED (SELECT * FROM z SEMI JOIN spread USING (feature)),
+  r AS (SELECT a.feature AS a, b.feature AS b, corr(a.z, b.z) AS r FROM y a JOIN y b ON a.rid = b.rid AND a.feature <> b.feature AND contains(a.feature, 'GFP') = contains(b.feature, 'GFP') GROUP BY 1, 2),
+  t AS (SELECT a, sum(abs(r)) AS total FROM r GROUP BY 1),
+  gone AS (SELECT DISTINCT r.a AS feature FROM r JOIN t ON r.a = t.a JOIN t o ON r.b = o.a WHERE abs(r) > 0.9 AND (round(t.total, 9) > round(o.total, 9) OR round(t.total, 9) = round(o.total, 9) AND r.a > r.b))
+  SELECT feature, "Metadata_node_type", "Metadata_Control", count(*) AS n, round(avg(z), 4) AS mean, round(stddev_samp(z), 4) AS std FROM y ANTI JOIN gone USING (feature) GROUP BY 1, 2, 3"""
+
+
+@query(_PREPROCESSED)
 def preprocess_batch(spark, sf_dir):
     """The preprocessing chain; mean and spread of what it keeps, by feature and control axis."""
     df, names = _preprocessed(spark, sf_dir)
-    return contract.long_form(df, names, NODE, CONTROL).groupBy("feature", NODE, CONTROL).agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    return contract.long_form(df, names, NODE, CONTROL).groupBy("feature", NODE, CONTROL).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.stddev_samp("value"), 4).alias("std"))
 
 
 @query()

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import annotate, contract, folds, learn, metrics, multilabel, normalize, pairs, qc, select, similarity
 from ..operators.contract import OBJECT, PLATE, PLATEMAP, WELL
-from ..sources.scratch import stored
+from ..sources.scratch import dropped, stored
 
 
 @dataclass
@@ -24,16 +23,17 @@ class Controls:
 def preprocess(df: DataFrame, names: list[str], manifest: DataFrame | None, controls: Controls, least_cells: int = 20, most_missing: int = 100, limit: float = 100.0, embeddings: bool = False) -> tuple[DataFrame, list[str]]:
     """Gates, missing values, plate statistics, variant features, robust scaling, clipping, feature selection, controls.
 
+    The gated and the scaled cells are written to the shared folder, as several passes read them; the gated ones go when done.
     Embeddings skip the manifest, the blocklist and the variance threshold, and lose dead features instead of unvarying ones.
     """
     if manifest is not None and not embeddings:
         df = qc.filter_to_manifest(df, manifest)
     df, names = qc.drop_missing(qc.drop_low_count_wells(df, least_cells), names, most_missing)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # several decisions read it; lost blocks are computed again
-    stats = normalize.plate_stats(df, names).persist(StorageLevel.MEMORY_AND_DISK)  # a row for each plate and feature
+    df = stored(df, "gated")  # several decisions read it
+    stats = normalize.plate_stats(df, names)
     df, names = normalize.drop_dead_features(df, names) if embeddings else normalize.select_variant_features(df, names, stats)
-    df = qc.clip(normalize.robust_z(df, names, stats), limit)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    gated, df = df, stored(qc.clip(normalize.robust_z(df, names, stats), limit), "scaled")
+    dropped(gated)
     if not embeddings:
         df, names = select.prefilter(df, names)
         df, names = select.decorrelate(df, names)

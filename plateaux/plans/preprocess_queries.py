@@ -8,6 +8,7 @@ from ..operators import annotate, contract, normalize, qc, select
 from ..operators.contract import ALLELE, CONTROL, IMAGE, NODE, OBJECT, PLATE, SITE, SYMBOL, WELL
 from ..operators.moments import feature_moments
 from ..sources import fixtures as fx
+from ..sources.scratch import stored
 from .registry import query
 
 USED = [n for n in fx.FEATURES if n != "Nuclei_AreaShape_Ratio"]
@@ -17,13 +18,19 @@ STATS = """stats AS (
   acv AS (SELECT *, coalesce(abs(mad / nullif(median, 0)), 0) AS abs_coef_var FROM stats)"""
 
 
+def _stored(spark, sf_dir):
+    """The cells written once, for what reads them in several passes."""
+    df, names = fx.cells(spark, sf_dir)
+    return stored(df, "cells"), names
+
+
 def r6(name: str):
     return F.round(name, 6).alias(name)
 
 
 @query(f"""WITH {fx.LONG}, {STATS} SELECT "Metadata_Plate", feature, round(median, 6) AS median, round(mad, 6) AS mad, round(min, 6) AS min, round(max, 6) AS max, count AS n, round(abs_coef_var, 6) AS abs_coef_var FROM acv""")
 def plate_stats(spark, sf_dir):
-    df, names = fx.cells(spark, sf_dir)
+    df, names = _stored(spark, sf_dir)
     return normalize.plate_stats(df, names).select(PLATE, "feature", *map(r6, ("median", "mad", "min", "max")), F.col("count").alias("n"), r6("abs_coef_var"))
 
 
@@ -37,7 +44,7 @@ Z_LIST = ", ".join(f"'{n}'" for n in USED)
   SELECT "Metadata_gene_allele", feature, round(median(z), 6) AS z_median, count(*) AS n FROM z GROUP BY 1, 2""")
 def robust_z_allele_median(spark, sf_dir):
     """Well gate, plate statistics, robust scaling, clipping, median profile of each allele."""
-    df, names = fx.cells(spark, sf_dir)
+    df, names = _stored(spark, sf_dir)
     df, names = contract.take_features(df, names, USED)
     df = qc.drop_low_count_wells(df, df.count() // LEAST)
     z = qc.clip(normalize.robust_z(df, names, normalize.plate_stats(df, names)))
@@ -77,7 +84,7 @@ def drop_missing(spark, sf_dir):
 
 @query(f"""WITH {fx.LONG}, {STATS} SELECT feature FROM acv GROUP BY 1 HAVING count(*) FILTER (mad <> 0 AND abs_coef_var > 0.001) = (SELECT count(DISTINCT "Metadata_Plate") FROM acv)""")
 def variant_features(spark, sf_dir):
-    df, names = fx.cells(spark, sf_dir)
+    df, names = _stored(spark, sf_dir)
     return normalize.variant_features(normalize.plate_stats(df, names))
 
 

@@ -31,12 +31,13 @@ def test_integers_in_the_order_of_doubles():
 def test_ranges_of_the_widest_bracket():
     lo, hi = quantiles.ordered(np.array([-np.finfo(float).max])), quantiles.ordered(np.array([np.finfo(float).max]))
     k = quantiles.ordered(np.array([-np.inf, -1e308, 0.0, 1e308, np.inf]))
-    at = quantiles._ranges(k, np.repeat(lo, 5), np.repeat(hi, 5))
-    assert (np.diff(at) >= 0).all() and at[0] == 0 and at[-1] == (1 << quantiles.BITS) + 1 and 0 < at[1] < at[2] < at[3] <= 1 << quantiles.BITS
+    at = quantiles._ranges(k, np.repeat(lo, 5), np.repeat(hi, 5), 9)
+    assert (np.diff(at) >= 0).all() and at[0] == 0 and at[-1] == 513 and 0 < at[1] < at[2] < at[3] <= 512
 
 
 def test_medians_and_mads_of_hard_columns(spark, monkeypatch):
-    monkeypatch.setattr(quantiles, "GATHER", 4)  # so that several passes are needed
+    monkeypatch.setattr(quantiles, "gathered_of", lambda width: 4)  # so that several passes are needed
+    monkeypatch.setattr(quantiles, "ranges_of", lambda width: 3)
     r = np.random.default_rng(0)
     data, rows = {}, []
     for g, n in (("a", 900), ("b", 8), ("c", 1)):
