@@ -35,3 +35,11 @@ def dot(a: Column, b: Column) -> Column:
 
 def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
+
+
+def constant(values: list, kind: str = "string") -> Column:
+    """An array of thousands of known names or numbers as one literal that is split, not a literal for each."""
+    if not values:
+        return F.array().cast(f"array<{kind}>")
+    mark = "\x1f"
+    return F.split(F.lit(mark.join(v if isinstance(v, str) else repr(v) for v in values)), mark).cast(f"array<{kind}>")

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.stats import constant
+
 PLATE, WELL, SITE, IMAGE, OBJECT = "Metadata_Plate", "Metadata_well_position", "Metadata_Site", "Metadata_ImageNumber", "Metadata_ObjectNumber"
 ALLELE, SYMBOL, PLATEMAP, NODE, CONTROL = "Metadata_gene_allele", "Metadata_symbol", "Metadata_plate_map_name", "Metadata_node_type", "Metadata_Control"
 KEYS = [PLATE, WELL, IMAGE, OBJECT]
@@ -36,15 +38,16 @@ def unpack(df: DataFrame, names: list[str], dtype: str = "float") -> DataFrame:
 
 
 def take_features(df: DataFrame, names: list[str], kept: list[str]) -> tuple[DataFrame, list[str]]:
-    """Keep some features, in their old order, by re-indexing the array."""
+    """Keep some features, in their old order; the array is read once, also where it is an expression."""
     own = set(kept)
     ids = [i for i, n in enumerate(names) if n in own]
-    return df.withColumn("features", F.array(*[F.col("features")[i] for i in ids])), [names[i] for i in ids]
+    mask = constant([int(n in own) for n in names], "int")
+    return df.withColumn("features", F.filter("features", lambda _, i: mask[i] == 1)), [names[i] for i in ids]
 
 
 def long_form(df: DataFrame, names: list[str], *keys: str) -> DataFrame:
     """Rows (keys, feature, value)."""
-    labels = F.array(*map(F.lit, names))
+    labels = constant(names)
     return df.select(*keys, F.posexplode("features").alias("__i", "value")).select(*keys, labels[F.col("__i")].alias("feature"), "value")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import column
+from ..functions.stats import constant
 from .contract import OBJECT, PLATE, WELL, union_all
 from .order import numbered
 
@@ -56,7 +57,7 @@ def fit_tasks(cells: DataFrame, tasks: DataFrame, names: list[str], rounds: int
         none = spark.createDataFrame([], f"task_id string, {', '.join(f'`{c}` {types[c]}' for c in rest)}, prediction double")
         return none, spark.createDataFrame([], "task_id string, feature string, importance double")
     means, spreads = _scales(cells, width)
-    table = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(s).alias("s")) for m, s in zip(means, spreads, strict=True)])
+    table = F.zip_with(constant(means, "double"), constant(spreads, "double"), lambda m, s: F.struct(m.alias("m"), s.alias("s")))
     scaled = F.zip_with("features", table, lambda x, t: F.when(x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")), 0.0).otherwise((x - t["m"]) / t["s"]))
     ready = cells.withColumn("__x", F.concat(scaled, F.array(F.lit(1.0))))
     size = max(1, COEFFICIENTS // (width + 1))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.blocks import Held, by_group, column, finite, matrix
+from ..functions.stats import constant
 
 
 class _Sums:
@@ -66,5 +67,5 @@ def moments(df: DataFrame, width: int, group: Column | None = None) -> DataFrame
 
 def feature_moments(df: DataFrame, names: list[str]) -> DataFrame:
     """feature and the moments over the whole table, a row for every name also where the table is empty."""
-    every = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, names))).alias("i", "feature"))
+    every = df.sparkSession.range(1).select(F.posexplode(constant(names)).alias("i", "feature"))
     return every.join(moments(df, len(names)).drop("group"), "i", "left").fillna(0, ["n", "n_missing"])

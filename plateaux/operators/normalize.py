@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stats import constant
 from .contract import PLATE, take_features
 from .moments import feature_moments
 from .quantiles import medians_and_mads
@@ -17,7 +18,7 @@ from .quantiles import medians_and_mads
 def plate_stats(df: DataFrame, names: list[str]) -> DataFrame:
     """Metadata_Plate, feature, median, mad, min, max, count, abs_coef_var; missing values and rows without a plate left out."""
     found = medians_and_mads(df, len(names), PLATE).where("n > 0")
-    labels = F.array(*map(F.lit, names))
+    labels = constant(names)
     spread = F.coalesce(F.abs(F.try_divide("mad", "median")), F.lit(0.0))
     return found.select(F.col("group").alias(PLATE), labels[F.col("i")].alias("feature"), "median", "mad", "min", "max", F.col("n").alias("count"), spread.alias("abs_coef_var"))
 
@@ -35,9 +36,9 @@ def select_variant_features(df: DataFrame, names: list[str], stats: DataFrame, l
 
 def robust_z(df: DataFrame, names: list[str], stats: DataFrame) -> DataFrame:
     """(x - median) / MAD of the plate; where the MAD is 0 or unknown, x itself. One row of statistics goes out a plate."""
-    order = F.create_map(*[v for i, n in enumerate(names) for v in (F.lit(n), F.lit(i))])
-    packed = stats.where(F.col("feature").isin(*names)).groupBy(PLATE).agg(F.map_from_entries(F.collect_list(F.struct(order[F.col("feature")].alias("i"), F.struct("median", "mad").alias("s")))).alias("__m"))
-    packed = packed.select(PLATE, F.transform(F.sequence(F.lit(0), F.lit(len(names) - 1)), lambda i: F.col("__m")[i]).alias("__s"))
+    at = stats.sparkSession.range(1).select(F.posexplode(constant(names)).alias("i", "feature"))
+    every = stats.select(PLATE).distinct().crossJoin(at).join(stats.select(PLATE, "feature", "median", "mad"), [PLATE, "feature"], "left")  # a row for each plate and feature
+    packed = every.groupBy(PLATE).agg(F.array_sort(F.collect_list(F.struct("i", "median", "mad"))).alias("__s"))
     scaled = F.zip_with("features", "__s", lambda x, s: F.when(s["mad"] != 0, (x - s["median"]) / s["mad"]).otherwise(x))
     return df.join(packed, PLATE).withColumn("features", scaled).drop("__s")
 

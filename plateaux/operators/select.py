@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.blocks import column, finite, matrix
 from ..functions.stats import present
+from ..sources.scratch import stored
 from .contract import long_form, take_features, union_all
 from .moments import moments
 
@@ -103,20 +104,20 @@ def _pearson(i: int, v: np.ndarray, n: int, m2: np.ndarray, missing: np.ndarray,
     return np.where((a > 1e-13 * m2[i]) & (b > 1e-13 * m2) & (count > 0), r, np.nan)
 
 
-def correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """(a, b, r) for all ordered pairs of features: Pearson over the cells that have both, null where either is constant.
+def _correlation_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    """(i, r): one row a feature, an array of its correlations with all features in order of names, NaN where there is none;
+    no rows of an empty table.
 
     Two passes: means, then products of the centred features as matrix products of batches. Tasks hold sums, not pairs as
-    columns or rows, in panels of at most PANEL bytes; sums of one feature meet by addition. Pairs become rows at the end.
+    columns or rows, in panels of at most PANEL bytes; sums of one feature meet by addition.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    spark, p = df.sparkSession, len(names)
-    empty = spark.createDataFrame([], "a string, b string, r double")
+    p = len(names)
     found = sorted(moments(df, p).collect(), key=lambda r: r["i"])  # a row for each feature
-    if p < 2 or not found:
-        return empty
+    if not found:
+        return df.sparkSession.createDataFrame([], "i int, r array<double>")
     get = lambda c: np.array([r[c] if r[c] is not None else 0.0 for r in found], float)
     means, missing, n = get("mean"), get("n_missing"), int(found[0]["n"] + found[0]["n_missing"])
     m2 = np.where(get("min") == get("max"), 0.0, get("m2"))
@@ -125,26 +126,52 @@ def correlations(df: DataFrame, names: list[str]) -> DataFrame:
     parts = [_products(df, means, gaps, range(low, min(p, low + size))) for low in range(0, p, size)]
     sums = union_all(parts).groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector(F.col("v")))).alias("v"))
 
+    def rows(batches):
+        for batch in batches:
+            for i, v in zip(column(batch, "i").to_pylist(), column(batch, "v"), strict=True):
+                r = _pearson(i, v.values.to_numpy(), n, m2, missing, gaps)
+                yield pa.record_batch({"i": pa.array([i], pa.int32()), "r": pa.ListArray.from_arrays(pa.array([0, p], pa.int32()), r)})
+
+    return sums.mapInArrow(rows, "i int, r array<double>")
+
+
+def correlations(df: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, r) for all ordered pairs of features: Pearson over the cells that have both, null where either is constant."""
+    p = len(names)
+
     def pairs(batches):
         labels = pa.array(names)
         for batch in batches:
-            lists = column(batch, "v")
-            for i, v in zip(column(batch, "i").to_pylist(), lists, strict=True):
-                r = _pearson(i, v.values.to_numpy(), n, m2, missing, gaps)
+            for i, r in zip(column(batch, "i").to_pylist(), column(batch, "r"), strict=True):
                 other = np.delete(np.arange(p), i)
-                yield pa.record_batch({"a": pa.array([names[i]] * (p - 1)), "b": labels.take(pa.array(other)), "r": pa.array(r[other], mask=np.isnan(r[other]))})
+                own = r.values.to_numpy()[other]
+                yield pa.record_batch({"a": pa.array([names[i]] * (p - 1), pa.string()), "b": labels.take(pa.array(other)), "r": pa.array(own, mask=np.isnan(own))})
 
-    return sums.mapInArrow(pairs, "a string, b string, r double")
+    return _correlation_rows(df, names).mapInArrow(pairs, "a string, b string, r double")
 
 
-def correlated(corr: DataFrame, limit: float = 0.9) -> DataFrame:
-    """feature, total_abs_corr, dropped: of each pair above the limit the one that correlates more with all others goes;
-    the later name on ties."""
-    total = corr.groupBy("a").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)))).alias("total"))
-    other = total.select(F.col("a").alias("b"), F.col("total").alias("other"))
-    rows = corr.join(total, "a").join(other, "b")
-    worse = (F.abs("r") > limit) & ((F.round("total", 9) > F.round("other", 9)) | (F.round("total", 9) == F.round("other", 9)) & (F.col("a") > F.col("b")))
-    return rows.groupBy(F.col("a").alias("feature")).agg(F.max("total").alias("total_abs_corr"), F.coalesce(F.max(worse), F.lit(False)).alias("dropped"))
+def correlated(df: DataFrame, names: list[str], limit: float = 0.9) -> DataFrame:
+    """feature, total_abs_corr, dropped: of each pair above the limit the one that correlates more with all others goes (the
+    sums are compared to nine digits), the later name on ties. A feature is one row of an array; pairs never are."""
+    def total(batches):
+        for batch in batches:
+            for i, r in zip(column(batch, "i").to_pylist(), column(batch, "r"), strict=True):
+                yield pa.record_batch({"i": pa.array([i], pa.int32()), "total": pa.array([float(np.nansum(np.abs(np.delete(r.values.to_numpy(), i))))])})
+
+    rows = stored(_correlation_rows(df, names), "correlations")
+    totals = {r["i"]: r["total"] for r in rows.mapInArrow(total, "i int, total double").collect()}  # a number for each feature
+    exact = np.array([totals.get(i, 0.0) for i in range(len(names))])
+    sums, place = np.round(exact, 9), np.argsort(np.argsort(np.array(names, object)))
+
+    def drop(batches):
+        for batch in batches:
+            for i, r in zip(column(batch, "i").to_pylist(), column(batch, "r"), strict=True):
+                near = np.abs(np.nan_to_num(r.values.to_numpy())) > limit
+                near[i] = False
+                worse = (sums[i] > sums) | (sums[i] == sums) & (place[i] > place)
+                yield pa.record_batch({"feature": pa.array([names[i]]), "total_abs_corr": pa.array([float(exact[i])]), "dropped": pa.array([bool((near & worse).any())])})
+
+    return rows.mapInArrow(drop, "feature string, total_abs_corr double, dropped boolean")
 
 
 def decorrelate(df: DataFrame, names: list[str], limit: float = 0.9, channel_aware: bool = True) -> tuple[DataFrame, list[str]]:
@@ -153,7 +180,7 @@ def decorrelate(df: DataFrame, names: list[str], limit: float = 0.9, channel_awa
     gone: set[str] = set()
     for group in groups:
         own, _ = take_features(df, names, group)
-        gone |= {r["feature"] for r in correlated(correlations(own, group), limit).where("dropped").collect()}  # names
+        gone |= {r["feature"] for r in correlated(own, group, limit).where("dropped").collect()}  # names
     return take_features(df, names, [n for n in names if n not in gone])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.stats import missing
+from ..functions.stats import constant, missing
 from .moments import moments
 
 EXACT, EXACT_CELLS = 8, 20_000  # smallest arm, and product of the arms, up to which the exact distribution is used without ties
@@ -167,7 +167,7 @@ def principal_components(df: DataFrame, k: int = 2) -> DataFrame:
         return df.select(*keys, *[F.lit(0.0).alias(f"{name}{i + 1}") for name in ("pc", "explained") for i in range(k)])
     # centred, so that the projection is of deviations
     mean = np.array([r["mean"] for r in sorted(moments(df, first["n"]).collect(), key=lambda r: r["i"])])  # a row for each feature
-    centred = df.withColumn("__x", array_to_vector(F.zip_with("features", F.array(*[F.lit(float(m)) for m in mean]), lambda x, m: x - m)))
+    centred = df.withColumn("__x", array_to_vector(F.zip_with("features", constant([float(m) for m in mean], "double"), lambda x, m: x - m)))
     model = PCA(k=k, inputCol="__x", outputCol="__pc").fit(centred)
     loads = model.pc.toArray()
     sign = np.sign(loads[np.abs(loads).argmax(0), range(k)])

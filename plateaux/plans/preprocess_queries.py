@@ -112,7 +112,7 @@ _PAIRS = " UNION ALL ".join(f"""SELECT '{a}' AS a, '{b}' AS b, nullif(corr("{a}"
 def correlated_drop(spark, sf_dir):
     df, names = fx.cells(spark, sf_dir)
     df, names = contract.take_features(df, names, USED)
-    return select.correlated(select.correlations(df, names)).select("feature", r6("total_abs_corr"), "dropped")
+    return select.correlated(df, names).select("feature", r6("total_abs_corr"), "dropped")
 
 
 def annotated(spark, sf_dir):

@@ -92,7 +92,7 @@ def test_three_thousand_features(spark):
     wave = F.transform(F.sequence(F.lit(0), F.lit(2999)), lambda i: F.sin(F.col("id") * (F.floor(i / 2) + 1.0)) + F.when(i % 2 == 0, 0.01).otherwise(0.0))
     df = spark.range(0, 200, 1, 4).select(F.lit("P1T1").alias(PLATE), wave.alias("features"))
     kept, left = select.decorrelate(df, names)
-    assert 1 <= len(left) <= 1500 and kept.columns == [PLATE, "features"]
+    assert 1 <= len(left) <= 1500 and kept.columns == [PLATE, "features"]  # every two neighbours are one wave
     assert qc.missing_counts(df, names).where("n_missing = 0").count() == 3000 and normalize.feature_spread(df, names).where("std > 0").count() == 3000
     assert normalize.plate_stats(df, names).count() == 3000
 
@@ -250,3 +250,27 @@ def test_lists_of_folds_say_what_copies_say(spark):
         a = folds.task_sizes(folds.split_by_fold(cells, found, layout), 1, 1)
         b = folds.list_sizes(folds.fold_lists(cells, found, layout), 1, 1)
         assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect())) and a.count() > 3
+
+
+def test_which_of_two_correlated_features_goes(spark):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 3))
+    m = np.stack([x[:, 0], x[:, 0] + 0.1 * x[:, 1], x[:, 1], x[:, 0], np.ones(200), x[:, 0] + 0.2 * x[:, 2]], 1)
+    names = ["d", "a", "c", "b", "one", "e"]
+    corr = np.abs(np.nan_to_num(np.array([[np.corrcoef(m[:, i], m[:, j])[0, 1] if 4 not in (i, j) else 0 for j in range(6)] for i in range(6)])))
+    np.fill_diagonal(corr, 0)
+    total = corr.sum(1).round(9)
+    want = {names[i]: any(corr[i, j] > 0.9 and (total[i] > total[j] or total[i] == total[j] and names[i] > names[j]) for j in range(6)) for i in range(6)}
+    df = spark.createDataFrame([([float(v) for v in row],) for row in m], "features array<double>")
+    got = {x["feature"]: x["dropped"] for x in select.correlated(df, names).collect()}
+    assert got == want and 0 < sum(got.values()) < 6
+
+
+def test_stars_and_shares_of_significance(spark):
+    from plateaux.operators import multilabel
+
+    df = spark.createDataFrame([(k, p, 3.0, 1.0) for k, p in enumerate([0.0005, 0.005, 0.03, 0.2, None])], "k int, corrected_p_value double, median_a double, median_b double")
+    assert [(x["stars"], x["effect"]) for x in stats.effect_table(df).orderBy("k").collect()] == [("***", 2.0), ("**", 2.0), ("*", 2.0), ("", 2.0), ("", 2.0)]
+    rows = [("r", f"l{k}", 0.1 * k, 0.2 * k, k < 3) for k in range(8)]
+    x = multilabel.summarize(spark.createDataFrame(rows, "r string, label string, mAP double, mAP_norm double, below_corrected_p boolean"), ["r"]).first()
+    assert (x["n_labels"], x["n_significant"], x["percent_significant"]) == (8, 3, 37.5) and x["median_norm"] == pytest.approx(0.7)
