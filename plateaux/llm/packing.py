@@ -4,7 +4,9 @@ Documents longer than the capacity are cut into full pieces, the first of which
 among the pieces of its length. The planner sees only how many pieces there are of each length, a table of at most
 ``capacity`` rows whatever the corpus, and works by exact complements: for the longest length left it looks up the gap in
 an index of single lengths, of pair sums and of triple sums, and uses the combination that fills the gap exactly as
-often as the counts allow. What then remains is placed best fit, longest first. The plan is a table of (length, ranks
+often as the counts allow. What then remains is placed best fit, longest first. Exact fills may spend early the small pieces
+that best fit needs, so several orders of filling are planned and the plan of fewest sequences is kept; it is never
+longer than best fit alone. The plan is a table of (length, ranks
 from, ranks to, first sequence, offset); tasks look their pieces up in it, so pieces never meet in one place.
 
 Nulls: a null text is empty (its end id alone). Documents of equal length or text, repeated rows too, are told apart by
@@ -26,6 +28,8 @@ from .common import small_batches, stored, texts
 from .tokens import encoder, vocabulary_path
 
 CAPACITY = 2048
+# orders in which exact fills are tried; the last leaves all to best fit, so that no plan is worse than that
+ORDERS = ((("single",), ("pair",), ("triple",)), (("single", "pair", "triple"),), (("single",), ("pair",)), (("single",),), ())
 
 
 class Plan:
@@ -39,59 +43,73 @@ class Plan:
         self.patterns.append((tuple(lengths), times))
 
 
-def complements(counts: np.ndarray, capacity: int) -> tuple[Plan, np.ndarray]:
-    """Use every combination of a longest piece and one, two or three others that fills a sequence exactly."""
-    plan, left = Plan(capacity), counts.astype(np.int64).copy()
-    have = left > 0
-    # sums[s]: how many pairs of lengths present sum to s; kept up to date as lengths run out
-    sums = np.zeros(2 * capacity + 1, np.int64)
-    present = np.flatnonzero(have)
-    for a in present:
-        sums[a + present[present >= a]] += 1
-
-    def use(lengths: list[int]) -> None:
-        own, need = np.unique(lengths, return_counts=True)
-        times = int((left[own] // need).min())
-        plan.add(lengths, times)
-        left[own] -= need * times
-        for a in own[left[own] == 0]:
-            have[a] = False
-            others = np.flatnonzero(have)
-            sums[a + others] -= 1
-            sums[2 * a] -= 1
-
-    def enough(lengths: list[int]) -> bool:
+class Sums:
+    """The lengths that are left and how many pairs and triples of them give each sum, kept up to date as lengths run out."""
+
+    def __init__(self, left: np.ndarray, capacity: int, triples: bool):
+        self.left, self.have = left, np.zeros(capacity + 1, bool)
+        self.pairs, self.triples = np.zeros(2 * capacity + 1, np.int64), np.zeros(3 * capacity + 1, np.int64) if triples else None
+        for a in np.flatnonzero(left > 0):
+            self.have[a] = True
+            self.pairs[a + np.flatnonzero(self.have)] += 1
+            if triples:
+                self.triples[a:a + len(self.pairs)] += self.pairs
+
+    def enough(self, lengths: list[int]) -> bool:
         own, need = np.unique(lengths, return_counts=True)
-        return bool((left[own] >= need).all())
+        return bool((self.left[own] >= need).all())
 
-    def pair(gap: int, with_: list[int]) -> list[int] | None:
-        if gap < 2 or sums[gap] <= 0:
+    def take(self, lengths: list[int]) -> int:
+        """Use a combination as often as the counts allow."""
+        own, need = np.unique(lengths, return_counts=True)
+        times = int((self.left[own] // need).min())
+        self.left[own] -= need * times
+        for a in own[self.left[own] == 0]:
+            if self.triples is not None:
+                self.triples[a:a + len(self.pairs)] -= self.pairs
+            self.pairs[a + np.flatnonzero(self.have)] -= 1
+            self.have[a] = False
+        return times
+
+    def single(self, gap: int, with_: list[int]) -> list[int] | None:
+        return [*with_, gap] if self.have[gap] and self.enough([*with_, gap]) else None
+
+    def pair(self, gap: int, with_: list[int]) -> list[int] | None:
+        if gap < 2 or not self.pairs[gap]:
             return None
-        a = np.arange(min(gap - 1, capacity), (gap + 1) // 2 - 1, -1)
-        for x in a[have[a] & have[gap - a]].tolist():
-            if enough([*with_, x, gap - x]):
+        a = np.arange(gap - 1, (gap + 1) // 2 - 1, -1)
+        for x in a[self.have[a] & self.have[gap - a]].tolist():
+            if self.enough([*with_, x, gap - x]):
                 return [*with_, x, gap - x]
         return None
 
+    def triple(self, gap: int, with_: list[int]) -> list[int] | None:
+        if gap < 3 or not self.triples[gap]:
+            return None
+        a = np.arange(gap - 2, 0, -1)
+        for x in a[self.have[a] & (self.pairs[gap - a] > 0)].tolist():
+            if self.enough([*with_, x]) and (found := self.pair(gap - x, [*with_, x])):
+                return found
+        return None
+
+
+def complements(counts: np.ndarray, capacity: int, rounds: tuple[tuple[str, ...], ...]) -> tuple[Plan, np.ndarray]:
+    """Use combinations of a longest piece and others that fill a sequence exactly.
+
+    ``rounds`` names the indexes that are tried for each length, longest first; the next round begins when all lengths had
+    their turn, so that few and large pieces go first and small ones are kept for what nothing else fills.
+    """
+    plan, left = Plan(capacity), counts.astype(np.int64).copy()
+    sums = Sums(left, capacity, any("triple" in kinds for kinds in rounds))
     if left[capacity]:
-        use([capacity])
-    for longest in range(capacity - 1, 0, -1):
-        while left[longest]:
-            gap = capacity - longest
-            if have[gap] and enough([longest, gap]):
-                use([longest, gap])
-                continue
-            if found := pair(gap, [longest]):
-                use(found)
-                continue
-            thirds = np.arange(min(gap - 2, capacity), 0, -1)
-            found = None
-            for x in thirds[have[thirds] & (sums[gap - thirds] > 0)].tolist():
-                if found := pair(gap - x, [longest, x]):
-                    use(found)
+        plan.add([capacity], sums.take([capacity]))
+    for kinds in rounds:
+        for longest in range(capacity - 1, 0, -1):
+            while left[longest]:
+                found = next((f for f in (getattr(sums, kind)(capacity - longest, [longest]) for kind in kinds) if f), None)
+                if not found:
                     break
-            if not found:
-                break
+                plan.add(found, sums.take(found))
     return plan, left
 
 
@@ -137,10 +155,19 @@ def best_fit(plan: Plan, left: np.ndarray) -> None:
             plan.add(lengths, times)
 
 
+def best_plan(counts: np.ndarray, capacity: int) -> Plan:
+    """The plan of fewest sequences, of those that index more or fewer sums before they place the rest best fit."""
+    plans = []
+    for rounds in ORDERS:
+        plan, left = complements(counts, capacity, rounds)
+        best_fit(plan, left)
+        plans.append(plan)
+    return min(plans, key=lambda p: sum(times for _, times in p.patterns))  # the first of equals
+
+
 def plan_table(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """Rows (length, first rank, one past the last rank, first sequence, offset), sorted by length and rank."""
-    plan, left = complements(counts, capacity)
-    best_fit(plan, left)
+    plan = best_plan(counts, capacity)
     given = np.zeros(capacity + 1, np.int64)
     rows, sequence = [], 0
     for lengths, times in plan.patterns:
