@@ -10,7 +10,7 @@ def test_rows_do_not_depend_on_the_number_of_passes(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     items = [(f"i{k}", " ".join(words[k * 13:k * 13 + 25])) for k in range(25)] + [("i1", "w1"), (None, " ".join(words[5:20]))]
     benchmark = spark.createDataFrame(items, "item_id string, text string")
-    shown = lambda: sorted(map(str, d.contamination(docs, benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "longest_match").collect()))
+    shown = lambda: sorted(map(str, d.contamination(docs, benchmark, with_items=True).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "longest_match", "longest_start").collect()))
     one = shown()
     assert len(one) == len(rows) and sum("n_hit=0" not in x for x in one) >= len(texts)
     monkeypatch.setattr(d, "BLOCK", 1200)
