@@ -30,7 +30,6 @@ from bisect import bisect_right
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import SPACED, WordHasher, _odd, dropped, fits_broadcast, mix, semi, small_batches, stored, texts, utf8
 
@@ -407,13 +406,15 @@ def link_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     rows = stored(_set_rows(docs, schemes, words, common_bits(docs, words)), "sets")
     same = ["n", "k1", "k2"]
     copies = stored(rows.where("n > 0 and doc_id is not null").groupBy(same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("c")).where("c > 1").drop("c"), "copies")
-    members = stored(rows.drop("signatures").join(copies, same, "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep")), "members")
+    members = stored(rows.drop("signatures").join(copies, same, "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep")), "members")
 
     # buckets of two documents or more; those with the same members are one from here on
-    bucket = W.partitionBy("sig")
     meets = rows.where("doc_id is not null").select("doc_id", F.explode("signatures").alias("sig")).select("sig", "doc_id")
-    met = meets.withColumns({"low": F.min("doc_id").over(bucket), "high": F.max("doc_id").over(bucket), "c": F.count("*").over(bucket), "mark": F.bit_xor(F.xxhash64("doc_id")).over(bucket)})
-    shared = stored(met.where("low < high").select(F.xxhash64("low", "high", "c", "mark").alias("bucket"), "doc_id", "c"), "shared")
+    marks = [F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("c"), F.bit_xor(F.xxhash64("doc_id")).alias("mark")]
+    several = meets.groupBy("sig").agg(*marks).where("low < high")  # counted in parts before the shuffle
+    several = stored(several.select("sig", F.xxhash64("low", "high", "c", "mark").alias("bucket"), "c"), "buckets")
+    shared = stored(meets.join(several, "sig").select("bucket", "doc_id", "c"), "shared")  # a hot bucket's rows may be split
+    dropped(several)
     dropped(rows)
     own = members.where("doc_id is not null").groupBy("doc_id", "rep").agg(F.min("n").alias("n"))
     active = stored(shared.join(own, "doc_id").groupBy("bucket", "rep").agg(F.max("c").alias("c")), "active")

@@ -1,4 +1,4 @@
-"""The near-duplicate stage holds five-word shingles against 0.8; op10's own parameters are others."""
+"""The near-duplicate stage holds five-word shingles against 0.8; op10's own parameters are others. Null and repeated ids."""
 
 import random
 
@@ -19,3 +19,17 @@ def test_pairs_between_80_and_85_per_cent(spark):
         want |= {2 * k} | ({2 * k + 1} if 100 * len(a & b) < 80 * len(a | b) else set())
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert middle >= 2 and {x["doc_id"] for x in near_duplicates(spark, docs, "").collect()} == want
+
+
+def test_null_and_repeated_ids(spark):
+    from plateaux.llm.jaccard import link_components
+
+    text = [" ".join(f"w{k}x{i}" for i in range(40)) for k in range(4)]
+    near = text[0] + " end"
+    # document 5 stands twice, with texts of two groups, and so joins them
+    rows = [(1, text[0]), (None, text[0]), (2, near), (None, near), (None, text[3]), (None, None), (5, text[1]), (5, text[2]), (6, text[1]), (7, text[2]), (8, ""), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r["doc_id"] or -1), r["n_shingles"], r["component_id"]) for r in link_components(docs).collect() if r["doc_id"] is not None)
+    assert got == [(1, 37, 1), (2, 38, 1), (5, 37, 5), (5, 37, 5), (6, 37, 5), (7, 37, 5), (8, 0, 8), (8, 0, 8)]
+    nulls = sorted((r["n_shingles"], r["component_id"]) for r in link_components(docs).collect() if r["doc_id"] is None)
+    assert nulls == [(0, None), (37, None), (37, None), (38, None)]
