@@ -114,11 +114,12 @@ def names_of(attributes: str) -> list[tuple[str, bool]]:
 
 
 class Element:
-    __slots__ = ("name", "names", "parent", "landmark", "inside", "words", "page_like")
+    __slots__ = ("name", "names", "parent", "landmark", "inside", "words", "page_like", "known")
 
     def __init__(self, name: str, names, parent: Element | None, inside: bool):
         self.name, self.names, self.parent, self.inside = name, names, parent, inside
         self.words, self.page_like = 0, name in ("html", "body", "article", "main")
+        self.known: frozenset[str] = frozenset()  # names of this element and those round it, set once by _spread
         self.landmark = parent.landmark if parent else ""
         if name in LANDMARKS and not (name == "header" and inside):
             self.landmark = name
@@ -139,6 +140,7 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], int]:
     out: list[Block] = []
     tags: list[str] = []
     stack = [root]
+    elements = [root]
     depth: Counter = Counter()
     named = anchor = 0
     block = Block("body", root, tags)
@@ -153,6 +155,11 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], int]:
             tags = []
         block = Block(tag, stack[-1], tags)
 
+    def enter(element: Element) -> None:
+        stack.append(element)
+        elements.append(element)
+        depth[element.name] += 1
+
     def close(k: int) -> None:
         for e in stack[k:]:
             depth[e.name] -= 1
@@ -190,9 +197,8 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], int]:
             continue
         if name not in BLOCKS:
             names = names_of(attributes) if "=" in attributes else []
-            if names and len(stack) < 200:
-                stack.append(Element(name, names, stack[-1], stack[-1].inside))
-                depth[name] += 1
+            if names:
+                enter(Element(name, names, stack[-1], stack[-1].inside))
                 if not block.parts:
                     block.element = stack[-1]
             continue
@@ -204,47 +210,39 @@ def blocks_of(page: str) -> tuple[list[Block], list[str], int]:
             named += not inside
             inside = True
         cut(name)
-        if len(stack) < 200:  # deeper elements count as their parents
-            stack.append(Element(name, names_of(attributes), stack[-1], inside))
-            depth[name] += 1
+        enter(Element(name, names_of(attributes), stack[-1], inside))
         if name == "h1" or name in ("article", "main"):
             e: Element | None = stack[-1].parent
             while e and not e.page_like:
                 e.page_like, e = True, e.parent
         block.element = stack[-1]
     cut("body")
-    _spread(out)
+    _spread(out, elements)
     return out, tags, named
 
 
-def _spread(blocks: list[Block]) -> None:
-    """Elements with most of the page's words are no parts of it; words are counted up to the root."""
-    total: Counter = Counter()
-    of: dict[int, Element] = {}
-    for b in blocks:
-        e: Element | None = b.element
-        while e:
-            total[id(e)] += b.n
-            of[id(e)] = e
-            e = e.parent
+def _spread(blocks: list[Block], elements: list[Element]) -> None:
+    """Words are counted up to the root; elements with most of the page's words are no parts of it; names are handed down.
+
+    Parents come before their children, so two passes over the elements do it, whatever the depth.
+    """
+    for e in reversed(elements):
+        if e.parent:
+            e.parent.words += e.words
     most = 0.6 * sum(b.n for b in blocks)
-    for key, e in of.items():
-        e.words = total[key]
-        if e.words > most:
-            e.page_like = True
+    for e in elements:
+        e.page_like = e.page_like or e.words > most
+        e.known = e.parent.known if e.parent else frozenset()
+        if not e.page_like and e.names:
+            own = frozenset(("name " if whole else "part ") + w for w, whole in e.names if w in AWAY)
+            e.known = e.known | own if own - e.known else e.known
 
 
 def features(block: Block) -> list[str]:
     """What is known of a block's words, from its tag to the names round it."""
     tag = block.tag if block.tag in ("p", "li", "td", "div", "article", "section", "main", "body", "blockquote", "pre", "figcaption") else "heading" if block.tag in HEADINGS else "other"
     out = [f"kind {tag} {'link' if 2 * block.link > block.n else 'text'} {'short' if block.n < 6 else 'middle' if block.n < 20 else 'long'}", "in " + (block.element.landmark or "none")]
-    seen = set()
-    e: Element | None = block.element
-    while e:
-        if not e.page_like:
-            seen |= {("name " if whole else "part ") + w for w, whole in e.names if w in AWAY}
-        e = e.parent
-    return out + sorted(seen)
+    return out + sorted(block.element.known)
 
 
 def counts_of(page: str) -> Counter:

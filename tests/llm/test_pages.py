@@ -103,11 +103,22 @@ def test_hostile_and_very_long_pages_take_time_in_proportion():
     from plateaux.llm.html_content import Weights, main_text
 
     start = time.time()
-    for page in ('<a "' * 250_000, "<a b='" * 160_000, "<div class=\"" * 80_000, "<" * 10**6, "<div>" * 200_000, "</p>" * 250_000, "<!--" * 250_000, "<script>" * 120_000, "<p>word " * 120_000, "&amp;" * 200_000, "<b id=x>" * 120_000 + "</i>" * 1000, "<a b=\"'" * 140_000 + ">"):
+    for page in ('<a "' * 250_000, "<a b='" * 160_000, "<div class=\"" * 80_000, "<" * 10**6, "<div>" * 200_000, "</p>" * 250_000, "<!--" * 250_000, "<script>" * 120_000, "<p>word " * 120_000, "&amp;" * 200_000, "<b id=x>" * 120_000 + "</i>" * 1000, "<a b=\"'" * 140_000 + ">", f'<div class="{" ".join(f"name{i}" for i in range(60_000))}">' + "<p>some words of it</p>" * 20_000, "<p>word " * 100 + "<section class=ad>" * 40_000 + "<p>word " * 40_000):
         main_text(page, Weights({}))
     assert time.time() - start < 60
 
 
+def test_articles_at_any_depth():
+    from plateaux.llm.html_content import Weights, blocks_of, main_text
+
+    body = "<p>" + "Many plain words of an article stand here one after another for whoever reads it. " * 4 + "</p>"
+    page = "<div>" * 1000 + "<nav><p>Home</p><p>Contact</p></nav><article>" + body * 3 + "</article>" + "</div>" * 1000
+    blocks, _, named = blocks_of(page)
+    assert named == 1 and [b.element.inside for b in blocks] == [False, False, True, True, True]
+    assert [b.element.landmark for b in blocks[:2]] == ["nav", "nav"]
+    assert main_text(page, Weights({})).count("\n") == 2 and "Home" not in main_text(page, Weights({}))
+
+
 def test_trees_tell_verdicts_of_hosts_they_did_not_see(pages):
     from plateaux.llm.url_filter import held_out_accuracy
 
