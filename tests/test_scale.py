@@ -4,6 +4,7 @@ import itertools
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,6 +131,30 @@ def test_ranks_by_blocks(spark, monkeypatch, block):
     assert similarity.activity_ap(df.limit(0), "id").collect() == []
 
 
+def test_ranks_of_a_hot_allele(spark, monkeypatch):
+    """Queries of one key go to several tasks, a few at a time, partners to files; nothing of a pair is stored or shuffled."""
+    r = np.random.default_rng(9)
+    rows = [{"id": f"{k:04}", "plate": f"p{k % 2}", "symbol": "g", "gene_allele": "g_v" if k % 3 else "g", "node_type": "allele" if k % 3 else "disease_wt", "x": [float(v) for v in r.normal(size=3)]} for k in range(300)]
+    df = spark.createDataFrame([tuple(row.values()) for row in rows], "id string, plate string, symbol string, gene_allele string, node_type string, features array<double>")
+    for name, value in (("BLOCK", 16 * 24), ("WORK", 1 << 10)):
+        monkeypatch.setattr(ranking, name, value)
+    names = []
+    monkeypatch.setattr(ranking, "stored", lambda d, name: names.append(name) or d)
+    got = {x["id"]: (x["n_pos"], x["n_total"], x["ap"]) for x in similarity.activity_ap(df, "id").collect()}
+    want = plain_ap(rows, lambda q: q["node_type"] == "allele", lambda q, p: p["node_type"] == "allele" and q["plate"] != p["plate"], lambda q, p: p["plate"] == q["plate"] and p["node_type"] != "allele")
+    assert names == [] and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_partners_in_files(monkeypatch):
+    monkeypatch.setattr(ranking, "HELD", 100)
+    own = ranking._Partners({"id": {}}, 2)
+    for k in range(5):
+        own.add(pa.record_batch({"id": pa.array([2 * k, 2 * k + 1]), "features": pa.array([[1.0, k], [k, 2.0]])}))
+    blocks = list(own.blocks(3))
+    x = np.concatenate([b for _, b in blocks])
+    assert own.file is not None and [at for at, _ in blocks] == [0, 3, 6, 8] and own.n == 10 and x[:, 0].tolist() == pytest.approx([v for k in range(5) for v in (1 / np.hypot(1, k), k / np.hypot(k, 2))])
+
+
 def test_nulls_are_random_orders():
     for n, m in [(6, 3), (40, 3), (7, 7), (9, 1), (50, 2)]:
         drawn = similarity.null_aps(m, n, 20_000, 1)
