@@ -299,3 +299,18 @@ def test_stars_and_shares_of_significance(spark):
     rows = [("r", f"l{k}", 0.1 * k, 0.2 * k, k < 3) for k in range(8)]
     x = multilabel.summarize(spark.createDataFrame(rows, "r string, label string, mAP double, mAP_norm double, below_corrected_p boolean"), ["r"]).first()
     assert (x["n_labels"], x["n_significant"], x["percent_significant"]) == (8, 3, 37.5) and x["median_norm"] == pytest.approx(0.7)
+
+
+def test_groups_that_lie_together_are_dealt_out(spark):
+    """Rows partitioned by gene, which is one of the keys: the sorts over a gene's classifiers still go to different tasks."""
+    from plateaux.operators import metrics
+
+    rows = spark.range(0, 4000, 1, 2).select(F.lit("g").alias("gene"), F.when(F.col("id") % 40 > 0, F.concat(F.lit("c"), (F.col("id") % 40).cast("string"))).alias("c"), (F.col("id") % 3 == 0).cast("int").alias("label"), (F.col("id") % 17 / 17).alias("prediction"))
+    df = rows.repartition(3, "gene")
+    found = metrics.classifier_metrics(df, ["c", "gene"])
+    plans = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(__g" in plans
+    own = sorted((r["prediction"], r["label"]) for r in rows.where("c is null").collect())
+    pairs = [(p > q) + (p == q) / 2 for p, a in own if a for q, b in own if not b]
+    got = {r["c"]: r for r in found.collect()}
+    assert len(got) == 40 and got[None]["auroc"] == pytest.approx(np.mean(pairs)) and got[None]["n_pos"] == sum(a for _, a in own) and got[None]["gene"] == "g"
