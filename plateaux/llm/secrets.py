@@ -10,7 +10,7 @@ runs above and below the middle, and lag-1 serial correlation. Their normal scor
 random has a small sum.
 
 What sum structure gives is learned from the corpus: the letters and digits of every text, without its candidates, are cut
-into strings of the bands' lengths (``BANDS``), which are judged by the same battery. A candidate's p-value is the share of
+into strings of each of the bands' lengths (``BANDS``), all of them, which are judged by the same battery. A candidate's p-value is the share of
 those strings of its band that look at least as random, so no tail of a distribution is assumed, however short the token.
 Over all candidates of the corpus Benjamini-Hochberg then bounds, band by band, the share of structured tokens among those
 that are reported as random at ``RATE``: short tokens, which structure imitates more often, need more evidence. Both sides
@@ -155,17 +155,16 @@ def structured(docs: DataFrame) -> DataFrame:
                 plain[i:j] = False
             kept = data[plain]
             at = np.concatenate([[0], np.cumsum(plain)])[offsets]
-            band = np.diff(offsets) % len(BANDS)  # a text gives strings of one length
-            size = np.array(BANDS)[band]
-            n = np.diff(at) // size
-            owner = np.repeat(np.arange(len(n)), n)
-            start = at[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * size[owner]
+            length = np.diff(at)
             counts = np.zeros((len(BANDS), BINS + 1), np.int64)
-            for k in range(0, len(start), SLICE):
-                own, long = start[k:k + SLICE], size[owner[k:k + SLICE]]
-                first = np.cumsum(long) - long
-                place = np.repeat(own - first, long) + np.arange(long.sum())
-                np.add.at(counts, (band[owner[k:k + SLICE]], judged(kept[place], first)), 1)
+            for band, size in enumerate(BANDS):  # every text gives strings of every length
+                n = length // size
+                owner = np.repeat(np.arange(len(n)), n)
+                start = at[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)) * size
+                for k in range(0, len(start), SLICE):
+                    own = start[k:k + SLICE]
+                    place = (own[:, None] + np.arange(size)).ravel()
+                    counts[band] += np.bincount(judged(kept[place], np.arange(len(own)) * size), minlength=BINS + 1)
             row, col = np.nonzero(counts)
             yield pa.record_batch([pa.array(row.astype(np.int32)), pa.array(col.astype(np.int32)), pa.array(counts[row, col])], names=["band", "bin", "n"])
 

@@ -61,3 +61,17 @@ def test_battery_by_its_definition():
         s = (sum((p - m) * (q - m) for p, q in zip(code, code[1:], strict=False)) / total + 1 / n) * n**0.5 if total else n**0.5
         assert abs(x - (u**2 + min(z**2, 400) + min(s**2, 400))) < 1e-6 * (1 + x), t
     assert all(x > 20 for x in got[-2:])
+
+
+def test_every_text_counts_in_every_band(spark):
+    """Texts whose lengths agree modulo the number of bands, as any other, give strings of all the bands' lengths."""
+    from plateaux.llm.secrets import BANDS, structured
+
+    r = random.Random(5)
+    rows = [(i, prose(r, 90)[:300].ljust(300, "x")) for i in range(30)] + [(50, "é short"), (51, None)]
+    found = structured(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [0] * len(BANDS)
+    for _, text in rows:
+        plain = sum(c in string.ascii_letters + string.digits for c in text or "")
+        want = [n + plain // size for n, size in zip(want, BANDS, strict=True)]
+    assert [sum(x["n"] for x in found if x["band"] == k) for k in range(len(BANDS))] == want and min(want) > 0
