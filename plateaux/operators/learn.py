@@ -1,6 +1,8 @@
-"""Many small classifiers in one fit: a logistic model for each task, by Spark's own learner.
+"""Many small classifiers in one fit: a logistic model for each task.
 
-The features of a row are multiplied with the indicator of its task, so the coefficients of all tasks are one long vector that
+With up to NARROW coefficients a task, all tasks take Newton steps together: a pass over the cells sums loss, gradient and
+curvature of every task that is not done, and each task takes or halves its own step; some ten passes fit them, where a joint
+search over all coefficients takes all its rounds. Otherwise, and for a task alone, Spark's own learner fits the same loss: the features of a row are multiplied with the indicator of its task, so the coefficients of all tasks are one long vector that
 falls into a block for each, and the loss is a sum over tasks. One distributed fit then trains them all, whatever their number, and a
 task with a third of the rows is spread like any other. Folds are lists of task numbers in the cells' rows; cells are
 copied only on their way into the learner.
@@ -12,15 +14,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from ..functions.blocks import column
+from ..functions.blocks import column, matrix
 from ..functions.stats import constant
+from ..sources.scratch import dropped, stored
 from .contract import OBJECT, PLATE, WELL, union_all
 from .order import numbered
 
 MAX_IMBALANCE = 100
 ROUNDS, PENALTY = 100, 1e-4
 TOP, COEFFICIENTS = 50, 1 << 18
+NARROW, DECREMENT = 16, 1e-12  # coefficients of a task fitted by Newton steps, and the decrease of its loss that ends them
 PREDICTION_SCHEMA = f"Classifier_ID string, {PLATE} string, {WELL} string, {OBJECT} long, Label byte, Prediction float, Feature_Type string, Control boolean"
 
 
@@ -65,6 +70,116 @@ def fit_tasks(cells: DataFrame, tasks: DataFrame, names: list[str], rounds: int
     return union_all([f[0] for f in fits]), union_all([f[1] for f in fits])
 
 
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, k: np.ndarray, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tasks of some rows, and for each its summed loss, gradient and upper half of the curvature."""
+    z = (x * beta[k]).sum(1)
+    e = np.exp(-np.abs(z))
+    p = np.where(z >= 0, 1 / (1 + e), e / (1 + e))
+    i, j = np.triu_indices(x.shape[1])
+    each = np.concatenate([(w * (np.log1p(e) + np.maximum(z, 0) - y * z))[:, None], (w * (p - y))[:, None] * x, (w * p * (1 - p))[:, None] * x[:, i] * x[:, j]], 1)
+    order = np.argsort(k, kind="stable")
+    tasks, first = np.unique(k[order], return_index=True)
+    return tasks, np.add.reduceat(each[order], first, 0)
+
+
+def _added(batches, width: int):
+    """Sums of a task's rows (k, s), one row for each k."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        rows = column(batch, "s").flatten().to_numpy().reshape(-1, width)
+        for k, own in zip(column(batch, "k").to_pylist(), rows, strict=True):
+            held[k] = held[k] + own if k in held else own
+    if held:
+        ends = np.arange(len(held) + 1, dtype=np.int32) * width
+        yield pa.record_batch({"k": pa.array(list(held), pa.int32()), "s": pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(list(held.values()))))})
+
+
+def _newton(ready: DataFrame, rest: list[str], known: DataFrame, low: int, n: int, width: int, rounds: int, penalty: float) -> tuple[DataFrame, np.ndarray]:
+    """Predictions for the test cells and the coefficients (task, feature and constant), at most COEFFICIENTS numbers."""
+    spark = ready.sparkSession
+    names = sorted((r["__task"] - low, r["task_id"], r["__one"], r["__zero"]) for r in known.collect())
+    numbers = spark.sparkContext.broadcast({r[1]: r[0] for r in names})
+    one, zero = (np.array([r[c] for r in names], float) for c in (2, 3))
+
+    def coded(batches):
+        for batch in batches:
+            own = column(batch, "trains")
+            flat = own.flatten().dictionary_encode()
+            to = np.array([numbers.value.get(t, -1) for t in flat.dictionary.to_pylist()] + [-1], np.int32)
+            k = to[flat.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+            row = np.repeat(np.arange(len(batch)), own.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))[k >= 0]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(batch)))]).astype(np.int32)
+            yield pa.record_batch({"x": column(batch, "__x"), "y": column(batch, "y"), "ks": pa.ListArray.from_arrays(pa.array(ends), pa.array(k[k >= 0]))})
+
+    cells = stored(ready.select("__x", F.col("Label").cast("double").alias("y"), "trains").mapInArrow(coded, "x array<double>, y double, ks array<int>").where("size(ks) > 0"), "training")
+    m = width + 1
+    size = 1 + m + m * (m + 1) // 2
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def evaluated(beta: np.ndarray, active: np.ndarray) -> np.ndarray:
+        at = spark.sparkContext.broadcast((beta, active))
+
+        def run(batches):
+            beta, active = at.value
+            sums, seen = np.zeros((n, size)), np.zeros(n, bool)
+            for batch in batches:
+                ks = column(batch, "ks")
+                k, row = ks.flatten().to_numpy(), np.repeat(np.arange(len(batch)), ks.value_lengths().to_numpy())
+                row, k = row[active[k]], k[active[k]]
+                if len(k):
+                    x, y = matrix(column(batch, "x"), m)[row], column(batch, "y").to_numpy()[row]
+                    tasks, own = _sums(x, y, np.where(y == 1, one[k], zero[k]), k, beta)
+                    sums[tasks] += own
+                    seen[tasks] = True
+            own = np.flatnonzero(seen)
+            yield pa.record_batch({"k": pa.array(own, pa.int32()), "s": pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1, dtype=np.int32) * size), pa.array(sums[own].ravel()))})
+
+        out = np.zeros((n, size))
+        found = cells.mapInArrow(run, "k int, s array<double>").repartition(parts, "k").mapInArrow(lambda b: _added(b, size), "k int, s array<double>")
+        for r in found.collect():  # a row for each task of the fit
+            out[r["k"]] = r["s"]
+        at.unpersist()
+        return out
+
+    i, j = np.triu_indices(m)
+    beta, step, loss, slope = np.zeros((n, m)), np.zeros((n, m)), np.full(n, np.inf), np.zeros(n)
+    length, active = np.ones(n), np.ones(n, bool)
+    for _ in range(rounds):
+        if not active.any():
+            break
+        trial = beta + length[:, None] * step
+        got = evaluated(trial, active)
+        now = got[:, 0] + penalty / 2 * (trial**2).sum(1)
+        good = active & ((now <= loss + 1e-4 * length * slope) | (length < 1e-6))
+        own = np.flatnonzero(good)
+        beta[own], loss[own] = trial[own], now[own]
+        g = got[own, 1:m + 1] + penalty * trial[own]
+        h = np.zeros((len(own), m, m))
+        h[:, i, j] = h[:, j, i] = got[own, m + 1:]
+        h += penalty * np.eye(m)
+        d = -np.linalg.solve(h, g[:, :, None])[:, :, 0]
+        step[own], slope[own] = d, (g * d).sum(1)
+        active[own] = (-slope[own] > DECREMENT) & (length[own] >= 1e-6)
+        length = np.where(good, 1.0, length / 2)
+    dropped(cells)
+    final = spark.sparkContext.broadcast(beta)
+    each = ready.withColumn("task_id", F.explode("tests")).select("task_id", *rest, "__x")
+
+    def scored(batches):
+        for batch in batches:
+            x, task = matrix(column(batch, "__x"), m), column(batch, "task_id").dictionary_encode()
+            to = np.array([numbers.value.get(t, -1) for t in task.dictionary.to_pylist()] + [-1])
+            k = to[task.indices.fill_null(-1).to_numpy(zero_copy_only=False)]
+            own = {c: column(batch, c) for c in batch.schema.names if c != "__x"}
+            z = (x * final.value[k]).sum(1)
+            e = np.exp(-np.abs(z))
+            out = pa.record_batch(own | {"prediction": pa.array(np.where(z >= 0, 1 / (1 + e), e / (1 + e)))})
+            yield out.filter(pa.array(k >= 0))
+
+    schema = StructType([f for f in each.schema.fields if f.name != "__x"]).add("prediction", "double")
+    return each.mapInArrow(scored, schema), beta
+
+
 def _fit(ready: DataFrame, rest: list[str], known: DataFrame, low: int, n: int, names: list[str], rounds: int, penalty: float) -> tuple[DataFrame, DataFrame]:
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -78,12 +193,16 @@ def _fit(ready: DataFrame, rest: list[str], known: DataFrame, low: int, n: int,
         each = ready.withColumn("task_id", F.explode(role)).join(known, "task_id")
         return each.select("task_id", *rest, array_to_vector("__x").alias("__v"), (F.col("__task") - low).cast("double").alias("__k"), F.when(F.col("Label") == 1, F.col("__one")).otherwise(F.col("__zero")).alias("__w"), F.col("Label").cast("double").alias("__y"))
 
-    encoder = OneHotEncoder(inputCol="__k", outputCol="__own", dropLast=False).fit(spark.range(n).select(F.col("id").cast("double").alias("__k")))
-    learner = LogisticRegression(featuresCol="__both", labelCol="__y", weightCol="__w", fitIntercept=n == 1, standardization=False, maxIter=rounds, tol=1e-9, regParam=penalty / n, probabilityCol="__p", predictionCol="__c", rawPredictionCol="__r")
-    stages = [encoder, VectorSizeHint(inputCol="__v", size=width + 1), VectorAssembler(inputCols=["__v"], outputCol="__all"), Interaction(inputCols=["__own", "__all"], outputCol="__both"), learner]
-    model = Pipeline(stages=stages).fit(rows("trains"))
-    scored = model.transform(rows("tests")).select("task_id", *rest, vector_to_array("__p")[1].alias("prediction"))
-    weights = spark.sparkContext.broadcast(np.abs(model.stages[-1].coefficients.toArray()).reshape(n, width + 1)[:, :width])
+    if n > 1 and width < NARROW:
+        scored, found = _newton(ready, rest, known, low, n, width, rounds, penalty)
+    else:
+        encoder = OneHotEncoder(inputCol="__k", outputCol="__own", dropLast=False).fit(spark.range(n).select(F.col("id").cast("double").alias("__k")))
+        learner = LogisticRegression(featuresCol="__both", labelCol="__y", weightCol="__w", fitIntercept=n == 1, standardization=False, maxIter=rounds, tol=1e-9, regParam=penalty / n, probabilityCol="__p", predictionCol="__c", rawPredictionCol="__r")
+        stages = [encoder, VectorSizeHint(inputCol="__v", size=width + 1), VectorAssembler(inputCols=["__v"], outputCol="__all"), Interaction(inputCols=["__own", "__all"], outputCol="__both"), learner]
+        model = Pipeline(stages=stages).fit(rows("trains"))
+        scored = model.transform(rows("tests")).select("task_id", *rest, vector_to_array("__p")[1].alias("prediction"))
+        found = model.stages[-1].coefficients.toArray().reshape(n, width + 1)
+    weights = spark.sparkContext.broadcast(np.abs(found)[:, :width])
 
     def top(batches):
         for batch in batches:

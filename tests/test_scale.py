@@ -314,3 +314,26 @@ def test_groups_that_lie_together_are_dealt_out(spark):
     pairs = [(p > q) + (p == q) / 2 for p, a in own if a for q, b in own if not b]
     got = {r["c"]: r for r in found.collect()}
     assert len(got) == 40 and got[None]["auroc"] == pytest.approx(np.mean(pairs)) and got[None]["n_pos"] == sum(a for _, a in own) and got[None]["gene"] == "g"
+
+
+def test_newton_steps_reach_the_learners_optimum(spark, monkeypatch):
+    """Every task's loss is at its minimum, also where classes can be told apart; the same tasks by Spark's learner agree."""
+    from plateaux.operators import learn
+
+    r = np.random.default_rng(12)
+    rows = []
+    for k in range(160):
+        y = int(r.random() < 0.5)
+        x = [float(y + r.normal()), float(r.normal(5, 3)), None if k % 11 == 0 else float(20 * y)]
+        rows.append((k, y, x, ["t0", "t1"] if k % 4 else ["t2", "unknown"], ["t0"] if k % 4 == 0 else ["t2", "t1"]))
+    df = spark.createDataFrame(rows, "cell int, Label int, features array<double>, trains array<string>, tests array<string>").repartition(3)
+    count = lambda t, y: sum(t in row[3] and row[1] == y for row in rows)
+    tasks = spark.createDataFrame([(t, count(t, 1), count(t, 0)) for t in ("t0", "t1", "t2")], "task_id string, n_train_ref long, n_train_var long")
+    fit = lambda: [{(x["task_id"], x["cell"]): x["prediction"] for x in learn.fit_tasks(df, tasks, ["a", "b", "c"], 300, 1e-2)[0].collect()}, {(x["task_id"], x["feature"]): x["importance"] for x in learn.fit_tasks(df, tasks, ["a", "b", "c"], 300, 1e-2)[1].collect()}]
+    calls, newton = [], learn._newton
+    monkeypatch.setattr(learn, "_newton", lambda *a: calls.append(1) or newton(*a))
+    got = fit()
+    monkeypatch.setattr(learn, "NARROW", 0)
+    want = fit()
+    assert len(calls) == 2 and len(got[0]) == sum(len(row[4]) for row in rows)
+    assert all(a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=2e-3) for k in b) for a, b in zip(got, want, strict=True))
