@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import benchmark, contract, folds, labels, metrics, pairs, select, stats
 from ..operators.contract import ALLELE, IMAGE, OBJECT, PLATE, PLATEMAP, WELL
 from ..sources import fixtures as fx
+from ..sources.scratch import stored
 from .preprocess_queries import annotated, r6
 from .registry import query
 
@@ -115,7 +116,8 @@ SUMMARY = """means AS (SELECT pair_id, gene, allele_var, channel, avg(auroc) AS
 
 
 def scored(spark, sf_dir):
-    m = metrics.classifier_metrics(fx.predictions(spark, sf_dir), _IDS)
+    """A row for each classifier, written once: queries read it up to four times, and none ranks the predictions again."""
+    m = stored(metrics.classifier_metrics(fx.predictions(spark, sf_dir), _IDS), "metrics")
     ratio = F.try_divide(F.greatest("n_pos", "n_neg"), F.least("n_pos", "n_neg"))
     return m.withColumns({"pair_id": F.concat_ws("__", "gene", "allele_var"), "is_control": F.col("gene").isin("Brand#1", "Brand#2"), "imbalance_ratio": ratio})
 

@@ -66,7 +66,7 @@ def classify(df: DataFrame, names: list[str], scope: str = "all", channels: dict
         tasks.append(task)
     predictions = stored(contract.union_all(scored), "predictions")
     every = contract.union_all(tasks).withColumnRenamed("task_id", "classifier_id")
-    measured = metrics.classifier_metrics(predictions.select(F.col("task_id").alias("classifier_id"), F.col("Label").alias("label"), "prediction"), ["classifier_id"]).join(every, "classifier_id")
+    measured = stored(metrics.classifier_metrics(predictions.select(F.col("task_id").alias("classifier_id"), F.col("Label").alias("label"), "prediction"), ["classifier_id"]).join(every, "classifier_id"), "metrics")  # three tables follow from it
     thresholds = metrics.null_threshold(measured.where("is_control"), ["channel"])
     shaped = predictions.select(F.col("task_id").alias("Classifier_ID"), PLATE, WELL, F.col(OBJECT).cast("long").alias(OBJECT), F.col("Label").cast("byte").alias("Label"), F.col("prediction").cast("float").alias("Prediction"), F.col("channel").alias("Feature_Type"), F.col("is_control").alias("Control"))
     return {"predictions": shaped, "metrics": measured, "importances": contract.union_all(weights), "thresholds": thresholds, "summary": metrics.allele_summary(measured, thresholds)}

@@ -337,3 +337,13 @@ def test_newton_steps_reach_the_learners_optimum(spark, monkeypatch):
     want = fit()
     assert len(calls) == 2 and len(got[0]) == sum(len(row[4]) for row in rows)
     assert all(a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=2e-3) for k in b) for a, b in zip(got, want, strict=True))
+
+
+def test_metrics_are_ranked_once(spark):
+    """What reads the metrics of the classifiers several times finds them written, and does not rank the predictions again."""
+    from conftest import SMALL
+    from plateaux.plans import classification_queries as q
+
+    for name in ("single_fold_metrics", "wide_summary", "score_correlation", "bh_adjust"):
+        plan = getattr(q, name)(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert "lineitem" not in plan and "l_extendedprice" not in plan
