@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import constant
+from ..sources.scratch import stored
 from .contract import PLATE, take_features
 from .moments import feature_moments
 from .quantiles import medians_and_mads
@@ -35,10 +36,11 @@ def select_variant_features(df: DataFrame, names: list[str], stats: DataFrame, l
 
 
 def robust_z(df: DataFrame, names: list[str], stats: DataFrame) -> DataFrame:
-    """(x - median) / MAD of the plate; where the MAD is 0 or unknown, x itself. One row of statistics goes out a plate."""
+    """(x - median) / MAD of the plate; where the MAD is 0 or unknown, x itself. One row of statistics goes out a plate; they
+    are written first, so that a plate's cells are not shuffled into one task."""
     at = stats.sparkSession.range(1).select(F.posexplode(constant(names)).alias("i", "feature"))
     every = stats.select(PLATE).distinct().crossJoin(at).join(stats.select(PLATE, "feature", "median", "mad"), [PLATE, "feature"], "left")  # a row for each plate and feature
-    packed = every.groupBy(PLATE).agg(F.array_sort(F.collect_list(F.struct("i", "median", "mad"))).alias("__s"))
+    packed = stored(every.groupBy(PLATE).agg(F.array_sort(F.collect_list(F.struct("i", "median", "mad"))).alias("__s")), "scales")
     scaled = F.zip_with("features", "__s", lambda x, s: F.when(s["mad"] != 0, (x - s["median"]) / s["mad"]).otherwise(x))
     return df.join(packed, PLATE).withColumn("features", scaled).drop("__s")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.stats import missing, present
+from ..sources.scratch import stored
 from .contract import KEYS, PLATE, WELL, long_form, take_features, template_number
 from .moments import feature_moments
 
@@ -17,8 +18,11 @@ def filter_to_manifest(df: DataFrame, manifest: DataFrame, keys: list[str] = KEY
 
 
 def drop_low_count_wells(df: DataFrame, least: int = 20) -> DataFrame:
-    """Cells of wells with at least this many; counts meet first on the map side, then the small table joins back."""
-    enough = df.groupBy(PLATE, WELL).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n")
+    """Cells of wells with at least this many; counts meet first on the map side, then the small table joins back.
+
+    The wells are written first: their size is known when the join is planned, so the cells are not shuffled by well.
+    """
+    enough = stored(df.groupBy(PLATE, WELL).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).drop("__n"), "wells")
     return df.join(enough, [PLATE, WELL], "left_semi")
 
 
