@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import annotate, contract, similarity
 from ..operators.contract import ALLELE, CONTROL, IMAGE, NODE, OBJECT, PLATE
 from ..sources import fixtures as fx
+from ..sources.scratch import stored
 from . import pipelines, retrieval_queries
 from .preprocess_queries import r6
 from .registry import query
@@ -14,6 +15,7 @@ from .registry import query
 
 def _preprocessed(spark, sf_dir):
     df, names = fx.cells(spark, sf_dir)
+    df = stored(df, "cells")  # the manifest is made of them twice
     return pipelines.preprocess(df, names, fx.manifest(df), pipelines.Controls(**fx.CONTROLS))
 
 

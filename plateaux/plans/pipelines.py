@@ -23,13 +23,17 @@ class Controls:
 def preprocess(df: DataFrame, names: list[str], manifest: DataFrame | None, controls: Controls, least_cells: int = 20, most_missing: int = 100, limit: float = 100.0, embeddings: bool = False) -> tuple[DataFrame, list[str]]:
     """Gates, missing values, plate statistics, variant features, robust scaling, clipping, feature selection, controls.
 
-    The gated and the scaled cells are written to the shared folder, as several passes read them; the gated ones go when done.
+    The listed, the gated and the scaled cells are written to the shared folder, as several passes read them; the first two go when done.
     Embeddings skip the manifest, the blocklist and the variance threshold, and lose dead features instead of unvarying ones.
     """
-    if manifest is not None and not embeddings:
-        df = qc.filter_to_manifest(df, manifest)
+    listed = manifest is not None and not embeddings
+    if listed:
+        df = stored(qc.filter_to_manifest(df, manifest), "listed")  # wells and missing values are counted on it
+    source = df
     df, names = qc.drop_missing(qc.drop_low_count_wells(df, least_cells), names, most_missing)
     df = stored(df, "gated")  # several decisions read it
+    if listed:
+        dropped(source)
     stats = normalize.plate_stats(df, names)
     df, names = normalize.drop_dead_features(df, names) if embeddings else normalize.select_variant_features(df, names, stats)
     gated, df = df, stored(qc.clip(normalize.robust_z(df, names, stats), limit), "scaled")

@@ -347,3 +347,44 @@ def test_metrics_are_ranked_once(spark):
     for name in ("single_fold_metrics", "wide_summary", "score_correlation", "bh_adjust"):
         plan = getattr(q, name)(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
         assert "lineitem" not in plan and "l_extendedprice" not in plan
+
+
+def test_counted_medians_and_tasks(spark):
+    """Medians from counted values agree with plain ones, with nulls, ties, even counts and a key without values."""
+    from plateaux.functions.stats import counted_medians
+
+    rng = np.random.default_rng(5)
+    rows = [(f"k{i % 7}" if i % 7 else None, None if i % 11 == 0 or i % 7 == 3 else float(rng.integers(-40, 40)) / 8) for i in range(3001)]
+    found = {r["k"]: (r["m"], r["n"]) for r in counted_medians(spark.createDataFrame(rows, "k string, x double"), ["k"], "x", "m").collect()}
+    for k in {k for k, _ in rows}:
+        own = [x for a, x in rows if a == k]
+        have = [x for x in own if x is not None]
+        assert found[k] == ((float(np.median(have)) if have else None), len(own))
+
+
+def test_cells_are_not_shuffled_by_plate(spark):
+    """A few plates or wells would put the cells into as few tasks, so the small side of both joins goes to the cells."""
+    from plateaux.operators import normalize, qc
+
+    cells = spark.range(4000).select(F.concat(F.lit("P"), F.col("id") % 2).alias("Metadata_Plate"), F.concat(F.lit("W"), F.col("id") % 3).alias("Metadata_well_position"), F.array(F.col("id").cast("double"), (F.col("id") % 9).cast("double")).alias("features"))
+    scaled = normalize.robust_z(qc.drop_low_count_wells(cells, 5), ["a", "b"], normalize.plate_stats(cells, ["a", "b"]))
+    plan = scaled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 2 and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+    assert scaled.count() == 4000
+
+
+def test_preprocessing_reads_written_cells(spark):
+    """The window that numbers the cells runs once, not for the manifest and every count of the chain again."""
+    from conftest import SMALL
+    from plateaux.plans import pipeline_queries
+
+    df, _ = pipeline_queries._preprocessed(spark, SMALL)
+    assert not any("lineitem" in f for f in df.inputFiles()) and df.count() > 0
+    from plateaux.plans import pipelines
+    seen = []
+    real, pipelines.stored = pipelines.stored, lambda d, name: seen.append((name, d._jdf.queryExecution().optimizedPlan().toString())) or real(d, name)
+    try:
+        pipeline_queries._preprocessed(spark, SMALL)
+    finally:
+        pipelines.stored = real
+    assert [n for n, _ in seen] == ["listed", "gated", "scaled"] and not any("Window" in p for _, p in seen)
