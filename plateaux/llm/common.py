@@ -158,6 +158,33 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[low:high], offsets - low
 
 
+def binary(column) -> np.ndarray:
+    """The bytes of an Arrow binary array without nulls, one value after another, without a copy."""
+    import pyarrow as pa
+
+    wide = pa.types.is_large_binary(column.type)
+    raw = column.buffers()[2]
+    if not len(column) or raw is None:
+        return np.zeros(0, np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
+    return np.frombuffer(raw, np.uint8)[offsets[column.offset]:offsets[column.offset + len(column)]]
+
+
+def joined_batches(batches, rows: int):
+    """The rows of small Arrow batches in batches of at least so many, but for the last."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def without(docs: DataFrame, rejected: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows whose key is not in a stored table of keys: sent to all tasks up to 16 MB, shuffled beyond."""
     return docs.join(F.broadcast(rejected) if fits_broadcast(rejected, 16) else rejected, key, "left_anti").select(docs.columns)

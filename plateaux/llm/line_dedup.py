@@ -28,10 +28,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACED, WordHasher, _odd, dropped, fits_broadcast, free_names, mix, small_batches, stored, utf8
+from .common import SPACED, WordHasher, _odd, binary, dropped, fits_broadcast, free_names, joined_batches, mix, small_batches, stored, utf8
 
 MIN_WORDS = 30
 LINE = 10
+ROWS = 2048  # places that are extended together
 MOST_BITS = 27  # of the numbers of the filter's bits
 _C = _odd(57, 4)
 
@@ -175,30 +176,34 @@ def extended(joined: DataFrame, min_words: int) -> DataFrame:
         import pyarrow as pa
 
         ahead, behind = (np.array([pow(int(c), k + 1, 1 << 64) for k in range(side)], np.uint64) for c in _C[2:4])
-        names = ["doc_id", "tag", "start", "end", "key"]
-        for b in batches:
+        step = np.arange(side + 1)
+
+        def found(b):
             n = b.num_rows
-            both = [np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint32).reshape(n, 2 * side) for k in ("sides", "first_sides")]
+            both = [binary(b.column(k)).view(np.uint32).reshape(n, 2 * side) for k in ("sides", "first_sides")]
             equal = (both[0] == both[1]) & (both[0] > 0)
-            left = np.cumprod(equal[:, :side][:, ::-1], 1).sum(1).astype(np.int64)
-            right = np.cumprod(equal[:, side:], 1).sum(1).astype(np.int64)
+            end = np.zeros((n, 1), bool)  # the first word that differs, or the end
+            left = np.concatenate([equal[:, :side][:, ::-1], end], 1).argmin(1)
+            right = np.concatenate([equal[:, side:], end], 1).argmin(1)
             place, low, high = (b.column(k).to_numpy().astype(np.int64) for k in ("place", "low", "high"))
             full = np.flatnonzero(left + line + right >= min_words)
-            own = [pa.array(full)]
-            columns = [b.column("doc_id").take(own[0]), b.column("tag").take(own[0]), pa.array((place - left)[full].astype(np.int32)), pa.array((place + line + right)[full].astype(np.int32)), pa.nulls(len(full), pa.int64())]
-            yield pa.record_batch(columns, names=names)
             # runs that start j words before the line, with the line as their first least one, and go beyond the match
-            words = both[0].astype(np.uint64)
-            before = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(mix(words[:, :side][:, ::-1] * _C[2]) * ahead, axis=1)], 1)
-            after = np.concatenate([np.zeros((n, 1), np.uint64), np.cumsum(mix(words[:, side:] * _C[3]) * behind, axis=1)], 1)
-            print_ = b.column("print").to_numpy().view(np.uint64)
-            for j in range(side + 1):
-                at = np.flatnonzero((low <= j) & (j <= high) & ((left < j) | (right < side - j)))
-                if not len(at):
-                    continue
-                key = mix(print_[at] + before[at, j] + after[at, side - j] + np.array([j + 1], np.uint64) * _C[0])
-                row, start = pa.array(at), (place[at] - j).astype(np.int32)
-                yield pa.record_batch([b.column("doc_id").take(row), b.column("tag").take(row), pa.array(start), pa.array(start + np.int32(min_words)), pa.array(key.view(np.int64))], names=names)
+            open_ = (low[:, None] <= step) & (step <= high[:, None]) & ((left[:, None] < step) | (right[:, None] < side - step))
+            some = np.flatnonzero(open_.any(1))
+            at, j = np.nonzero(open_[some])
+            words = both[0][some].astype(np.uint64)
+            none = np.zeros((len(some), 1), np.uint64)
+            before = np.concatenate([none, np.cumsum(mix(words[:, :side][:, ::-1] * _C[2]) * ahead, axis=1)], 1)
+            after = np.concatenate([none, np.cumsum(mix(words[:, side:] * _C[3]) * behind, axis=1)], 1)
+            row = some[at]
+            key = mix(b.column("print").to_numpy().view(np.uint64)[row] + before[at, j] + after[at, side - j] + (j + 1).astype(np.uint64) * _C[0])
+            every, start = pa.array(np.concatenate([full, row])), place[row] - j
+            starts, ends = np.concatenate([(place - left)[full], start]), np.concatenate([(place + line + right)[full], start + min_words])
+            keys = pa.array(np.concatenate([np.zeros(len(full), np.int64), key.view(np.int64)]), mask=np.arange(len(every)) < len(full))
+            return pa.record_batch([b.column("doc_id").take(every), b.column("tag").take(every), pa.array(starts.astype(np.int32)), pa.array(ends.astype(np.int32)), keys], names=["doc_id", "tag", "start", "end", "key"])
+
+        for b in joined_batches(batches, ROWS):
+            yield found(b)
 
     return joined.mapInArrow(run, "doc_id long, tag long, start int, end int, key long")
 

@@ -41,3 +41,18 @@ def test_passages_cut_and_pasted_within_sentences(spark):
     assert order((x["doc_id"], x["text"], x["n_chars"]) for x in got.collect()) == order(want)
     assert order((x["doc_id"], x["text"], x["n_kept"]) for x in deduped_documents(docs).collect()) == order(want)
     assert dedup_passages(docs.limit(0)).count() == 0
+
+
+def test_places_are_extended_together():
+    """Small batches are joined before places are compared: as many rows as before, in few batches; also slices of arrays."""
+    import numpy as np
+    import pyarrow as pa
+
+    from plateaux.llm.common import binary, joined_batches
+
+    parts = [pa.record_batch({"x": pa.array([bytes([k, i, 7]) for i in range(5)])}) for k in range(9)]
+    out = list(joined_batches([p.slice(1) for p in parts], 16))
+    assert [b.num_rows for b in out] == [16, 16, 4]
+    want = b"".join(bytes([k, i, 7]) for k in range(9) for i in range(1, 5))
+    assert np.concatenate([binary(b.column(0)) for b in out]).tobytes() == want
+    assert binary(parts[3].column(0).slice(2, 2)).tobytes() == bytes([3, 2, 7, 3, 3, 7]) and not list(joined_batches([], 16))
