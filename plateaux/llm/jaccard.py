@@ -10,7 +10,8 @@ universe and at last to a bucket of the band, so no pair is lost.
 
 Buckets are not expanded into pairs. Every member is compared with its bucket's hub, the member that meets most others,
 on the whole sets; members similar to the hub are one group. What may be left are pairs of which at least one is not
-similar to their hub h. Write D(x) for the symmetric difference of x and h: x and y differ in |D(x)| + |D(y)| - 2 |D(x)
+similar to their hub h, and which share a bucket all the same. Buckets of a few members with several groups give their pairs;
+members of no larger one are done. Write D(x) for the symmetric difference of x and h: x and y differ in |D(x)| + |D(y)| - 2 |D(x)
 and D(y) share| elements, so such a similar pair must share many elements of D. Those pairs are found with an index of
 prefixes of D under each hub (elements foreign to the hub first, as they are rare; a match at places i and j bounds what
 can still be shared), unless both are in one linked group already, and verified on the whole sets. So near copies that
@@ -39,6 +40,7 @@ SIMILARITY = 85  # per cent
 LEVELS = 3
 SEEN = 50_000
 COMMON, BITS = 32, 24
+FEW = 4  # members of a bucket that are paired with each other
 
 
 # ---------------------------------------------------------------- sets
@@ -286,8 +288,9 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     return texts(docs, "doc_id").mapInArrow(run, "id long, elements array<long>")
 
 
-def hub_pairs(active: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a: member, b: hub of one of its buckets), with the size of the hub's smallest member.
+def hub_pairs(active: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a: member, b: hub of one of its buckets), with the size of the hub's smallest member; and the buckets they come
+    from (bucket, a, b), of two members or more that are not the hub.
 
     A hub need not lie in its bucket: it only has to be one for all members. Members look for the set that meets most
     others in any of their buckets, as the middle of a group of near copies does, and a bucket takes the best that its
@@ -300,9 +303,9 @@ def hub_pairs(active: DataFrame, sizes: DataFrame) -> DataFrame:
     found = stored(active.join(stored(several.where("low < high").select("bucket", "best"), "several"), "bucket").select("bucket", "rep", "best"), "found")
     pivot = stored(found.groupBy("rep").agg(F.max("best").alias("pivot")), "pivots")
     hubs = found.select("bucket", "rep").join(F.broadcast(pivot) if light else pivot, "rep").groupBy("bucket").agg(F.max("pivot")["rep"].alias("hub"))
-    pairs = found.join(stored(hubs, "bucket_hubs"), "bucket").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = stored(pairs.join(sizes, F.col("a") == F.col("rep")).select("a", "b", "n"), "pairs")
-    return pairs.join(stored(pairs.groupBy("b").agg(F.min("n").alias("least")), "smallest"), "b").select("a", "b", "least")
+    placed = found.join(stored(hubs, "bucket_hubs"), "bucket").where("rep <> hub").select("bucket", F.col("rep").alias("a"), F.col("hub").alias("b"))
+    pairs = stored(placed.select("a", "b").distinct().join(sizes, F.col("a") == F.col("rep")).select("a", "b", "n"), "pairs")
+    return pairs.join(stored(pairs.groupBy("b").agg(F.min("n").alias("least")), "smallest"), "b").select("a", "b", "least"), placed
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -336,9 +339,36 @@ def against_hubs(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFram
     return own.select("a", "b", "na", "nb", "missed", "more", "similar", start(F.array_except("left", "right"), F.col("more"), F.col("need")).alias("extra"), missing.alias("missing"))
 
 
-def around_hubs(compared: DataFrame, groups: DataFrame, similarity: int) -> DataFrame:
+def _may_meet(similarity: int) -> Column:
+    """Two members (a, _a) of different groups whose sizes allow that they are similar, each pair once."""
+    return (100 * F.least("na", "_na") >= similarity * F.greatest("na", "_na")) & (F.col("a") < F.col("_a")) & (F.col("group") != F.col("_group"))
+
+
+def open_buckets(rows: DataFrame, placed: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) of members that share a bucket of at most FEW and may be similar, and members (a) of larger buckets with
+    several groups.
+
+    Similar members share a bucket. Most that share a hub do not: they met it, or one other member, by chance, and such
+    meetings grow faster than the documents. A bucket of a few gives its pairs, at most (FEW - 1) / 2 for each of its rows.
+    ``rows`` are pairs of members and hubs with the member's ``group``, ``placed`` the buckets of these pairs; only those of
+    hubs with several groups are read on.
+    """
+    mixed = lambda df, key: df.groupBy(key).agg(F.min("group").alias("low"), F.max("group").alias("high"), F.count("*").alias("members")).where("low < high").drop("low", "high")
+    own = rows.join(stored(mixed(rows, "b").drop("members"), "hubs"), "b", "left_semi").select("a", "b", "na", "nb", "missed", "more", "group")
+    met = stored(placed.join(own, ["a", "b"]).drop("b"), "met")
+    met = stored(met.join(stored(mixed(met, "bucket"), "open_buckets"), "bucket"), "open_members")
+    few = met.where(F.col("members") <= FEW)
+    other = few.select("bucket", *[F.col(c).alias(f"_{c}") for c in ("a", "na", "missed", "more", "group")])
+    # what both share with the hub, and all that one has besides
+    both = F.col("nb") - F.greatest("missed", "_missed") + F.least("more", "_more")
+    fits = _may_meet(similarity) & ((100 + similarity) * both >= similarity * (F.col("na") + F.col("_na")))
+    return few.join(other, "bucket").where(fits).select("a", F.col("_a").alias("b")).distinct(), met.where(F.col("members") > FEW).select("a").distinct()
+
+
+def around_hubs(compared: DataFrame, groups: DataFrame, placed: DataFrame, similarity: int) -> DataFrame:
     """Pairs of members of one hub that are not yet in one group and may be similar.
 
+    Buckets of a few members give their pairs; elements are only spread of members of larger ones that hold several groups.
     Members may meet under several hubs. Two that have the same nearest hub are looked at under that one only, where what
     sets them apart is smallest; a hub is its own nearest.
     """
@@ -348,6 +378,8 @@ def around_hubs(compared: DataFrame, groups: DataFrame, similarity: int) -> Data
     nearest = nearest.join(itself, "a", "left_anti").union(itself)
     rows = compared.join(groups, F.col("a") == F.col("id"), "left").withColumn("group", F.coalesce("component", "a")).drop("id", "component")
     rows = stored(rows.join(stored(nearest, "nearest"), "a"), "grouped")
+    direct, members = open_buckets(rows, placed, similarity)
+    rows = stored(rows.join(stored(members, "many"), "a", "left_semi"), "open_rows")
     open_ = rows.groupBy("b").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("b")
     open_ = stored(open_, "hubs")
     narrow = ["b", "a", "na", "nb", "missed", "more", "group", "nearest"]
@@ -359,7 +391,7 @@ def around_hubs(compared: DataFrame, groups: DataFrame, similarity: int) -> Data
         mixed = spread.groupBy("b", "e").agg(*several).where("low_group < high_group and (low_nearest < high_nearest or low_nearest = b)").select("b", "e")
         spread = stored(spread.join(stored(mixed, "mixed"), ["b", "e"], "left_semi"), "spread")
         other = spread.select("b", "e", *[F.col(c).alias(f"_{c}") for c in ("a", "na", "missed", "more", "at", "group", "nearest")])
-        fits = (100 * F.least("na", "_na") >= similarity * F.greatest("na", "_na")) & (F.col("a") < F.col("_a")) & (F.col("group") != F.col("_group")) & ((F.col("nearest") != F.col("_nearest")) | (F.col("nearest") == F.col("b")))
+        fits = _may_meet(similarity) & ((F.col("nearest") != F.col("_nearest")) | (F.col("nearest") == F.col("b")))
         return spread.join(other, ["b", "e"]).where(fits & may).select("a", F.col("_a").alias("b")).distinct()
 
     wanted = similarity * (F.col("na") + F.col("_na"))
@@ -370,10 +402,12 @@ def around_hubs(compared: DataFrame, groups: DataFrame, similarity: int) -> Data
     extra = meet("extra", rows, scale * (known + rest("more")) >= wanted)
     # members that share none must miss the same elements; possible only where both are smaller than the hub is wide
     bare = rows.where(F.size("missing") > 0)
-    far = bare.where(~F.col("similar")).groupBy("b").agg(F.min(similarity * F.col("na") + scale * F.col("missed")).alias("far"))
-    bare = bare.join(stored(far, "bare_hubs"), "b").where(similarity * F.col("na") + F.col("far") <= scale * F.col("nb"))
+    # one of the two is not similar to the hub: a similar member's partner is such a one, any other's may be either
+    reach = similarity * F.col("na") + scale * F.col("missed")
+    far = bare.groupBy("b").agg(F.min(F.when(~F.col("similar"), reach)).alias("far"), F.min(reach).alias("near")).where("far is not null")
+    bare = bare.join(stored(far, "bare_hubs"), "b").where(similarity * F.col("na") + F.when(F.col("similar"), F.col("far")).otherwise(F.col("near")) <= scale * F.col("nb"))
     missing = meet("missing", bare, (scale * known >= wanted) & (scale * (F.col("nb") - F.col("missed") - F.col("_missed") + rest("missed")) >= wanted))
-    return extra.union(missing).distinct()
+    return direct.union(extra).union(missing).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -418,14 +452,14 @@ def link_components(docs: DataFrame, words: int = WORDS, similarity: int = SIMIL
     own = members.where("doc_id is not null").groupBy("doc_id", "rep").agg(F.min("n").alias("n"))
     active = stored(shared.join(own, "doc_id").groupBy("bucket", "rep").agg(F.max("c").alias("c")), "active")
     dropped(shared)
-    pairs = hub_pairs(active, own.groupBy("rep").agg(F.min("n").alias("n")))
+    pairs, placed = hub_pairs(active, own.groupBy("rep").agg(F.min("n").alias("n")))
     wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     sets = stored(_sets(semi(docs, wanted, "doc_id"), words), "elements")
     compared = stored(against_hubs(pairs, sets, similarity), "compared")
     dropped(active)
     links = compared.where("similar").select("a", "b")
     groups = _closed(links)
-    more = stored(around_hubs(compared, groups, similarity), "candidates")
+    more = stored(around_hubs(compared, groups, placed, similarity), "candidates")
     if more.limit(1).count():
         groups = _closed(links.union(stored(_with_sets(more, sets).where(_similar(similarity)).select("a", "b"), "links")))
     found = members.join(groups, members["rep"] == groups["id"], "left")
