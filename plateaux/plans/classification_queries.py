@@ -117,7 +117,8 @@ SUMMARY = """means AS (SELECT pair_id, gene, allele_var, channel, avg(auroc) AS
 
 def scored(spark, sf_dir):
     """A row for each classifier, written once: queries read it up to four times, and none ranks the predictions again."""
-    m = stored(metrics.classifier_metrics(fx.predictions(spark, sf_dir), _IDS), "metrics")
+    pred, classifiers = fx.numbered_predictions(spark, sf_dir)
+    m = stored(metrics.numbered_metrics(pred, "number").join(classifiers, "number").select(*_IDS, *metrics.MEASURES), "metrics")
     ratio = F.try_divide(F.greatest("n_pos", "n_neg"), F.least("n_pos", "n_neg"))
     return m.withColumns({"pair_id": F.concat_ws("__", "gene", "allele_var"), "is_control": F.col("gene").isin("Brand#1", "Brand#2"), "imbalance_ratio": ratio})
 

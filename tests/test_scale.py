@@ -316,6 +316,35 @@ def test_groups_that_lie_together_are_dealt_out(spark):
     assert len(got) == 40 and got[None]["auroc"] == pytest.approx(np.mean(pairs)) and got[None]["n_pos"] == sum(a for _, a in own) and got[None]["gene"] == "g"
 
 
+def test_a_classifier_is_ranked_by_ranges(spark, monkeypatch):
+    """Distinct scores are counted in tables of bounded size, and no window holds a classifier: ranges of it meet in several tasks."""
+    from plateaux.operators import metrics
+
+    r = np.random.default_rng(31)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 5e-324, -5e-324, 1e308, 0.5]
+    rows = [(c, int(r.random() < 0.4), odd[k % 60] if k % 60 < len(odd) else float(r.normal()) * 10.0 ** (k % 5 - 2) if k % 3 else float(k % 8) / 4) for c in ("a", "b", None) for k in range(3000)]
+    df = spark.createDataFrame(rows, "c string, label int, prediction double").repartition(3)
+    monkeypatch.setattr(metrics, "HELD", 500)
+    found = metrics.classifier_metrics(df, ["c"])
+    assert "hashpartitioning(__g#" in found._jdf.queryExecution().executedPlan().toString() and not any("windowspecdefinition(__g" in line and "__s" in line and "__at" not in line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    got = {x["c"]: x for x in found.collect()}
+    place = lambda x: (-1, 0.0) if x is None else (1, 0.0) if math.isnan(x) else (0, x)
+    for c in ("a", "b", None):
+        own = [(place(p), y) for a, y, p in rows if a == c]
+        one, none = [p for p, y in own if y], [p for p, y in own if not y]
+        u = sum((p > q) + (p == q) / 2 for p in one for q in none)
+        ap = sum(sum(p >= x for p in one) / sum(p >= x for p, _ in own) for x in one) / len(one)
+        tp, fp = (sum(p >= (0, 0.5) for p in side) for side in (one, none))
+        x = got[c]
+        assert (x["n_pos"], x["n_neg"]) == (len(one), len(none)) and x["auroc"] == pytest.approx(u / len(one) / len(none)) and x["auprc"] == pytest.approx(ap)
+        assert x["sensitivity"] == pytest.approx(tp / len(one)) and x["specificity"] == pytest.approx(1 - fp / len(none))
+
+    small = spark.range(0, 25000, 1, 1).select((F.col("id") * 1.5).alias("s"), F.lit(1).cast("long").alias("pos"), F.lit(0).cast("long").alias("neg"))
+    assert metrics._counted(small).agg(F.sum("pos"), F.count("*")).first()[:] == (25000, 25000)
+    twice = small.withColumn("s", F.floor("s") % 7)
+    assert metrics._counted(twice).count() == 7 and metrics._counted(twice).agg(F.sum("pos")).first()[0] == 25000
+
+
 def test_newton_steps_reach_the_learners_optimum(spark, monkeypatch):
     """Every task's loss is at its minimum, also where classes can be told apart; the same tasks by Spark's learner agree."""
     from plateaux.operators import learn
