@@ -54,13 +54,14 @@ def fold_lists(cells: DataFrame, folds: DataFrame, layout: str = "plates") -> Da
     return cells.join(lists, ["pair_id", PLATE])
 
 
-def list_sizes(cells: DataFrame, least_train: int = 50, least_test: int = 10) -> DataFrame:
-    """task_sizes() of rows with lists of folds: counted by the lists, which are few, before folds become rows."""
-    counted = cells.groupBy("pair_id", "Label", "tests", "trains").agg(F.count("*").alias("n"))
+def list_sizes(cells: DataFrame, least_train: int = 50, least_test: int = 10, n: str | None = None) -> DataFrame:
+    """task_sizes() of rows with lists of folds: counted by the lists, which are few, before folds become rows. A row is a cell,
+    or as many as its column ``n`` says."""
+    counted = cells.groupBy("pair_id", "Label", "tests", "trains").agg((F.count("*") if n is None else F.sum(n)).alias("n"))
     sides = [counted.select("pair_id", "Label", "n", F.explode(c).alias("fold_id"), F.lit(c).alias("side")) for c in ("tests", "trains")]
-    n = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
+    sum_of = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0)).cast("long")
     train, test = F.col("side") == "trains", F.col("side") == "tests"
-    sizes = sides[0].unionByName(sides[1]).groupBy("pair_id", "fold_id").agg(n(train).alias("n_train"), n(test).alias("n_test"), n(train & (F.col("Label") == 1)).alias("n_train_ref"), n(train & (F.col("Label") == 0)).alias("n_train_var"))
+    sizes = sides[0].unionByName(sides[1]).groupBy("pair_id", "fold_id").agg(sum_of(train).alias("n_train"), sum_of(test).alias("n_test"), sum_of(train & (F.col("Label") == 1)).alias("n_train_ref"), sum_of(train & (F.col("Label") == 0)).alias("n_train_var"))
     ratio = F.try_divide(F.greatest("n_train_ref", "n_train_var"), F.least("n_train_ref", "n_train_var"))
     return sizes.where((F.col("n_train") >= least_train) & (F.col("n_test") >= least_test)).withColumn("imbalance_ratio", ratio)
 

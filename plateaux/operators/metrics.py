@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ SUMMARY = ["pair_id", "gene", "allele_var", "channel", "auroc_mean", "auroc_std"
 OCTAVE = 64  # ranges of scores in each octave
 HELD = 1 << 21  # counted scores that a task holds, and new rows that it adds to them at a time
 RANKED = 1 << 21  # counted scores for which a task of its own is worth while
+LISTED = 1 << 21  # scores of a group that one task ranks
 TASKS = 200  # that rank smaller tables, each some ranges; for more, a shuffle holds its rows before it writes them
 
 
@@ -88,12 +90,54 @@ def numbered_metrics(pred: DataFrame, group: str, label: str = "label", score: s
         s("pos").alias("n_pos"), s("neg").alias("n_neg"), s(F.col("pos") * (F.col("__all") - F.col("fp") + F.col("tied") / 2)).alias("u"), s(F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
         s(F.col("pos") * F.col("high")).alias("tp"), s(F.col("neg") * F.col("high")).alias("fp"),
     )
+    return _measures(sums.withColumnRenamed("__g", group), group)
+
+
+def _measures(sums: DataFrame, group: str) -> DataFrame:
+    """MEASURES from class sizes, the sum of ranks (u), the sum of precisions (ap) and the hits at the threshold (tp, fp)."""
     two = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
     tn, fn = F.col("n_neg") - F.col("fp"), F.col("n_pos") - F.col("tp")
     f1 = lambda hit, wrong: F.coalesce(F.try_divide(2 * hit, 2 * hit + wrong), F.lit(0.0))
     sens, spec = F.try_divide("tp", "n_pos"), F.try_divide(tn, F.col("n_neg"))
     own = lambda c: F.when(two, c)
-    return sums.select(F.col("__g").alias(group), "n_pos", "n_neg", own(F.try_divide("u", F.col("n_pos") * F.col("n_neg"))).alias("auroc"), own(F.try_divide("ap", "n_pos")).alias("auprc"), own((f1(F.col("tp"), F.col("fp") + fn) + f1(tn, F.col("fp") + fn)) / 2).alias("macro_f1"), own(sens).alias("sensitivity"), own(spec).alias("specificity"), own((sens + spec) / 2).alias("balanced_accuracy"))
+    return sums.select(group, "n_pos", "n_neg", own(F.try_divide("u", F.col("n_pos") * F.col("n_neg"))).alias("auroc"), own(F.try_divide("ap", "n_pos")).alias("auprc"), own((f1(F.col("tp"), F.col("fp") + fn) + f1(tn, F.col("fp") + fn)) / 2).alias("macro_f1"), own(sens).alias("sensitivity"), own(spec).alias("specificity"), own((sens + spec) / 2).alias("balanced_accuracy"))
+
+
+def listed_metrics(lists: DataFrame, group: str, threshold: float = 0.5) -> DataFrame:
+    """classifier_metrics of groups whose scores come in lists: (group, label, scores array<double>, finite), any number of lists a group;
+    written, as they are read twice.
+
+    A task ranks a group of up to LISTED scores from its sorted lists; those of larger groups become rows and are ranked by ranges.
+    """
+    lists = lists.select(F.col(group).alias("__of"), F.col("label").cast("int").alias("__y"), F.col("scores").alias("__s"), F.size("scores").cast("long").alias("__n"))
+    sizes = lists.groupBy("__of").agg(F.sum("__n").alias("__all"))
+    total, most = sizes.agg(F.sum("__all"), F.max("__all")).first()
+    kind = lists.schema["__of"].dataType.simpleString()
+
+    def ranked(rows: pa.Table) -> pa.Table:
+        label, own = rows.column("__y").to_numpy(), rows.column("__s").chunks
+        lengths = np.concatenate([c.value_lengths().to_numpy() for c in own])
+        score = np.concatenate([c.flatten().to_numpy() for c in own])
+        one = np.repeat(label, lengths) == 1
+        pos, neg = np.sort(score[one]), np.sort(score[~one])
+        below = np.searchsorted(neg, pos, "left")
+        tp, fp = len(pos) - np.searchsorted(pos, pos, "left"), len(neg) - below
+        sums = {"u": float((below + np.searchsorted(neg, pos, "right")).sum()) / 2, "ap": float((tp / (tp + fp)).sum())}
+        high = {"tp": len(pos) - int(np.searchsorted(pos, threshold)), "fp": len(neg) - int(np.searchsorted(neg, threshold))}
+        return pa.table({"__of": rows.column("__of").slice(0, 1)} | {c: pa.array([v]) for c, v in ({"n_pos": len(pos), "n_neg": len(neg)} | sums | high).items()})
+
+    tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // RANKED)
+    small = lists
+    if (most or 0) > LISTED:
+        large = stored(sizes.where(F.col("__all") > LISTED).select(F.col("__of").alias("__large")), "large")
+        on = lists["__of"].eqNullSafe(large["__large"])
+        small = lists.join(large, on, "left_anti")
+        rows = lists.join(large, on).select("__of", "__y", F.explode("__s").alias("__s"))
+    sums = small.select("__of", "__y", "__s").repartition(tasks, "__of").groupBy("__of").applyInArrow(ranked, f"__of {kind}, n_pos long, n_neg long, u double, ap double, tp long, fp long")
+    found = _measures(sums, "__of")
+    if (most or 0) > LISTED:
+        found = found.unionByName(classifier_metrics(rows, ["__of"], "__y", "__s", threshold))
+    return found.withColumnRenamed("__of", group)
 
 
 def null_threshold(metrics: DataFrame, keys: list[str], value: str = "auroc", q: float = 0.95, interpolation: str = "nearest") -> DataFrame:

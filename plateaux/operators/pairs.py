@@ -6,7 +6,7 @@ control; control pairs are two wells of one allele and platemap.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .contract import ALLELE, CONTROL, NODE, PLATEMAP, SYMBOL, WELL
@@ -18,34 +18,40 @@ def allele_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(SYMBOL, ALLELE, NODE, CONTROL).agg(F.count("*").alias("n_cells"))
 
 
-def _ref_var(df: DataFrame, control: str, category: str, least: int) -> DataFrame:
+def _size(n: str | None) -> Column:
+    """How many cells: rows, or the sum of a column that counts them."""
+    return (F.count("*") if n is None else F.sum(n)).alias("n")
+
+
+def _ref_var(df: DataFrame, control: str, category: str, least: int, n: str | None) -> DataFrame:
     """Each gene's wild type with enough cells against each of its variants with enough."""
-    counts = df.where(F.col(CONTROL) == control).groupBy(SYMBOL, ALLELE, NODE).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    counts = df.where(F.col(CONTROL) == control).groupBy(SYMBOL, ALLELE, NODE).agg(_size(n)).where(F.col("n") >= least)
     refs = counts.where(F.col(NODE) == "disease_wt").select(F.col(SYMBOL).alias("gene"), F.col(ALLELE).alias("allele_ref"))
     variants = counts.where(F.col(NODE) == "allele").select(F.col(SYMBOL).alias("gene"), F.col(ALLELE).alias("allele_var"))
     none = F.lit(None).cast("string")
     return refs.join(variants, "gene").select(F.concat_ws("__", "gene", "allele_ref", "allele_var").alias("pair_id"), "gene", "allele_ref", "allele_var", F.lit(False).alias("is_control"), F.lit(category).alias("category"), none.alias("platemap"), none.alias("well_ref"), none.alias("well_var"))
 
 
-def experimental_pairs(df: DataFrame, least: int = 50) -> DataFrame:
-    return _ref_var(df, "Exp", "experimental", least)
+def experimental_pairs(df: DataFrame, least: int = 50, n: str | None = None) -> DataFrame:
+    return _ref_var(df, "Exp", "experimental", least, n)
 
 
-def cpc_pairs(df: DataFrame, least: int = 50) -> DataFrame:
-    return _ref_var(df, "cPC", "cpc", least)
+def cpc_pairs(df: DataFrame, least: int = 50, n: str | None = None) -> DataFrame:
+    return _ref_var(df, "cPC", "cpc", least, n)
 
 
-def control_pairs(df: DataFrame, kinds: tuple[str, ...] = ("NC", "PC"), least: int = 50) -> DataFrame:
+def control_pairs(df: DataFrame, kinds: tuple[str, ...] = ("NC", "PC"), least: int = 50, n: str | None = None) -> DataFrame:
     """All pairs of wells (by name) of one control allele on one platemap, each with enough cells."""
-    wells = df.where(F.col(CONTROL).isin(*kinds)).groupBy(ALLELE, SYMBOL, PLATEMAP, WELL).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    wells = df.where(F.col(CONTROL).isin(*kinds)).groupBy(ALLELE, SYMBOL, PLATEMAP, WELL).agg(_size(n)).where(F.col("n") >= least)
     a = wells.select(ALLELE, SYMBOL, PLATEMAP, F.col(WELL).alias("well_ref"))
     b = wells.select(ALLELE, SYMBOL, PLATEMAP, F.col(WELL).alias("well_var"))
     both = a.join(b, [ALLELE, SYMBOL, PLATEMAP]).where("well_ref < well_var")
     return both.select(F.concat_ws("__", F.lit("ctrl"), ALLELE, PLATEMAP, "well_ref", "well_var").alias("pair_id"), F.col(SYMBOL).alias("gene"), F.col(ALLELE).alias("allele_ref"), F.col(ALLELE).alias("allele_var"), F.lit(True).alias("is_control"), F.lit("control").alias("category"), F.col(PLATEMAP).alias("platemap"), "well_ref", "well_var")
 
 
-def all_pairs(df: DataFrame, least: int = 50, least_control: int | None = None) -> DataFrame:
-    return experimental_pairs(df, least).unionByName(cpc_pairs(df, least)).unionByName(control_pairs(df, least=least if least_control is None else least_control))
+def all_pairs(df: DataFrame, least: int = 50, least_control: int | None = None, n: str | None = None) -> DataFrame:
+    """Pairs of all categories, from cells, or from counts of cells in the column ``n``."""
+    return experimental_pairs(df, least, n).unionByName(cpc_pairs(df, least, n)).unionByName(control_pairs(df, least=least if least_control is None else least_control, n=n))
 
 
 def filter_scope(pairs: DataFrame, scope: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,29 +49,40 @@ def classify(df: DataFrame, names: list[str], scope: str = "all", channels: dict
     """Pairs, folds, one model for each pair, channel and fold, and the tables that follow from their predictions.
 
     Tables: predictions (under their fixed schema), metrics (with sizes and imbalance), importances, thresholds, summary. All
-    models of a channel are one fit. The labelled cells are written to the shared folder, one row a cell and pair.
+    models of a channel are one fit. Cells are counted by allele, plate, platemap and well; pairs, folds and sizes follow from these
+    counts, and cells go into the fits by the groups that they give. The metrics come from the fits; predictions are made when they are read.
     """
     if unseen_only:
         df = qc.templates(df)
-    wanted = stored(pairs.filter_scope(pairs.all_pairs(df, least, least_control), scope), "pairs")
-    cells = pairs.labelled_cells(df.select(contract.ALLELE, PLATE, PLATEMAP, WELL, OBJECT, "features"), wanted)
-    folds_ = stored(folds.plate_folds(cells), "folds")
-    cells = stored(folds.fold_lists(cells, folds_), "labelled")
-    sizes = stored(learn.usable(folds.list_sizes(cells)), "tasks")
-    info = cells.select("pair_id", "gene", "allele_ref", "allele_var", "is_control").distinct().join(sizes, "pair_id")
+    unit = [contract.ALLELE, PLATE, PLATEMAP, WELL]
+    units = stored(df.groupBy(contract.SYMBOL, contract.NODE, contract.CONTROL, *unit).agg(F.count("*").alias("n")), "units")
+    wanted = stored(pairs.filter_scope(pairs.all_pairs(units, least, least_control, "n"), scope), "pairs")
+    labelled = pairs.labelled_cells(units.groupBy(*unit).agg(F.sum("n").alias("n")), wanted)
+    folds_ = stored(folds.plate_folds(labelled), "folds")
+    labelled = stored(folds.fold_lists(labelled, folds_), "labelled")
+    sizes = stored(learn.usable(folds.list_sizes(labelled, n="n")), "tasks")
+    info = labelled.select("pair_id", "gene", "allele_ref", "allele_var", "is_control").distinct().join(sizes, "pair_id")
+    own = labelled.groupBy(*unit, "n").agg(F.array_sort(F.collect_list(F.struct("pair_id", "Label", "is_control", "tests", "trains"))).alias("members"))
+    groups = stored(own.groupBy("members").agg(F.sum("n").alias("__n")).withColumn("__group", F.monotonically_increasing_id()), "groups")
+    at = stored(own.join(groups, "members").select("__group", *[F.col(c).alias(f"__{c}") for c in unit]), "group_units")
+    cells = df.join(at, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in unit])).select("__group", PLATE, WELL, OBJECT, "features")
+    if channels and len(channels) > 1:
+        cells = stored(cells, "labelled_cells")
+    members = groups.select("__group", "__n", F.inline("members"))
     named = lambda fold, channel: F.concat_ws("__", "pair_id", F.lit(channel), fold.cast("string"))
-    scored, weights, tasks = [], [], []
-    for channel, own in (channels or {"ALL": names}).items():
-        cut, kept = contract.take_features(cells, names, own)
+    scored, weights, lists, tasks = [], [], [], []
+    for channel, wanted_names in (channels or {"ALL": names}).items():
+        cut, kept = (cells, names) if wanted_names == names else contract.take_features(cells, names, wanted_names)
         ids = {c: F.transform(c, lambda k: named(k, channel)) for c in ("tests", "trains")}
         task = info.withColumns({"task_id": named(F.col("fold_id"), channel), "channel": F.lit(channel)})
-        found, top = learn.fit_tasks(cut.select("Label", PLATE, WELL, OBJECT, "is_control", "features", *[c.alias(n) for n, c in ids.items()]), task, kept, rounds)
+        found, top, listed = learn.fit_groups(cut, members.select("__group", "__n", "Label", "is_control", *[c.alias(n) for n, c in ids.items()]), task, kept, rounds)
         scored.append(found.withColumn("channel", F.lit(channel)))
         weights.append(top)
+        lists.append(listed)
         tasks.append(task)
-    predictions = stored(contract.union_all(scored), "predictions")
+    predictions = contract.union_all(scored)
     every = contract.union_all(tasks).withColumnRenamed("task_id", "classifier_id")
-    measured = stored(metrics.classifier_metrics(predictions.select(F.col("task_id").alias("classifier_id"), F.col("Label").alias("label"), "prediction"), ["classifier_id"]).join(every, "classifier_id"), "metrics")  # three tables follow from it
+    measured = stored(metrics.listed_metrics(contract.union_all(lists).withColumnRenamed("task_id", "classifier_id"), "classifier_id").join(every, "classifier_id"), "metrics")  # three tables follow from it
     thresholds = metrics.null_threshold(measured.where("is_control"), ["channel"])
     shaped = predictions.select(F.col("task_id").alias("Classifier_ID"), PLATE, WELL, F.col(OBJECT).cast("long").alias(OBJECT), F.col("Label").cast("byte").alias("Label"), F.col("prediction").cast("float").alias("Prediction"), F.col("channel").alias("Feature_Type"), F.col("is_control").alias("Control"))
     return {"predictions": shaped, "metrics": measured, "importances": contract.union_all(weights), "thresholds": thresholds, "summary": metrics.allele_summary(measured, thresholds)}
