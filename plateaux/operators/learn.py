@@ -128,8 +128,8 @@ def _gathered(batches, parts_of):
 
 
 def _blocks(cells: DataFrame, members: DataFrame, known: DataFrame, width: int) -> DataFrame:
-    """(x, weight, trains, tests): matrices of the cells of a group, a row for each feature, as bytes of doubles; how many members the group
-    has, and the numbers and labels of the tasks that learn from it and test it.
+    """(x, sums, weight, trains, tests): matrices of the cells of a group, a row for each feature, as bytes of doubles; each feature's values,
+    mean and squared deviations; how many members the group has, and the numbers and labels of the tasks that learn from it and test it.
 
     Cells are packed where they are read; small blocks of a group then meet in a task, a large group's in several.
     """
@@ -152,9 +152,19 @@ def _blocks(cells: DataFrame, members: DataFrame, known: DataFrame, width: int)
             own = np.frombuffer(x.as_buffer()).reshape(width, -1)
             yield np.full(own.shape[1], g), own
 
+    def summed(batches):
+        for batch in _gathered(batches, of_blocks):
+            sums = []
+            for x in column(batch, "x"):
+                zeroed, here = finite(np.frombuffer(x.as_buffer()).reshape(width, -1))
+                n = here.sum(1)
+                mean = zeroed.sum(1) / np.maximum(n, 1)
+                sums.append(np.concatenate([n, mean, (np.where(here, zeroed - mean[:, None], 0.0) ** 2).sum(1)]))
+            yield pa.record_batch({c: column(batch, c) for c in batch.schema.names} | {"sums": pa.array(sums, pa.list_(pa.float64()))})
+
     packed = cells.select("__group", "features").mapInArrow(lambda b: _gathered(b, of_cells), "__group long, x binary").withColumn("part", F.spark_partition_id())
     dealt = packed.join(groups.select("__group", shares.alias("shares")), "__group").repartition(tasks, "__group", F.pmod("part", "shares")).select("__group", "x")
-    merged = dealt.mapInArrow(lambda b: _gathered(b, of_blocks), "__group long, x binary")
+    merged = dealt.mapInArrow(summed, "__group long, x binary, sums array<double>")
     return stored(merged.join(groups.select("__group", "weight", "trains", "tests"), "__group").drop("__group"), "blocks")
 
 
@@ -168,14 +178,11 @@ def _block_scales(blocks: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray
     def run(batches):
         total = np.zeros((3, width))
         for batch in batches:
-            for x, weight in zip(column(batch, "x"), column(batch, "weight").to_pylist(), strict=True):
-                zeroed, here = finite(np.frombuffer(x.as_buffer()).reshape(width, -1))
-                n = here.sum(1)
-                mean = zeroed.sum(1) / np.maximum(n, 1)
-                total = add(total, np.stack([weight * n, mean, weight * (np.where(here, zeroed - mean[:, None], 0.0) ** 2).sum(1)]))
+            for own, weight in zip(column(batch, "sums").flatten().to_numpy().reshape(-1, 3, width), column(batch, "weight").to_pylist(), strict=True):
+                total = add(total, own * np.array([[weight], [1], [weight]]))
         yield pa.record_batch({"s": pa.array([total.ravel()], pa.list_(pa.float64()))})
 
-    n, mean, m2 = reduce(add, [np.reshape(r["s"], (3, width)) for r in blocks.select("x", "weight").mapInArrow(run, "s array<double>").collect()], np.zeros((3, width)))  # a row for each task
+    n, mean, m2 = reduce(add, [np.reshape(r["s"], (3, width)) for r in blocks.select("sums", "weight").mapInArrow(run, "s array<double>").collect()], np.zeros((3, width)))  # a row for each task
     spread = np.sqrt(m2 / np.maximum(n, 1))
     return mean.tolist(), np.where(spread > 0, spread, 1.0).tolist()
 
@@ -207,16 +214,22 @@ def _logistic(x, beta) -> np.ndarray:
 
 def _sums(x: np.ndarray, one: np.ndarray, w: np.ndarray, beta: np.ndarray) -> np.ndarray:
     """Of each task: its loss, gradient and upper half of the curvature, summed over cells x (feature, cell), all of label ``one``."""
-    sign, (i, j) = np.where(one, -1.0, 1.0), np.triu_indices(len(x))
-    out, step = np.zeros((len(w), 1 + len(x) + len(i))), max(256, (1 << 16) // len(w))
+    m, sign = len(x), np.where(one, -1.0, 1.0)
+    ends = np.cumsum([0, *range(m, 0, -1)])
+    out, step = np.zeros((len(w), 1 + m + ends[-1])), max(256, (1 << 15) // len(w))
     for at in range(0, x.shape[1], step):
         own = x[:, at:at + step]
+        products = np.empty((ends[-1], own.shape[1]))
+        for i in range(m):
+            np.multiply(own[i], own[i:], out=products[ends[i]:ends[i + 1]])
         v = (sign[:, None] * beta) @ own
         e = np.exp(-np.abs(v))
         r = 1 / (1 + e)
-        out[:, 0] += (np.maximum(v, 0) - np.log(r)).sum(1)
-        out[:, 1:len(x) + 1] += sign[:, None] * (np.where(v >= 0, r, e * r) @ own.T)
-        out[:, len(x) + 1:] += (e * r * r) @ (own[i] * own[j]).T
+        # a logarithm for each 256 cells: r is at least a half
+        out[:, 0] += np.maximum(v, 0).sum(1) - np.log(np.multiply.reduceat(r, np.arange(0, own.shape[1], 256), 1)).sum(1)
+        e *= r
+        out[:, 1:m + 1] += sign[:, None] * (np.where(v >= 0, r, e) @ own.T)
+        out[:, m + 1:] += (e * r) @ products.T
     return w[:, None] * out
 
 
@@ -236,36 +249,53 @@ def _newton(each: DataFrame, rest: list[str], blocks: DataFrame, scales: tuple,
     m = width + 1
     size = 1 + m + m * (m + 1) // 2
     parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), n * size >> 19))
-    training = blocks.select("x", "trains").where(F.exists("trains", lambda t: (t["k"] >= low) & (t["k"] < low + n)))
+    everything = training = blocks.select("x", "trains").where(F.exists("trains", lambda t: (t["k"] >= low) & (t["k"] < low + n)))
 
     def added(batches):
-        sums, seen = np.zeros((n, size)), np.zeros(n, bool)
+        sums, seen = np.zeros((n + 1, size)), np.zeros(n + 1, bool)
         for batch in batches:
             k = column(batch, "k").to_numpy()
             np.add.at(sums, k, column(batch, "s").flatten().to_numpy().reshape(-1, size))
             seen[k] = True
         yield _rows(seen, sums)
 
-    def evaluated(beta: np.ndarray, active: np.ndarray) -> np.ndarray:
+    def evaluated(beta: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, bool]:
+        """Sums of the active tasks, and whether most of what was read is of no use to them."""
         at = spark.sparkContext.broadcast((beta, active, one, zero))
 
         def run(batches):
             beta, active, one, zero = at.value
-            sums, seen = np.zeros((n, size)), np.zeros(n, bool)
+            sums, seen = np.zeros((n + 1, size)), np.zeros(n + 1, bool)  # the last: bytes read, and of them used
+            seen[n] = True
             for batch in batches:
                 for x, k, y in _of(batch, "trains", low, n):
                     k, y = k[active[k]], y[active[k]]
+                    sums[n, :2] += x.size, x.size if len(k) else 0
                     if len(k):
                         np.add.at(sums, k, _sums(_scaled(x, means, spreads), y, np.where(y, one[k], zero[k]), beta[k]))
                         seen[k] = True
             yield _rows(seen, sums)
 
         found = training.mapInArrow(run, "k int, s array<double>").repartition(parts, "k").mapInArrow(added, "k int, s array<double>").toArrow()  # a row for each task of the fit
-        out = np.zeros((n, size))
+        out = np.zeros((n + 1, size))
         if len(found):
             out[found.column("k").to_numpy()] = found.column("s").combine_chunks().flatten().to_numpy().reshape(-1, size)
         at.unpersist()
-        return out
+        return out[:n], bool(out[n, 1] < out[n, 0] / 2)
+
+    def left(training: DataFrame, active: np.ndarray) -> DataFrame:
+        """The blocks from which active tasks learn, written."""
+        at = spark.sparkContext.broadcast(active)
+
+        def run(batches):
+            for batch in batches:
+                own = column(batch, "trains")
+                k = own.flatten().field("k").to_numpy() - low
+                use = (k >= 0) & (k < n) & at.value[np.clip(k, 0, n - 1)]
+                row = np.repeat(np.arange(len(batch)), own.value_lengths().to_numpy())
+                yield batch.filter(pa.array(np.bincount(row[use], minlength=len(batch)) > 0))
+
+        return stored(training.mapInArrow(run, training.schema), "training")
 
     i, j = np.triu_indices(m)
     beta, step, loss, slope = np.zeros((n, m)), np.zeros((n, m)), np.full(n, np.inf), np.zeros(n)
@@ -274,7 +304,7 @@ def _newton(each: DataFrame, rest: list[str], blocks: DataFrame, scales: tuple,
         if not active.any():
             break
         trial = beta + length[:, None] * step
-        got = evaluated(trial, active)
+        got, idle = evaluated(trial, active)
         now = got[:, 0] + penalty / 2 * (trial**2).sum(1)
         good = active & ((now <= loss + 1e-4 * length * slope) | (length < 1e-6))
         own = np.flatnonzero(good)
@@ -287,6 +317,12 @@ def _newton(each: DataFrame, rest: list[str], blocks: DataFrame, scales: tuple,
         step[own], slope[own] = d, (g * d).sum(1)
         active[own] = (-slope[own] > DECREMENT) & (length[own] >= 1e-6)
         length = np.where(good, 1.0, length / 2)
+        if idle and active.any():
+            last, training = training, left(training, active)
+            if last is not everything:
+                dropped(last)
+    if training is not everything:
+        dropped(training)
     final = spark.sparkContext.broadcast(beta)
     wanted = each.withColumn("task_id", F.explode("tests")).select("task_id", *rest, "__x").join(known.select("task_id", "__task"), "task_id")
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.blocks import column
 from ..functions.stats import missing, nearest_quantile
 from ..sources.scratch import stored
 
@@ -114,18 +115,33 @@ def listed_metrics(lists: DataFrame, group: str, threshold: float = 0.5) -> Data
     total, most = sizes.agg(F.sum("__all"), F.max("__all")).first()
     kind = lists.schema["__of"].dataType.simpleString()
 
-    def ranked(rows: pa.Table) -> pa.Table:
-        label, own = rows.column("__y").to_numpy(), rows.column("__s").chunks
-        lengths = np.concatenate([c.value_lengths().to_numpy() for c in own])
-        score = np.concatenate([c.flatten().to_numpy() for c in own])
-        one = np.repeat(label, lengths) == 1
+    def measured(one: np.ndarray, score: np.ndarray) -> tuple:
         pos, neg = np.sort(score[one]), np.sort(score[~one])
         below = np.searchsorted(neg, pos, "left")
         tp, fp = len(pos) - np.searchsorted(pos, pos, "left"), len(neg) - below
-        sums = {"u": float((below + np.searchsorted(neg, pos, "right")).sum()) / 2, "ap": float((tp / (tp + fp)).sum())}
-        high = {"tp": len(pos) - int(np.searchsorted(pos, threshold)), "fp": len(neg) - int(np.searchsorted(neg, threshold))}
-        return pa.table({"__of": rows.column("__of").slice(0, 1)} | {c: pa.array([v]) for c, v in ({"n_pos": len(pos), "n_neg": len(neg)} | sums | high).items()})
+        return len(pos), len(neg), float((below + np.searchsorted(neg, pos, "right")).sum()) / 2, float((tp / (tp + fp)).sum()), len(pos) - int(np.searchsorted(pos, threshold)), len(neg) - int(np.searchsorted(neg, threshold))
+
+    def ranked(batches):
+        """A group's lists come one after the other, and may go on in the next batch."""
+        key, held = None, []
+        found = lambda: (key, *measured(np.repeat([y == 1 for y, _ in held], [len(s) for _, s in held]), np.concatenate([s for _, s in held])))
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        for batch in batches:
+            out, lengths, flat = [], column(batch, "__s").value_lengths().to_numpy(), column(batch, "__s").flatten().to_numpy()
+            types[0] = batch.schema.field("__of").type
+            for k, y, s in zip(column(batch, "__of").to_pylist(), column(batch, "__y").to_pylist(), np.split(flat, np.cumsum(lengths))[:-1], strict=True):
+                if held and k != key:
+                    out.append(found())
+                    held = []
+                key = k
+                held.append((y, s))
+            held = [(y, s.copy()) for y, s in held]
+            if out:
+                yield batch_of(out)
+        if held:
+            yield batch_of([found()])
 
+    names, types = ["__of", "n_pos", "n_neg", "u", "ap", "tp", "fp"], [None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
     tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // RANKED)
     small = lists
     if (most or 0) > LISTED:
@@ -133,7 +149,7 @@ def listed_metrics(lists: DataFrame, group: str, threshold: float = 0.5) -> Data
         on = lists["__of"].eqNullSafe(large["__large"])
         small = lists.join(large, on, "left_anti")
         rows = lists.join(large, on).select("__of", "__y", F.explode("__s").alias("__s"))
-    sums = small.select("__of", "__y", "__s").repartition(tasks, "__of").groupBy("__of").applyInArrow(ranked, f"__of {kind}, n_pos long, n_neg long, u double, ap double, tp long, fp long")
+    sums = small.select("__of", "__y", "__s").repartition(tasks, "__of").sortWithinPartitions("__of").mapInArrow(ranked, f"__of {kind}, n_pos long, n_neg long, u double, ap double, tp long, fp long")
     found = _measures(sums, "__of")
     if (most or 0) > LISTED:
         found = found.unionByName(classifier_metrics(rows, ["__of"], "__y", "__s", threshold))
