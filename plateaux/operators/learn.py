@@ -141,7 +141,7 @@ def _blocks(cells: DataFrame, members: DataFrame, known: DataFrame, width: int)
     groups = members.groupBy("__group").agg(F.count("*").alias("weight"), F.max("__n").alias("n")).join(lists, "__group", "left").withColumns({r: F.coalesce(r, none) for r in ("trains", "tests")})
     groups = stored(groups, "members")
     size = 8 * width * (groups.agg(F.sum("n")).first()[0] or 0)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART)
+    tasks = max(spark.sparkContext.defaultParallelism, size // PART)
     shares = F.ceil(8.0 * width * F.col("n") * tasks / max(1, size))  # tasks among which a group is dealt
 
     def of_cells(batch):

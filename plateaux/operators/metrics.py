@@ -142,7 +142,7 @@ def listed_metrics(lists: DataFrame, group: str, threshold: float = 0.5) -> Data
             yield batch_of([found()])
 
     names, types = ["__of", "n_pos", "n_neg", "u", "ap", "tp", "fp"], [None, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-    tasks = max(int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")), (total or 0) // RANKED)
+    tasks = max(lists.sparkSession.sparkContext.defaultParallelism, (total or 0) // RANKED)
     small = lists
     if (most or 0) > LISTED:
         large = stored(sizes.where(F.col("__all") > LISTED).select(F.col("__of").alias("__large")), "large")
